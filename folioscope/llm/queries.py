@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from folioscope.llm import quality_rules
+from folioscope.llm import quality_rules, sp_codec, warc
 
 QUERIES = {
     "op7_quality_rules": quality_rules.op7,
+    "op9_warc": warc.op9,
+    "op10_sentencepiece": sp_codec.op10,
 }
 
 ORACLE = {
     "op7_quality_rules": quality_rules.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
 }
