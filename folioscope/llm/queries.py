@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from folioscope.llm import quality_rules, sp_codec, warc
+from folioscope.llm import language_id, license_scan, quality_rules, sharding, sp_codec, warc
 
 QUERIES = {
+    "op2_sharding": sharding.op2,
+    "op5_license_scan": license_scan.op5,
+    "op6_language_id": language_id.op6,
     "op7_quality_rules": quality_rules.op7,
     "op9_warc": warc.op9,
     "op10_sentencepiece": sp_codec.op10,
