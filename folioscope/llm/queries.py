@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from folioscope.llm import html_extract, language_id, license_scan, quality_rules, sharding, sp_codec, warc
+from folioscope.llm import html_extract, jaccard_join, language_id, license_scan, quality_rules, sharding, sp_codec, warc
 
 QUERIES = {
     "op2_sharding": sharding.op2,
+    "op3_jaccard_join": jaccard_join.op3,
     "op4_html_extract": html_extract.op4,
     "op5_license_scan": license_scan.op5,
     "op6_language_id": language_id.op6,
