@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from folioscope.llm import html_extract, jaccard_join, language_id, license_scan, quality_rules, sharding, sp_codec, warc
+from folioscope.llm import html_extract, jaccard_join, language_id, license_scan, quality_rules, sharding, sp_codec, suffix_dedup, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1,
     "op2_sharding": sharding.op2,
     "op3_jaccard_join": jaccard_join.op3,
     "op4_html_extract": html_extract.op4,
