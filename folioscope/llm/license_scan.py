@@ -66,6 +66,10 @@ class Words:
     longest = max(len(w) for w in VOCABULARY)
 
     def __init__(self, raw: np.ndarray, at: np.ndarray, up: np.ndarray, down: np.ndarray):
+        if not len(raw):
+            self.counts = np.zeros(len(at) - 1, np.int64)
+            self.vocab, self.text, self.number = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return
         low = np.where((raw >= 0x41) & (raw <= 0x5A), raw + 0x20, raw).astype(np.uint8)
         word = ((low >= 0x30) & (low <= 0x39)) | ((low >= 0x61) & (low <= 0x7A)) | (low >= 0x80)
         begins = word.copy()
@@ -88,14 +92,14 @@ class Words:
         self.number = some - first[self.text]
 
 
-def _tables(parts, longest_text=[0, None, None]):  # noqa: B006 - the powers are kept between calls
-    """(part, Words) for slices of Arrow batches with a text column at 1."""
+def _tables(parts, longest_text=[0, None, None], finder=Words):  # noqa: B006 - the powers are kept between calls
+    """(part, Words) for slices of Arrow batches with a text column at 1; finder: Words or a class like it."""
     for part in parts:
         raw, at = bytes_of(part.column(1))
         if len(raw) + 1 > longest_text[0]:
             n = 2 * len(raw) + 1
             longest_text[:] = n, powers(n, BASE), powers(n, UNBASE)
-        yield part, Words(raw, at, longest_text[1], longest_text[2])
+        yield part, finder(raw, at, longest_text[1], longest_text[2])
 
 
 def _slices(batches):

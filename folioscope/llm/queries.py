@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import html_extract, jaccard_join, language_id, license_scan, quality_rules, sharding, sp_codec, suffix_dedup, warc
+from folioscope.llm import decontam, html_extract, jaccard_join, language_id, license_scan, quality_rules, sharding, sp_codec, suffix_dedup, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_license_scan": license_scan.op5,
     "op6_language_id": language_id.op6,
     "op7_quality_rules": quality_rules.op7,
+    "op8_decontamination": decontam.op8,
     "op9_warc": warc.op9,
     "op10_sentencepiece": sp_codec.op10,
 }
