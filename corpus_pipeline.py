@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import quality_rules
+from folioscope.llm import decontam, jaccard_join, quality_rules, sp_codec, suffix_dedup
 from folioscope.llm.common import written
 
 #: (name, function of (spark, docs, sf_dir)). All but the last return the columns of documents.
 STAGES = [
     ("quality_rules", quality_rules.stage),
+    ("jaccard_join", jaccard_join.stage),
+    ("suffix_dedup", suffix_dedup.stage),
+    ("decontamination", decontam.stage),
+    ("sentencepiece", sp_codec.stage),
 ]
 
 #: Suffix order, latent retrieval and tokenisation have no SQL form; tests hold run() against brute force.

@@ -18,26 +18,30 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import written
+from folioscope.llm.common import arrow_map, written
 
 SHARDS, OVERHEAD = 40, 16
 #: Bins of a pass, per node.
-BINS = 4096
+BINS = 512
 #: Metadata dimensions, each a long below 2**30.
 DIMENSIONS = ("d_size", "d_first", "d_second", "d_density")
+#: Partial sums that reach the driver, of however many tasks.
+PARTIALS = 16
 #: Rows that one task numbers at a time.
 SLOT_ROWS = 50_000
 
 
 @dataclass
 class Node:
-    """A leaf while dimension is None; its rows are where `at`, a path of branches, leads."""
+    """A leaf while dimension is None."""
 
     shards: range
-    dimension: str | None = None
+    dimension: int | None = None
     cut: int = 0  # rows whose key is below it go left
     tie: tuple[int, int] | None = None  # of rows with this key, those whose doc_id is below the second go left
     left: "Node | None" = None
@@ -59,115 +63,165 @@ def metadata(docs: DataFrame) -> DataFrame:
     )
 
 
-def key_of(dimension: str) -> Column:
-    """Orders rows by a dimension, then by checksum: below 2**62."""
-    return F.col(dimension) * (1 << 32) + F.col("text_crc32")
+class Rows:
+    """A batch of metadata() as arrays; keys order rows by a dimension, then by checksum."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        get = lambda name: batch.column(batch.schema.get_field_index(name))
+        self.doc = get("doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+        self.size = get("size").to_numpy()
+        crc = get("text_crc32").to_numpy()
+        self.keys = [get(d).to_numpy() * (1 << 32) + crc for d in DIMENSIONS]
+
+    def leaves(self, node: Node, at: np.ndarray | None = None, out: np.ndarray | None = None) -> np.ndarray:
+        """The first shard of each row's leaf."""
+        if at is None:
+            at, out = np.arange(len(self.size)), np.zeros(len(self.size), np.int32)
+        if node.dimension is None:
+            out[at] = node.shards.start
+            return out
+        key = self.keys[node.dimension][at]
+        below = key < node.cut
+        if node.tie:
+            below |= (key == node.tie[0]) & (self.doc[at] < node.tie[1])
+        self.leaves(node.left, at[below], out)
+        self.leaves(node.right, at[~below], out)
+        return out
 
 
-_ID = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-
-
-def leaf_of(node: Node) -> Column:
-    """The first shard of the leaf that a row belongs to."""
-    if node.dimension is None:
-        return F.lit(node.shards.start)
-    key = key_of(node.dimension)
-    below = key < node.cut
-    if node.tie:
-        below = below | ((key == node.tie[0]) & (_ID < node.tie[1]))
-    return F.when(below, leaf_of(node.left)).otherwise(leaf_of(node.right))
+@dataclass
+class Ask:
+    """A histogram of a node's sizes: over edges (bins between them), or over equal widths from lo to hi."""
+
+    leaf: int
+    dimension: int
+    edges: np.ndarray | None = None
+    lo: int = 0
+    hi: int = 0
+    key: int | None = None  # of rows with this key alone, by doc_id
+
+    def width(self) -> int:
+        return max(1, -(-(self.hi - self.lo + 1) // BINS))
+
+
+def _histograms(batches, root: Node, asks: list[Ask]):
+    sums = np.zeros((len(asks), BINS))
+    for batch in batches:
+        rows = Rows(batch)
+        leaf = rows.leaves(root)
+        inside = {k: np.flatnonzero(leaf == k) for k in {a.leaf for a in asks}}
+        for k, ask in enumerate(asks):
+            at = inside[ask.leaf]
+            value = rows.keys[ask.dimension][at]
+            if ask.key is not None:
+                at = at[value == ask.key]
+                value = rows.doc[at]
+            if ask.edges is not None:
+                bins = np.searchsorted(ask.edges, value, side="right")
+            else:
+                some = (value >= ask.lo) & (value <= ask.hi)
+                at, value = at[some], value[some]
+                # Unsigned: the distance between two doc_ids may exceed a signed long.
+                bins = ((value.view(np.uint64) - np.int64(ask.lo).view(np.uint64)) // np.uint64(ask.width())).astype(np.int64)
+            sums[k] += np.bincount(bins, weights=rows.size[at], minlength=BINS)
+    for k in np.flatnonzero(sums.any(1)).tolist():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sums[k].tobytes()], pa.binary())], ["ask", "sums"])
+
+
+def _added(batches):
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found[k] = found.get(k, 0) + np.frombuffer(own)
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["ask", "sums"])
+
+
+def histograms(rows: DataFrame, root: Node, asks: list[Ask]) -> np.ndarray:
+    """The bins of each ask: added up within tasks, then within PARTIALS tasks, then on the driver."""
+    parts = arrow_map(rows, _histograms, "ask int, sums binary", root, asks)
+    out = np.zeros((len(asks), BINS))
+    for r in arrow_map(parts.repartition(PARTIALS), _added, "ask int, sums binary").collect():
+        out[r["ask"]] += np.frombuffer(r["sums"])
+    return out
+
+
+def _zoomed(rows: DataFrame, root: Node, asks: dict[int, Ask], below: dict[int, float], goal: dict[int, float], slack: float) -> dict[int, tuple[int, float, float]]:
+    """Where each node's sum passes its goal: (first value, sum below it, sum in its bin), to a value or to `slack`."""
+    found = {}
+    while todo := [k for k in asks if k not in found]:
+        sums = histograms(rows, root, [asks[k] for k in todo])
+        for k, own in zip(todo, sums, strict=True):
+            reach = below[k] + np.cumsum(own)
+            bin_ = int(min(np.searchsorted(reach, goal[k]), np.flatnonzero(own).max(initial=0)))
+            width = asks[k].width()
+            lo = asks[k].lo + bin_ * width
+            under, weight = float(reach[bin_] - own[bin_]), float(own[bin_])
+            if width == 1 or weight <= slack:
+                found[k] = lo, under, weight
+            else:
+                asks[k].lo, asks[k].hi = lo, min(asks[k].hi, lo + width - 1)
+                below[k] = under
+    return found
 
 
 def _leaves(node: Node) -> list[Node]:
     return [node] if node.dimension is None else _leaves(node.left) + _leaves(node.right)
 
 
-def _medians(rows: DataFrame, value: dict[int, Column], within: dict[int, Column], goal: dict[int, float], ends: dict[int, tuple[int, int]], slack: float) -> dict[int, tuple[int, float, float]]:
-    """For each node the value where its sum of sizes passes its goal: (value, sum below it, sum at it).
-
-    Each pass has at most BINS sums for each node; ends: the first and last value of each node's range. A range
-    is closed when it is a single value or holds no more than `slack` bytes, whose first value is taken then.
-    """
-    found, below = {}, {k: 0.0 for k in value}
-    ends = dict(ends)
-    while todo := [k for k in value if k not in found]:
-        column = F.lit(None).cast("struct<node:int,bin:long>")
-        for k in todo:
-            lo, hi = ends[k]
-            width = max(1, -(-(hi - lo + 1) // BINS))
-            part = F.struct(F.lit(k).alias("node"), F.floor((value[k] - F.lit(lo)) / F.lit(width) if width == 1 else F.expr("0") + F.call_function("div", value[k] - F.lit(lo), F.lit(width))).cast("long").alias("bin"))
-            column = F.when(within[k] & value[k].between(lo, hi), part).otherwise(column)
-        sums: dict[int, list] = {k: [] for k in todo}
-        for r in rows.select(column.alias("at"), "size").filter("at is not null").groupBy("at").agg(F.sum("size").alias("size")).collect():
-            sums[r["at"]["node"]].append((r["at"]["bin"], float(r["size"])))
-        for k in todo:
-            lo, hi = ends[k]
-            width = max(1, -(-(hi - lo + 1) // BINS))
-            for at, weight in sorted(sums[k]):
-                first = lo + at * width
-                if below[k] + weight >= goal[k] or (at, weight) == max(sums[k]):
-                    ends[k] = first, min(hi, first + width - 1)
-                    if width == 1 or weight <= slack:
-                        found[k] = first, below[k], weight
-                    break
-                below[k] += weight
-            else:
-                found[k] = lo, below[k], 0.0
-    return found
-
-
 def tree(rows: DataFrame, shards: int = SHARDS) -> Node:
     """The k-d tree over rows of metadata()."""
     root = Node(range(shards))
+    keys = [F.col(d) * (1 << 32) + F.col("text_crc32") for d in DIMENSIONS]
+    marks = [k / BINS for k in range(1, BINS)]
+    first = rows.agg(*[F.percentile_approx(k, marks, 4 * BINS).alias(d) for k, d in zip(keys, DIMENSIONS, strict=True)], F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("lo"), F.max(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("hi")).first()
+    if first["lo"] is None:
+        return root
+    edges = [np.unique(np.array(first[d], np.int64)) for d in DIMENSIONS]
+    spread = [max(1, int((e[-1] >> 32) - (e[0] >> 32))) for e in edges]
     while open_nodes := [x for x in _leaves(root) if len(x.shards) > 1]:
-        at = {x.shards.start: x for x in open_nodes}
-        leaf = leaf_of(root)
-        stats = rows.groupBy(leaf.alias("leaf")).agg(
-            F.sum("size").alias("size"), F.max("size").alias("most"),
-            *[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))],
-            *[F.percentile_approx(d, [0.05, 0.95], 200).alias(f"q_{d}") for d in DIMENSIONS],
-            F.min(_ID).alias("lo_id"), F.max(_ID).alias("hi_id"),
-        ).collect()
-        stats = {r["leaf"]: r for r in stats if r["leaf"] in at}
-        total = {d: max(1, max((r[f"q_{d}"][1] for r in stats.values()), default=1) - min((r[f"q_{d}"][0] for r in stats.values()), default=0)) for d in DIMENSIONS}
-        value, within, goal, ends = {}, {}, {}, {}
-        for k, node in at.items():
+        asks = [Ask(x.shards.start, d, edges=edges[d]) for x in open_nodes for d in range(len(DIMENSIONS))]
+        sums = histograms(rows, root, asks).reshape(len(open_nodes), len(DIMENSIONS), BINS)
+        zoom, below, goal, by = {}, {}, {}, {}
+        # A cut may miss its goal by a ten-thousandth of a shard.
+        slack = max(1.0, float(sums[:, 0].sum()) / shards / 10_000)
+        for node, own in zip(open_nodes, sums, strict=True):
+            at = node.shards.start
+            by[at] = node
+            reach = own.cumsum(1)
+            total = reach[0, -1]
+            goal[at] = total * (len(node.shards) // 2) / len(node.shards)
+            wide = []
+            for d, e in enumerate(edges):
+                ends = [int(e[min(len(e) - 1, np.searchsorted(reach[d], total * q))]) >> 32 for q in (0.05, 0.95)]
+                wide.append((ends[1] - ends[0]) / spread[d])
+            d = int(np.argmax(wide))
+            bin_ = int(np.searchsorted(reach[d], goal[at])) if total else 0
+            lo = int(edges[d][bin_ - 1]) if bin_ else 0
+            hi = int(edges[d][bin_]) - 1 if bin_ < len(edges[d]) else (1 << 62) - 1
+            zoom[at], below[at] = Ask(at, d, lo=lo, hi=hi), float(reach[d, bin_] - own[d, bin_])
+        cuts = _zoomed(rows, root, zoom, below, goal, slack)
+        ties = {k: Ask(k, zoom[k].dimension, lo=first["lo"], hi=first["hi"], key=cut) for k, (cut, under, weight) in cuts.items() if weight > slack}
+        inside = _zoomed(rows, root, ties, {k: cuts[k][1] for k in ties}, goal, slack) if ties else {}
+        for k, node in by.items():
             node.left = Node(range(node.shards.start, node.shards.start + len(node.shards) // 2))
             node.right = Node(range(node.left.shards.stop, node.shards.stop))
-            if k not in stats:
-                node.dimension = DIMENSIONS[0]
-                continue
-            r = stats[k]
-            node.dimension = max(DIMENSIONS, key=lambda d, r=r: (r[f"q_{d}"][1] - r[f"q_{d}"][0]) / total[d])
-            value[k], within[k] = key_of(node.dimension), leaf == k
-            goal[k] = r["size"] * len(node.left.shards) / len(node.shards)
-            ends[k] = r[f"lo_{node.dimension}"] << 32, (r[f"hi_{node.dimension}"] << 32) + (1 << 32) - 1
-        if not value:
-            continue
-        # A cut may miss its goal by a ten-thousandth of a shard.
-        slack = max(1.0, min(r["size"] / len(at[k].shards) for k, r in stats.items()) / 10_000)
-        medians = _medians(rows, value, within, goal, ends, slack)
-        ties = {}
-        for k, (cut, under, weight) in medians.items():
-            at[k].cut = cut
-            if weight > slack and under + weight > goal[k] + slack:
-                ties[k] = under
-        if ties:
-            same = {k: within[k] & (value[k] == at[k].cut) for k in ties}
-            got = _medians(rows, {k: _ID for k in ties}, same, {k: goal[k] - ties[k] for k in ties}, {k: (stats[k]["lo_id"], stats[k]["hi_id"]) for k in ties}, slack)
-            for k, (doc, under, weight) in got.items():
-                nearer = under + weight - (goal[k] - ties[k]) < (goal[k] - ties[k]) - under
-                at[k].tie = at[k].cut, doc + 1 if nearer else doc
-        for k, (cut, under, weight) in medians.items():
-            if k not in ties and under + weight - goal[k] < goal[k] - under and weight > slack:
-                at[k].cut = cut + 1
+            node.dimension, node.cut = zoom[k].dimension, cuts[k][0]
+            if k in inside:
+                doc, under, weight = inside[k]
+                node.tie = node.cut, doc + (under + weight - goal[k] < goal[k] - under)
     return root
 
 
+def _assigned(batches, root: Node):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(Rows(batch).leaves(root), pa.int32())], ["doc_id", "size", "text_crc32", "shard"])
+
+
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     rows = written(metadata(docs), "shard-metadata")
-    rows = rows.withColumn("shard", leaf_of(tree(rows, shards)).cast("int"))
+    rows = arrow_map(rows, _assigned, "doc_id long, size long, text_crc32 long, shard int", tree(rows, shards))
     # Slots: rows are numbered within blocks of a shard, and blocks are numbered by sums of their counts.
     most = rows.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(max(1, -(-most // SLOT_ROWS) * 8))).cast("int"))
