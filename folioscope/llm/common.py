@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Odd base of the polynomial hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UNBASE = pow(BASE, -1, 1 << 64)
 
 
@@ -27,10 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: cuts the lineage, survives lost executors."""
+    """The rows of df, written to the shared folder and read again: cuts the lineage, survives lost executors.
+
+    Shuffle files of the write go as soon as it ends; nothing else reads them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

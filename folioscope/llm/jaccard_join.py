@@ -101,7 +101,7 @@ def _classes(batches):
     for batch in batches:
         for part in chunks(batch, "text", 1 << 20):
             sets = shingle_sets(part.column(1))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())], ["doc_id", "ref", "n"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())], ["key", "doc_id", "ref", "n"])
 
 
 def _deal(tokens: list[np.ndarray], refs: list[int], sizes: list[int], buckets: int):
@@ -189,10 +189,13 @@ def _lists(batches):
 
 
 def _sets(batches):
+    seen = set()  # rows that stand twice come to the same task
     for batch in batches:
         for part in chunks(batch, "text", 1 << 20):
-            sets = shingle_sets(part.column(part.schema.get_field_index("text")))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["ref", "tokens"])
+            refs = part.column(0).to_pylist()
+            some = [k for k, r in enumerate(refs) if not (r in seen or seen.add(r))]
+            sets = shingle_sets(part.column(1).take(pa.array(some, pa.int64())))
+            yield pa.RecordBatch.from_arrays([pa.array([refs[k] for k in some], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["ref", "tokens"])
 
 
 def _matched(batches):
@@ -258,8 +261,8 @@ def components(edges: DataFrame) -> DataFrame:
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(arrow_map(docs, _classes, "doc_id long, ref long, n int"), "classes")
+    docs = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+    rows = written(arrow_map(docs, _classes, "key long, doc_id long, ref long, n int"), "classes")
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "bucket int, tokens binary, refs binary, sizes binary"
 
@@ -274,9 +277,9 @@ def joined(docs: DataFrame) -> DataFrame:
     lists = written(dealt(docs, heavy, _lists, "list long, ref long, n int, members int").dropDuplicates(["list", "ref"]), "lists")
     release(spark)
     # One text of each class that is in a list; its set is made again from the text.
-    first = rows.filter("n > 0").groupBy("ref", "n").agg(F.min("doc_id").alias("doc_id"))
-    wanted = first.join(lists.select("ref").distinct(), "ref", "left_semi").select("doc_id", "ref")
-    sets = written(arrow_map(docs.join(wanted, "doc_id").dropDuplicates(["ref"]).select("ref", "text"), _sets, "ref long, tokens binary"), "sets")
+    first = rows.filter("n > 0").groupBy("ref", "n").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
+    wanted = first.join(lists.select("ref").distinct(), "ref", "left_semi").select("key", "ref")
+    sets = written(arrow_map(docs.select("key", "text").join(wanted, "key").select("ref", "text"), _sets, "ref long, tokens binary"), "sets")
     release(spark)
 
     # One center for each class: the smallest class of its lists that is not too long or too short for it.
