@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Odd base of the polynomial hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch at most: with whole texts, some MB.
+ROWS = 512
 UNBASE = pow(BASE, -1, 1 << 64)
 
 
@@ -135,7 +138,13 @@ class Rolling:
 
 
 def arrow_map(df: DataFrame, make, schema: str, *args) -> DataFrame:
-    """mapInArrow with a generator function make(batches, *args); empty batches are left out."""
+    """mapInArrow with a generator function make(batches, *args); empty batches are left out.
+
+    Batches are held to ROWS rows in this session: tables of whole texts need no more to be read fast.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_ROWS)) <= ROWS:
+        conf.set(BATCH_ROWS, str(ROWS))
 
     def run(batches):
         yield from make((b for b in batches if b.num_rows), *args)
