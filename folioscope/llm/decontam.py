@@ -89,12 +89,13 @@ class Benchmark:
         return row[starts], starts, term % self.terms if self.terms else term, weight.astype(np.float32)
 
     def passages(self, words: Words):
-        """Each hit with the passages that it lies in: owner = text * span + passage, and the hit's place."""
+        """The passages that weighty hits lie in: owner = text * span + passage, and the hits' words."""
         span = int(words.number.max()) // self.stride + 2 if len(words.number) else 1
-        second = words.number // self.stride
-        owner = words.text.astype(np.int64) * span + second
+        some = np.flatnonzero(self.idf[words.vocab] > 0)
+        second = words.number[some] // self.stride
+        owner = words.text[some].astype(np.int64) * span + second
         before = np.flatnonzero(second > 0)
-        return span, np.concatenate([owner, owner[before] - 1]), np.concatenate([np.arange(len(owner)), before])
+        return span, np.concatenate([owner, owner[before] - 1]), words.vocab[np.concatenate([some, some[before]])]
 
 
 def projected(starts: np.ndarray, term: np.ndarray, weight: np.ndarray, onto: np.ndarray) -> np.ndarray:
@@ -118,8 +119,8 @@ def _range(batches, bench: Benchmark, rank: int):
     omega = _random(bench, rank)
     out = np.zeros((bench.terms, rank), np.float32)
     for _, words in _tables(_slices(batches), finder=bench.finder):
-        _, owner, at = bench.passages(words)
-        _, starts, term, weight = bench.vectors(owner, words.vocab[at])
+        _, owner, vocab = bench.passages(words)
+        _, starts, term, weight = bench.vectors(owner, vocab)
         if not len(starts):
             continue
         rows = projected(starts, term, weight, omega)
@@ -180,20 +181,24 @@ def _search(batches, bench: Benchmark):
                 bits[w] = bits.get(w, 0) | 1 << k
             out.append((bits, len(part)))
     for part, words in _tables(_slices(batches), finder=bench.finder):
-        span, own, at = bench.passages(words)
-        passages, starts, term, weight = bench.vectors(own, words.vocab[at])
+        span, own, vocab = bench.passages(words)
+        passages, starts, term, weight = bench.vectors(own, vocab)
         rows = projected(starts, term, weight, bench.basis)
         rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
         close = rows @ latent.T
         best: dict[tuple[int, int], tuple] = {}
         place = words.text.astype(np.int64) * (span * bench.stride) + words.number
-        for p, k in zip(*np.nonzero(close >= COSINE), strict=True):
+        sought: dict[int, tuple[list[int], int]] = {}
+        for p, k in zip(*(x.tolist() for x in np.nonzero(close >= COSINE)), strict=True):
             item = int(having[k])
             text, number = divmod(int(passages[p]), span)
-            base = text * span * bench.stride + number * bench.stride
-            a, b = np.searchsorted(place, [base, base + 2 * bench.stride])
-            b = min(b, int(np.searchsorted(words.text, text, side="right")))
-            seen = words.vocab[a:b].tolist()
+            if p not in sought:
+                base = text * span * bench.stride + number * bench.stride
+                a, b = np.searchsorted(place, [base, base + 2 * bench.stride])
+                # Beyond a text's last passage lies the next text.
+                b = min(b, int(np.searchsorted(words.text, text, side="right")))
+                sought[p] = words.vocab[a:b].tolist(), a
+            seen, a = sought[p]
             bits, size = masks[item]
             found = lcs(bits, size, seen)
             if found < LCS_WITH_ANSWER * size:
