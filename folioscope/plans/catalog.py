@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from folioscope.plans import line_queries, report_queries, text_queries
+
+QUERIES = text_queries.QUERIES | line_queries.QUERIES | report_queries.QUERIES
+ORACLE = text_queries.ORACLE | line_queries.ORACLE | report_queries.ORACLE
