@@ -7,8 +7,9 @@ their prefixes (the first n - ceil(0.75 n) + 1 tokens of a set in a common order
 2. Every class is first held against one center, the smallest class that any of its lists has. Those that link
    form groups of similar documents.
 3. What then still lies in different groups of one list is a query and a group. A group's members are stored in
-   blocks, each with the union of its tokens and a matrix of which member holds which; a query counts its tokens in
-   the union, which bounds its overlap with any member, and opens only blocks that can qualify.
+   blocks, each with the union of its tokens and a matrix of which member holds which. A query's overlap with any
+   member is bounded twice, by counts of tokens per column of CELLS columns (a block's counts are the most of any
+   member) before any set is moved, then by its tokens in the union; only blocks that can qualify are opened.
 
 Every pair that shares a prefix token is thus verified exactly or already connected; links lead to components by
 min-label propagation with pointer jumping. Copies are never paired; a hot center's queries are salted.
@@ -32,6 +33,8 @@ WORDS, PERCENT = 5, 75
 SAMPLE, HEAVY = 20_000, 4
 #: Members of a group's block; queries of a center that one task is given.
 BLOCK, QUERIES = 64, 1000
+#: Columns in which tokens are counted for the first bound, and the most tokens of a set for which it is used.
+CELLS, COUNTED = 1024, 100_000
 #: Tokens that a task gathers before it deals them out.
 PACK = 1 << 20
 
@@ -188,14 +191,65 @@ def _lists(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names.view(np.int64), lengths)), pa.array(ref[at]), pa.array(size[at]), pa.array(np.repeat(lengths, lengths).astype(np.int32))], ["list", "ref", "n", "members"])
 
 
-def _sets(batches):
+def counted(tokens: np.ndarray) -> bytes:
+    """Tokens per column; a set too large to count takes any."""
+    if len(tokens) > COUNTED:
+        return np.full(CELLS, 255, np.uint8).tobytes()
+    return np.minimum(np.bincount((tokens >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def _sets(batches, cells: bool):
+    """ref and n with the counts, or with the tokens, of each class."""
     seen = set()  # rows that stand twice come to the same task
+    name, make = ("cells", counted) if cells else ("tokens", np.ndarray.tobytes)
     for batch in batches:
         for part in chunks(batch, "text", 1 << 20):
             refs = part.column(0).to_pylist()
             some = [k for k, r in enumerate(refs) if not (r in seen or seen.add(r))]
             sets = shingle_sets(part.column(1).take(pa.array(some, pa.int64())))
-            yield pa.RecordBatch.from_arrays([pa.array([refs[k] for k in some], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["ref", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([refs[k] for k in some], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([make(s) for s in sets], pa.binary())], ["ref", "n", name])
+
+
+def _block_counts(batches):
+    """The most of any member in each column, and the least size; rows come sorted by group and block."""
+    now, most, least = None, None, 0
+    for batch in batches:
+        for group, block, n, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = np.frombuffer(cells, np.uint8)
+            if (group, block) == now:
+                most, least = np.maximum(most, own), min(least, n)
+                continue
+            if now is not None:
+                yield _block_row(now, most, least)
+            now, most, least = (group, block), own, n
+    if now is not None:
+        yield _block_row(now, most, least)
+
+
+def _block_row(now, most, least):
+    return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([now[1]], pa.int32()), pa.array([least], pa.int32()), pa.array([most.tobytes()], pa.binary())], ["g", "block", "least", "most"])
+
+
+def _bounded(batches):
+    """The (g, block, ref) of queries whose counts allow an overlap that links."""
+    for batch in batches:
+        cells, most = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CELLS) for k in (4, 6))
+        n, least = (batch.column(k).to_numpy().astype(np.int64) for k in (3, 5))
+        # A count of 255 stands for any: where both sides have it, the column bounds nothing.
+        top = np.minimum(cells, most)
+        top = np.where((top == 255).any(1), 1 << 40, top.sum(1, dtype=np.int64))
+        # 100 * i >= 75 * (n + m - i) for a member of m tokens, and m is `least` or more.
+        good = ((100 + PERCENT) * top >= PERCENT * (n + least)) & (100 * top >= PERCENT * n)
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good)) for k in range(3)], ["g", "block", "ref"])
+
+
+def _qualified(asked: DataFrame, members: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of asked (g, block, ref) what the counts allow, and the members (g, block, ref) of the blocks it opens."""
+    blocks = members.join(asked.select("g", "block").distinct(), ["g", "block"], "left_semi").join(counts, "ref").select("g", "block", "n", "cells")
+    blocks = arrow_map(blocks.repartition("g", "block").sortWithinPartitions("g", "block"), _block_counts, "g long, block int, least int, most binary")
+    rows = asked.join(counts, "ref").join(blocks, ["g", "block"]).select("g", "block", "ref", "n", "cells", "least", "most")
+    good = written(arrow_map(rows, _bounded, "g long, block int, ref long"), "asked")
+    return good, members.join(good.select("g", "block").distinct(), ["g", "block"], "left_semi").select("g", "block", "ref")
 
 
 def _matched(batches):
@@ -234,10 +288,17 @@ def _matched(batches):
             out = []
 
 
-def _links(work: DataFrame, sets: DataFrame) -> DataFrame:
-    """work: (g, block, role, ref). The links found, as (a, b)."""
-    rows = work.join(sets, "ref").select("g", "block", "role", "ref", "tokens")
-    return arrow_map(rows.repartition("g", "block").sortWithinPartitions("g", "block", "role"), _matched, "a long, b long").distinct()
+def _links(asked: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links between queries and members of their blocks, both (g, block, ref), as (a, b).
+
+    texts: (ref, text) of the classes that take part, whose sets are made again from it.
+    """
+    work = members.withColumn("role", F.lit(0)).unionByName(asked.withColumn("role", F.lit(1)))
+    sets = written(arrow_map(texts, _sets, "ref long, n int, tokens binary", False), "sets")
+    rows = work.join(sets.select("ref", "tokens"), "ref").select("g", "block", "role", "ref", "tokens")
+    out = written(arrow_map(rows.repartition("g", "block").sortWithinPartitions("g", "block", "role"), _matched, "a long, b long").distinct(), "links")
+    drop_written(sets)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -258,6 +319,32 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _across(lists: DataFrame, tried: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members (g, block, ref) of all groups, and the pairs (g, block, q, qg) that a list has across groups.
+
+    A pair's query is the class outside of its list's largest group; between two such classes, the smaller one.
+    Pairs with a class's center were tried before.
+    """
+    member = lists.select("ref").distinct().join(groups, "ref", "left").select("ref", F.coalesce("comp", "ref").alias("g"))
+    sizes = member.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    member = written(member.join(sizes, "g").select("g", F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int").alias("block"), "ref"), "members")
+    spread = lists.join(member, "ref").join(tried, "ref", "left")
+    open_lists = spread.groupBy("list").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("list")
+    spread = spread.join(open_lists, "list", "left_semi")
+    parts = spread.groupBy("list", "g").agg(F.count(F.lit(1)).alias("k"))
+    largest = parts.groupBy("list").agg(F.max_by("g", F.struct("k", "g")).alias("largest"))
+    query = spread.join(largest, "list").filter("g <> largest").select("list", F.col("ref").alias("q"), F.col("g").alias("qg"), F.col("n").alias("qn"), F.col("center").alias("qc"), "largest")
+    other = spread.select("list", "ref", "g", "block", "n", "center")
+    pairs = query.join(other, "list").filter((F.col("g") != F.col("qg")) & ((F.col("g") == F.col("largest")) | (F.col("q") < F.col("ref"))) & _fits(F.col("n"), F.col("qn")))
+    pairs = pairs.filter(~(F.col("ref").eqNullSafe(F.col("qc")) | F.col("q").eqNullSafe(F.col("center"))))
+    return member, pairs.select("g", "block", "q", "qg")
+
+
+def _fits(a, b):
+    """No set links with one that is a third larger."""
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
+
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
@@ -279,42 +366,41 @@ def joined(docs: DataFrame) -> DataFrame:
     # One text of each class that is in a list; its set is made again from the text.
     first = rows.filter("n > 0").groupBy("ref", "n").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
     wanted = first.join(lists.select("ref").distinct(), "ref", "left_semi").select("key", "ref")
-    sets = written(arrow_map(docs.select("key", "text").join(wanted, "key").select("ref", "text"), _sets, "ref long, tokens binary"), "sets")
+    counts = written(arrow_map(docs.select("key", "text").join(wanted, "key").select("ref", "text"), _sets, "ref long, n int, cells binary", True), "counts")
     release(spark)
 
+    def links(asked: DataFrame, members: DataFrame) -> DataFrame:
+        """Verified links; only the texts of classes that take part are moved."""
+        refs = asked.select("ref").unionByName(members.select("ref")).distinct()
+        return _links(asked, members, docs.select("key", "text").join(wanted.join(refs, "ref", "left_semi"), "key").select("ref", "text"))
+
     # One center for each class: the smallest class of its lists that is not too long or too short for it.
     heads = lists.groupBy("list").agg(F.min_by(F.struct("ref", "n"), "ref").alias("head"))
-    fits = lambda a, b: (100 * F.least(a, b)) >= PERCENT * F.greatest(a, b)
     tried = written(
-        lists.join(heads, "list").filter((F.col("ref") != F.col("head.ref")) & fits(F.col("n"), F.col("head.n"))).groupBy("ref").agg(F.min("head.ref").alias("center")),
+        lists.join(heads, "list").filter((F.col("ref") != F.col("head.ref")) & _fits(F.col("n"), F.col("head.n"))).groupBy("ref").agg(F.min("head.ref").alias("center")),
         "centers",
     )
-    counts = tried.groupBy("center").count().select("center", F.ceil(F.col("count") / QUERIES).cast("int").alias("salts"))
-    asked = tried.join(counts, "center").select(F.col("center").alias("g"), F.pmod(F.xxhash64("ref"), F.col("salts")).cast("int").alias("block"), F.lit(1).alias("role"), "ref")
-    held = counts.select(F.col("center").alias("g"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("block"), F.lit(0).alias("role"), F.col("center").alias("ref"))
-    near = written(_links(held.unionByName(asked), sets), "links")
+    # The first bound is by pair here: a center is a block without salt. Salts follow, for what is left.
+    pairs = tried.select(F.col("center").alias("g"), F.lit(0).alias("block"), "ref")
+    centers = tried.select(F.col("center").alias("g"), F.lit(0).alias("block"), F.col("center").alias("ref")).distinct()
+    close, _ = _qualified(pairs, centers, counts)
+    salts = close.groupBy("g").count().select("g", F.ceil(F.col("count") / QUERIES).cast("int").alias("salts"))
+    asked = close.select("g", "ref").join(salts, "g").select("g", F.pmod(F.xxhash64("ref"), F.col("salts")).cast("int").alias("block"), "ref")
+    held = salts.select("g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("block"), F.col("g").alias("ref"))
+    near = links(asked, held)
     release(spark)
 
-    # Groups are the components so far; lists that still span several of them are held against each other.
-    groups = components(near)
-    member = lists.select("ref").distinct().join(groups, "ref", "left").select("ref", F.coalesce("comp", "ref").alias("g"))
-    sizes = member.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    member = written(member.join(sizes, "g").select("ref", "g", F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int").alias("block")), "members")
-    spread = lists.filter("members > 1").join(member, "ref").join(tried, "ref", "left")
-    open_lists = spread.groupBy("list").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("list")
-    spread = spread.join(open_lists, "list", "left_semi")
-    parts = spread.groupBy("list", "g").agg(F.count(F.lit(1)).alias("k"))
-    largest = parts.groupBy("list").agg(F.max_by("g", F.struct("k", "g")).alias("largest"))
-    # A pair's query is the class outside of its list's largest group; between two such classes, the smaller one.
-    query = spread.join(largest, "list").filter("g <> largest").select("list", F.col("ref").alias("q"), F.col("g").alias("qg"), F.col("n").alias("qn"), F.col("center").alias("qc"), "largest")
-    other = spread.select("list", "ref", "g", "block", "n", "center")
-    pairs = query.join(other, "list").filter((F.col("g") != F.col("qg")) & ((F.col("g") == F.col("largest")) | (F.col("q") < F.col("ref"))) & fits(F.col("n"), F.col("qn")))
-    pairs = pairs.filter(~(F.col("ref").eqNullSafe(F.col("qc")) | F.col("q").eqNullSafe(F.col("center"))))
-    asked = written(pairs.select("g", "block", F.col("q").alias("ref")).distinct(), "asked")
-    opened = member.join(asked.select("g", "block").distinct(), ["g", "block"], "left_semi").select("g", "block", F.lit(0).alias("role"), "ref")
-    far = _links(opened.unionByName(asked.select("g", "block", F.lit(1).alias("role"), "ref")), sets)
-    found = components(near.unionByName(far))
-    release(spark)
+    # Groups are the components so far. Each first tries two others, which joins most groups that belong together;
+    # what then still spans different groups is tried in full.
+    for few in (True, False):
+        member, pairs = _across(lists, tried, components(near))
+        if few:
+            to = F.struct("g", "q", "block")
+            pairs = pairs.groupBy("qg").agg(F.min(to).alias("lo"), F.max(to).alias("hi")).select(F.explode(F.array("lo", "hi")).alias("p")).select("p.g", "p.block", "p.q")
+        asked, opened = _qualified(pairs.select("g", "block", F.col("q").alias("ref")).distinct(), member, counts)
+        near = written(near.unionByName(links(asked, opened)), "links")
+        release(spark)
+    found = components(near)
 
     named = first.join(found, "ref", "left").select("ref", "n", "doc_id", F.coalesce("comp", "ref").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
