@@ -90,7 +90,7 @@ def records_of(stream, piece: int = 1 << 20):
 def normalise(fs, source: str, target: str, level: int = 3) -> list[tuple[int, int]]:
     """Rewrite an archive with a member for each record; the sidecar index goes to target + ".idx"."""
     entries, at, lines = [], 0, []
-    with fs.open_input_stream(source) as stream, fs.open_output_stream(f"{target}.tmp") as out:
+    with fs.open_input_stream(source, compression=None) as stream, fs.open_output_stream(f"{target}.tmp", compression=None) as out:
         for one in records_of(stream):
             deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
             member = deflate.compress(one) + deflate.flush()
@@ -99,7 +99,7 @@ def normalise(fs, source: str, target: str, level: int = 3) -> list[tuple[int, i
             entries.append((at, len(member)))
             lines.append(json.dumps({"offset": at, "length": len(member), "id": head[2].partition(": ")[2], "type": head[1].partition(": ")[2]}))
             at += len(member)
-    with fs.open_output_stream(f"{target}.idx.tmp") as out:
+    with fs.open_output_stream(f"{target}.idx.tmp", compression=None) as out:
         out.write("".join(x + "\n" for x in lines).encode())
     fs.move(f"{target}.tmp", target)
     fs.move(f"{target}.idx.tmp", f"{target}.idx")
@@ -108,7 +108,7 @@ def normalise(fs, source: str, target: str, level: int = 3) -> list[tuple[int, i
 
 def read_back(fs, target: str):
     """(headers, payload) of every record that the sidecar index lists."""
-    with fs.open_input_stream(f"{target}.idx") as f:
+    with fs.open_input_stream(f"{target}.idx", compression=None) as f:
         index = [json.loads(x) for x in f.read().decode().splitlines()]
     with fs.open_input_file(target) as f:
         for entry in index:
@@ -144,7 +144,7 @@ def _archive(batches, folder: str, keep_source: bool):
         for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if out is None:
                 fs.create_dir(root, recursive=True)
-                out = fs.open_output_stream(f"{name}-{number}.mono.gz"), zlib.compressobj(1, zlib.DEFLATED, 31)
+                out = fs.open_output_stream(f"{name}-{number}.mono.gz", compression=None), zlib.compressobj(1, zlib.DEFLATED, 31)
             payload = html or b""
             data = record(page_id, url, payload, digest, refers_to)
             out[0].write(out[1].compress(data))
