@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import arrow_map
+from folioscope.llm.common import arrow_map, fresh
 from folioscope.llm.license_scan import Words, _hashes, _slices, _tables
 
-#: Words in a larger share of the documents carry no weight.
-MAX_DF = 0.02
+#: Words in a larger share of the documents carry no weight, but for each item's rarest words.
+MAX_DF, RAREST = 0.02, 8
 COSINE = 0.3
 #: Shares of an item's words, in order, that must be found: alone, or with so much of the answer.
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.6
@@ -152,8 +152,10 @@ def fitted(docs: DataFrame, rows: list[tuple[int, str]]) -> Benchmark:
     n = {r["word"]: r["n"] for r in counts}
     total = n.get(-1, 0)
     df = np.array([n.get(k, 0) for k in range(len(bench.vocabulary))])
-    # A word that few documents have keeps its weight in corpora too small for a share to tell.
-    bench.idf = np.where(df <= np.maximum(5, MAX_DF * total), np.log((total + 1) / (df + 1)) + 1, 0.0)
+    weighty = df <= MAX_DF * total
+    for ws in bench.numbers:
+        weighty[sorted(set(ws), key=lambda w: (df[w], w))[:RAREST]] = True
+    bench.idf = np.where(weighty, np.log((total + 1) / (df + 1)) + 1, 0.0)
     rank = min(MAX_RANK, bench.terms, len(bench.items) + OVERSAMPLE)
     shares = arrow_map(docs, _range, "block int, part binary", bench, rank)
     parts = {r["block"]: np.frombuffer(r["part"], np.float64) for r in arrow_map(shares.repartition(BLOCKS, "block"), _summed, "block int, part binary").collect()}
@@ -240,6 +242,7 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no item of the benchmark."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = matches(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_key").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(found, "_key", "left_anti").select(*docs.columns)
+    key = fresh("_key", docs)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = matches(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(found, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

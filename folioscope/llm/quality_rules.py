@@ -124,9 +124,9 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, as they were."""
-    columns = docs.columns
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")
     # rand() is below 1 and keeps the filter above the rules: moved down, it would repeat their expressions without end.
-    return judged(docs).withColumn("_kept", F.col("kept").cast("int") + F.rand(0) >= 1).filter("_kept").select(*columns)
+    return judged(rows).withColumn("_kept", F.col("kept").cast("int") + F.rand(0) >= 1).filter("_kept").select("_row.*")
 
 
 _WORD = r"[^\x20\x09-\x0D]+"

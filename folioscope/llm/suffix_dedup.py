@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import BASE, UNBASE, Rolling, arrow_map, bytes_of, chunks, mix, powers, release, written
+from folioscope.llm.common import BASE, UNBASE, Rolling, arrow_map, bytes_of, chunks, fresh, mix, powers, release, written
 
 LENGTH = 400
 #: Positions that share a trigger, and the bytes that the rolling hash covers.
@@ -317,8 +317,9 @@ def _rewritten(batches, place: int, chars: int | None):
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that repeat; n_chars follows the text."""
     columns = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = repeats(keyed.select(F.col("_key").alias("key"), "text")).select(F.col("key").alias("_key"), F.col("los").alias("_los"), F.col("his").alias("_his"))
-    rows = keyed.join(found, "_key", "left").select(*columns, "_los", "_his")
+    key, los, his = (fresh(x, docs) for x in ("_key", "_los", "_his"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = repeats(keyed.select(F.col(key).alias("key"), "text")).toDF(key, los, his)
+    rows = keyed.join(found, key, "left").select(*(F.col(f"`{c}`") for c in columns), los, his)
     place, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
     return arrow_map(rows, _rewritten, docs.schema, place, chars)
