@@ -30,9 +30,11 @@ from folioscope.llm.common import BASE, UNBASE, Rolling, arrow_map, bytes_of, ch
 
 WORDS, PERCENT = 5, 75
 #: The order of tokens: of SAMPLE documents' tokens those in at least HEAVY different sets come last.
-SAMPLE, HEAVY = 20_000, 4
+SAMPLE, HEAVY = 20_000, 2
 #: Members of a group's block; queries of a center that one task is given.
 BLOCK, QUERIES = 64, 1000
+#: Rounds of stars go on while more than this share of their pairs link.
+JOINED = 0.05
 #: Columns in which tokens are counted for the first bound, and the most tokens of a set for which it is used.
 CELLS, COUNTED = 1024, 100_000
 #: Tokens that a task gathers before it deals them out.
@@ -319,25 +321,37 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(lists: DataFrame, tried: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members (g, block, ref) of all groups, and the pairs (g, block, q, qg) that a list has across groups.
-
-    A pair's query is the class outside of its list's largest group; between two such classes, the smaller one.
-    Pairs with a class's center were tried before.
-    """
+def _spread(lists: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The members (g, block, ref) of all groups; the rows of lists that span groups; each list's largest group."""
     member = lists.select("ref").distinct().join(groups, "ref", "left").select("ref", F.coalesce("comp", "ref").alias("g"))
     sizes = member.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     member = written(member.join(sizes, "g").select("g", F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int").alias("block"), "ref"), "members")
-    spread = lists.join(member, "ref").join(tried, "ref", "left")
+    spread = lists.join(member, "ref")
     open_lists = spread.groupBy("list").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("list")
-    spread = spread.join(open_lists, "list", "left_semi")
-    parts = spread.groupBy("list", "g").agg(F.count(F.lit(1)).alias("k"))
-    largest = parts.groupBy("list").agg(F.max_by("g", F.struct("k", "g")).alias("largest"))
-    query = spread.join(largest, "list").filter("g <> largest").select("list", F.col("ref").alias("q"), F.col("g").alias("qg"), F.col("n").alias("qn"), F.col("center").alias("qc"), "largest")
-    other = spread.select("list", "ref", "g", "block", "n", "center")
-    pairs = query.join(other, "list").filter((F.col("g") != F.col("qg")) & ((F.col("g") == F.col("largest")) | (F.col("q") < F.col("ref"))) & _fits(F.col("n"), F.col("qn")))
-    pairs = pairs.filter(~(F.col("ref").eqNullSafe(F.col("qc")) | F.col("q").eqNullSafe(F.col("center"))))
-    return member, pairs.select("g", "block", "q", "qg")
+    spread = written(spread.join(open_lists, "list", "left_semi"), "spread")
+    parts = spread.groupBy("list", "g").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("ref", "block", "n")).alias("at"))
+    largest = parts.groupBy("list").agg(F.max_by(F.struct("g", "at"), F.struct("k", "g")).alias("to"))
+    return member, spread, largest.select("list", F.col("to.g").alias("largest"), F.col("to.at.block").alias("to_block"), F.col("to.at.n").alias("to_n"))
+
+
+def _stars(spread: DataFrame, largest: DataFrame) -> DataFrame:
+    """(g, block, ref): each class outside of its list's largest group, with a block of that; two blocks a class."""
+    rows = spread.join(largest, "list").filter((F.col("g") != F.col("largest")) & _fits(F.col("n"), F.col("to_n")))
+    to = F.struct(F.col("largest").alias("g"), F.col("to_block").alias("block"))
+    best = rows.groupBy("ref").agg(F.min(to).alias("lo"), F.max(to).alias("hi"))
+    return best.select("ref", F.explode(F.array("lo", "hi")).alias("to")).select("to.g", "to.block", "ref").distinct()
+
+
+def _across(spread: DataFrame, largest: DataFrame) -> DataFrame:
+    """(g, block, ref): every class of a list with each block of another group that the list has.
+
+    The query is the class outside of its list's largest group; between two such groups, of the smaller one.
+    """
+    query = spread.join(largest, "list").filter("g <> largest").select("list", F.col("ref").alias("q"), F.col("g").alias("qg"), F.col("n").alias("qn"), "largest")
+    blocks = spread.groupBy("list", "g", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    near = (100 * F.col("hi") >= PERCENT * F.col("qn")) & (100 * F.col("qn") >= PERCENT * F.col("lo"))
+    pairs = query.join(blocks, "list").filter((F.col("g") != F.col("qg")) & ((F.col("g") == F.col("largest")) | (F.col("qg") < F.col("g"))) & near)
+    return pairs.select("g", "block", F.col("q").alias("ref")).distinct()
 
 
 def _fits(a, b):
@@ -390,15 +404,17 @@ def joined(docs: DataFrame) -> DataFrame:
     near = links(asked, held)
     release(spark)
 
-    # Groups are the components so far. Each first tries two others, which joins most groups that belong together;
-    # what then still spans different groups is tried in full.
-    for few in (True, False):
-        member, pairs = _across(lists, tried, components(near))
-        if few:
-            to = F.struct("g", "q", "block")
-            pairs = pairs.groupBy("qg").agg(F.min(to).alias("lo"), F.max(to).alias("hi")).select(F.explode(F.array("lo", "hi")).alias("p")).select("p.g", "p.block", "p.q")
-        asked, opened = _qualified(pairs.select("g", "block", F.col("q").alias("ref")).distinct(), member, counts)
-        near = written(near.unionByName(links(asked, opened)), "links")
+    # Groups are the components so far. In rounds, each class tries the largest groups of its lists, which joins what
+    # belongs together with a pair for each class; when a round joins little, what still spans groups is tried in full.
+    stars = True
+    while stars is not None:
+        member, spread, largest = _spread(lists, components(near))
+        pairs = _stars(spread, largest) if stars else _across(spread, largest)
+        asked, opened = _qualified(pairs, member, counts)
+        new = links(asked, opened)
+        stars = None if not stars else new.count() > JOINED * asked.count()
+        near = written(near.unionByName(new), "links")
+        drop_written(spread)
         release(spark)
     found = components(near)
 
