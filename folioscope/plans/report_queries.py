@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.operators import lines as L
 from folioscope.operators import numbers as N
+from folioscope.operators import pages as P
 from folioscope.operators import reports as O
 from folioscope.plans import common as C
+from folioscope.sources import pdf as X
 from folioscope.sources import revisions as R
 
 QUERIES: dict = {}
@@ -172,3 +174,23 @@ def session_json(spark, sf_dir):
     stored = saved.groupBy("pair_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "comment")))).alias("json"))
     found = stored.select("pair_id", F.coalesce(F.from_json("json", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("m"))
     return found.select("pair_id", F.size("m").cast("long").alias("n"), F.array_min(F.map_keys("m")).alias("first_key"))
+
+
+def _scanned(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en'").select("doc_id", "text")
+    return X.words_in(X.rendered(docs))
+
+
+@query("scan_words")
+def scan_words(spark, sf_dir):
+    """English documents laid out as PDFs, and the words that the scan finds in them."""
+    return _scanned(spark, sf_dir).select("doc_id", "page_no", "seq", "text", "left", "top")
+
+
+@query("scan_lines_b")
+def scan_lines_b(spark, sf_dir):
+    """The scan's lines without noise, with their words counted and their numbers, for each document."""
+    lines = P.lines_of_words(_scanned(spark, sf_dir)).select("doc_id", "page_no", "bucket", T.strip(F.col("line")).alias("line")).filter(~T.is_noise(F.col("line")))
+    text = P.ordered_join(["page_no", "bucket"], "line", "\n")
+    out = lines.groupBy("doc_id").agg(text.alias("text"), F.sum(F.size(T.tokens(F.col("line")))).alias("word_count"))
+    return out.select("doc_id", "word_count", F.array_sort(T.numbers(F.col("text"), "line")).alias("unique_numbers"))

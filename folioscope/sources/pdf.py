@@ -161,3 +161,57 @@ def scan_words(spark: SparkSession, path: str) -> DataFrame:
 
 def with_doc_id(words: DataFrame) -> DataFrame:
     return words.withColumn("doc_id", F.xxhash64("path"))
+
+
+def make(pages: list[list[str]]) -> bytes:
+    """A plain PDF: a page for each list of lines, in one built-in font."""
+
+    def shown(line: str) -> bytes:
+        return b"(" + re.sub(rb"([\\()])", rb"\\\1", line.encode("cp1252", "replace")) + b") Tj 0 -14 Td"
+
+    kids = b" ".join(b"%d 0 R" % (4 + 2 * k) for k in range(len(pages)))
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] /Count %d >>" % (kids, len(pages)), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
+    for k, lines in enumerate(pages):
+        content = zlib.compress(b"BT /F1 10 Tf 50 790 Td " + b" ".join(map(shown, lines)) + b" ET")
+        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (5 + 2 * k))
+        objects.append(b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(content), content))
+    out, places = bytearray(b"%PDF-1.4\n"), []
+    for k, body in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj %s endobj\n" % (k, body)
+    start = len(out)
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
+    return bytes(out + b"trailer << /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF" % (len(objects) + 1, start))
+
+
+def rendered(texts: DataFrame, lines_per_page: int = 50, width: int = 90) -> DataFrame:
+    """(doc_id, content): each text of (doc_id, text) laid out as a PDF."""
+    import textwrap
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = []
+            for text in frame["text"]:
+                lines = [x for line in (text or "").split("\n") for x in (textwrap.wrap(line, width) or [""])]
+                made.append(make([lines[k : k + lines_per_page] for k in range(0, len(lines), lines_per_page)]))
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "content": made})
+
+    return texts.select("doc_id", "text").mapInPandas(run, "doc_id long, content binary")
+
+
+def words_in(contents: DataFrame) -> DataFrame:
+    """The words of PDFs held as (doc_id, content)."""
+    schema = "doc_id long, page_no int, page_h double, seq int, text string, left double, right double, top double, bottom double"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for doc_id, data in frame.itertuples(index=False):
+                try:
+                    pages = read(bytes(data))
+                except (ValueError, KeyError, IndexError, TypeError, zlib.error):
+                    pages = []
+                rows = [(doc_id, n, h, k, *word) for n, (_, h, words) in enumerate(pages) for k, word in enumerate(words)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return contents.select("doc_id", "content").mapInPandas(run, schema)

@@ -67,3 +67,18 @@ def write_text(report: DataFrame, path: str) -> None:
 def write_json(documents: DataFrame, path: str) -> None:
     """A JSON document on each line."""
     documents.select("document").write.mode("overwrite").text(path)
+
+
+def write_document(title: str, sections: dict[str, DataFrame], path: str, most: int = 200) -> None:
+    """A word-processor document: a heading and a table for each section, with its first rows and its true count."""
+    para = lambda x, style="": f"<w:p>{f'<w:pPr><w:pStyle w:val="{style}"/></w:pPr>' if style else ''}<w:r><w:t xml:space=\"preserve\">{escape(x)}</w:t></w:r></w:p>"
+    cells = lambda row: "<w:tr>" + "".join(f"<w:tc>{para('' if x is None else str(x))}</w:tc>" for x in row) + "</w:tr>"
+    body = [para(title, "Title")]
+    for name, table in sections.items():
+        rows = table.limit(most).collect()
+        body.append(para(f"{name} ({table.count()})", "Heading1"))
+        body.append(f"<w:tbl>{cells(table.columns)}{''.join(map(cells, rows))}</w:tbl>")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{"".join(body)}</w:body></w:document>')
+        z.writestr("_rels/.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>')
+        z.writestr("[Content_Types].xml", '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>')

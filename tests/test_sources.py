@@ -28,6 +28,19 @@ def test_pdf_words(spark, tmp_path):
     assert {r.page_h for r in words.collect()} == {792.0}
 
 
+def test_rendered_words_come_back(spark):
+    docs = spark.createDataFrame([(1, "Alpha (beta) gamma\nRé 12,5"), (2, None)], "doc_id long, text string")
+    words = pdf.words_in(pdf.rendered(docs)).orderBy("page_no", "seq").collect()
+    assert [w.text for w in words if w.doc_id == 1] == ["Alpha", "(beta)", "gamma", "Ré", "12,5"]
+
+
+def test_document(spark, tmp_path):
+    sheets.write_document("Paper", {"Lines": spark.range(5)}, str(tmp_path / "d.docx"), 2)
+    with zipfile.ZipFile(tmp_path / "d.docx") as z:
+        text = z.read("word/document.xml").decode()
+    assert "Lines (5)" in text and text.count("<w:tr>") == 3
+
+
 def test_workbook(spark, tmp_path):
     full = spark.createDataFrame([("a<b", "1"), ("é", None)], "x string, y string")
     sheets.write_workbook({"Summary": full, "Empty": full.filter("false"), "More": full}, str(tmp_path / "w.xlsx"))
