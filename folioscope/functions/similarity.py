@@ -34,8 +34,9 @@ def gestalt_of(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
 
 
 def levenshtein(a: Column, b: Column) -> Column:
+    # Equal lines, which most are, need no distance.
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
+    return F.when(a == b, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
 def jaccard(a: Column, b: Column, empty: float) -> Column:

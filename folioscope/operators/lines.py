@@ -37,8 +37,10 @@ def compared(texts: DataFrame, engine: str = "a") -> DataFrame:
     """Rows of DIFF_SCHEMA for every pair of (pair_id, text1, text2).
 
     Cleaning and merging run in the JVM; the greedy matching, whose every step depends on the ones before, takes a
-    pair at a time in Python, pairs spread over all tasks. No shuffle: a pair is a row.
+    pair at a time in Python. Pairs are dealt over a set number of tasks: their work is in the matching, not in
+    their bytes, by which adaptive execution would gather them in a few.
     """
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = texts.select("pair_id", merged(T.lines_of(F.col("text1"))).alias("lines1"), merged(T.lines_of(F.col("text2"))).alias("lines2"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,7 +50,7 @@ def compared(texts: DataFrame, engine: str = "a") -> DataFrame:
                 if rows:
                     yield pd.DataFrame([{"pair_id": pair_id, "seq": k, **r} for k, r in enumerate(rows)])
 
-    return lines.mapInPandas(run, DIFF_SCHEMA)
+    return lines.repartition(tasks, "pair_id").mapInPandas(run, DIFF_SCHEMA)
 
 
 def status_counts(diff: DataFrame, *keys: str) -> DataFrame:
