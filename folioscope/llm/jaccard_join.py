@@ -30,11 +30,11 @@ from folioscope.llm.common import BASE, UNBASE, Rolling, arrow_map, bytes_of, ch
 
 WORDS, PERCENT = 5, 75
 #: The order of tokens: of SAMPLE documents' tokens those in at least HEAVY different sets come last.
-SAMPLE, HEAVY = 20_000, 2
+SAMPLE, HEAVY = 40_000, 2
 #: Members of a group's block; queries of a center that one task is given.
 BLOCK, QUERIES = 64, 1000
 #: Rounds of stars go on while more than this share of their pairs link.
-JOINED = 0.05
+JOINED = 0.25
 #: Columns in which tokens are counted for the first bound, and the most tokens of a set for which it is used.
 CELLS, COUNTED = 1024, 100_000
 #: Tokens that a task gathers before it deals them out.
@@ -255,7 +255,7 @@ def _qualified(asked: DataFrame, members: DataFrame, counts: DataFrame) -> tuple
 
 
 def _matched(batches):
-    """Links between queries (role 1) and the members (role 0) of their block; rows come sorted by block and role."""
+    """A link of each query (role 1) to a member (role 0) of its block, if any; rows come sorted by block and role."""
     now, members, names, table, out = None, [], [], None, []
     for batch in batches:
         for group, block, role, ref, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -283,8 +283,9 @@ def _matched(batches):
             lengths = first[spot + 1] - first[spot]
             at = np.repeat(first[spot] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
             shared = np.bincount(owner[at], minlength=len(sizes))
-            for k in np.flatnonzero(100 * shared >= PERCENT * (sizes + len(own) - shared)).tolist():
-                out.append((ref, names[k]))
+            found = np.flatnonzero(100 * shared >= PERCENT * (sizes + len(own) - shared))
+            if len(found):  # a block's members are connected already
+                out.append((ref, names[found[0]]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
             out = []
@@ -373,7 +374,8 @@ def joined(docs: DataFrame) -> DataFrame:
 
     share = min(1.0, SAMPLE / max(1, rows.count()))
     some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
-    heavy = np.sort(np.array([r["token"] for r in dealt(some, None, _heavy, "token long").collect()], np.int64).view(np.uint64))
+    found = dealt(some, None, _heavy, "token long").toArrow().column("token")
+    heavy = np.sort(found.to_numpy().view(np.uint64))
 
     lists = written(dealt(docs, heavy, _lists, "list long, ref long, n int, members int").dropDuplicates(["list", "ref"]), "lists")
     release(spark)
@@ -408,12 +410,14 @@ def joined(docs: DataFrame) -> DataFrame:
     # belongs together with a pair for each class; when a round joins little, what still spans groups is tried in full.
     stars = True
     while stars is not None:
-        member, spread, largest = _spread(lists, components(near))
+        groups = components(near)
+        member, spread, largest = _spread(lists, groups)
         pairs = _stars(spread, largest) if stars else _across(spread, largest)
         asked, opened = _qualified(pairs, member, counts)
         new = links(asked, opened)
         stars = None if not stars else new.count() > JOINED * asked.count()
-        near = written(near.unionByName(new), "links")
+        # What is connected already is kept as one edge for each class.
+        near = groups.select(F.col("ref").alias("a"), F.col("comp").alias("b")).unionByName(new)
         drop_written(spread)
         release(spark)
     found = components(near)
