@@ -115,6 +115,17 @@ def powers(n: int, base: int) -> np.ndarray:
     return out
 
 
+_POWERS: list = [0, None, None]
+
+
+def power_pair(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of BASE and of UNBASE; a worker keeps the longest for all operators."""
+    if n > _POWERS[0]:
+        size = n + n // 8
+        _POWERS[:] = size, powers(size, BASE), powers(size, UNBASE)
+    return _POWERS[1], _POWERS[2]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit hashes (the public murmur3 finaliser)."""
     with np.errstate(over="ignore"):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import BASE, UNBASE, Rolling, arrow_map, bytes_of, chunks, drop_written, mix, powers, release, written
+from folioscope.llm.common import BASE, Rolling, arrow_map, bytes_of, chunks, drop_written, mix, power_pair, release, written
 
 WORDS, PERCENT = 5, 75
 #: The order of tokens: of SAMPLE documents' tokens those in at least HEAVY different sets come last.
@@ -41,13 +41,6 @@ CELLS, COUNTED = 1024, 100_000
 PACK = 1 << 20
 
 _STEP = [np.uint64(pow(BASE, 7 * k + 3, 1 << 64)) for k in range(WORDS)]
-_KEPT: list = [0, None, None]
-
-
-def _powers(n: int):
-    if n > _KEPT[0]:
-        _KEPT[:] = 2 * n, powers(2 * n, BASE), powers(2 * n, UNBASE)
-    return _KEPT[1], _KEPT[2]
 
 
 def shingle_sets(column) -> list[np.ndarray]:
@@ -66,7 +59,7 @@ def shingle_sets(column) -> list[np.ndarray]:
     ends[edges - 1] |= word[edges - 1]
     start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, at)
-    hashes = Rolling(low, *_powers(len(low) + 1)).spans(start, stop)
+    hashes = Rolling(low, *power_pair(len(low) + 1)).spans(start, stop)
     size = max(0, len(hashes) - WORDS + 1)
     with np.errstate(over="ignore"):
         joined = np.zeros(size, np.uint64)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import BASE, UNBASE, Rolling, arrow_map, bytes_of, chunks, powers
+from folioscope.llm.common import BASE, UNBASE, Rolling, arrow_map, bytes_of, chunks, power_pair, powers
 
 # Fixed values of the contract: the base phrases and their labels.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -92,14 +92,11 @@ class Words:
         self.number = some - first[self.text]
 
 
-def _tables(parts, longest_text=[0, None, None], finder=Words):  # noqa: B006 - the powers are kept between calls
+def _tables(parts, finder=Words):
     """(part, Words) for slices of Arrow batches with a text column at 1; finder: Words or a class like it."""
     for part in parts:
         raw, at = bytes_of(part.column(1))
-        if len(raw) + 1 > longest_text[0]:
-            n = 2 * len(raw) + 1
-            longest_text[:] = n, powers(n, BASE), powers(n, UNBASE)
-        yield part, finder(raw, at, longest_text[1], longest_text[2])
+        yield part, finder(raw, at, *power_pair(len(raw) + 1))
 
 
 def _slices(batches):

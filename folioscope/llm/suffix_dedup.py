@@ -28,25 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import BASE, UNBASE, Rolling, arrow_map, bytes_of, chunks, fresh, mix, powers, release, written
+from folioscope.llm.common import Rolling, arrow_map, bytes_of, chunks, fresh, mix, power_pair, release, written
 
 LENGTH = 400
 #: Positions that share a trigger, and the bytes that the rolling hash covers.
 GAP, SEED = 160, 16
 #: Text bytes that are parsed at once, and phrases that a task gathers before it deals them out.
-PIECE, PACK = 2 << 20, 1 << 20
+PIECE, PACK = 1 << 20, 1 << 19
 
 _PLACE = np.uint64((1 << 23) - 1)
-_KEPT: list = [0, None, None]
 PACKED = "kind int, bucket int, core binary, phrase binary, key binary, lo binary, size binary, many binary"
 INTERVALS = "kind int, bucket int, key binary, lo binary, hi binary"
 
 
 def _rolling(raw: np.ndarray) -> Rolling:
-    n = len(raw) + 1
-    if n > _KEPT[0]:
-        _KEPT[:] = 2 * n, powers(2 * n, BASE), powers(2 * n, UNBASE)
-    return Rolling(raw, _KEPT[1], _KEPT[2])
+    return Rolling(raw, *power_pair(len(raw) + 1))
 
 
 def _pieces(raw: np.ndarray, at: np.ndarray, length: int):
