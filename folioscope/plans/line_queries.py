@@ -30,6 +30,10 @@ def _lines(spark, sf_dir):
     return R.revision_lines(spark, sf_dir)
 
 
+def _english(spark, sf_dir):
+    return R.english_lines(spark, sf_dir)
+
+
 def _diff(spark, sf_dir, engine="a"):
     return L.compared(R.texts(_lines(spark, sf_dir)), engine)
 
@@ -47,7 +51,7 @@ merged AS (SELECT pair_id, side, CASE WHEN len(ls) = 0 THEN [] ELSE list_reduce(
 @query("merge_lines", f"{_MERGED} SELECT pair_id, side, CAST(i - 1 AS INTEGER) AS line_no, m[i] AS line FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM merged)")
 def merge_lines(spark, sf_dir):
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n")
-    rows = _lines(spark, sf_dir).groupBy("pair_id", "side").agg(text.alias("text"))
+    rows = _english(spark, sf_dir).groupBy("pair_id", "side").agg(text.alias("text"))
     return rows.select("pair_id", "side", F.posexplode(L.merged(T.lines_of(F.col("text")))).alias("line_no", "line"))
 
 
@@ -59,7 +63,7 @@ hits AS (SELECT b.pair_id, b.ord AS ord2, list_sort(list(DISTINCT a.ord)) AS fou
 
 @query("line_candidates", f"{_KEYS} SELECT pair_id, ord2, unnest(found[1:40]) AS ord1 FROM hits")
 def line_candidates(spark, sf_dir):
-    return L.candidates(_lines(spark, sf_dir).filter(F.col("line").rlike(r"^[\x00-\x7f]*$")))
+    return L.candidates(_english(spark, sf_dir).filter(F.col("line").rlike(r"^[\x00-\x7f]*$")))
 
 
 @query("line_diff_a")
@@ -103,14 +107,18 @@ def _pages(spark, sf_dir):
     return R.pages(_lines(spark, sf_dir))
 
 
+def _english_pages(spark, sf_dir):
+    return R.pages(_english(spark, sf_dir))
+
+
 @query("page_band_join", f"{_PAGES} SELECT pair_id, i1, i2 FROM band")
 def page_band_join(spark, sf_dir):
-    return P.band(_pages(spark, sf_dir).select("pair_id", "side", "page_no")).select("pair_id", "i1", "i2")
+    return P.band(_english_pages(spark, sf_dir).select("pair_id", "side", "page_no")).select("pair_id", "i1", "i2")
 
 
 @query("page_jaccard", f"{_PAGES} SELECT pair_id, i1, i2, {C.rounded('sim', 6)} AS sim FROM sims")
 def page_jaccard(spark, sf_dir):
-    near = P.band(P.fingerprints(_pages(spark, sf_dir)).select("pair_id", "side", "page_no", "words"))
+    near = P.band(P.fingerprints(_english_pages(spark, sf_dir)).select("pair_id", "side", "page_no", "words"))
     return near.select("pair_id", "i1", "i2", T.rounded(S.jaccard(F.col("words1"), F.col("words2"), 0.0), 6).alias("sim"))
 
 
@@ -131,7 +139,7 @@ alignment AS (SELECT pair_id, r.i1 AS i1, r.i2 AS i2, {C.rounded("r.sim", 3)} AS
 @query("page_alignment_words", f"{_ALIGNED} SELECT pair_id, i1, i2, sim FROM alignment")
 def page_alignment_words(spark, sf_dir):
     """Alignment by vocabulary alone, which SQL can say too."""
-    return P.aligned(_pages(spark, sf_dir), structural=False)
+    return P.aligned(_english_pages(spark, sf_dir), structural=False)
 
 
 @query("alignment_counts", f"{_ALIGNED} SELECT pair_id, CAST(count(*) FILTER (i2 >= 0) AS BIGINT) AS matched, CAST(count(*) FILTER (i2 < 0) AS BIGINT) AS unmatched FROM alignment GROUP BY pair_id")
@@ -148,7 +156,7 @@ def paired_pages(spark, sf_dir):
 @query("unmatched_pages", f"{_ALIGNED} SELECT a.pair_id, a.i1 AS page1, CAST(len({C.clean_lines('p.text')}) AS BIGINT) AS removed FROM alignment a JOIN pages_ p ON a.pair_id = p.pair_id AND a.i1 = p.page_no AND p.side = 1 WHERE a.i2 < 0")
 def unmatched_pages(spark, sf_dir):
     """First-side pages without a partner; all their lines count as removed."""
-    pages = _pages(spark, sf_dir)
+    pages = _english_pages(spark, sf_dir)
     matched = P.aligned(pages, structural=False).filter("i2 >= 0").select("pair_id", F.col("i1").alias("page_no"))
     rest = pages.filter("side = 1").join(matched, ["pair_id", "page_no"], "left_anti")
     return rest.select("pair_id", F.col("page_no").alias("page1"), F.size(T.lines_of(F.col("text"))).cast("long").alias("removed"))

@@ -177,13 +177,13 @@ def session_json(spark, sf_dir):
 
 
 def _scanned(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en'").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return X.words_in(X.rendered(docs))
 
 
 @query("scan_words")
 def scan_words(spark, sf_dir):
-    """English documents laid out as PDFs, and the words that the scan finds in them."""
+    """Documents laid out as PDFs, and the words that the scan finds in them."""
     return _scanned(spark, sf_dir).select("doc_id", "page_no", "seq", "text", "left", "top")
 
 

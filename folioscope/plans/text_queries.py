@@ -48,7 +48,7 @@ cmp AS (SELECT pair_id, {_list("both_", "n1")} AS in_both, {_list("o1", "n1")} A
 
 
 def _texts(spark, sf_dir):
-    return R.texts(R.revision_lines(spark, sf_dir))
+    return R.texts(R.english_lines(spark, sf_dir))
 
 
 @query("number_compare", f"{_TEXTS} SELECT pair_id, array_to_string(in_both, ' ') AS in_both, array_to_string(only1, ' ') AS only1, array_to_string(only2, ' ') AS only2, count1, count2, similarity_pct FROM cmp")
@@ -85,13 +85,13 @@ def split_lines(spark, sf_dir):
 
 @query("noise_filter", f"WITH {C.REVISION}, s AS (SELECT pair_id, side, ord, {C.strip('line')} AS line FROM rev) SELECT pair_id, side, ord, line FROM s WHERE NOT {C.noise('line')}")
 def noise_filter(spark, sf_dir):
-    rows = R.revision_lines(spark, sf_dir).select("pair_id", "side", "ord", T.strip(F.col("line")).alias("line"))
+    rows = R.english_lines(spark, sf_dir).select("pair_id", "side", "ord", T.strip(F.col("line")).alias("line"))
     return rows.filter(~T.is_noise(F.col("line")))
 
 
 @query("normalise_lines", f"WITH {C.REVISION}, n AS (SELECT pair_id, side, ord, {C.normalise('line')} AS norm FROM rev WHERE regexp_full_match(line, '[\\x00-\\x7f]*')) SELECT *, {C.canonical('norm')} AS canon FROM n")
 def normalise_lines(spark, sf_dir):
-    rows = R.revision_lines(spark, sf_dir).filter(F.col("line").rlike(r"^[\x00-\x7f]*$"))
+    rows = R.english_lines(spark, sf_dir).filter(F.col("line").rlike(r"^[\x00-\x7f]*$"))
     rows = rows.select("pair_id", "side", "ord", T.normalise(F.col("line")).alias("norm"))
     return rows.withColumn("canon", T.canonical(F.col("norm")))
 
@@ -128,7 +128,7 @@ def word_count_b(spark, sf_dir):
 
 @query("page_text", f"WITH {C.REVISION} SELECT pair_id, side, page_no, string_agg(line, chr(10) ORDER BY ord) AS text FROM rev GROUP BY ALL")
 def page_text(spark, sf_dir):
-    return R.pages(R.revision_lines(spark, sf_dir))
+    return R.pages(R.english_lines(spark, sf_dir))
 
 
 _PAGES = f"WITH {C.REVISION}, pages_ AS (SELECT pair_id, side, page_no, string_agg(line, chr(10) ORDER BY ord) AS text FROM rev GROUP BY ALL)"
@@ -136,12 +136,12 @@ _PAGES = f"WITH {C.REVISION}, pages_ AS (SELECT pair_id, side, page_no, string_a
 
 @query("page_anchor", f"{_PAGES} SELECT pair_id, side, page_no, left(lower(array_to_string(list_slice(list_filter({C.clean_lines('text')}, lambda q: length(q) > 8), 1, 3), ' ')), 120) AS anchor FROM pages_")
 def page_anchor(spark, sf_dir):
-    return R.pages(R.revision_lines(spark, sf_dir)).select("pair_id", "side", "page_no", T.anchor(F.col("text")).alias("anchor"))
+    return R.pages(R.english_lines(spark, sf_dir)).select("pair_id", "side", "page_no", T.anchor(F.col("text")).alias("anchor"))
 
 
 @query("page_vocabulary", f"{_PAGES} SELECT pair_id, side, page_no, CAST(len(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}'))) AS BIGINT) AS n_words FROM pages_")
 def page_vocabulary(spark, sf_dir):
-    return R.pages(R.revision_lines(spark, sf_dir)).select("pair_id", "side", "page_no", F.size(T.vocabulary(F.col("text"))).cast("long").alias("n_words"))
+    return R.pages(R.english_lines(spark, sf_dir)).select("pair_id", "side", "page_no", F.size(T.vocabulary(F.col("text"))).cast("long").alias("n_words"))
 
 
 _TOKENS = "list_filter(string_split({x}, ' '), lambda q: q <> '')"
@@ -154,7 +154,7 @@ u AS (SELECT pair_id, side, ord, t[1] AS key FROM t WHERE len(t) > 0 UNION SELEC
 SELECT * FROM u""",
 )
 def token_bigrams(spark, sf_dir):
-    rows = R.revision_lines(spark, sf_dir).filter(F.col("line").rlike(r"^[\x00-\x7f]*$"))
+    rows = R.english_lines(spark, sf_dir).filter(F.col("line").rlike(r"^[\x00-\x7f]*$"))
     return rows.select("pair_id", "side", "ord", F.explode(T.index_keys(T.normalise(F.col("line")))).alias("key"))
 
 
@@ -189,7 +189,7 @@ _NUMBERED = f"""WITH {C.REVISION}, both_ AS (
 
 
 def _aligned_lines(spark, sf_dir):
-    lines = R.revision_lines(spark, sf_dir).filter(F.col("line").rlike(r"^[\x00-\x7f]*$"))
+    lines = R.english_lines(spark, sf_dir).filter(F.col("line").rlike(r"^[\x00-\x7f]*$"))
     first = lines.filter("side = 1").select("pair_id", "ord", F.col("line").alias("l1"))
     return first.join(lines.filter("side = 2").select("pair_id", "ord", F.col("line").alias("l2")), ["pair_id", "ord"])
 
