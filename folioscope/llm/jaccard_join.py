@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import BASE, Rolling, arrow_map, bytes_of, chunks, drop_written, mix, power_pair, release, written
+from folioscope.llm.common import BASE, Rolling, arrow_map, bytes_of, chunks, drop_written, fresh, mix, power_pair, release, written
 
 WORDS, PERCENT = 5, 75
 #: The order of tokens: of SAMPLE documents' tokens those in at least HEAVY different sets come last.
@@ -353,8 +353,11 @@ def _fits(a, b):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _connected(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id, ref, n) of every row; ref, n, comp of each class, with its smallest id and its first row's key.
+
+    The first row is the one with the smallest id, by key where ids repeat; rows without an id come last.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text", F.col("doc_id").cast("long").alias("doc_id"))
     rows = written(arrow_map(docs, _classes, "key long, doc_id long, ref long, n int"), "classes")
@@ -373,7 +376,8 @@ def joined(docs: DataFrame) -> DataFrame:
     lists = written(dealt(docs, heavy, _lists, "list long, ref long, n int, members int").dropDuplicates(["list", "ref"]), "lists")
     release(spark)
     # One text of each class that is in a list; its set is made again from the text.
-    first = rows.filter("n > 0").groupBy("ref", "n").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
+    at = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("at")
+    first = rows.filter("n > 0").groupBy("ref", "n").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), at)
     wanted = first.join(lists.select("ref").distinct(), "ref", "left_semi").select("key", "ref")
     counts = written(arrow_map(docs.select("key", "text").join(wanted, "key").select("ref", "text"), _sets, "ref long, n int, cells binary", True), "counts")
     release(spark)
@@ -415,7 +419,12 @@ def joined(docs: DataFrame) -> DataFrame:
         release(spark)
     found = components(near)
 
-    named = first.join(found, "ref", "left").select("ref", "n", "doc_id", F.coalesce("comp", "ref").alias("comp"))
+    return rows, first.join(found, "ref", "left").select("ref", "n", "doc_id", "at", F.coalesce("comp", "ref").alias("comp"))
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    rows, named = _connected(docs)
     lowest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = named.join(lowest, "comp").select("ref", "n", "component_id")
     return rows.join(named, ["ref", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -426,6 +435,23 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest id. Without an id, one alone stays too."""
-    kept = joined(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
+    """One row of each component stays: of the smallest id, or without an id where no row has one.
+
+    Rows are known by a hash of id and text; of rows that have both in common one stays, whatever their number. Rows
+    without words are components of their own, so all of them stay.
+    """
+    rows, named = _connected(docs)
+    best = named.groupBy("comp").agg(F.min("at").alias("at")).select(F.col("at.key").alias("key"))
+    found = rows.groupBy("key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    alone = found.filter("n = 0").select("key", F.lit(False).alias("many"))
+    kept = written(found.filter("n > 0").join(best, "key", "left_semi").select("key", (F.col("copies") > 1).alias("many")).unionByName(alone), "kept")
+    key = fresh("_row", docs)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    of = lambda many: keyed.join(kept.filter(F.col("many") == many).select(F.col("key").alias(key)), key, "left_semi")
+    once = of(False).select(*docs.columns)
+    if kept.filter("many").limit(1).count() == 0:
+        return once
+    # Repeated rows may differ in other columns: the least of them stays, found in each task before rows are moved.
+    rest = F.to_json(F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in ("doc_id", "text")]))
+    repeated = of(True).groupBy(key).agg(F.min_by(F.struct(*docs.columns), rest).alias(key + "s"))
+    return once.unionByName(repeated.select(key + "s.*"))

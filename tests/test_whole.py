@@ -1,5 +1,6 @@
 """Queries work on all rows of their tables, not on a convenient part."""
 
+from folioscope.llm import jaccard_join, suffix_dedup
 from folioscope.plans import catalog
 
 
@@ -16,3 +17,17 @@ def test_documents_of_every_language(spark, tmp_path):
     words = catalog.QUERIES["scan_words"](spark, at).collect()
     assert {w.doc_id for w in words} == {0, 1, 2, 3} and {"Grundstück", "für"} <= {w.text for w in words if w.doc_id == 1}
     assert {r.doc_id for r in catalog.QUERIES["scan_lines_b"](spark, at).collect()} == {0, 1, 2, 3}
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows and rows without an id, within a group and across groups."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(90)) for x in ("alpha", "beta", "gamma", "delta"))
+    rows = [(1, a, "en"), (1, a, "en"), (1, a, "de"), (2, a + " end", "en"), (None, b, "en"), (None, b, "en"), (None, b + " end", "en"), (None, c, "en"), (3, c, "en"), (None, d, "en"), (4, c + " end", "en"), (3, d, "en"), (8, None, "en"), (8, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    out = jaccard_join.stage(spark, docs, "")
+    got = [(r.doc_id, (r.text or "")[:4]) for r in out.collect()]
+    assert out.columns == docs.columns
+    assert sorted(got, key=str) == sorted([(1, "alph"), (None, "beta"), (3, "gamm"), (3, "delt"), (8, ""), (8, "")], key=str)
+    assert [r.lang for r in out.collect() if r.doc_id == 1] == ["de"]
+    left = {(r.doc_id, (r.text or "")[:4]): r.text for r in suffix_dedup.stage(spark, out, "").collect()}
+    assert left[1, "alph"] == a and left[None, "beta"] in (b, b + " end")
