@@ -8,7 +8,8 @@ tree under the rule that nothing below a removed node is kept, so an ancestor an
 Training: pages are composed from TRAIN_PAGES rows' paragraphs (a bounded sample; without rows, from built-in
 words) in many layouts whose main text is known by construction, and the trees are fitted on the driver.
 
-Defined cases: null, empty and text-free html gives "" and 0; broken markup is closed as browsers do; repeated
+Defined cases: null, empty and text-free html gives "" and 0; broken markup is closed as browsers do; an
+element of HIDDEN is left out with all that is in it, but one that its own end tag does not close hides nothing; repeated
 rows are extracted alike; long pages are read whole; extra columns are ignored.
 """
 
@@ -27,9 +28,11 @@ from folioscope.llm.common import arrow_map, chunks
 TRAIN_PAGES, LAYOUTS = 200, 900
 TREES, DEPTH, RATE, BINS = 40, 4, 0.3, 32
 
-# Fixed values of HTML: elements without content, with raw text, and those that break a line of text.
+# Fixed values of HTML: elements without content, with raw text, those that are no text of a page, and those that break
+# a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select button".split())
+RAW = frozenset("script style noscript textarea title iframe".split())
+HIDDEN = frozenset("template svg object select button annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -79,13 +82,22 @@ class Page:
         opened: list[tuple[str, int]] = [("#root", 0)]  # names with the block node that holds their text
         run: list[str] = []
         linked = [0, 0]  # open links, and the characters in them
+        # Open elements of HIDDEN: place in opened, run and linked characters before, and the first node within.
+        hidden: list[list] = []
+
+        def leaf(parts: list[str], links: int):
+            text = " ".join(entities.unescape("".join(parts)).split())
+            if text:
+                self._add("#", opened[-1][1], text=text, links=min(links, len(text)))
 
         def flush():
-            if run:
-                text = " ".join(entities.unescape("".join(run)).split())
-                if text:
-                    self._add("#", opened[-1][1], text=text, links=min(linked[1], len(text)))
-                run.clear()
+            before = links = 0
+            for held in hidden:
+                if held[3] is None:  # what stood before the element is no part of it
+                    leaf(run[before : held[1]], held[2] - links)
+                    before, links, held[3] = held[1], held[2], len(self.tag)
+            leaf(run[before:], linked[1] - links)
+            run.clear()
             linked[1] = 0
 
         def pop(k: int):
@@ -93,6 +105,22 @@ class Page:
                 flush()
             linked[0] -= sum(name == "a" for name, _ in opened[k:])
             del opened[k:]
+            while hidden and hidden[-1][0] >= k:
+                hidden.pop()
+
+        def leave_out(k: int):
+            """Close the element of HIDDEN at k, without what is in it."""
+            _, length, links, node = next(held for held in hidden if held[0] == k)
+            pop(k)
+            if node is None:
+                del run[length:]
+                linked[1] = links
+            else:
+                run.clear()
+                linked[1] = 0
+                for column in (self.tag, self.parent, self.depth, self.attributes, self.text, self.links, self.marked):
+                    del column[node:]
+            run.append(" ")
 
         at, size = 0, len(source)
         while at < size:
@@ -112,9 +140,9 @@ class Page:
                     continue
                 for k in range(len(opened) - 1, 0, -1):
                     if opened[k][0] == name:
-                        pop(k)
+                        (leave_out if name in HIDDEN else pop)(k)
                         break
-                    if name not in BLOCK and opened[k][0] in BLOCK:
+                    if name not in BLOCK and name not in HIDDEN and opened[k][0] in BLOCK:
                         break
             elif name := hit[2]:
                 name = name.lower()
@@ -128,14 +156,27 @@ class Page:
                     if not hit[3].endswith("/>"):
                         end = re.compile(f"</{name}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I).search(source, at)
                         at = end.end() if end else size
-                    run.append(" " if name not in ("script", "style", "template", "noscript") else "")
+                    run.append(" " if name not in ("script", "style", "noscript") else "")
+                    continue
+                if hit[3].endswith("/>") and (name in ("svg", "math") or any(n in ("svg", "math") for n, _ in opened)):
+                    run.append(" ")
+                    continue
+                if name in HIDDEN:
+                    for k in range(len(opened) - 1, 0, -1):
+                        if opened[k][0] == name and name in ("button", "select"):  # these do not hold their like
+                            pop(k)
+                            break
+                        if opened[k][0] in BLOCK:
+                            break
+                    hidden.append([len(opened), len(run), linked[1], None])
+                    opened.append((name, opened[-1][1]))
                     continue
                 if name in CLOSES_P:
                     for k in range(len(opened) - 1, 0, -1):
                         if opened[k][0] == "p":
                             pop(k)
                             break
-                        if opened[k][0] in BLOCK:
+                        if opened[k][0] in BLOCK or opened[k][0] in HIDDEN:
                             break
                 if name in CLOSES:
                     closed, stop = CLOSES[name]
