@@ -162,17 +162,25 @@ def unmatched_pages(spark, sf_dir):
     return rest.select("pair_id", F.col("page_no").alias("page1"), F.size(T.lines_of(F.col("text"))).cast("long").alias("removed"))
 
 
+def _page_text(pages, side):
+    return pages.filter(F.col("side") == side).select("pair_id", F.col("page_no").alias(f"i{side}"), F.col("text").alias(f"text{side}"))
+
+
+def _page_lines(pages, alignment):
+    """The line diffs of each aligned pair of pages: (pair_id, i1) and the columns of a diff."""
+    both = alignment.filter("i2 >= 0").join(_page_text(pages, 1), ["pair_id", "i1"]).join(_page_text(pages, 2), ["pair_id", "i2"])
+    # A page pair is a pair of its own for the comparison: its id carries both numbers.
+    key = F.shiftleft("pair_id", 20).bitwiseOR(F.col("i1")).alias("pair_id")
+    diff = L.compared(both.select(key, "text1", "text2"))
+    return diff.select(F.shiftright("pair_id", 20).alias("pair_id"), F.col("pair_id").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("i1"), *[c for c in diff.columns if c != "pair_id"])
+
+
 def _page_diffs(spark, sf_dir):
     """The comparison of each aligned pair of pages, then the unmatched pages."""
     pages = _pages(spark, sf_dir)
     alignment = P.aligned(pages)
-    text = lambda side: pages.filter(F.col("side") == side).select("pair_id", F.col("page_no").alias(f"i{side}"), F.col("text").alias(f"text{side}"))
-    both = alignment.filter("i2 >= 0").join(text(1), ["pair_id", "i1"]).join(text(2), ["pair_id", "i2"])
-    # A page pair is a pair of its own for the comparison: its id carries both numbers.
-    key = (F.col("pair_id") * (1 << 20) + F.col("i1")).alias("pair_id")
-    diff = L.compared(both.select(key, "text1", "text2"))
-    counts = L.status_counts(diff, "pair_id")
-    counts = counts.select(F.floor(F.col("pair_id") / (1 << 20)).cast("long").alias("pair_id"), (F.col("pair_id") % (1 << 20)).cast("int").alias("i1"), *[c for c in counts.columns if c != "pair_id"])
+    text = lambda side: _page_text(pages, side)
+    counts = L.status_counts(_page_lines(pages, alignment), "pair_id", "i1")
     rows = alignment.join(counts, ["pair_id", "i1"], "left").join(text(1), ["pair_id", "i1"])
     unmatched = F.col("i2") < 0
     return rows.select(
@@ -202,8 +210,11 @@ def page_diff_counts(spark, sf_dir):
 
 @query("page_issues")
 def page_issues(spark, sf_dir):
-    """The first issues of each pair, as many as a report shows."""
-    return O.first_issues(_diff(spark, sf_dir), ["pair_id"]).select("pair_id", "seq", "status", "line1", "line2", "place")
+    """The first issues of each aligned pair of pages, as many as a report shows."""
+    pages = _pages(spark, sf_dir)
+    alignment = P.aligned(pages)
+    rows = O.first_issues(_page_lines(pages, alignment), ["pair_id", "i1"]).join(alignment.select("pair_id", "i1", "i2"), ["pair_id", "i1"])
+    return rows.select("pair_id", (F.col("i1") + 1).alias("page1"), (F.col("i2") + 1).alias("page2"), "seq", "status", "line1", "line2", "place")
 
 
 @query("status_counts")

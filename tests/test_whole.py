@@ -59,3 +59,13 @@ def test_article_after_an_unclosed_button(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.text for r in html_extract.extracted(df, html_extract.fit([text])).collect()}
     assert got == {f"Title one {text}"}
+
+
+def test_issues_of_every_page(spark, tmp_path):
+    text = "\n".join(f"Item {k} of the ledger holds {k}77 units of word{k}" for k in range(400))
+    spark.createDataFrame([(5, text, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    diffs = {r.page1: r for r in catalog.QUERIES["page_diffs"](spark, str(tmp_path)).collect()}
+    issues = catalog.QUERIES["page_issues"](spark, str(tmp_path)).collect()
+    per_page = {k: sum(r.page1 == k for r in issues) for k in diffs}
+    assert len(diffs) == 40 and per_page == {k: 0 if r.unmatched else min(25, r.changed + r.added + r.removed) for k, r in diffs.items()}
+    assert len(issues) > 25 and all((r.pair_id, r.page2) == (5, diffs[r.page1].page2) for r in issues)
