@@ -189,7 +189,10 @@ _NUMBERED = f"""WITH {C.REVISION}, both_ AS (
 
 
 def _aligned_lines(spark, sf_dir):
-    lines = R.english_lines(spark, sf_dir).filter(F.col("line").rlike(r"^[\x00-\x7f]*$"))
+    return _at_one_place(R.english_lines(spark, sf_dir).filter(F.col("line").rlike(r"^[\x00-\x7f]*$")))
+
+
+def _at_one_place(lines):
     first = lines.filter("side = 1").select("pair_id", "ord", F.col("line").alias("l1"))
     return first.join(lines.filter("side = 2").select("pair_id", "ord", F.col("line").alias("l2")), ["pair_id", "ord"])
 
@@ -229,6 +232,7 @@ def line_score_status(spark, sf_dir):
 @query("line_gestalt")
 def line_gestalt(spark, sf_dir):
     """Gestalt score of the lines at the same place, second side first."""
-    rows = _aligned_lines(spark, sf_dir).withColumn("norm1", T.normalise(F.col("l1"))).withColumn("norm2", T.normalise(F.col("l2")))
+    rows = _at_one_place(R.revision_lines(spark, sf_dir))
+    rows = rows.withColumn("norm1", T.normalise(T.nfkd("l1"))).withColumn("norm2", T.normalise(T.nfkd("l2")))
     score = S.with_numbers(S.gestalt_of("norm2", "norm1"), T.numbers(F.col("l1")), T.numbers(F.col("l2")), False)
     return rows.select("pair_id", "ord", T.rounded(score, 4).alias("score"))

@@ -1,5 +1,9 @@
 """Queries work on all rows of their tables, not on a convenient part."""
 
+import unicodedata
+
+from folioscope.functions import lines as P
+from folioscope.functions import similarity as S
 from folioscope.llm import html_extract, jaccard_join, suffix_dedup
 from folioscope.plans import catalog
 
@@ -69,3 +73,21 @@ def test_issues_of_every_page(spark, tmp_path):
     per_page = {k: sum(r.page1 == k for r in issues) for k in diffs}
     assert len(diffs) == 40 and per_page == {k: 0 if r.unmatched else min(25, r.changed + r.added + r.removed) for k, r in diffs.items()}
     assert len(issues) > 25 and all((r.pair_id, r.page2) == (5, diffs[r.page1].page2) for r in issues)
+
+
+def test_gestalt_of_lines_in_any_script(spark, tmp_path):
+    lines = ["Grundstück für alle", "Ärger ① und ﬁnanzen", "Баланс за год", "資産合計 2024 年", "plain ascii line", "the last of them"] * 4
+    spark.createDataFrame([(1, "\n".join(lines), "de")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    norm = lambda x: unicodedata.normalize("NFKD", x).lower()
+    edit = {1: str.upper, 2: lambda x: x + " amended", 3: lambda x: x.replace("the", "that"), 5: lambda x: x.translate(str.maketrans("0123456789", "1234567890"))}
+    want = {}
+    for n, line in enumerate(lines):
+        k = (31 + n) % 11
+        if k:
+            other = edit.get(k, str)(line)
+            a, b = P.numbers(line), P.numbers(other)
+            if not (a and b):  # numbers of both sides move the score
+                want[2 * n] = round(S.gestalt(norm(other), norm(line)), 4)
+    got = {r.ord: r.score for r in catalog.QUERIES["line_gestalt"](spark, str(tmp_path)).collect()}
+    assert len(got) == sum((31 + n) % 11 != 0 for n in range(len(lines)))
+    assert {k: got[k] for k in want} == want and len(want) > 15
