@@ -1,22 +1,24 @@
-"""Exact substring dedup by prefix-free parsing.
-
-A rolling hash marks triggers: of every GAP neighbouring positions the one with the least hash of SEED bytes. All
-windows of `length` bytes whose first GAP positions have the same trigger belong to one phrase, which spans them
-all; phrases thus overlap by a window's length, so no window leaves its phrase, and equal windows stand at the
-same place of phrases whose cores (the bytes that all windows of a trigger share) are equal.
-
-1. The parse: every phrase is dealt by its core. A phrase that occurs twice is covered whole; a phrase
-   whose core occurs once can have no repeated window. Tasks send each distinct phrase once.
-2. The dictionary: the distinct phrases of what is left. Its suffixes are ordered to the depth of a window, by
-   fingerprint, in buckets that together are one sorted array; neighbours that agree are repeats.
-3. Both give intervals, which are joined with the texts.
-
-Equal neighbours are told by 64-bit fingerprints. A core, phrase or window that a third of all rows hold is sent
-at most once by each task and chunk, so no bucket gathers its rows.
+"""Exact substring dedup by prefix-free parsing: suffix arrays of dictionary and parse give corpus order.
+
+1. The first parse. A rolling hash marks triggers: of every GAP neighbouring positions the one with the least hash of
+   SEED bytes. All windows of `length` bytes whose first GAP positions have the same trigger make a span. Equal windows
+   stand at the same place of spans with the same core, the bytes that all windows of a trigger share. Spans are dealt
+   by their core: one that occurs twice is covered whole, one whose core occurs once has no repeated window. What is
+   left are places whose core is shared by different spans.
+2. Cores with more than HOT such places are parsed again with a smaller gap, in rounds, until no core is hot: windows
+   that leave the shared text get cores of their own and drop out.
+3. The second parse. The spans of some whole cores at a time are cut at triggers into short phrases. The dictionary of
+   distinct phrases gets a suffix array, the parse (each span as the ranks of its phrases) another; together they put
+   all windows into the order of the corpus, and windows that agree with a neighbour, byte by byte, repeat.
+4. All of it gives intervals, which are joined with the texts.
+
+Hashes only choose what is compared, but in step 1, where spans are equal if their core's and their own hash agree, 128
+bits of two different functions. Rows of a core or span that a third of all texts hold are sent once by each task and
+pack: further spans of a core that a pack has already sent are not dealt by core but go straight on to step 2.
 
 Defined cases: null and empty texts keep nothing and lose nothing (the hash is that of no bytes); texts shorter
 than a window are left as they are; repeated rows repeat each other and lose all their windows; very long texts
-are parsed in pieces; an empty table gives an empty result; extra columns are ignored by `removed`.
+are parsed in pieces; an empty table gives an empty result; extra columns are ignored by `removed`, kept by `stage`.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +36,20 @@ from folioscope.llm.common import Rolling, arrow_map, bytes_of, chunks, fresh, m
 LENGTH = 400
 #: Positions that share a trigger, and the bytes that the rolling hash covers.
 GAP, SEED = 160, 16
-#: Text bytes that are parsed at once, and phrases that a task gathers before it deals them out.
-PIECE, PACK = 1 << 20, 1 << 19
+#: Places of a core that are ordered together at most, and the parts into which each span of a hotter core is cut.
+HOT, PARTS = 2048, 8
+#: Text bytes that are parsed at once, spans that a task gathers before it deals them out, span bytes that are ordered at once.
+PIECE, PACK, ORDERED = 1 << 20, 1 << 19, 1 << 20
+#: Bytes of the second parse's triggers, one of so many positions.
+SHORT, EVERY = 8, 16
+#: The pipeline's stage: bytes of a window, positions that share a trigger, and the words that a removed passage exceeds.
+PASSAGE, PASSAGE_GAP, PASSAGE_WORDS = 200, 80, 50
 
 _PLACE = np.uint64((1 << 23) - 1)
-PACKED = "kind int, bucket int, core binary, phrase binary, key binary, lo binary, size binary, many binary"
-INTERVALS = "kind int, bucket int, key binary, lo binary, hi binary"
+PACKED = "kind int, bucket int, core binary, phrase binary, key binary, lo binary, size binary, many binary, several binary"
+#: kind 0: bytes lo to hi of a text repeat; kind 1: windows lo to hi have a core that other spans have too.
+FOUND = "kind int, core long, key long, lo int, hi int"
+_TYPES = (np.uint64, np.uint64, np.int64, np.int32, np.int16, np.bool_, np.bool_)
 
 
 def _rolling(raw: np.ndarray) -> Rolling:
@@ -46,7 +57,7 @@ def _rolling(raw: np.ndarray) -> Rolling:
 
 
 def _pieces(raw: np.ndarray, at: np.ndarray, length: int):
-    """(bytes, text starts, first text, base): slices of one text longer than PIECE overlap by a window."""
+    """(bytes, text starts, base): slices of one text longer than PIECE overlap by a window."""
     if len(at) == 2 and len(raw) > PIECE + length:
         for base in range(0, len(raw) - length + 1, PIECE):
             part = raw[base : base + PIECE + length - 1]
@@ -55,13 +66,17 @@ def _pieces(raw: np.ndarray, at: np.ndarray, length: int):
         yield raw, at, 0
 
 
-def parsed(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """The phrases of texts laid end to end: core, phrase, text, first and last window of each."""
-    gap = min(GAP, length - SEED + 1)
+def _spans(raw: np.ndarray, at: np.ndarray, length: int, gap: int, wanted=None) -> tuple[np.ndarray, ...]:
+    """The spans of texts laid end to end: core, hash of the bytes, text, first and last window of each.
+
+    wanted: for each text the first and last windows to parse, as two lists; None: all.
+    """
     n = len(raw) - SEED + 1
     none = np.zeros(0, np.int64)
+    empty = none.view(np.uint64), none.view(np.uint64), none, none, none
+    gap = min(gap, length - SEED + 1)
     if n < gap:
-        return none.view(np.uint64), none.view(np.uint64), none, none, none
+        return empty
     rolling, place = _rolling(raw), np.arange(n)
     least = (rolling.spans(place, place + SEED) & ~_PLACE) | place.astype(np.uint64)
     width = 1
@@ -73,192 +88,314 @@ def parsed(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ..
     trigger = (least & _PLACE).astype(np.int64)
     window = np.arange(len(trigger))
     text = np.searchsorted(at, window, side="right") - 1
-    window = window[window + length <= at[text + 1]]
+    good = window + length <= at[text + 1]
+    if wanted is not None:
+        edge = np.zeros(len(raw) + 2, np.int64)
+        for k in range(len(at) - 1):
+            np.add.at(edge, at[k] + np.clip(wanted[0][k], 0, at[k + 1] - at[k]), 1)
+            np.add.at(edge, at[k] + np.clip(np.asarray(wanted[1][k]) + 1, 0, at[k + 1] - at[k]), -1)
+        good &= np.cumsum(edge)[: len(trigger)] > 0
+    window = window[good]
     if not len(window):
-        return none.view(np.uint64), none.view(np.uint64), none, none, none
+        return empty
     trigger, text = trigger[window], text[window]
-    begins = np.flatnonzero(np.concatenate([[True], (trigger[1:] != trigger[:-1]) | (text[1:] != text[:-1])]))
+    begins = np.flatnonzero(np.concatenate([[True], (trigger[1:] != trigger[:-1]) | (text[1:] != text[:-1]) | (window[1:] != window[:-1] + 1)]))
     lo, hi = window[begins], window[np.append(begins[1:], len(window)) - 1]
     trigger, text = trigger[begins], text[begins]
     core = rolling.spans(trigger, trigger + length - gap + 1)
-    with np.errstate(over="ignore"):
-        phrase = mix(rolling.spans(lo, hi + length) + (trigger - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return core, phrase, text, lo - at[text], hi - at[text]
+    data = memoryview(np.ascontiguousarray(raw))
+    own = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)), np.uint64, len(lo))
+    return core, own, text, lo - at[text], hi - at[text]
 
 
 def _deal(core, phrase, key, lo, size, buckets: int):
-    """Packed rows: each distinct phrase once, with a mark if it occurred more often here; the rest as intervals."""
+    """Packed rows: each core once (kind 0), with marks if its span, or other spans of it, occur here too; places of
+    spans that have occurred here (kind 1); the first places of a core's further spans (kind 2)."""
     order = np.lexsort((phrase, core))
     core, phrase, key, lo, size = core[order], phrase[order], key[order], lo[order], size[order]
-    first = np.concatenate([[True], (core[1:] != core[:-1]) | (phrase[1:] != phrase[:-1])])
-    many = np.diff(np.append(np.flatnonzero(first), len(core)))[np.cumsum(first) - 1] > 1
-    rest = ~first
-    kind = np.where(rest, 1, 0)
-    bucket = np.where(rest, key.view(np.uint64) % np.uint64(buckets), core % np.uint64(buckets)).astype(np.int64)
-    both = bucket * 2 + kind
+    new_core = np.concatenate([[True], core[1:] != core[:-1]])
+    first = new_core | np.concatenate([[True], phrase[1:] != phrase[:-1]])
+    many = (np.diff(np.append(np.flatnonzero(first), len(core))) > 1)[np.cumsum(first) - 1]
+    group = np.cumsum(new_core) - 1
+    several = (np.bincount(group, weights=first) > 1)[group]
+    further = first & ~new_core
+    # A further span that occurred more often here repeats, and goes on as a partner all the same.
+    at = np.concatenate([np.flatnonzero(new_core), np.flatnonzero(~first | (further & many)), np.flatnonzero(further)])
+    kind = np.repeat([0, 1, 2], [new_core.sum(), (~first | (further & many)).sum(), further.sum()])
+    bucket = (np.where(kind == 0, core[at], key[at].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    both = bucket * 3 + kind
     order = np.argsort(both, kind="stable")
+    at = at[order]
     names, starts = np.unique(both[order], return_index=True)
-    parts = np.split(order, starts[1:])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(names % 2, pa.int32()), pa.array(names // 2, pa.int32()), *(pa.array([a[p].tobytes() if full or k % 2 == 0 else b"" for p, k in zip(parts, names.tolist(), strict=True)], pa.binary()) for a, full in ((core, False), (phrase, False), (key, True), (lo.astype(np.int64), True), (size.astype(np.int16), True), (many, False)))],
-        ["kind", "bucket", "core", "phrase", "key", "lo", "size", "many"],
-    )
+    columns = [np.asarray(a, t)[at] for a, t in zip((core, phrase, key, lo, size, many, several), _TYPES, strict=True)]
+    ends = np.append(starts[1:], len(at)).tolist()
+    pack = [pa.array([c[a:b].tobytes() for a, b in zip(starts.tolist(), ends, strict=True)], pa.binary()) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(names % 3, pa.int32()), pa.array(names // 3, pa.int32()), *pack], ["kind", "bucket", "core", "phrase", "key", "lo", "size", "many", "several"])
 
 
-def _gathered(found, buckets: int):
-    """Deals out what `found` yields, some PACK at a time."""
+def _parse(batches, length: int, gap: int, buckets: int, some: bool):
+    """The spans of (key, text) rows; with `some`, of the windows that the lists los and his name."""
     held, n = [], 0
-    for arrays in found:
-        if len(arrays[0]):
-            held.append(arrays)
-            n += len(arrays[0])
-        if n >= PACK:
-            yield _deal(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
-            held, n = [], 0
+    for batch in batches:
+        for part in chunks(batch, "text", PIECE):
+            keys = part.column(0).to_numpy(zero_copy_only=False)
+            los, his = (part.column(k).to_pylist() for k in (2, 3)) if some else (None, None)
+            for raw, at, base in _pieces(*bytes_of(part.column(1)), length):
+                wanted = ([np.array(x) - base for x in los], [np.array(x) - base for x in his]) if some else None
+                core, phrase, text, lo, hi = _spans(raw, at, length, gap, wanted)
+                if len(core):
+                    held.append((core, phrase, keys[text], lo + base, hi - lo))
+                    n += len(core)
+            if n >= PACK:
+                yield _deal(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+                held, n = [], 0
     if held:
         yield _deal(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
 
 
-def _parse(batches, length: int, buckets: int):
-    def found():
-        for batch in batches:
-            for part in chunks(batch, "text", PIECE):
-                keys = part.column(0).to_numpy(zero_copy_only=False)
-                for raw, at, base in _pieces(*bytes_of(part.column(1)), length):
-                    core, phrase, text, lo, hi = parsed(raw, at, length)
-                    yield core, phrase, keys[text], lo + base, hi - lo
-
-    yield from _gathered(found(), buckets)
-
-
-def _suffixes(batches, length: int, buckets: int):
-    """The windows of dictionary phrases: (key, text, los, his) rows."""
-
-    def found():
-        for batch in batches:
-            for part in chunks(batch, "text", PIECE):
-                keys = part.column(0).to_numpy(zero_copy_only=False)
-                los, his = part.column(2).to_pylist(), part.column(3).to_pylist()
-                for raw, at, base in _pieces(*bytes_of(part.column(1)), length):
-                    rolling = _rolling(raw)
-                    for k in range(len(at) - 1):
-                        last = at[k + 1] - at[k] - length
-                        lo = np.maximum(np.array(los[k], np.int64) - base, 0)
-                        n = np.maximum(np.minimum(np.array(his[k], np.int64) - base, last) - lo + 1, 0)
-                        start = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                        core = rolling.spans(start + at[k], start + at[k] + length)
-                        yield core, np.zeros(len(core), np.uint64), np.full(len(core), keys[k]), start + base, np.zeros(len(core), np.int64)
-
-    yield from _gathered(found(), buckets)
-
-
-_TYPES = (np.uint64, np.uint64, np.int64, np.int64, np.int16, np.bool_)
-
-
-def _repeats(batches, length: int, buckets: int, parse: bool):
-    """Intervals (kind 0) that repeat, and in the parse the phrases (kind 1) whose windows are to be ordered."""
-
-    def packed(kind, key, lo, hi):
-        bucket = (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        names, starts = np.unique(bucket[order], return_index=True)
-        parts = np.split(order, starts[1:])
-        if len(names):
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(names), pa.int32()), pa.array(names, pa.int32()), *(pa.array([a[p].tobytes() for p in parts], pa.binary()) for a in (key, lo, hi))], ["kind", "bucket", "key", "lo", "hi"])
-
-    def settled(held):
-        core, phrase, key, lo, size, many = (np.frombuffer(b"".join(x[k] for x in held), t) for k, t in enumerate(_TYPES))
-        order = np.lexsort((phrase, core))
-        core, phrase, key, lo, size, many = core[order], phrase[order], key[order], lo[order], size[order], many[order]
-        if not len(core):
-            return
-        new_core = np.concatenate([[True], core[1:] != core[:-1]])
-        new = new_core | np.concatenate([[True], phrase[1:] != phrase[:-1]])
-        at = np.flatnonzero(new)
-        own = np.cumsum(new) - 1
-        twice = (np.diff(np.append(at, len(core))) > 1) | np.maximum.reduceat(many, at)
-        done = twice[own]
-        yield from packed(0, key[done], lo[done], lo[done] + size[done] + length)
-        if parse:
-            # Cores with a phrase that occurs once and another phrase: one place of each phrase goes on.
-            group = np.cumsum(new_core[at]) - 1
-            phrases, single = np.bincount(group), np.bincount(group, weights=~twice)
-            goes = at[((phrases > 1) & (single > 0))[group]]
-            yield from packed(1, key[goes], lo[goes], lo[goes] + size[goes])
+def _found(kind: int, core, key, lo, hi):
+    """Rows of FOUND, some thousand at a time."""
+    for k in range(0, len(key), 1 << 16):
+        s = slice(k, k + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[s]), kind, np.int32)), pa.array(core[s].view(np.int64)), pa.array(key[s]), pa.array(lo[s].astype(np.int32)), pa.array(hi[s].astype(np.int32))], ["kind", "core", "key", "lo", "hi"])
 
+
+def _settled(held, length: int):
+    """A bucket's spans: those that occur twice, and one place of each span of a core that has several."""
+    core, phrase, key, lo, size, many, several = (np.frombuffer(b"".join(x[k] for x in held), t) for k, t in enumerate(_TYPES))
+    order = np.lexsort((phrase, core))
+    core, phrase, key, lo, size, many, several = (a[order] for a in (core, phrase, key, lo, size, many, several))
+    new_core = np.concatenate([[True], core[1:] != core[:-1]])
+    new = new_core | np.concatenate([[True], phrase[1:] != phrase[:-1]])
+    at = np.flatnonzero(new)
+    twice = (np.diff(np.append(at, len(core))) > 1) | np.maximum.reduceat(many, at)
+    done = twice[np.cumsum(new) - 1]
+    yield from _found(0, core[done], key[done], lo[done], lo[done] + size[done] + length)
+    group = np.cumsum(new_core) - 1
+    spans = np.bincount(group[at])
+    other = np.maximum.reduceat(several, np.flatnonzero(new_core))
+    single = np.bincount(group[at], weights=~twice) > 0
+    goes = at[(other | ((spans > 1) & single))[group[at]]]
+    yield from _found(1, core[goes], key[goes], lo[goes], lo[goes] + size[goes])
+
+
+def _repeats(batches, length: int):
     now, held = None, []
     for batch in batches:
         for kind, bucket, *arrays in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if kind == 1:
-                key, lo, size = (np.frombuffer(arrays[k], _TYPES[k]) for k in (2, 3, 4))
-                yield from packed(0, key, lo, lo + size + length)
+            if kind:
+                core, _, key, lo, size = (np.frombuffer(arrays[k], _TYPES[k]) for k in range(5))
+                yield from _found(kind - 1, core, key, lo, lo + size + (length if kind == 1 else 0))
                 continue
             if bucket != now and held:
-                yield from settled(held)
+                yield from _settled(held, length)
                 held = []
             now = bucket
             held.append(arrays)
     if held:
-        yield from settled(held)
+        yield from _settled(held, length)
+
+
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """The rank of each value among the distinct ones."""
+    order = np.argsort(key, kind="stable")
+    own = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], own[1:] != own[:-1]]))
+    return out
+
+
+def _suffix_ranks(rank: np.ndarray, rest: np.ndarray, depth: int) -> np.ndarray:
+    """The order of suffixes by prefix doubling. rank: order by the first `depth` symbols; rest: symbols to a suffix's end.
+
+    A suffix that ends comes before those that go on; equal suffixes have equal ranks.
+    """
+    longest = int(rest.max(initial=0))
+    while depth < longest:
+        follows = np.zeros(len(rank), np.int64)
+        inner = np.flatnonzero(rest > depth)
+        follows[inner] = rank[inner + depth] + 1
+        rank = _ranks(rank * (len(rank) + 1) + follows)
+        depth *= 2
+    return rank
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position, as numbers in byte order; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, ">u8", padded, strides=(1,)).astype(np.uint64)
+
+
+def repeated(spans: list[bytes], length: int) -> list[np.ndarray]:
+    """For each span, which of its windows (by start) stand anywhere else in these spans.
+
+    Spans are cut at triggers into phrases, each ending with the next trigger; the last ends with the span. As no
+    suffix of a phrase that is longer than a trigger is the beginning of another, windows are in order when sorted by
+    what is left of their phrase, in the dictionary's suffix array, and then by what follows, in the parse's.
+    """
+    raw = np.frombuffer(b"".join(spans), np.uint8)
+    sizes = np.array([len(x) for x in spans])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    words = _words(raw)
+    trigger = np.flatnonzero(mix(words[:-1]) % np.uint64(EVERY) == 0)
+    span = np.searchsorted(ends, trigger, side="right")
+    trigger = trigger[trigger + SHORT <= ends[span]]
+    begin = np.unique(np.concatenate([starts[sizes > 0], trigger]))  # of each phrase of the parse
+    span = np.searchsorted(ends, begin, side="right")
+    last = np.append(span[1:] != span[:-1], True)
+    stop = np.where(last, ends[span], np.append(begin[1:], 0) + SHORT)
+
+    data = raw.tobytes()
+    numbers: dict[bytes, int] = {}
+    phrase = np.array([numbers.setdefault(data[a:b], len(numbers)) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)])
+    lengths = np.array([len(x) for x in numbers])
+    ahead = np.concatenate([[0], np.cumsum(lengths)])
+    dictionary = np.frombuffer(b"".join(numbers), np.uint8)
+    rest = np.repeat(ahead[1:], lengths) - np.arange(len(dictionary))
+    shown = np.minimum(rest, 8)
+    first = _words(dictionary)[:-1] >> (8 * (8 - shown)).astype(np.uint64) << (8 * (8 - shown)).astype(np.uint64)
+    suffix = _suffix_ranks(_ranks(_ranks(first) * 9 + shown), rest, 8)
+
+    left = np.searchsorted(begin, ends[span], side="left") - np.arange(len(begin))  # phrases to the span's end
+    follows = _suffix_ranks(_ranks(suffix[ahead[phrase]]), left, 1)
+    follows = np.where(last, 0, np.append(follows[1:], 0) + 1)
+
+    windows = np.maximum(sizes - length + 1, 0)
+    where = np.repeat(starts - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
+    own = np.searchsorted(begin, where, side="right") - 1
+    key = suffix[ahead[phrase[own]] + where - begin[own]] * (len(begin) + 1) + follows[own]
+    order = np.argsort(key, kind="stable")
+    a, b = where[order[:-1]], where[order[1:]]
+    same = np.arange(len(a))
+    for k in [*range(0, length - 8, 8), length - 8]:
+        same = same[words[a[same] + k] == words[b[same] + k]]
+    out = np.zeros(len(where), bool)
+    out[order[same]] = True
+    out[order[same + 1]] = True
+    return np.split(out, np.cumsum(windows)[:-1])
+
+
+def _cut_spans(batches, length: int):
+    """A row for each wanted span: core, key, place and bytes."""
+    for batch in batches:
+        for part in chunks(batch, "text", PIECE):
+            raw, at = bytes_of(part.column(1))
+            data = raw.tobytes()
+            cores, keys, places, spans = [], [], [], []
+            for k, (key, los, his, own) in enumerate(zip(*(part.column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True)):
+                cores += own
+                keys += [key] * len(los)
+                places += los
+                spans += [data[at[k] + a : at[k] + b + length] for a, b in zip(los, his, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(cores, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(spans, pa.binary())], ["core", "key", "lo", "span"])
+
+
+def _ordered(batches, length: int):
+    """The repeated windows of spans that come sorted by core, some whole cores at a time."""
+
+    def done(held):
+        spans = [x[2] for x in held]
+        key, lo, hi = [], [], []
+        for (k, place, _), flags in zip(held, repeated(spans, length), strict=True):
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
+            key += [k] * (len(edge) // 2)
+            lo += (edge[::2] + place).tolist()
+            hi += (edge[1::2] + place + length - 1).tolist()
+        yield from _found(0, np.zeros(len(key), np.int64), np.array(key, np.int64), np.array(lo, np.int32), np.array(hi, np.int32))
+
+    now, held, size = None, [], 0
+    for batch in batches:
+        for core, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if core != now and size >= ORDERED:
+                yield from done(held)
+                held, size = [], 0
+            now = core
+            held.append(row)
+            size += len(row[2])
+    if held:
+        yield from done(held)
 
 
 def _by_key(batches, merge: bool):
-    """A row for each key: its intervals in order, with those that meet made one if `merge`."""
+    """A row for each key: its intervals in order, with those that meet made one if `merge`, else with their cores.
+
+    Rows come sorted by key; the last key of what has come waits for the next batch.
+    """
 
-    def rows(held):
-        key, lo, hi = (np.frombuffer(b"".join(x[k] for x in held), np.int64) for k in range(3))
+    def rows(key, lo, hi, core):
         order = np.lexsort((lo, key))
-        key, lo, hi = key[order], lo[order], hi[order]
+        key, lo, hi, core = key[order], lo[order], hi[order], core[order]
         if merge:
             first = np.concatenate([[True], key[1:] != key[:-1]])
             # Rising ends within a key: keys are told apart by an offset beyond any end.
             number = np.cumsum(first) - 1
             span = int(hi.max()) + 1
             reach = np.maximum.accumulate(hi + number * span) - number * span
-            new = first | np.concatenate([[True], lo[1:] > reach[:-1]])
-            at = np.flatnonzero(new)
+            at = np.flatnonzero(first | np.concatenate([[True], lo[1:] > reach[:-1]]))
             key, lo, hi = key[at], lo[at], np.maximum.reduceat(hi, at)
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.append(at, len(key)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int64())) for x in (lo, hi)]
-        return pa.RecordBatch.from_arrays([pa.array(key[at]), *lists], ["key", "los", "his"])
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int64())) for x in ((lo, hi) if merge else (lo, hi, core))]
+        return pa.RecordBatch.from_arrays([pa.array(key[at]), *lists], ["key", "los", "his", *([] if merge else ["cores"])])
 
-    now, held = None, []
+    held, n = [], 0
     for batch in batches:
-        for bucket, *arrays in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket != now and held:
-                yield rows(held)
-                held = []
-            now = bucket
-            held.append(arrays)
+        held.append(tuple(batch.column(k).to_numpy().astype(np.int64) for k in range(4)))
+        n += batch.num_rows
+        if n >= 1 << 16:
+            now = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            if cut:
+                yield rows(*(x[:cut] for x in now))
+            held = [tuple(x[cut:] for x in now)]
+            n = len(held[0][0])
     if held:
-        yield rows(held)
+        yield rows(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def _intervals(packed: DataFrame, buckets: int, merge: bool) -> DataFrame:
-    rows = packed.select("bucket", "key", "lo", "hi").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return arrow_map(rows, _by_key, "key long, los array<long>, his array<long>", merge)
+def _listed(found: DataFrame, merge: bool) -> DataFrame:
+    rows = found.select("key", "lo", "hi", "core").repartition("key").sortWithinPartitions("key")
+    return arrow_map(rows, _by_key, "key long, los array<long>, his array<long>" + ("" if merge else ", cores array<long>"), merge)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame:
     """(key, los, his): the merged byte intervals of each text of docs (key, text) that repeat anywhere."""
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def dealt(df: DataFrame, make, parse: bool, name: str) -> DataFrame:
-        rows = arrow_map(df, make, PACKED, length, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-        out = written(arrow_map(rows, _repeats, INTERVALS, length, buckets, parse), name)
+    def parse(rows: DataFrame, gap: int, some: bool) -> tuple[DataFrame, DataFrame]:
+        """What repeats, and what goes on."""
+        packed = arrow_map(rows, _parse, PACKED, length, gap, buckets, some).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        out = written(arrow_map(packed, _repeats, FOUND, length), "parse")
         release(spark)
-        return out
-
-    parse = dealt(docs, _parse, True, "parse")
-    # A row that stands twice sends its windows twice; all of them repeat.
-    phrases = _intervals(parse.filter("kind = 1"), buckets, False)
-    dictionary = dealt(docs.join(phrases, "key").select("key", "text", "los", "his"), _suffixes, False, "dictionary")
-    return _intervals(parse.filter("kind = 0").unionByName(dictionary), buckets, True)
-
-
-def _cut(batches, texts: bool):
+        return out.filter("kind = 0"), out.filter("kind = 1")
+
+    def texts(places: DataFrame) -> DataFrame:
+        # A row that stands twice sends its windows twice; all of them repeat.
+        return docs.join(_listed(places, False), "key").select("key", "text", "los", "his", "cores")
+
+    done, open_ = parse(docs, gap, False)
+    cold = []
+    while True:
+        hot = open_.groupBy("core").agg(F.count(F.lit(1)).alias("places")).filter(F.col("places") > HOT).select("core")
+        if gap == 1 or hot.limit(1).count() == 0:
+            cold.append(open_)
+            break
+        cold.append(open_.join(hot, "core", "left_anti"))
+        gap = max(1, gap // PARTS)
+        more, open_ = parse(texts(open_.join(hot, "core", "left_semi")), gap, True)
+        done = done.unionByName(more)
+    places = cold[0]
+    for more in cold[1:]:
+        places = places.unionByName(more)
+    spans = arrow_map(texts(places), _cut_spans, "core long, key long, lo int, span binary", length)
+    ordered = written(arrow_map(spans.repartition("core").sortWithinPartitions("core"), _ordered, FOUND, length), "ordered")
+    release(spark)
+    return _listed(done.unionByName(ordered), True)
+
+
+def _cut(batches):
     for batch in batches:
         for part in chunks(batch, "text", PIECE):
             raw, at = bytes_of(part.column(1))
@@ -273,10 +410,9 @@ def _cut(batches, texts: bool):
                 gone.append(len(data) - len(left))
                 spans.append(len(los or ()))
                 digests.append(hashlib.sha256(left).hexdigest())
-                if texts:
-                    kept.append(left.decode("utf-8", "ignore"))
-            out = [part.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays([*out, *([pa.array(kept, pa.string())] if texts else [])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if texts else [])])
+                kept.append(left.decode("utf-8", "ignore"))
+            out = [part.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -284,17 +420,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and the text that is left.
+
+    The text lacks what a cut leaves of a split character; the hash is of all bytes.
+    """
     rows = _keyed(docs)
     found = rows.join(repeats(rows.select("key", "text"), length), "key", "left").select("doc_id", "text", "los", "his")
-    return arrow_map(found, _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", False)
+    return arrow_map(found, _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
     return removed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def _rewritten(batches, place: int, chars: int | None):
+def _rewritten(batches, place: int, chars: int | None, words: int):
+    """Texts without their passages of more than so many words."""
     for batch in batches:
         for part in chunks(batch, "text", PIECE):
             columns = list(part.columns)
@@ -302,6 +442,8 @@ def _rewritten(batches, place: int, chars: int | None):
             for text, los, his in zip(columns[place].to_pylist(), columns[-2].to_pylist(), columns[-1].to_pylist(), strict=True):
                 if text is not None and los:
                     data = text.encode()
+                    long = [(a, b) for a, b in zip(los, his, strict=True) if len(data[a:b].split()) > words]
+                    los, his = [a for a, _ in long], [b for _, b in long]
                     text = b"".join(data[a:b] for a, b in zip([0, *his], [*los, len(data)], strict=True)).decode("utf-8", "ignore")
                 texts.append(text)
             columns[place] = pa.array(texts, pa.string())
@@ -311,11 +453,11 @@ def _rewritten(batches, place: int, chars: int | None):
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that repeat; n_chars follows the text."""
+    """All documents, without the passages of more than PASSAGE_WORDS words that repeat; n_chars follows the text."""
     columns = docs.columns
     key, los, his = (fresh(x, docs) for x in ("_key", "_los", "_his"))
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    found = repeats(keyed.select(F.col(key).alias("key"), "text")).toDF(key, los, his)
+    found = repeats(keyed.select(F.col(key).alias("key"), "text"), PASSAGE, PASSAGE_GAP).toDF(key, los, his)
     rows = keyed.join(found, key, "left").select(*(F.col(f"`{c}`") for c in columns), los, his)
     place, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
-    return arrow_map(rows, _rewritten, docs.schema, place, chars)
+    return arrow_map(rows, _rewritten, docs.schema, place, chars, PASSAGE_WORDS)

@@ -62,23 +62,61 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_suffix_dedup(docs, texts):
-    data = [(t or "").encode() for t in texts]
+def repeats_of(data, length=400):
+    """For each text, a flag for every byte that a repeated string of so many bytes covers."""
     starts = {}
     for k, b in enumerate(data):
-        for p in range(len(b) - 399):
-            starts.setdefault(b[p : p + 400], []).append((k, p))
+        for p in range(len(b) - length + 1):
+            starts.setdefault(b[p : p + length], []).append((k, p))
     gone = [bytearray(len(b)) for b in data]
     for places in starts.values():
         if len(places) > 1:
             for k, p in places:
-                gone[k][p : p + 400] = b"\1" * 400
-    got = {r.doc_id: r for r in suffix_dedup.removed(docs).collect()}
+                gone[k][p : p + length] = b"\1" * length
+    return gone
+
+
+def assert_removed(rows, texts):
+    data = [(t or "").encode() for t in texts]
+    gone = repeats_of(data)
+    got = {r.doc_id: r for r in rows}
     for k, b in enumerate(data):
         left = bytes(x for x, g in zip(b, gone[k], strict=True) if not g)
         spans = len(re.findall(b"\1+", bytes(gone[k])))
         assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (len(b), sum(gone[k]), spans, hashlib.sha256(left).hexdigest()), k
-    assert sum(map(sum, gone)) > 5000
+        assert got[k].text == left.decode("utf-8", "ignore")
+    return sum(map(sum, gone))
+
+
+def test_suffix_dedup(docs, texts):
+    assert assert_removed(suffix_dedup.removed(docs).collect(), texts) > 5000
+
+
+def test_suffix_dedup_hot_cores(spark, monkeypatch):
+    """A passage in many different surroundings: its cores are parsed again with smaller gaps."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    passage, other = prose(140, 31), prose(80, 32)
+    texts = [prose(20 + k % 7, 400 + k) + " " + (passage if k % 3 else passage[: 500 + 9 * k] + other) + prose(15, 700 + k) for k in range(40)]
+    assert assert_removed(suffix_dedup.removed(table(spark, texts)).collect(), texts) > 10_000
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefghij klmno", "\0\1a", "é中\n "])
+def test_windows_in_corpus_order(alphabet):
+    """The suffix arrays of dictionary and parse find the windows that brute force finds."""
+    r = random.Random(len(alphabet))
+    for length in (9, 40, 130):
+        parts = ["".join(r.choice(alphabet) for _ in range(r.choice([1, 30, 200]))) for _ in range(6)] + ["", alphabet * 60, "a" * 300]
+        spans = ["".join(r.choice(parts) for _ in range(r.randint(0, 4))).encode() for _ in range(40)]
+        seen = {}
+        for x in spans:
+            for p in range(len(x) - length + 1):
+                seen[x[p : p + length]] = seen.get(x[p : p + length], 0) + 1
+        got = suffix_dedup.repeated(spans, length)
+        assert [f.tolist() for f in got] == [[seen[x[p : p + length]] > 1 for p in range(len(x) - length + 1)] for x in spans]
+
+
+def test_suffix_dedup_empty(empty):
+    assert suffix_dedup.removed(empty).collect() == [] and suffix_dedup.stage(None, empty, "").collect() == []
 
 
 def test_suffix_dedup_pieces(spark, monkeypatch):
@@ -90,10 +128,20 @@ def test_suffix_dedup_pieces(spark, monkeypatch):
 
 
 def test_suffix_dedup_stage(docs, texts):
+    """Passages of more than PASSAGE_WORDS words in repeated bytes go; everything else stays."""
     out = suffix_dedup.stage(None, docs, "")
     assert out.columns == docs.columns
     rows = {r.doc_id: r for r in out.collect()}
     assert len(rows) == len(texts) and rows[40].text is None and rows[41].text == ""
+    data = [(t or "").encode() for t in texts]
+    cut = 0
+    for k, (b, gone) in enumerate(zip(data, repeats_of(data, suffix_dedup.PASSAGE), strict=True)):
+        left, at = b"", 0
+        for m in re.finditer(b"\1+", bytes(gone)):
+            if len(b[m.start() : m.end()].split()) > suffix_dedup.PASSAGE_WORDS:
+                left, at, cut = left + b[at : m.start()], m.end(), cut + 1
+        assert (rows[k].text or "") == (left + b[at:]).decode("utf-8", "ignore"), k
+    assert cut > 10
 
 
 def sets_of(texts):
