@@ -39,7 +39,7 @@ GAP, SEED = 160, 16
 #: Places of a core that are ordered together at most, and the parts into which each span of a hotter core is cut.
 HOT, PARTS = 2048, 8
 #: Text bytes that are parsed at once, spans that a task gathers before it deals them out, span bytes that are ordered at once.
-PIECE, PACK, ORDERED = 1 << 20, 1 << 19, 1 << 20
+PIECE, PACK, ORDERED = 1 << 19, 1 << 18, 1 << 20
 #: Bytes of the second parse's triggers, one of so many positions.
 SHORT, EVERY = 8, 16
 #: The pipeline's stage: bytes of a window, positions that share a trigger, and the words that a removed passage exceeds.
@@ -198,7 +198,7 @@ def _repeats(batches, length: int):
 
 def _ranks(key: np.ndarray) -> np.ndarray:
     """The rank of each value among the distinct ones."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     own = key[order]
     out = np.empty(len(key), np.int64)
     out[order] = np.cumsum(np.concatenate([[0], own[1:] != own[:-1]]))
@@ -208,15 +208,26 @@ def _ranks(key: np.ndarray) -> np.ndarray:
 def _suffix_ranks(rank: np.ndarray, rest: np.ndarray, depth: int) -> np.ndarray:
     """The order of suffixes by prefix doubling. rank: order by the first `depth` symbols; rest: symbols to a suffix's end.
 
-    A suffix that ends comes before those that go on; equal suffixes have equal ranks.
+    A suffix that ends comes before those that go on; equal suffixes have equal ranks. A rank is the number of
+    suffixes that are less, so a round moves only those that are not told apart yet and have symbols left.
     """
-    longest = int(rest.max(initial=0))
-    while depth < longest:
-        follows = np.zeros(len(rank), np.int64)
-        inner = np.flatnonzero(rest > depth)
-        follows[inner] = rank[inner + depth] + 1
-        rank = _ranks(rank * (len(rank) + 1) + follows)
+    counts = np.bincount(rank)
+    open_ = np.flatnonzero((counts > 1)[rank])
+    rank = (np.cumsum(counts) - counts)[rank]
+    while len(open_):
+        follows = np.zeros(len(open_), np.int64)
+        inner = np.flatnonzero(rest[open_] > depth)
+        follows[inner] = rank[open_[inner] + depth] + 1
+        key = rank[open_] * (len(rank) + 1) + follows
+        order = np.argsort(key)
+        open_, key = open_[order], key[order]
+        group = rank[open_]
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(begins, len(key)))
+        outer = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]]), np.arange(len(key)), 0))
+        rank[open_] = group + np.repeat(begins, sizes) - outer
         depth *= 2
+        open_ = open_[np.repeat((sizes > 1) & (np.maximum.reduceat(rest[open_], begins) > depth), sizes)]
     return rank
 
 
@@ -241,7 +252,9 @@ def repeated(spans: list[bytes], length: int) -> list[np.ndarray]:
     trigger = np.flatnonzero(mix(words[:-1]) % np.uint64(EVERY) == 0)
     span = np.searchsorted(ends, trigger, side="right")
     trigger = trigger[trigger + SHORT <= ends[span]]
-    begin = np.unique(np.concatenate([starts[sizes > 0], trigger]))  # of each phrase of the parse
+    cut = np.zeros(len(raw), bool)
+    cut[trigger] = cut[starts[sizes > 0]] = True
+    begin = np.flatnonzero(cut)  # of each phrase of the parse
     span = np.searchsorted(ends, begin, side="right")
     last = np.append(span[1:] != span[:-1], True)
     stop = np.where(last, ends[span], np.append(begin[1:], 0) + SHORT)
@@ -265,7 +278,7 @@ def repeated(spans: list[bytes], length: int) -> list[np.ndarray]:
     where = np.repeat(starts - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
     own = np.searchsorted(begin, where, side="right") - 1
     key = suffix[ahead[phrase[own]] + where - begin[own]] * (len(begin) + 1) + follows[own]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     a, b = where[order[:-1]], where[order[1:]]
     same = np.arange(len(a))
     for k in [*range(0, length - 8, 8), length - 8]:
