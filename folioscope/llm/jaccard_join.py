@@ -1,9 +1,13 @@
 """N-gram Jaccard join with token-group matrices.
 
 Documents with equal shingle sets are one class. Two classes can only reach the threshold if they share a token of
-their prefixes (the first n - ceil(0.75 n) + 1 tokens of a set in a common order, frequent tokens last), so:
+their prefixes (the first n - ceil(0.75 n) + 1 tokens of a set in a common order, rare tokens first), so:
 
-1. Prefix tokens are dealt into buckets in packed arrays; a bucket lists the classes that share a token.
+1. All tokens are dealt into buckets in packed arrays, and the buckets answer to each class which of its tokens other
+   classes have too, and how many have them: that is the order. Tokens of a single class come first and need no list,
+   so a class with enough of them drops out here. Prefixes are dealt again, and a bucket lists the classes that share
+   a token, each with the number of its tokens before that: two classes whose first common token it is can share no
+   more than what follows.
 2. Every class is first held against one center, the smallest class that any of its lists has. Those that link
    form groups of similar documents.
 3. What then still lies in different groups of one list is a query and a group. A group's members are stored in
@@ -29,8 +33,6 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import BASE, Rolling, arrow_map, bytes_of, chunks, drop_written, fresh, mix, power_pair, release, written
 
 WORDS, PERCENT = 5, 75
-#: The order of tokens: of SAMPLE documents' tokens those in at least HEAVY different sets come last.
-SAMPLE, HEAVY = 40_000, 2
 #: Members of a group's block; queries of a center that one task is given.
 BLOCK, QUERIES = 64, 1000
 #: Rounds of stars go on while more than this share of their pairs link.
@@ -102,75 +104,165 @@ def _classes(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())], ["key", "doc_id", "ref", "n"])
 
 
-def _deal(tokens: list[np.ndarray], refs: list[int], sizes: list[int], buckets: int):
-    """Packed rows of a bucket's tokens, each with its class and the class's size."""
-    own = np.concatenate(tokens)
-    lengths = [len(t) for t in tokens]
-    ref, size = np.repeat(np.array(refs, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths)
-    bucket = (own % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    names, starts = np.unique(bucket[order], return_index=True)
-    pieces = np.split(order, starts[1:])
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array([a[p].tobytes() for p in pieces], pa.binary()) for a in (own, ref, size))], ["bucket", "tokens", "refs", "sizes"])
+def _rows(bucket: np.ndarray, buckets: int):
+    """An order by bucket that keeps what is in it in order; the buckets that have anything, and where each begins."""
+    order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
+    own = bucket[order]
+    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return order, own[starts], np.append(starts, len(own))
 
 
-def _tokens(batches, heavy: np.ndarray | None, buckets: int):
-    """heavy: the tokens that come last in the order of prefixes; None: all tokens, not prefixes, are dealt."""
-    seen, tokens, refs, sizes, held = set(), [], [], [], 0
+def _packed(names, starts, columns) -> list[pa.Array]:
+    """For each bucket the bytes of its part of each column."""
+    pairs = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+    return [pa.array([c[a:b].tobytes() for a, b in pairs], pa.binary()) for c in columns]
+
+
+def _by_class(bucket: np.ndarray, buckets: int, entries: tuple, owner: np.ndarray, table: tuple):
+    """Packed rows: the entries of a bucket in order of their classes, and each class once with its number of entries.
+
+    owner: the class of each entry, as an index, rising; table: what is told of each class.
+    """
+    order, names, starts = _rows(bucket, buckets)
+    owner = owner[order]
+    new = np.concatenate([[True], owner[1:] != owner[:-1]])
+    new[starts[:-1]] = True
+    first = np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(owner))).astype(np.int32)
+    told = [np.asarray(c)[owner[first]] for c in table]
+    return names, [*_packed(names, starts, [e[order] for e in entries]), *_packed(names, np.searchsorted(first, starts), [*told, counts])]
+
+
+_TABLE = (np.int64, np.int32, np.int32, np.int32)
+TOKENS = "bucket int, tokens binary, refs binary, sizes binary, places binary, counts binary"
+SHARED = "bucket int, source int, tokens binary, often binary, refs binary, sizes binary, places binary, counts binary"
+PREFIXES = "bucket int, tokens binary, refs binary, sizes binary, positions binary"
+LISTS = "list long, ref long, n int, pos int"
+
+
+def _tokens(batches, buckets: int):
+    """The tokens of each class, dealt by what a bucket's count leaves of their hash; a token there is its upper half.
+
+    Two tokens of a bucket with the same upper half count as one, in a place of their class's order.
+    """
+    seen, sets, refs, held = set(), [], [], 0
+
+    def dealt():
+        token = np.concatenate(sets)
+        sizes = np.array([len(x) for x in sets], np.int32)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        bucket = (token % np.uint64(buckets)).astype(np.int64)
+        upper = (token >> np.uint64(32)).astype(np.uint32)
+        # Sets are in the order of their hashes: equal upper halves follow one another.
+        same = np.zeros(len(token), bool)
+        near = np.flatnonzero((upper[1:] == upper[:-1]) & (owner[1:] == owner[:-1])) + 1
+        for k in near.tolist():
+            j = k - 1
+            while j >= 0 and upper[j] == upper[k] and owner[j] == owner[k]:
+                same[k] |= bucket[j] == bucket[k]
+                j -= 1
+        places = (sizes - np.bincount(owner, weights=same, minlength=len(sets))).astype(np.int32)
+        keep = ~same
+        names, columns = _by_class(bucket[keep], buckets, (upper[keep],), owner[keep], (np.array(refs, np.int64), sizes, places))
+        return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), *columns], ["bucket", "tokens", "refs", "sizes", "places", "counts"])
+
     for batch in batches:
         for part in chunks(batch, "text", 1 << 20):
             for own in shingle_sets(part.column(1)):
-                if not len(own) or (ref := int(class_of(own))) in seen:
-                    continue
-                seen.add(ref)
-                n = len(own)
-                if heavy is not None:
-                    spot = np.minimum(np.searchsorted(heavy, own), max(0, len(heavy) - 1))
-                    late = heavy[spot] == own if len(heavy) else np.zeros(n, bool)
-                    own = np.concatenate([own[~late], own[late]])[: n - need(n) + 1]
-                tokens.append(own)
-                refs.append(ref)
-                sizes.append(n)
-                held += len(own)
+                if len(own) and (ref := int(class_of(own))) not in seen:
+                    seen.add(ref)
+                    sets.append(own)
+                    refs.append(ref)
+                    held += len(own)
             if held >= PACK:
-                yield _deal(tokens, refs, sizes, buckets)
-                tokens, refs, sizes, held = [], [], [], 0
-    if tokens:
-        yield _deal(tokens, refs, sizes, buckets)
+                yield dealt()
+                sets, refs, held = [], [], 0
+    if sets:
+        yield dealt()
 
 
 def _buckets(batches):
-    """(bucket, tokens, refs, sizes) of each bucket; the rows of a bucket follow one another."""
+    """(bucket, columns) of each bucket; the rows of a bucket follow one another."""
     now, held = None, []
     for batch in batches:
         for bucket, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if bucket != now and held:
-                yield _joined(held)
+                yield now, list(zip(*held, strict=True))
                 held = []
             now = bucket
             held.append(packed)
     if held:
-        yield _joined(held)
+        yield now, list(zip(*held, strict=True))
+
+
+def _array(packed, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), kind)
 
 
-def _joined(held):
-    token, ref, size = (np.frombuffer(b"".join(x[k] for x in held), t) for k, t in enumerate((np.uint64, np.int64, np.int32)))
-    order = np.lexsort((ref, token))
-    token, ref, size = token[order], ref[order], size[order]
-    keep = np.ones(len(token), bool)
-    keep[1:] = (token[1:] != token[:-1]) | (ref[1:] != ref[:-1])
-    return token[keep], ref[keep], size[keep]
+def often(counts: np.ndarray) -> np.ndarray:
+    """How many classes have a token, in eighths of a power of two."""
+    return np.minimum(np.round(8 * np.log2(counts)), 255).astype(np.uint8)
 
 
-def _heavy(batches, least: int):
-    for token, _, _ in _buckets(batches):
-        values, counts = np.unique(token, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(values[counts >= least].view(np.int64))], ["token"])
+def _shared(batches, buckets: int):
+    """Answers to the classes: which of their tokens others have too, and how many do."""
+    for source, (tokens, *table) in _buckets(batches):
+        token = _array(tokens, np.uint32)
+        ref, size, place, counts = (_array(x, t) for x, t in zip(table, _TABLE, strict=True))
+        owner = np.repeat(np.arange(len(ref)), counts)
+        order = np.lexsort((ref[owner], token))
+        token, owner = token[order], owner[order]
+        new = np.concatenate([[True], token[1:] != token[:-1]])
+        keep = new | np.concatenate([[True], ref[owner[1:]] != ref[owner[:-1]]])
+        token, owner, new = token[keep], owner[keep], new[keep]
+        have = np.diff(np.append(np.flatnonzero(new), len(token)))
+        many = np.repeat(have > 1, have)
+        if not many.any():
+            continue
+        token, owner, share = token[many], owner[many], often(np.repeat(have, have)[many])
+        order = np.argsort(ref[owner], kind="stable")
+        token, owner, share = token[order], owner[order], share[order]
+        # A class that several tasks have dealt has several numbers here: one of them stands for all.
+        own = ref[owner]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(own))))
+        table = tuple(c[owner[first]] for c in (ref, size, place))
+        to = (mix(own.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        names, columns = _by_class(to, buckets, (token, share), number, table)
+        yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(np.full(len(names), source, np.int32)), *columns], ["bucket", "source", "tokens", "often", "refs", "sizes", "places", "counts"])
+
+
+def _prefixes(batches, buckets: int):
+    """The prefix of each class: tokens that no other class has come first and are left out, then the rarest."""
+    for _, (source, tokens, shares, *table) in _buckets(batches):
+        token, share = _array(tokens, np.uint32), _array(shares, np.uint8)
+        ref, size, place, counts = (_array(x, t) for x, t in zip(table, _TABLE, strict=True))
+        bucket = np.repeat(np.array(source, np.int64), [len(x) // 4 for x in tokens])
+        owner = np.repeat(np.arange(len(ref)), counts)
+        order = np.lexsort((token, bucket, share, ref[owner]))
+        token, bucket, owner = token[order], bucket[order], owner[order]
+        own = ref[owner]
+        first = np.concatenate([[True], own[1:] != own[:-1]])
+        starts = np.flatnonzero(first)
+        lengths = np.diff(np.append(starts, len(own)))
+        rank = np.arange(len(own)) - np.repeat(starts, lengths)
+        n = size[owner].astype(np.int64)
+        pos = place[owner] - np.repeat(lengths, lengths) + rank
+        keep = pos <= n + (-PERCENT * n // 100)
+        token, bucket, own, n, pos = token[keep], bucket[keep], own[keep], n[keep], pos[keep]
+        if not len(own):
+            continue
+        order, names, starts = _rows(bucket, buckets)
+        columns = _packed(names, starts, [token[order], own[order], n[order].astype(np.int32), pos[order].astype(np.int32)])
+        yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), *columns], ["bucket", "tokens", "refs", "sizes", "positions"])
 
 
 def _lists(batches):
-    """The distinct lists of classes that share a token: a row for each member, with the list's name and center."""
-    for token, ref, size in _buckets(batches):
+    """The distinct lists of classes that share a token: a row for each member, with the list's name and the tokens before it."""
+    for _, columns in _buckets(batches):
+        token, ref, size, pos = (_array(x, t) for x, t in zip(columns, (np.uint32, np.int64, np.int32, np.int32), strict=True))
+        order = np.lexsort((ref, token))
+        token, ref, size, pos = token[order], ref[order], size[order], pos[order]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         lengths = np.diff(np.append(starts, len(token)))
         many = lengths > 1
@@ -178,12 +270,14 @@ def _lists(batches):
         total = np.concatenate([[np.uint64(0)], np.cumsum(mix(ref.view(np.uint64)))])
         with np.errstate(over="ignore"):
             names = mix(total[starts + lengths] - total[starts] + lengths.astype(np.uint64))
-        names, first = np.unique(names, return_index=True)
+        # Of the tokens that the same classes share the first in the order of tokens stands for all.
+        order = np.lexsort((pos[starts], names))
+        names, first = np.unique(names[order], return_index=True)
         if not len(names):
             continue
-        starts, lengths = starts[first], lengths[first]
+        starts, lengths = starts[order][first], lengths[order][first]
         at = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names.view(np.int64), lengths)), pa.array(ref[at]), pa.array(size[at]), pa.array(np.repeat(lengths, lengths).astype(np.int32))], ["list", "ref", "n", "members"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names.view(np.int64), lengths)), pa.array(ref[at]), pa.array(size[at]), pa.array(pos[at])], ["list", "ref", "n", "pos"])
 
 
 def counted(tokens: np.ndarray) -> bytes:
@@ -323,14 +417,14 @@ def _spread(lists: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame,
     spread = lists.join(member, "ref")
     open_lists = spread.groupBy("list").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("list")
     spread = written(spread.join(open_lists, "list", "left_semi"), "spread")
-    parts = spread.groupBy("list", "g").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("ref", "block", "n")).alias("at"))
+    parts = spread.groupBy("list", "g").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("ref", "block", "n", "pos")).alias("at"))
     largest = parts.groupBy("list").agg(F.max_by(F.struct("g", "at"), F.struct("k", "g")).alias("to"))
-    return member, spread, largest.select("list", F.col("to.g").alias("largest"), F.col("to.at.block").alias("to_block"), F.col("to.at.n").alias("to_n"))
+    return member, spread, largest.select("list", F.col("to.g").alias("largest"), F.col("to.at.block").alias("to_block"), F.col("to.at.n").alias("to_n"), F.col("to.at.pos").alias("to_pos"))
 
 
 def _stars(spread: DataFrame, largest: DataFrame) -> DataFrame:
     """(g, block, ref): each class outside of its list's largest group, with a block of that; two blocks a class."""
-    rows = spread.join(largest, "list").filter((F.col("g") != F.col("largest")) & _fits(F.col("n"), F.col("to_n")))
+    rows = spread.join(largest, "list").filter((F.col("g") != F.col("largest")) & _fits(F.col("n"), F.col("pos"), F.col("to_n"), F.col("to_pos")))
     to = F.struct(F.col("largest").alias("g"), F.col("to_block").alias("block"))
     best = rows.groupBy("ref").agg(F.min(to).alias("lo"), F.max(to).alias("hi"))
     return best.select("ref", F.explode(F.array("lo", "hi")).alias("to")).select("to.g", "to.block", "ref").distinct()
@@ -341,16 +435,17 @@ def _across(spread: DataFrame, largest: DataFrame) -> DataFrame:
 
     The query is the class outside of its list's largest group; between two such groups, of the smaller one.
     """
-    query = spread.join(largest, "list").filter("g <> largest").select("list", F.col("ref").alias("q"), F.col("g").alias("qg"), F.col("n").alias("qn"), "largest")
-    blocks = spread.groupBy("list", "g", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    query = spread.join(largest, "list").filter("g <> largest").select("list", F.col("ref").alias("q"), F.col("g").alias("qg"), F.col("n").alias("qn"), (F.col("n") - F.col("pos")).alias("left"), "largest")
+    blocks = spread.groupBy("list", "g", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("most"))
     near = (100 * F.col("hi") >= PERCENT * F.col("qn")) & (100 * F.col("qn") >= PERCENT * F.col("lo"))
+    near &= (100 + PERCENT) * F.least("left", "most").cast("long") >= PERCENT * (F.col("qn") + F.col("lo")).cast("long")
     pairs = query.join(blocks, "list").filter((F.col("g") != F.col("qg")) & ((F.col("g") == F.col("largest")) | (F.col("qg") < F.col("g"))) & near)
     return pairs.select("g", "block", F.col("q").alias("ref")).distinct()
 
 
-def _fits(a, b):
-    """No set links with one that is a third larger."""
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def _fits(n, pos, m, other):
+    """Whether sets of n and m tokens of which pos and other come before the first common one can share enough."""
+    return (100 + PERCENT) * F.least(n - pos, m - other).cast("long") >= PERCENT * (n + m).cast("long")
 
 
 def _connected(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -361,19 +456,16 @@ def _connected(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     docs = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text", F.col("doc_id").cast("long").alias("doc_id"))
     rows = written(arrow_map(docs, _classes, "key long, doc_id long, ref long, n int"), "classes")
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = "bucket int, tokens binary, refs binary, sizes binary"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def dealt(df: DataFrame, heavy, make, out: str) -> DataFrame:
-        packed = arrow_map(df, _tokens, schema, heavy, buckets)
-        return arrow_map(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket"), make, out, *([HEAVY] if make is _heavy else []))
+    def dealt(rows: DataFrame, make, out: str, *args) -> DataFrame:
+        return arrow_map(rows.repartition(buckets, "bucket").sortWithinPartitions("bucket"), make, out, *args)
 
-    share = min(1.0, SAMPLE / max(1, rows.count()))
-    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
-    found = dealt(some, None, _heavy, "token long").toArrow().column("token")
-    heavy = np.sort(found.to_numpy().view(np.uint64))
-
-    lists = written(dealt(docs, heavy, _lists, "list long, ref long, n int, members int").dropDuplicates(["list", "ref"]), "lists")
+    shared = written(dealt(arrow_map(docs, _tokens, TOKENS, buckets), _shared, SHARED, buckets), "shared")
+    release(spark)
+    found = dealt(dealt(shared, _prefixes, PREFIXES, buckets), _lists, LISTS)
+    lists = written(found.groupBy("list", "ref").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "lists")
+    drop_written(shared)
     release(spark)
     # One text of each class that is in a list; its set is made again from the text.
     at = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("at")
@@ -388,9 +480,9 @@ def _connected(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return _links(asked, members, docs.select("key", "text").join(wanted.join(refs, "ref", "left_semi"), "key").select("ref", "text"))
 
     # One center for each class: the smallest class of its lists that is not too long or too short for it.
-    heads = lists.groupBy("list").agg(F.min_by(F.struct("ref", "n"), "ref").alias("head"))
+    heads = lists.groupBy("list").agg(F.min_by(F.struct("ref", "n", "pos"), "ref").alias("head"))
     tried = written(
-        lists.join(heads, "list").filter((F.col("ref") != F.col("head.ref")) & _fits(F.col("n"), F.col("head.n"))).groupBy("ref").agg(F.min("head.ref").alias("center")),
+        lists.join(heads, "list").filter((F.col("ref") != F.col("head.ref")) & _fits(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos"))).groupBy("ref").agg(F.min("head.ref").alias("center")),
         "centers",
     )
     # The first bound is by pair here: a center is a block without salt. Salts follow, for what is left.
