@@ -11,11 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from folioscope.functions import text as T
-
-# Thresholds of matching and of the gates.
-EXACT, RELATED, NUMBERS_EQUAL = 0.94, 0.55, 0.80
-OVERLAP, LENGTH_RATIO, LEAST_WORDS, PREFIX_CHARS = 0.85, 0.55, 4, 40
-BONUS, PENALTY = 0.04, 0.06
+from folioscope.functions.fixed import BONUS, EXACT, LEAST_WORDS, LENGTH_RATIO, NUMBERS_EQUAL, OVERLAP, PENALTY, PREFIX_CHARS, RELATED, SENTENCE_END  # noqa: F401
 
 
 def gestalt(a: str, b: str) -> float:
@@ -68,7 +64,7 @@ def status(norm1: Column, norm2: Column, canon1: Column, canon2: Column, numbers
     wrapped = numbers_agree & (F.size(w1) >= LEAST_WORDS) & (F.size(w2) >= F.size(w1)) & (F.size(F.array_intersect(w1, w2)) / F.size(w1) >= OVERLAP) & (F.size(w1) / F.size(w2) >= LENGTH_RATIO)
     shorter = F.when(F.length(norm1) <= F.length(norm2), norm1).otherwise(norm2)
     longer = F.when(F.length(norm1) <= F.length(norm2), norm2).otherwise(norm1)
-    prefix = (F.length(shorter) >= PREFIX_CHARS) & ~shorter.rlike("[.!?]$") & longer.startswith(shorter)
+    prefix = (F.length(shorter) >= PREFIX_CHARS) & ~shorter.rlike(f"[{SENTENCE_END}]$") & longer.startswith(shorter)
     return (
         F.when(norm1 == norm2, "same")
         .when(canon1 == canon2, "same")

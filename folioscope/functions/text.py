@@ -10,14 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# What counts as noise, as a page stamp, as invisible and as a number.
-SEPARATORS = r"^[\s\-_=|.]+$"
-STAMP = r"^(?:[-–—\s]*\(?\s*\d{1,4}\s*\)?[-–—\s]*|page\s+\d{1,4}(?:\s+of\s+\d{1,4})?)$"
-STAMP_LINES = r"(?md)^[-–—\s]*\(?\s*\d{1,4}\s*\)?[-–—\s]*$"
-BARE_STAMP = r"^[-–—\s]*\d{1,4}[-–—\s]*$"
-INVISIBLE = r"[\p{C}\x{AD}\x{200B}-\x{200F}\x{FEFF}\x{FFF0}-\x{FFFD}]"
-NUMBER = r"\b\d{1,3}(?:[,.]?\d{3})*(?:\.\d+)?\b|\b\d+ \d{3}(?:\.\d+)?\b"
-YEAR = r"(?:19|20)\d{2}"
+from folioscope.functions import fixed as X
+
+SEPARATORS = f"^{X.SEPARATORS}$"
+STAMP = f"^(?:{X.STAMP}|{X.PAGE_STAMP})$"
+STAMP_LINES = f"(?md)^{X.STAMP}$"
+BARE_STAMP = f"^{X.BARE_STAMP}$"
+INVISIBLE = r"[\p{C}" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in X.INVISIBLE) + "]"
+ASCII = r"^[\x00-\x7f]*$"
 
 
 @F.pandas_udf(StringType())
@@ -27,6 +27,11 @@ def nfkd(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
 
 
+def decomposed(text: Column) -> Column:
+    """nfkd, for which only text that has anything but ASCII is sent to Python."""
+    return F.coalesce(nfkd(F.when(~text.rlike(ASCII), text)), text)
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -34,7 +39,7 @@ def strip(text: Column) -> Column:
 
 def is_noise(line: Column) -> Column:
     """True for lines under four characters, rules of separators, and page stamps. The line comes stripped."""
-    return (F.length(line) < 4) | line.rlike("(?U)" + SEPARATORS) | F.lower(line).rlike("(?U)" + STAMP)
+    return (F.length(line) < X.LEAST_CHARS) | line.rlike("(?U)" + SEPARATORS) | F.lower(line).rlike("(?U)" + STAMP)
 
 
 def lines_of(text: Column) -> Column:
@@ -42,23 +47,28 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip), lambda x: ~is_noise(x))
 
 
-def normalise(decomposed: Column) -> Column:
-    """Case, invisible characters and runs of white space evened out; a bare page stamp becomes empty.
+def normalise(text: Column, bare_stamps: bool = True) -> Column:
+    """Case, invisible characters and runs of white space evened out; a bare page stamp becomes empty if `bare_stamps`.
 
-    Takes text after `nfkd`, or text that is ASCII anyway. Invisible characters go before white space is
+    Takes text after `decomposed`. Invisible characters go before white space is
     collapsed, so a tab is deleted, not made a space.
     """
-    t = F.lower(strip(F.coalesce(decomposed, F.lit(""))))
+    t = F.lower(strip(F.coalesce(text, F.lit(""))))
     t = F.regexp_replace(t, INVISIBLE, "")
     t = F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
-    return F.trim(F.regexp_replace(t, BARE_STAMP, ""))
+    return without_stamp(t) if bare_stamps else t
+
+
+def without_stamp(normalised: Column) -> Column:
+    """Empty if a normalised line is a bare page stamp."""
+    return F.trim(F.regexp_replace(normalised, BARE_STAMP, ""))
 
 
 def canonical(normalised: Column) -> Column:
     """What is left when spacing within numbers, thousands commas and punctuation do not count."""
     t = F.regexp_replace(normalised, r"(?U)\s+", " ")
-    t = F.regexp_replace(t, r"(?U)(?<=\d)\s+(?=\d)", "")
-    t = F.regexp_replace(t, r"(?U)(?<=\d),(?=\d{3})", "")
+    t = F.regexp_replace(t, "(?U)" + X.DIGIT_GAP, "")
+    t = F.regexp_replace(t, "(?U)" + X.THOUSANDS, "")
     return strip(F.regexp_replace(t, r"(?U)[^\w\s]", ""))
 
 
@@ -72,8 +82,8 @@ def numbers(text: Column, stamps: str = "block") -> Column:
         text = F.regexp_replace(text, STAMP_LINES, "")
     else:
         text = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.lower(strip(x)).rlike(STAMP)), "\n")
-    found = F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda x: F.regexp_replace(x, r"[\s,]", ""))
-    return F.array_distinct(F.filter(found, lambda x: x.rlike(r"^\d+(\.\d+)?$")))
+    found = F.transform(F.regexp_extract_all(text, F.lit(X.NUMBER), F.lit(0)), lambda x: F.regexp_replace(x, r"[\s,]", ""))
+    return F.array_distinct(F.filter(found, lambda x: x.rlike(f"^{X.PLAIN_NUMBER}$")))
 
 
 def by_value(found: Column) -> Column:
@@ -100,17 +110,17 @@ def index_keys(normalised: Column) -> Column:
 
 
 def anchor(text: Column) -> Column:
-    """The head of a page: its first three lines of over eight characters, lower-cased, 120 characters at most."""
-    return F.substring(F.lower(F.array_join(F.slice(F.filter(lines_of(text), lambda x: F.length(x) > 8), 1, 3), " ")), 1, 120)
+    """The head of a page: its first lines that are not short, lower-cased, some characters at most."""
+    return F.substring(F.lower(F.array_join(F.slice(F.filter(lines_of(text), lambda x: F.length(x) > X.ANCHOR_LEAST), 1, X.ANCHOR_LINES), " ")), 1, X.ANCHOR_CHARS)
 
 
 def vocabulary(text: Column) -> Column:
     """The distinct words of at least four letters a-z."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(X.WORD), F.lit(0)))
 
 
 def years(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(YEAR), F.lit(0)), lambda x: x.cast("int"))))
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(X.YEAR), F.lit(0)), lambda x: x.cast("int"))))
 
 
 def shortened(text: Column, n: int) -> Column:

@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions import fixed as X
 from folioscope.functions import lines as L
 from folioscope.functions import text as T
 
-DIFF_SCHEMA = "pair_id long, seq int, status string, line1 string, line2 string, similarity double, num_diff array<string>, word_diff array<struct<word:string,tag:string>>"
+DIFF_SCHEMA = "seq int, status string, line1 string, line2 string, similarity double, num_diff array<string>, word_diff array<struct<word:string,tag:string>>"
 
 
 def merged(lines: Column) -> Column:
@@ -22,7 +23,7 @@ def merged(lines: Column) -> Column:
 
     def step(done: Column, line: Column) -> Column:
         last = F.element_at(done, -1)
-        joins = ~last.rlike("[.!?;:]$") & line.rlike(r"^\p{Ll}") & (F.length(last) >= 15)
+        joins = ~last.rlike(X.LINE_END) & line.rlike(r"^\p{Ll}") & (F.length(last) >= X.WRAPPED_CHARS)
         return (
             F.when(F.size(done) == 0, F.array(line))
             .when(F.lower(last) == F.lower(line), done)
@@ -33,24 +34,25 @@ def merged(lines: Column) -> Column:
     return F.aggregate(lines, F.array().cast("array<string>"), step)
 
 
-def compared(texts: DataFrame, engine: str = "a") -> DataFrame:
-    """Rows of DIFF_SCHEMA for every pair of (pair_id, text1, text2).
+def compared(texts: DataFrame, engine: str = "a", keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
+    """The keys and rows of DIFF_SCHEMA for every pair of texts, (*keys, text1, text2).
 
     Cleaning and merging run in the JVM; the greedy matching, whose every step depends on the ones before, takes a
     pair at a time in Python. Pairs are dealt over a set number of tasks: their work is in the matching, not in
     their bytes, by which adaptive execution would gather them in a few.
     """
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = texts.select("pair_id", merged(T.lines_of(F.col("text1"))).alias("lines1"), merged(T.lines_of(F.col("text2"))).alias("lines2"))
+    lines = texts.select(*keys, merged(T.lines_of(F.col("text1"))).alias("lines1"), merged(T.lines_of(F.col("text2"))).alias("lines2"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for pair_id, lines1, lines2 in frame.itertuples(index=False):
+            for *named, lines1, lines2 in frame.itertuples(index=False):
                 rows = L.matched(list(lines1), list(lines2), engine)
                 if rows:
-                    yield pd.DataFrame([{"pair_id": pair_id, "seq": k, **r} for k, r in enumerate(rows)])
+                    yield pd.DataFrame([dict(zip(keys, named, strict=True)) | {"seq": k, **r} for k, r in enumerate(rows)])
 
-    return lines.repartition(tasks, "pair_id").mapInPandas(run, DIFF_SCHEMA)
+    schema = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in keys)
+    return lines.repartition(tasks, *keys).mapInPandas(run, f"{schema}, {DIFF_SCHEMA}")
 
 
 def status_counts(diff: DataFrame, *keys: str) -> DataFrame:
@@ -66,9 +68,12 @@ def status_counts(diff: DataFrame, *keys: str) -> DataFrame:
 
 
 def candidates(lines: DataFrame, most: int = L.CANDIDATES) -> DataFrame:
-    """(pair_id, ord2, ord1): for each second line the lowest first lines that share an index key with it."""
-    keyed = lines.select("pair_id", "side", "ord", F.explode(T.index_keys(T.normalise(F.col("line")))).alias("key"))
-    first = keyed.filter("side = 1").select("pair_id", "key", F.col("ord").alias("ord1"))
+    """(pair_id, ord2, ord1): for each second line the lowest first lines that share an index key with it.
+
+    The lowest of all are among the lowest of each key, so a key keeps no more: a join by key meets a row for each.
+    """
+    keyed = lines.select("pair_id", "side", "ord", F.explode(T.index_keys(T.normalise(T.decomposed(F.col("line"))))).alias("key"))
+    first = keyed.filter("side = 1").groupBy("pair_id", "key").agg(F.slice(F.array_sort(F.collect_set("ord")), 1, most).alias("ords"))
     second = keyed.filter("side = 2").select("pair_id", "key", F.col("ord").alias("ord2"))
-    hits = second.join(first, ["pair_id", "key"]).groupBy("pair_id", "ord2").agg(F.array_sort(F.collect_set("ord1")).alias("found"))
+    hits = second.join(first, ["pair_id", "key"]).groupBy("pair_id", "ord2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ords")))).alias("found"))
     return hits.select("pair_id", "ord2", F.explode(F.slice("found", 1, most)).alias("ord1"))

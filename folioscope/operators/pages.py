@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions import fixed as X
 from folioscope.functions import similarity as S
 from folioscope.functions import text as T
 
-# How far a page may move, the least similarity, the raster, the grid of lines.
-WINDOW, LEAST = 8, 0.30
-DPI, GRID = 130, 5
-
 
 def ordered_join(order: list[str], text: str, separator: str) -> Column:
     """The texts of a group in order, joined."""
@@ -20,19 +17,19 @@ def ordered_join(order: list[str], text: str, separator: str) -> Column:
 
 def lines_of_words(words: DataFrame, page_height: float = 842.0) -> DataFrame:
     """(doc_id, page_no, bucket, line) with the box of each line: words whose distance from the top agrees."""
-    bucket = (F.rint((F.lit(page_height) - F.col("top")) / GRID) * GRID).cast("int")
+    bucket = (F.rint((F.lit(page_height) - F.col("top")) / X.GRID) * X.GRID).cast("int")
     placed = words.withColumn("bucket", bucket).withColumn("text", T.strip(F.col("text"))).filter("text <> ''")
-    scale = DPI / 72.0
+    scale = X.DPI / 72.0
     return placed.groupBy("doc_id", "page_no", "bucket").agg(
         ordered_join(["left", "seq"], "text", " ").alias("line"),
-        (F.min("left") * scale - 2).alias("x0"),
-        (F.max("right") * scale + 2).alias("x1"),
-        (F.min(F.lit(page_height) - F.col("top")) * scale - 2).alias("y0"),
-        (F.max(F.lit(page_height) - F.col("bottom")) * scale + 2).alias("y1"),
+        (F.min("left") * scale - X.MARGIN).alias("x0"),
+        (F.max("right") * scale + X.MARGIN).alias("x1"),
+        (F.min(F.lit(page_height) - F.col("top")) * scale - X.MARGIN).alias("y0"),
+        (F.max(F.lit(page_height) - F.col("bottom")) * scale + X.MARGIN).alias("y1"),
     )
 
 
-def band(pages: DataFrame, window: int = WINDOW) -> DataFrame:
+def band(pages: DataFrame, window: int = X.WINDOW) -> DataFrame:
     """Pages of both sides that stand near enough to be one: an equi-join by pair with a range as residual."""
     columns = [c for c in pages.columns if c not in ("pair_id", "side", "page_no")]
     first = pages.filter("side = 1").select("pair_id", F.col("page_no").alias("i1"), *[F.col(c).alias(f"{c}1") for c in columns])
@@ -46,7 +43,7 @@ def assigned(scored: DataFrame, pages: DataFrame) -> DataFrame:
     scored: (pair_id, i1, i2, sim). Pages are taken in order, ties go to the lowest page; a fold over each pair.
     """
     rows = pages.filter("side = 1").groupBy("pair_id").agg(F.array_sort(F.collect_list("page_no")).alias("firsts"))
-    near = scored.filter(F.col("sim") > LEAST).groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("i1", "i2", "sim"))).alias("near"))
+    near = scored.filter(F.col("sim") > X.LEAST).groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("i1", "i2", "sim"))).alias("near"))
     fold = """
         aggregate(firsts, cast(array() as array<struct<i1:int,i2:int,sim:double>>), (done, i) -> concat(done, array(
             aggregate(filter(coalesce(near, array()), x -> x.i1 = i and not exists(done, d -> d.i2 = x.i2)),
@@ -69,17 +66,17 @@ def aligned(pages: DataFrame, structural: bool = True) -> DataFrame:
 
 def highlighted(lines: DataFrame, specs: DataFrame) -> DataFrame:
     """Each physical line with the first spec that matches it: lines (doc_id, page_no, bucket, line), specs (doc_id, spec_no, spec)."""
-    both = lines.join(specs, "doc_id").withColumn("t", F.lower("line")).withColumn("n", F.lower(T.strip(F.col("spec")))).filter(F.length("n") >= 4)
+    both = lines.join(specs, "doc_id").withColumn("t", F.lower("line")).withColumn("n", F.lower(T.strip(F.col("spec")))).filter(F.length("n") >= X.LEAST_CHARS)
     lw, nw = F.array_distinct(T.tokens(F.col("t"))), F.array_distinct(T.tokens(F.col("n")))
     both = both.withColumn("a", F.size(lw)).withColumn("b", F.size(nw)).withColumn("shared", F.size(F.array_intersect(lw, nw)))
     longest, shortest = F.greatest("a", "b"), F.least("a", "b")
-    artefact = (F.col("shared") / longest >= 0.85) & (shortest / longest >= 0.55) & (shortest / longest < 0.75)
-    needle, head = F.substring("n", 1, 40), F.substring("t", 1, 40)
+    artefact = (F.col("shared") / longest >= X.WRAP_OVERLAP) & (shortest / longest >= X.WRAP_FROM) & (shortest / longest < X.WRAP_TO)
+    needle, head = F.substring("n", 1, X.NEEDLE), F.substring("t", 1, X.NEEDLE)
     hit = (
         F.contains(F.col("t"), needle)
-        | ((F.length(head) >= 6) & F.contains(needle, head))
-        | ((F.length("t") >= 12) & F.contains(F.col("n"), F.col("t")))
-        | ((F.col("a") >= 4) & (F.col("shared") / F.col("a") >= 0.80) & (F.col("a") / longest >= 0.30))
+        | ((F.length(head) >= X.HEAD) & F.contains(needle, head))
+        | ((F.length("t") >= X.WHOLE) & F.contains(F.col("n"), F.col("t")))
+        | ((F.col("a") >= X.MARK_WORDS) & (F.col("shared") / F.col("a") >= X.MARK_SHARED) & (F.col("a") / longest >= X.MARK_LENGTH))
     )
     first = F.row_number().over(Window.partitionBy("doc_id", "page_no", "bucket").orderBy("spec_no"))
     return both.filter(hit & ~F.coalesce(artefact, F.lit(False))).withColumn("_first", first).filter("_first = 1").select(*lines.columns, "spec_no")

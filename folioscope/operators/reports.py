@@ -6,11 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-
-#: Fixed value: which keys a comment may have.
-COMMENT_KEY = r"(?i)^(changed|page|overall):[0-9a-z_\-]*$"
-#: Caps of the API document: lines, numbers, issues of a page.
-API_LINES, API_NUMBERS, API_ISSUES = 100, 50, 25
+from folioscope.functions.fixed import API_ISSUES, API_LINES, API_NUMBERS, COMMENT_KEY, LEAST_CHARS
 
 
 def summary(counts: DataFrame) -> DataFrame:
@@ -64,7 +60,7 @@ def highlight_specs(diff: DataFrame) -> DataFrame:
     whole = F.array().cast("array<string>")
     first = diff.filter(F.col("status").isin("changed", "removed")).select("pair_id", F.lit(1).alias("side"), "seq", F.col("line1").alias("line_text"), F.when(F.col("status") == "changed", tagged("removed")).otherwise(whole).alias("changed_words"))
     second = diff.filter(F.col("status").isin("changed", "added")).select("pair_id", F.lit(2).alias("side"), "seq", F.col("line2").alias("line_text"), F.when(F.col("status") == "changed", tagged("added")).otherwise(whole).alias("changed_words"))
-    return first.unionByName(second).filter(F.length("line_text") >= 4)
+    return first.unionByName(second).filter(F.length("line_text") >= LEAST_CHARS)
 
 
 def first_issues(diff: DataFrame, keys: list[str], most: int = API_ISSUES) -> DataFrame:
@@ -73,12 +69,70 @@ def first_issues(diff: DataFrame, keys: list[str], most: int = API_ISSUES) -> Da
     return diff.filter("status <> 'same'").withColumn("place", place).filter(F.col("place") <= most)
 
 
-def api_document(diff: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(pair_id, document): the capped JSON document of each pair."""
+def _listed(rows: DataFrame, keys: list[str], order: str, name: str, *fields: Column) -> DataFrame:
+    """The rows of each key as an array of structs in order."""
+    kept = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), F.struct(*fields).alias("_row")))), lambda x: x["_row"])
+    return rows.groupBy(*keys).agg(kept.alias(name))
+
+
+def api_document(diff: DataFrame, numbers: DataFrame, page_diffs: DataFrame, page_issues: DataFrame) -> DataFrame:
+    """(pair_id, document): the JSON document of each pair, with true counts and totals and capped lists.
+
+    page_diffs and page_issues: rows of plans' page comparisons, keyed by pair_id and page1.
+    """
+    tagged = F.transform("word_diff", lambda x: F.struct(x["word"].alias("w"), x["tag"].alias("t"))).alias("wordDiff")
+    i = F.col("place").alias("i")
     kept = first_issues(diff, ["pair_id", "status"], API_LINES)
-    rows = kept.groupBy("pair_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "status", "line1", "line2", "similarity"))), lambda x: F.struct(x["status"].alias("status"), x["line1"].alias("line1"), x["line2"].alias("line2"), x["similarity"].alias("similarity"))).alias("lines"))
-    short = numbers.select("pair_id", F.slice("in_both", 1, API_NUMBERS).alias("in_both"), F.slice("only1", 1, API_NUMBERS).alias("only1"), F.slice("only2", 1, API_NUMBERS).alias("only2"), "similarity_pct")
-    return short.join(rows, "pair_id", "left").select("pair_id", F.to_json(F.struct("lines", "in_both", "only1", "only2", "similarity_pct")).alias("document"))
+    of = lambda status: kept.filter(F.col("status") == status)
+    n = {s: F.count_if(F.col("status") == s).alias(s) for s in ("same", "changed", "added", "removed")}
+    counts = diff.groupBy("pair_id").agg(F.struct(*n.values(), F.count(F.lit(1)).alias("total")).alias("counts"))
+    numbered = numbers.select(
+        "pair_id",
+        F.struct(
+            F.col("similarity_pct").alias("simPct"),
+            *[F.slice(c, 1, API_NUMBERS).alias(t) for c, t in (("in_both", "inBoth"), ("only1", "onlyAfs1"), ("only2", "onlyAfs2"))],
+            F.col("count1").alias("countAfs1"),
+            F.col("count2").alias("countAfs2"),
+        ).alias("numCmp"),
+    )
+    issues = _listed(page_issues, ["pair_id", "page1"], "seq", "diffs", F.col("status"), F.col("line1"), F.col("line2"), F.col("num_diff").alias("numDiff"), tagged)
+    fields = (("page1", "pageAfs1"), ("page2", "pageAfs2"), ("align_sim", "alignSim"), ("pct_same", "pctSame"), ("same", "same"), ("changed", "changed"), ("added", "added"), ("removed", "removed"))
+    pages = _listed(
+        page_diffs.withColumn("k", F.row_number().over(Window.partitionBy("pair_id").orderBy("page1")) - 1).join(issues, ["pair_id", "page1"], "left"),
+        ["pair_id"],
+        "page1",
+        "pageDiffs",
+        F.col("k"),
+        *[F.col(c).alias(t) for c, t in fields],
+        (F.col("changed") + F.col("added") + F.col("removed")).alias("issues"),
+        F.coalesce("diffs", F.array()).alias("diffs"),
+    )
+    alignment = page_diffs.groupBy("pair_id").agg(F.struct(F.count_if(~F.col("unmatched")).alias("matched"), F.count_if("unmatched").alias("unmatched"), F.count(F.lit(1)).alias("afs1Pages"), F.max("pages2").alias("afs2Pages")).alias("alignment"))
+    out = numbered.join(counts, "pair_id", "left").join(alignment, "pair_id", "left").join(pages, "pair_id", "left")
+    out = out.join(_listed(of("changed"), ["pair_id"], "seq", "changedLines", i, F.col("line1"), F.col("line2"), F.col("similarity").alias("sim"), F.col("num_diff").alias("numDiff"), tagged), "pair_id", "left")
+    for status, line in (("added", "line2"), ("removed", "line1")):
+        out = out.join(_listed(of(status), ["pair_id"], "seq", f"{status}Lines", i, F.col(line).alias("line")), "pair_id", "left")
+    lists = [F.coalesce(c, F.array()).alias(c) for c in ("changedLines", "addedLines", "removedLines", "pageDiffs")]
+    totals = [F.coalesce(f"counts.{s}", F.lit(0)).alias(f"total{s.title()}") for s in ("changed", "added", "removed")]
+    document = F.struct(F.lit(True).alias("success"), "counts", "alignment", F.lit("AFS 1").alias("afs1Label"), F.lit("AFS 2").alias("afs2Label"), *lists, "numCmp", *totals)
+    return out.select("pair_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
+
+
+def alignment_sheet(page_diffs: DataFrame, comments: DataFrame) -> DataFrame:
+    """The pages of each pair as text cells, with the comment under page:<place from 0>."""
+    place = F.row_number().over(Window.partitionBy("pair_id").orderBy("page1"))
+    rows = with_comments(page_diffs.withColumn("pair", place), F.concat(F.lit("page:"), F.col("pair") - 1), comments)
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias
+    return rows.select(
+        "pair_id", cell("pair")("pair"), cell("page1")("afs1_page"), cell("page2")("afs2_page"), F.format_string("%.3f", "align_sim").alias("align_similarity"),
+        F.format_string("%.1f", "pct_same").alias("pct_same"), *[cell(c)(c) for c in ("same", "changed", "added", "removed")], "auditor_comment",
+    )
+
+
+def comment_sheet(comments: DataFrame) -> DataFrame:
+    """(pair_id, row_no, key, comment): each pair's comments in the order of their keys."""
+    place = F.row_number().over(Window.partitionBy("pair_id").orderBy("key"))
+    return comments.select("pair_id", place.cast("long").alias("row_no"), "key", "comment")
 
 
 def text_report(diff: DataFrame, counts: DataFrame) -> DataFrame:

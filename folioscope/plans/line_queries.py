@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import similarity as S
@@ -30,10 +31,6 @@ def _lines(spark, sf_dir):
     return R.revision_lines(spark, sf_dir)
 
 
-def _english(spark, sf_dir):
-    return R.english_lines(spark, sf_dir)
-
-
 def _diff(spark, sf_dir, engine="a"):
     return L.compared(R.texts(_lines(spark, sf_dir)), engine)
 
@@ -51,19 +48,19 @@ merged AS (SELECT pair_id, side, CASE WHEN len(ls) = 0 THEN [] ELSE list_reduce(
 @query("merge_lines", f"{_MERGED} SELECT pair_id, side, CAST(i - 1 AS INTEGER) AS line_no, m[i] AS line FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM merged)")
 def merge_lines(spark, sf_dir):
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n")
-    rows = _english(spark, sf_dir).groupBy("pair_id", "side").agg(text.alias("text"))
+    rows = _lines(spark, sf_dir).groupBy("pair_id", "side").agg(text.alias("text"))
     return rows.select("pair_id", "side", F.posexplode(L.merged(T.lines_of(F.col("text")))).alias("line_no", "line"))
 
 
 _KEYS = f"""WITH {C.REVISION},
-t AS (SELECT pair_id, side, ord, list_filter(string_split({C.normalise("line")}, ' '), lambda q: q <> '') AS t FROM rev WHERE regexp_full_match(line, '[\\x00-\\x7f]*')),
+t AS (SELECT pair_id, side, ord, list_filter(string_split({C.normalise("line")}, ' '), lambda q: q <> '') AS t FROM rev),
 keys AS (SELECT pair_id, side, ord, t[1] AS key FROM t WHERE len(t) > 0 UNION SELECT pair_id, side, ord, t[i] || t[i + 1] FROM (SELECT *, unnest(range(1, len(t))) AS i FROM t)),
 hits AS (SELECT b.pair_id, b.ord AS ord2, list_sort(list(DISTINCT a.ord)) AS found FROM keys a JOIN keys b ON a.pair_id = b.pair_id AND a.key = b.key AND a.side = 1 AND b.side = 2 GROUP BY ALL)"""
 
 
 @query("line_candidates", f"{_KEYS} SELECT pair_id, ord2, unnest(found[1:40]) AS ord1 FROM hits")
 def line_candidates(spark, sf_dir):
-    return L.candidates(_english(spark, sf_dir).filter(F.col("line").rlike(r"^[\x00-\x7f]*$")))
+    return L.candidates(_lines(spark, sf_dir))
 
 
 @query("line_diff_a")
@@ -107,18 +104,14 @@ def _pages(spark, sf_dir):
     return R.pages(_lines(spark, sf_dir))
 
 
-def _english_pages(spark, sf_dir):
-    return R.pages(_english(spark, sf_dir))
-
-
 @query("page_band_join", f"{_PAGES} SELECT pair_id, i1, i2 FROM band")
 def page_band_join(spark, sf_dir):
-    return P.band(_english_pages(spark, sf_dir).select("pair_id", "side", "page_no")).select("pair_id", "i1", "i2")
+    return P.band(_pages(spark, sf_dir).select("pair_id", "side", "page_no")).select("pair_id", "i1", "i2")
 
 
 @query("page_jaccard", f"{_PAGES} SELECT pair_id, i1, i2, {C.rounded('sim', 6)} AS sim FROM sims")
 def page_jaccard(spark, sf_dir):
-    near = P.band(P.fingerprints(_english_pages(spark, sf_dir)).select("pair_id", "side", "page_no", "words"))
+    near = P.band(P.fingerprints(_pages(spark, sf_dir)).select("pair_id", "side", "page_no", "words"))
     return near.select("pair_id", "i1", "i2", T.rounded(S.jaccard(F.col("words1"), F.col("words2"), 0.0), 6).alias("sim"))
 
 
@@ -139,7 +132,7 @@ alignment AS (SELECT pair_id, r.i1 AS i1, r.i2 AS i2, {C.rounded("r.sim", 3)} AS
 @query("page_alignment_words", f"{_ALIGNED} SELECT pair_id, i1, i2, sim FROM alignment")
 def page_alignment_words(spark, sf_dir):
     """Alignment by vocabulary alone, which SQL can say too."""
-    return P.aligned(_english_pages(spark, sf_dir), structural=False)
+    return P.aligned(_pages(spark, sf_dir), structural=False)
 
 
 @query("alignment_counts", f"{_ALIGNED} SELECT pair_id, CAST(count(*) FILTER (i2 >= 0) AS BIGINT) AS matched, CAST(count(*) FILTER (i2 < 0) AS BIGINT) AS unmatched FROM alignment GROUP BY pair_id")
@@ -156,7 +149,7 @@ def paired_pages(spark, sf_dir):
 @query("unmatched_pages", f"{_ALIGNED} SELECT a.pair_id, a.i1 AS page1, CAST(len({C.clean_lines('p.text')}) AS BIGINT) AS removed FROM alignment a JOIN pages_ p ON a.pair_id = p.pair_id AND a.i1 = p.page_no AND p.side = 1 WHERE a.i2 < 0")
 def unmatched_pages(spark, sf_dir):
     """First-side pages without a partner; all their lines count as removed."""
-    pages = _english_pages(spark, sf_dir)
+    pages = _pages(spark, sf_dir)
     matched = P.aligned(pages, structural=False).filter("i2 >= 0").select("pair_id", F.col("i1").alias("page_no"))
     rest = pages.filter("side = 1").join(matched, ["pair_id", "page_no"], "left_anti")
     return rest.select("pair_id", F.col("page_no").alias("page1"), F.size(T.lines_of(F.col("text"))).cast("long").alias("removed"))
@@ -169,10 +162,7 @@ def _page_text(pages, side):
 def _page_lines(pages, alignment):
     """The line diffs of each aligned pair of pages: (pair_id, i1) and the columns of a diff."""
     both = alignment.filter("i2 >= 0").join(_page_text(pages, 1), ["pair_id", "i1"]).join(_page_text(pages, 2), ["pair_id", "i2"])
-    # A page pair is a pair of its own for the comparison: its id carries both numbers.
-    key = F.shiftleft("pair_id", 20).bitwiseOR(F.col("i1")).alias("pair_id")
-    diff = L.compared(both.select(key, "text1", "text2"))
-    return diff.select(F.shiftright("pair_id", 20).alias("pair_id"), F.col("pair_id").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("i1"), *[c for c in diff.columns if c != "pair_id"])
+    return L.compared(both.select("pair_id", "i1", "text1", "text2"), keys=("pair_id", "i1"))
 
 
 def _page_diffs(spark, sf_dir):
@@ -196,6 +186,37 @@ def _page_diffs(spark, sf_dir):
     )
 
 
+def page_issue_rows(spark, sf_dir):
+    """The first issues of each aligned pair of pages, as many as a report shows, with all columns of a diff."""
+    pages = _pages(spark, sf_dir)
+    alignment = P.aligned(pages)
+    rows = O.first_issues(_page_lines(pages, alignment), ["pair_id", "i1"]).join(alignment.select("pair_id", "i1", "i2"), ["pair_id", "i1"])
+    return rows.withColumn("page1", F.col("i1") + 1).withColumn("page2", F.col("i2") + 1)
+
+
+@query("api_document")
+def api_document(spark, sf_dir):
+    from folioscope.operators import numbers as N
+
+    pages2 = _pages(spark, sf_dir).filter("side = 2").groupBy("pair_id").agg(F.count(F.lit(1)).alias("pages2"))
+    rows = _page_diffs(spark, sf_dir).join(pages2, "pair_id", "left").fillna(0, ["pages2"])
+    return O.api_document(_diff(spark, sf_dir), N.reconciled(R.texts(_lines(spark, sf_dir))), rows, page_issue_rows(spark, sf_dir))
+
+
+@query("page_pair")
+def page_pair(spark, sf_dir):
+    """The third pair of pages of each comparison, looked up by its place."""
+    rows = _page_diffs(spark, sf_dir).withColumn("pair_index", F.row_number().over(Window.partitionBy("pair_id").orderBy("page1")) - 1)
+    return rows.filter("pair_index = 2").select("pair_id", "pair_index", "page1", "page2", "same", "changed", "added", "removed")
+
+
+@query("sheet_page_alignment")
+def sheet_page_alignment(spark, sf_dir):
+    from folioscope.plans.report_queries import comments
+
+    return O.alignment_sheet(_page_diffs(spark, sf_dir), O.latest_comments(comments(spark, sf_dir)))
+
+
 @query("page_diffs")
 def page_diffs(spark, sf_dir):
     rows = _page_diffs(spark, sf_dir)
@@ -210,11 +231,7 @@ def page_diff_counts(spark, sf_dir):
 
 @query("page_issues")
 def page_issues(spark, sf_dir):
-    """The first issues of each aligned pair of pages, as many as a report shows."""
-    pages = _pages(spark, sf_dir)
-    alignment = P.aligned(pages)
-    rows = O.first_issues(_page_lines(pages, alignment), ["pair_id", "i1"]).join(alignment.select("pair_id", "i1", "i2"), ["pair_id", "i1"])
-    return rows.select("pair_id", (F.col("i1") + 1).alias("page1"), (F.col("i2") + 1).alias("page2"), "seq", "status", "line1", "line2", "place")
+    return page_issue_rows(spark, sf_dir).select("pair_id", "page1", "page2", "seq", "status", "line1", "line2", "place")
 
 
 @query("status_counts")

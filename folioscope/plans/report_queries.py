@@ -9,8 +9,10 @@ from folioscope.functions import text as T
 from folioscope.operators import lines as L
 from folioscope.operators import numbers as N
 from folioscope.operators import pages as P
+from folioscope.operators import queue as U
 from folioscope.operators import reports as O
 from folioscope.plans import common as C
+from folioscope.plans import text_queries as Q
 from folioscope.sources import pdf as X
 from folioscope.sources import revisions as R
 
@@ -82,11 +84,30 @@ def queue_dedupe(spark, sf_dir):
     return _queue(spark, sf_dir).select("filename", "upload_no")
 
 
-@query("queue_status", f"WITH {_QUEUE} SELECT filename, upload_no, CAST(length_ // 1024 AS INTEGER) AS kb, 'AFS ' || dense_rank() OVER (PARTITION BY left(filename, 8) ORDER BY upload_no) AS label FROM queue")
+@query("queue_status", f"WITH {_QUEUE} SELECT filename, upload_no, CAST(length_ // 1024 AS INTEGER) AS kb, 'AFS ' || row_number() OVER (ORDER BY upload_no) AS label FROM queue")
 def queue_status(spark, sf_dir):
-    """Queue rows with size in whole KB and a label by order of arrival, within the name's head."""
-    place = F.dense_rank().over(Window.partitionBy(F.substring("filename", 1, 8)).orderBy("upload_no"))
-    return _queue(spark, sf_dir).select("filename", "upload_no", (F.col("length") / 1024).cast("int").alias("kb"), F.concat(F.lit("AFS "), place).alias("label"))
+    """Queue rows with size in whole KB and a label by order of arrival."""
+    rows = U.numbered(_queue(spark, sf_dir), "upload_no", "place")
+    return rows.select("filename", "upload_no", (F.col("length") / 1024).cast("int").alias("kb"), F.concat(F.lit("AFS "), "place").alias("label"))
+
+
+_PATHS = """paths AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '/' WHEN 1 THEN '/Shared/Reports/' WHEN 2 THEN '/shared/reports/../' WHEN 3 THEN '../' ELSE '/shared/reports/' END
+   || 'file' || o_custkey || CASE o_custkey % 6 WHEN 0 THEN '.pdf' WHEN 1 THEN '.DOCX' WHEN 2 THEN '.xlsx' WHEN 3 THEN '.txt' WHEN 4 THEN '.bin' ELSE '' END AS path FROM orders)"""
+
+
+@query(
+    "download_rules",
+    f"""WITH {_PATHS}, e AS (SELECT *, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ext FROM paths)
+SELECT o_orderkey, path, starts_with(path, '/') AND NOT contains(path, '..') AS absolute, starts_with(lower(path), '/shared/reports/') AND NOT contains(path, '..') AS allowed,
+  CASE ext """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in U.MIME.items()) + f" ELSE '{U.OTHER}' END AS mime FROM e",
+)
+def download_rules(spark, sf_dir):
+    """Which paths may be written to and sent, and as what type."""
+    pick = lambda column, names: F.element_at(F.array(*map(F.lit, names)), (F.col(column) % len(names) + 1).cast("int"))
+    folder = pick("o_orderkey", ["/", "/Shared/Reports/", "/shared/reports/../", "../", "/shared/reports/"])
+    path = F.concat(folder, F.lit("file"), "o_custkey", pick("o_custkey", [".pdf", ".DOCX", ".xlsx", ".txt", ".bin", ""]))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", path.alias("path"))
+    return rows.select("o_orderkey", "path", U.absolute(F.col("path")).alias("absolute"), U.downloadable(F.col("path"), "/shared/reports").alias("allowed"), U.mime(F.col("path")).alias("mime"))
 
 
 @query("extract_ready", f"WITH {_QUEUE} SELECT CAST(count(*) AS BIGINT) AS queued, bool_and(length_ > 0) AS all_read, count(*) >= 2 AS comparable FROM queue")
@@ -95,42 +116,45 @@ def extract_ready(spark, sf_dir):
 
 
 def _stats(spark, sf_dir):
-    """Page-like counts from line items: (pair_id, page, issues, pct, unmatched)."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    n = F.count(F.lit(1))
-    changed = F.count_if(F.col("l_returnflag") == "R")
-    return li.groupBy((F.col("l_orderkey") % 500).alias("pair_id"), F.col("l_linenumber").alias("page")).agg(changed.alias("issues"), T.rounded((n - changed) / n * 100, 1).alias("pct"), (F.max("l_linestatus") == "F").alias("unmatched"))
+    """Counts of each page of the revisions, line by line at the same place: (pair_id, page, issues, pct, unmatched)."""
+    n, same = F.count(F.lit(1)), F.count_if(F.col("status") == "same")
+    pages = Q.placed(spark, sf_dir).groupBy("pair_id", F.floor(F.col("ord") / (2 * R.PAGE_LINES)).cast("int").alias("page"))
+    return pages.agg((n - same).alias("issues"), T.rounded(same / n * 100, 1).alias("pct"), F.bool_and(F.col("status").isin("added", "removed")).alias("unmatched"))
 
 
-_STATS = f"""stats AS (SELECT l_orderkey % 500 AS pair_id, l_linenumber AS page, CAST(count(*) FILTER (l_returnflag = 'R') AS BIGINT) AS issues,
-   {C.rounded("CAST(count(*) - count(*) FILTER (l_returnflag = 'R') AS DOUBLE) / count(*) * 100", 1)} AS pct, max(l_linestatus) = 'F' AS unmatched FROM lineitem GROUP BY ALL)"""
+_STATS = f"""{Q.PLACED}, stats AS (SELECT pair_id, CAST(ord // {2 * R.PAGE_LINES} AS INTEGER) AS page, CAST(count(*) FILTER (status <> 'same') AS BIGINT) AS issues,
+   {C.rounded("CAST(count(*) FILTER (status = 'same') AS DOUBLE) / count(*) * 100", 1)} AS pct, bool_and(status IN ('added', 'removed')) AS unmatched FROM placed GROUP BY ALL)"""
 
 
-@query("page_status_flag", f"WITH {_STATS} SELECT pair_id, page, CASE WHEN issues = 0 THEN 'OK' WHEN issues > 5 THEN '!!' ELSE '!' END AS flag FROM stats")
+@query("page_status_flag", f"{_STATS} SELECT pair_id, page, CASE WHEN issues = 0 THEN 'OK' WHEN issues > 5 THEN '!!' ELSE '!' END AS flag FROM stats")
 def page_status_flag(spark, sf_dir):
     return _stats(spark, sf_dir).select("pair_id", "page", O.issues_flag(F.col("issues")).alias("flag"))
 
 
-@query("page_pct_band", f"WITH {_STATS} SELECT pair_id, page, CASE WHEN pct = 100 THEN 'ok' WHEN pct >= 70 THEN '~' ELSE '!!' END AS band FROM stats")
+@query("page_pct_band", f"{_STATS} SELECT pair_id, page, CASE WHEN pct = 100 THEN 'ok' WHEN pct >= 70 THEN '~' ELSE '!!' END AS band FROM stats")
 def page_pct_band(spark, sf_dir):
     return _stats(spark, sf_dir).select("pair_id", "page", O.pct_band(F.col("pct")).alias("band"))
 
 
-@query("page_badge", f"WITH {_STATS} SELECT pair_id, page, CASE WHEN unmatched THEN 'unmatched' WHEN issues = 0 THEN 'identical' ELSE 'changed' END AS badge FROM stats")
+@query("page_badge", f"{_STATS} SELECT pair_id, page, CASE WHEN unmatched THEN 'unmatched' WHEN issues = 0 THEN 'identical' ELSE 'changed' END AS badge FROM stats")
 def page_badge(spark, sf_dir):
     return _stats(spark, sf_dir).select("pair_id", "page", O.badge(F.col("unmatched"), F.col("issues")).alias("badge"))
 
 
-@query("summary_table", f"WITH c AS (SELECT l_orderkey % 500 AS pair_id, l_returnflag AS status, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY ALL) SELECT pair_id, status, n, {C.rounded('CAST(n AS DOUBLE) / greatest(sum(n) OVER (PARTITION BY pair_id), 1) * 100', 1)} AS pct FROM c")
+@query("summary_table", f"{Q.PLACED}, c AS (SELECT pair_id, status, CAST(count(*) AS BIGINT) AS n FROM placed GROUP BY ALL) SELECT pair_id, status, n, {C.rounded('CAST(n AS DOUBLE) / greatest(sum(n) OVER (PARTITION BY pair_id), 1) * 100', 1)} AS pct FROM c")
 def summary_table(spark, sf_dir):
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return O.summary(li.groupBy((F.col("l_orderkey") % 500).alias("pair_id"), F.col("l_returnflag").alias("status")).agg(F.count(F.lit(1)).alias("n")))
+    return O.summary(Q.placed(spark, sf_dir).groupBy("pair_id", "status").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("numbered_changes", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
+@query("numbered_changes", f"{Q.PLACED} SELECT pair_id, ord, row_number() OVER (PARTITION BY pair_id ORDER BY ord) AS place FROM placed WHERE status = 'changed'")
 def numbered_changes(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", place.cast("long").alias("place"))
+    place = F.row_number().over(Window.partitionBy("pair_id").orderBy("ord"))
+    return Q.placed(spark, sf_dir).filter("status = 'changed'").select("pair_id", "ord", place.cast("long").alias("place"))
+
+
+@query("sheet_comments", f"WITH {_COMMENTS} SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY key) AS row_no, key, comment FROM saved")
+def sheet_comments(spark, sf_dir):
+    return O.comment_sheet(O.latest_comments(comments(spark, sf_dir)))
 
 
 def _diff(spark, sf_dir):
@@ -161,12 +185,6 @@ def text_report(spark, sf_dir):
     return O.text_report(diff, L.status_counts(diff, "pair_id"))
 
 
-@query("api_document")
-def api_document(spark, sf_dir):
-    texts = R.texts(R.revision_lines(spark, sf_dir))
-    return O.api_document(L.compared(texts), N.reconciled(texts))
-
-
 @query("session_json", f"WITH {_COMMENTS} SELECT pair_id, CAST(count(*) AS BIGINT) AS n, min(key) AS first_key FROM saved GROUP BY pair_id")
 def session_json(spark, sf_dir):
     """A pair's comments written as one JSON document and read again; what can't be read counts as empty."""

@@ -48,7 +48,7 @@ cmp AS (SELECT pair_id, {_list("both_", "n1")} AS in_both, {_list("o1", "n1")} A
 
 
 def _texts(spark, sf_dir):
-    return R.texts(R.english_lines(spark, sf_dir))
+    return R.texts(R.revision_lines(spark, sf_dir))
 
 
 @query("number_compare", f"{_TEXTS} SELECT pair_id, array_to_string(in_both, ' ') AS in_both, array_to_string(only1, ' ') AS only1, array_to_string(only2, ' ') AS only2, count1, count2, similarity_pct FROM cmp")
@@ -85,14 +85,14 @@ def split_lines(spark, sf_dir):
 
 @query("noise_filter", f"WITH {C.REVISION}, s AS (SELECT pair_id, side, ord, {C.strip('line')} AS line FROM rev) SELECT pair_id, side, ord, line FROM s WHERE NOT {C.noise('line')}")
 def noise_filter(spark, sf_dir):
-    rows = R.english_lines(spark, sf_dir).select("pair_id", "side", "ord", T.strip(F.col("line")).alias("line"))
+    rows = R.revision_lines(spark, sf_dir).select("pair_id", "side", "ord", T.strip(F.col("line")).alias("line"))
     return rows.filter(~T.is_noise(F.col("line")))
 
 
-@query("normalise_lines", f"WITH {C.REVISION}, n AS (SELECT pair_id, side, ord, {C.normalise('line')} AS norm FROM rev WHERE regexp_full_match(line, '[\\x00-\\x7f]*')) SELECT *, {C.canonical('norm')} AS canon FROM n")
+@query("normalise_lines", f"WITH {C.REVISION}, n AS (SELECT pair_id, side, ord, {C.normalise('line')} AS norm FROM rev) SELECT *, {C.canonical('norm')} AS canon FROM n")
 def normalise_lines(spark, sf_dir):
-    rows = R.english_lines(spark, sf_dir).filter(F.col("line").rlike(r"^[\x00-\x7f]*$"))
-    rows = rows.select("pair_id", "side", "ord", T.normalise(F.col("line")).alias("norm"))
+    rows = R.revision_lines(spark, sf_dir)
+    rows = rows.select("pair_id", "side", "ord", T.normalise(T.decomposed(F.col("line"))).alias("norm"))
     return rows.withColumn("canon", T.canonical(F.col("norm")))
 
 
@@ -100,7 +100,7 @@ def normalise_lines(spark, sf_dir):
 def decomposed_lines(spark, sf_dir):
     """All languages: compatibility decomposition before normalising."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", T.normalise(T.nfkd("line")).alias("norm"))
+    return rows.select("doc_id", "line_no", T.normalise(T.decomposed(F.col("line"))).alias("norm"))
 
 
 @query("doc_type", "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, CASE WHEN length(coalesce(text, '')) < 100 THEN 'scanned (no OCR)' ELSE 'digital' END AS doc_type FROM documents")
@@ -128,7 +128,7 @@ def word_count_b(spark, sf_dir):
 
 @query("page_text", f"WITH {C.REVISION} SELECT pair_id, side, page_no, string_agg(line, chr(10) ORDER BY ord) AS text FROM rev GROUP BY ALL")
 def page_text(spark, sf_dir):
-    return R.pages(R.english_lines(spark, sf_dir))
+    return R.pages(R.revision_lines(spark, sf_dir))
 
 
 _PAGES = f"WITH {C.REVISION}, pages_ AS (SELECT pair_id, side, page_no, string_agg(line, chr(10) ORDER BY ord) AS text FROM rev GROUP BY ALL)"
@@ -136,12 +136,12 @@ _PAGES = f"WITH {C.REVISION}, pages_ AS (SELECT pair_id, side, page_no, string_a
 
 @query("page_anchor", f"{_PAGES} SELECT pair_id, side, page_no, left(lower(array_to_string(list_slice(list_filter({C.clean_lines('text')}, lambda q: length(q) > 8), 1, 3), ' ')), 120) AS anchor FROM pages_")
 def page_anchor(spark, sf_dir):
-    return R.pages(R.english_lines(spark, sf_dir)).select("pair_id", "side", "page_no", T.anchor(F.col("text")).alias("anchor"))
+    return R.pages(R.revision_lines(spark, sf_dir)).select("pair_id", "side", "page_no", T.anchor(F.col("text")).alias("anchor"))
 
 
 @query("page_vocabulary", f"{_PAGES} SELECT pair_id, side, page_no, CAST(len(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}'))) AS BIGINT) AS n_words FROM pages_")
 def page_vocabulary(spark, sf_dir):
-    return R.pages(R.english_lines(spark, sf_dir)).select("pair_id", "side", "page_no", F.size(T.vocabulary(F.col("text"))).cast("long").alias("n_words"))
+    return R.pages(R.revision_lines(spark, sf_dir)).select("pair_id", "side", "page_no", F.size(T.vocabulary(F.col("text"))).cast("long").alias("n_words"))
 
 
 _TOKENS = "list_filter(string_split({x}, ' '), lambda q: q <> '')"
@@ -149,20 +149,20 @@ _TOKENS = "list_filter(string_split({x}, ' '), lambda q: q <> '')"
 
 @query(
     "token_bigrams",
-    f"""WITH {C.REVISION}, t AS (SELECT pair_id, side, ord, list_filter(string_split({C.normalise("line")}, ' '), lambda q: q <> '') AS t FROM rev WHERE regexp_full_match(line, '[\\x00-\\x7f]*')),
+    f"""WITH {C.REVISION}, t AS (SELECT pair_id, side, ord, list_filter(string_split({C.normalise("line")}, ' '), lambda q: q <> '') AS t FROM rev),
 u AS (SELECT pair_id, side, ord, t[1] AS key FROM t WHERE len(t) > 0 UNION SELECT pair_id, side, ord, t[i] || t[i + 1] FROM (SELECT *, unnest(range(1, len(t))) AS i FROM t))
 SELECT * FROM u""",
 )
 def token_bigrams(spark, sf_dir):
-    rows = R.english_lines(spark, sf_dir).filter(F.col("line").rlike(r"^[\x00-\x7f]*$"))
-    return rows.select("pair_id", "side", "ord", F.explode(T.index_keys(T.normalise(F.col("line")))).alias("key"))
+    rows = R.revision_lines(spark, sf_dir)
+    return rows.select("pair_id", "side", "ord", F.explode(T.index_keys(T.normalise(T.decomposed(F.col("line"))))).alias("key"))
 
 
 @query(
     "scalar_functions",
     r"""SELECT page_id, CASE WHEN length(url) <= 20 THEN url ELSE left(url, 20) || '…' END AS short_url,
        CASE WHEN trim(regexp_replace(url, '[\\/*?:"<>|]', '_', 'g')) = '' THEN 'AFS' ELSE trim(regexp_replace(url, '[\\/*?:"<>|]', '_', 'g')) END AS file_name,
-       replace(replace(replace(replace(left(html, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped,
+       replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped,
        CAST(length(html) // 1024 AS INTEGER) AS kb, round_even(length(html) * 130 / 72.0, 0) AS pixels FROM pages""",
 )
 def scalar_functions(spark, sf_dir):
@@ -171,7 +171,7 @@ def scalar_functions(spark, sf_dir):
         "page_id",
         T.shortened(F.col("url"), 20).alias("short_url"),
         T.file_safe(F.col("url")).alias("file_name"),
-        T.html_escaped(F.substring("html", 1, 200)).alias("escaped"),
+        T.html_escaped(F.col("html")).alias("escaped"),
         (F.length("html") / 1024).cast("int").alias("kb"),
         F.rint(F.length("html") * 130 / F.lit(72.0)).alias("pixels"),
     )
@@ -184,12 +184,11 @@ def formatting(spark, sf_dir):
 
 
 _NUMBERED = f"""WITH {C.REVISION}, both_ AS (
-  SELECT a.pair_id, a.ord, {{}} AS n1, {{}} AS n2, a.line AS l1, b.line AS l2 FROM rev a JOIN rev b ON a.pair_id = b.pair_id AND a.ord = b.ord AND a.side = 1 AND b.side = 2
-  WHERE regexp_full_match(a.line, '[\\x00-\\x7f]*'))"""
+  SELECT a.pair_id, a.ord, {{}} AS n1, {{}} AS n2, a.line AS l1, b.line AS l2 FROM rev a JOIN rev b ON a.pair_id = b.pair_id AND a.ord = b.ord AND a.side = 1 AND b.side = 2)"""
 
 
 def _aligned_lines(spark, sf_dir):
-    return _at_one_place(R.english_lines(spark, sf_dir).filter(F.col("line").rlike(r"^[\x00-\x7f]*$")))
+    return _at_one_place(R.revision_lines(spark, sf_dir))
 
 
 def _at_one_place(lines):
@@ -205,34 +204,53 @@ def line_num_diff(spark, sf_dir):
 
 
 _SCORE_B = f"""WITH {C.REVISION}, both_ AS (
-  SELECT a.pair_id, a.ord, {C.normalise("a.line")} AS norm1, {C.normalise("b.line")} AS norm2, {C.numbers("a.line")} AS n1, {C.numbers("b.line")} AS n2
-  FROM rev a JOIN rev b ON a.pair_id = b.pair_id AND a.ord = b.ord AND a.side = 1 AND b.side = 2 WHERE regexp_full_match(a.line, '[\\x00-\\x7f]*')),
-can AS (SELECT *, {C.canonical("norm1")} AS canon1, {C.canonical("norm2")} AS canon2 FROM both_),
-sim AS (SELECT *, CASE WHEN greatest(length(canon1), length(canon2)) = 0 THEN 1.0 ELSE 1.0 - CAST(levenshtein(canon1, canon2) AS DOUBLE) / greatest(length(canon1), length(canon2)) END AS sim,
+  SELECT a.pair_id, a.ord, {C.normalise("a.line")} AS norm1, {C.normalise("b.line")} AS norm2, {C.normalise("a.line", False)} AS whole1, {C.normalise("b.line", False)} AS whole2, {C.numbers("a.line")} AS n1, {C.numbers("b.line")} AS n2
+  FROM rev a JOIN rev b ON a.pair_id = b.pair_id AND a.ord = b.ord AND a.side = 1 AND b.side = 2),
+can AS (SELECT *, {C.canonical("whole1")} AS canon1, {C.canonical("whole2")} AS canon2 FROM both_),
+sim AS (SELECT *, CASE WHEN greatest(length(canon1), length(canon2)) = 0 THEN 1.0 ELSE 1.0 - CAST({C.levenshtein("canon1", "canon2")} AS DOUBLE) / greatest(length(canon1), length(canon2)) END AS sim,
                list_sort(n1) = list_sort(n2) AS agree FROM can),
 sc AS (SELECT *, CASE WHEN len(n1) > 0 AND len(n2) > 0 THEN greatest(0.0, least(1.0, sim + CASE WHEN agree THEN 0.04 ELSE -0.06 END)) ELSE sim END AS score,
               list_distinct(list_filter(string_split(norm1, ' '), lambda q: q <> '')) AS w1, list_distinct(list_filter(string_split(norm2, ' '), lambda q: q <> '')) AS w2,
-              CASE WHEN length(norm1) <= length(norm2) THEN norm1 ELSE norm2 END AS shorter, CASE WHEN length(norm1) <= length(norm2) THEN norm2 ELSE norm1 END AS longer FROM sim)
-SELECT pair_id, ord, {C.rounded("score", 4)} AS score, CASE WHEN norm1 = norm2 OR canon1 = canon2 OR score >= 0.94 OR (agree AND score >= 0.8) THEN 'same'
+              CASE WHEN length(norm1) <= length(norm2) THEN norm1 ELSE norm2 END AS shorter, CASE WHEN length(norm1) <= length(norm2) THEN norm2 ELSE norm1 END AS longer FROM sim),
+st AS (SELECT pair_id, ord, {C.rounded("score", 4)} AS score, CASE WHEN norm1 = norm2 OR canon1 = canon2 OR score >= 0.94 OR (agree AND score >= 0.8) THEN 'same'
   WHEN agree AND len(w1) >= 4 AND len(w2) >= len(w1) AND CAST(len(list_intersect(w1, w2)) AS DOUBLE) / len(w1) >= 0.85 AND CAST(len(w1) AS DOUBLE) / len(w2) >= 0.55 THEN 'same'
-  WHEN length(shorter) >= 40 AND NOT regexp_matches(shorter, '[.!?]$') AND starts_with(longer, shorter) THEN 'same' ELSE 'changed' END AS status FROM sc"""
+  WHEN length(shorter) >= 40 AND NOT regexp_matches(shorter, '[.!?]$') AND starts_with(longer, shorter) THEN 'same' ELSE 'changed' END AS status FROM sc)"""
+PLACED = f"""{_SCORE_B},
+placed AS (SELECT pair_id, ord, status FROM st UNION ALL SELECT pair_id, ord, CASE side WHEN 1 THEN 'removed' ELSE 'added' END FROM rev r WHERE NOT EXISTS (SELECT 1 FROM st s WHERE s.pair_id = r.pair_id AND s.ord = r.ord))"""
 
 
-@query("line_score_status", _SCORE_B)
+@query("line_score_status", f"{_SCORE_B} SELECT * FROM st")
 def line_score_status(spark, sf_dir):
-    """Edit-distance score and gates of the lines that stand at the same place of both sides."""
-    rows = _aligned_lines(spark, sf_dir)
-    for n in ("1", "2"):
-        rows = rows.withColumn("norm" + n, T.normalise(F.col("l" + n))).withColumn("canon" + n, T.canonical(F.col("norm" + n))).withColumn("n" + n, T.numbers(F.col("l" + n)))
+    """Edit-distance score and gates of the lines that stand at the same place of both sides.
+
+    Canonical lines keep bare stamps here, as they do where edit distance matches lines.
+    """
+    rows = _scored(_aligned_lines(spark, sf_dir))
+    return rows.select("pair_id", "ord", T.rounded(F.col("score"), 4).alias("score"), "status")
+
+
+def _scored(rows):
+    """(pair_id, ord, l1, l2) with score and status."""
+    rows = rows.select("pair_id", "ord", "l1", "l2", *[T.normalise(T.decomposed(F.col(f"l{n}")), False).alias(f"whole{n}") for n in "12"])
+    made = [(f"norm{n}", T.without_stamp(F.col(f"whole{n}"))) for n in "12"] + [(f"canon{n}", T.canonical(F.col(f"whole{n}"))) for n in "12"] + [(f"n{n}", T.numbers(F.col(f"l{n}"))) for n in "12"]
+    rows = rows.select("pair_id", "ord", "l1", "l2", *[c.alias(t) for t, c in made])
     rows = rows.withColumn("score", S.with_numbers(S.levenshtein(F.col("canon1"), F.col("canon2")), F.col("n1"), F.col("n2"), True))
-    cols = [F.col(c) for c in ("norm1", "norm2", "canon1", "canon2", "n1", "n2", "score")]
-    return rows.select("pair_id", "ord", T.rounded(F.col("score"), 4).alias("score"), S.status(*cols).alias("status"))
+    return rows.withColumn("status", S.status(*[F.col(c) for c in ("norm1", "norm2", "canon1", "canon2", "n1", "n2", "score")]))
+
+
+def placed(spark, sf_dir):
+    """(pair_id, ord, status): the lines of both revisions by their place, where one side may have none."""
+    lines = R.revision_lines(spark, sf_dir)
+    side = lambda n: lines.filter(F.col("side") == n).select("pair_id", "ord", F.col("line").alias(f"l{n}"))
+    rows = _scored(side(1).join(side(2), ["pair_id", "ord"], "full"))
+    return rows.select("pair_id", "ord", F.when(F.col("l2").isNull(), "removed").when(F.col("l1").isNull(), "added").otherwise(F.col("status")).alias("status"))
 
 
 @query("line_gestalt")
 def line_gestalt(spark, sf_dir):
     """Gestalt score of the lines at the same place, second side first."""
-    rows = _at_one_place(R.revision_lines(spark, sf_dir))
-    rows = rows.withColumn("norm1", T.normalise(T.nfkd("l1"))).withColumn("norm2", T.normalise(T.nfkd("l2")))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = _at_one_place(R.revision_lines(spark, sf_dir)).repartition(tasks, "pair_id", "ord")  # long lines are the work, not the bytes
+    rows = rows.withColumn("norm1", T.normalise(T.decomposed(F.col("l1")))).withColumn("norm2", T.normalise(T.decomposed(F.col("l2"))))
     score = S.with_numbers(S.gestalt_of("norm2", "norm1"), T.numbers(F.col("l1")), T.numbers(F.col("l2")), False)
     return rows.select("pair_id", "ord", T.rounded(score, 4).alias("score"))

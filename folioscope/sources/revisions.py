@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,22 +16,14 @@ LINE_SCHEMA = "pair_id long, side int, ord long, page_no int, line string"
 def revision_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair_id, side, ord, page_no, line): each document, in any language or none, and the same with an edit to some lines.
 
-    The edit follows from (doc_id * 31 + line number) % 11: 0 drops the line, 1 puts it in capitals, 2 appends a
-    word, 3 replaces words, 4 inserts a numbered note after it, 5 turns its digits, others keep it.
+    The edit follows from (doc_id * 31 + line number) % 11: 0 drops the line, 1 puts its letters a-z in capitals, 2
+    appends a word, 3 replaces words, 4 inserts a numbered note after it, 5 turns its digits, others keep it.
     """
-    return _revised(spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null"))
-
-
-def english_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """revision_lines of the English documents alone: the rows of queries whose SQL names that language."""
-    return _revised(spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en' and text is not null"))
-
-
-def _revised(docs: DataFrame) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null")
     first = docs.select(F.col("doc_id").alias("pair_id"), F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("k", (F.col("pair_id") * 31 + F.col("n")) % 11)
     k, line = F.col("k"), F.col("line")
     edited = (
-        F.when(k == 1, F.upper(line))
+        F.when(k == 1, F.translate(line, ascii_lowercase, ascii_uppercase))
         .when(k == 2, F.concat(line, F.lit(" amended")))
         .when(k == 3, F.replace(line, F.lit("the"), F.lit("that")))
         .when(k == 5, F.translate(line, "0123456789", "1234567890"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from folioscope.operators import queue as Q
 from folioscope.operators import reports as O
 
 COMMENT_SCHEMA = "pair_id long, key string, comment string, seq long"
@@ -25,6 +26,9 @@ def upserted(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
             rows = rows.unionByName(spark.read.schema(COMMENT_SCHEMA).parquet(f"{table}/version={number - 1}"))
         last = rows.groupBy("pair_id", "key").agg(F.max_by("comment", "seq").alias("comment"), F.max("seq").alias("seq"))
         last.write.mode("overwrite").parquet(f"{table}/version={number}")
+        if number > 1:  # the version before stays for a batch that runs again, and for readers
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/version={number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -49,4 +53,4 @@ def sessions(events: DataFrame, idle: str = "2 hours", late: str = "10 minutes")
 
 def labelled(queue_rows: DataFrame) -> DataFrame:
     """A static queue's rows with their labels by order of arrival."""
-    return queue_rows.withColumn("label", F.concat(F.lit("AFS "), F.row_number().over(Window.orderBy("arrived"))))
+    return Q.numbered(queue_rows, "arrived", "_place").withColumn("label", F.concat(F.lit("AFS "), "_place")).drop("_place")
