@@ -3,10 +3,14 @@
 Documents are cut into overlapping passages, twice as long as the longest benchmark item and half of that apart, so
 that any occurrence of an item lies within one passage. Passages are TF-IDF vectors over the benchmark's words
 (other words cannot add to a product with an item); IDF is counted over all documents. A distributed randomised
-range finder gives the latent space: each task adds its passages' share of A'A times a random matrix, the shares
-are summed by blocks of terms, and the benchmark's own rows are added so that rarely copied items keep a direction. A
-passage and an item are a candidate pair if their cosine in that space reaches COSINE; candidates are then verified
-by the longest common subsequence of their words and by the item's answer, its last words.
+SVD gives the latent space: each task adds its passages' share of Y = A'A R for a random matrix R, the shares are
+summed by parts of the terms, and from Y and R alone the right singular vectors and singular values of A follow (the
+single-pass form for A'A: with L the Cholesky factor of R'Y, Y/L' has the vectors on its left and the values, once more
+squared, in its middle). A also has the items' own rows, with as much weight as all passages together, so that an item
+which is seldom copied keeps a direction. A passage and an item are a candidate pair if their cosine in that space
+reaches COSINE; candidates are then verified by the longest common subsequence of their words and by the item's answer,
+its last words. Items are searched in blocks, each with a space of its own that has a dimension for each item and
+OVERSAMPLE more; some blocks share a pass over the documents.
 
 Defined cases: null and empty texts and items match nothing; items repeated under other ids each match; several
 occurrences in one document are one row with the best; an empty table gives an empty result; extra columns are
@@ -31,9 +35,11 @@ COSINE = 0.3
 #: Shares of an item's words, in order, that must be found: alone, or with so much of the answer.
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.6
 ANSWER_WORDS = 5
-#: Dimensions beyond one for each item, and the most of them; items that are searched at once; distinct TF-IDF terms.
-OVERSAMPLE, MAX_RANK, ITEMS, TERMS = 56, 512, 4096, 1 << 14
-BLOCKS = 32
+#: Dimensions beyond one for each item; items of a block, and their distinct words (a longer item is a block of its own);
+#: blocks that share a pass; singular values below this share of the largest are noise.
+OVERSAMPLE, ITEMS, TERMS, SHARED, SMALL = 56, 256, 1 << 14, 8, 1e-5
+#: Parts in which sums over terms are added up.
+PARTS = 32
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -66,15 +72,15 @@ class Benchmark:
         self.order = np.argsort(hashes)
         self.sorted_hashes = hashes[self.order]
         self.longest = max((len(w) for w in self.vocabulary), default=0)
-        self.idf = self.basis = None
+        self.idf = self.basis = self.values = None
 
     @property
     def finder(self):
         return type("Terms", (Words,), {"order": self.order, "sorted_hashes": self.sorted_hashes, "longest": self.longest})
 
     @property
-    def terms(self) -> int:
-        return min(TERMS, len(self.vocabulary))
+    def rank(self) -> int:
+        return min(len(self.vocabulary), len(self.items) + OVERSAMPLE)
 
     def vectors(self, owner: np.ndarray, vocab: np.ndarray):
         """Unit TF-IDF rows in sparse form: (row's owner, its first pair), and of each pair the term and weight."""
@@ -86,7 +92,7 @@ class Benchmark:
         if len(row):
             norm = np.sqrt(np.add.reduceat(weight**2, starts))
             weight = weight / np.repeat(norm, np.diff(np.append(starts, len(row))))
-        return row[starts], starts, term % self.terms if self.terms else term, weight.astype(np.float32)
+        return row[starts], starts, term, weight.astype(np.float32)
 
     def passages(self, words: Words):
         """The passages that weighty hits lie in: owner = text * span + passage, and the hits' words."""
@@ -102,97 +108,141 @@ def projected(starts: np.ndarray, term: np.ndarray, weight: np.ndarray, onto: np
     return np.add.reduceat(weight[:, None] * onto[term], starts, axis=0) if len(starts) else np.zeros((0, onto.shape[1]), np.float32)
 
 
-def _frequencies(batches, bench: Benchmark):
-    size = len(bench.vocabulary)
-    total, n = np.zeros(size, np.int64), 0
-    for part, words in _tables(_slices(batches), finder=bench.finder):
-        total += np.bincount(np.unique(words.text.astype(np.int64) * size + words.vocab) % size, minlength=size)
-        n += part.num_rows
-    yield pa.RecordBatch.from_arrays([pa.array(range(-1, size), pa.int32()), pa.array([n, *total.tolist()], pa.int64())], ["word", "n"])
+def _tabled(batches, benches: list[Benchmark]):
+    """(block, bench, rows, words) of each piece of a batch and each block."""
+    for part in _slices(batches):
+        for k, bench in enumerate(benches):
+            for _, words in _tables([part], finder=bench.finder):
+                yield k, bench, part, words
 
 
-def _random(bench: Benchmark, rank: int) -> np.ndarray:
-    return np.random.default_rng(11).standard_normal((bench.terms, rank), np.float32)
+def _frequencies(batches, benches: list[Benchmark]):
+    totals, n = [np.zeros(len(x.vocabulary), np.int64) for x in benches], 0
+    for k, bench, part, words in _tabled(batches, benches):
+        size = len(bench.vocabulary)
+        totals[k] += np.bincount(np.unique(words.text.astype(np.int64) * size + words.vocab) % size, minlength=size)
+        n += part.num_rows if k == 0 else 0
+    for k, total in enumerate(totals):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total) + 1, k, np.int32)), pa.array(range(-1, len(total)), pa.int32()), pa.array([n, *total.tolist()], pa.int64())], ["block", "word", "n"])
 
 
-def _range(batches, bench: Benchmark, rank: int):
-    omega = _random(bench, rank)
-    out = np.zeros((bench.terms, rank), np.float32)
-    for _, words in _tables(_slices(batches), finder=bench.finder):
-        _, owner, vocab = bench.passages(words)
-        _, starts, term, weight = bench.vectors(owner, vocab)
-        if not len(starts):
-            continue
+def _random(bench: Benchmark) -> np.ndarray:
+    return np.random.default_rng(11).standard_normal((len(bench.vocabulary), bench.rank), np.float32)
+
+
+def _gram(starts, term, weight, omega: np.ndarray, out: np.ndarray) -> None:
+    """Adds A'A omega of some rows to out."""
+    if len(starts):
         rows = projected(starts, term, weight, omega)
         of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(term))))
         order = np.argsort(term, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], term[order][1:] != term[order][:-1]]))
         out[term[order][first]] += np.add.reduceat(weight[order, None] * rows[of[order]], first, axis=0)
-    for k, part in enumerate(np.array_split(out, BLOCKS)):
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "part"])
+
+
+def _range(batches, benches: list[Benchmark]):
+    omegas = [_random(x) for x in benches]
+    outs = [np.zeros_like(x) for x in omegas]
+    for k, bench, _, words in _tabled(batches, benches):
+        _, owner, vocab = bench.passages(words)
+        _, starts, term, weight = bench.vectors(owner, vocab)
+        _gram(starts, term, weight, omegas[k], outs[k])
+    for k, out in enumerate(outs):
+        for j, part in enumerate(np.array_split(out, PARTS)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k * PARTS + j], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["place", "part"])
 
 
 def _summed(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for place, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             own = np.frombuffer(part.as_buffer(), np.float32).astype(np.float64)
-            sums[block] = sums[block] + own if block in sums else own
-    for block, own in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["block", "part"])
-
-
-def fitted(docs: DataFrame, rows: list[tuple[int, str]]) -> Benchmark:
-    """A benchmark with IDF and latent basis from all documents; the driver gets sums whose size the items set."""
-    bench = Benchmark(rows)
-    if not bench.vocabulary:
-        return bench
-    counts = arrow_map(docs, _frequencies, "word int, n long", bench).groupBy("word").agg(F.sum("n").alias("n")).collect()
-    n = {r["word"]: r["n"] for r in counts}
-    total = n.get(-1, 0)
-    df = np.array([n.get(k, 0) for k in range(len(bench.vocabulary))])
-    weighty = df <= MAX_DF * total
-    for ws in bench.numbers:
-        weighty[sorted(set(ws), key=lambda w: (df[w], w))[:RAREST]] = True
-    bench.idf = np.where(weighty, np.log((total + 1) / (df + 1)) + 1, 0.0)
-    rank = min(MAX_RANK, bench.terms, len(bench.items) + OVERSAMPLE)
-    shares = arrow_map(docs, _range, "block int, part binary", bench, rank)
-    parts = {r["block"]: np.frombuffer(r["part"], np.float64) for r in arrow_map(shares.repartition(BLOCKS, "block"), _summed, "block int, part binary").collect()}
-    sums = np.concatenate([parts[k].reshape(-1, rank) if k in parts else np.zeros((len(x), rank)) for k, x in enumerate(np.array_split(np.zeros(bench.terms), BLOCKS))])
-    owner = np.repeat(np.arange(len(bench.numbers)), [len(x) for x in bench.numbers])
-    _, starts, term, weight = bench.vectors(owner, np.concatenate([np.array(x) for x in bench.numbers]))
-    own = np.zeros_like(sums)
-    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(term))))
-    np.add.at(own, term, weight[:, None] * projected(starts, term, weight, _random(bench, rank))[of])
-    scale = max(1.0, np.linalg.norm(sums) / max(np.linalg.norm(own), 1e-9))
-    bench.basis = np.linalg.qr(sums + scale * own)[0].astype(np.float32)
-    return bench
-
-
-def _search(batches, bench: Benchmark):
-    owner = np.repeat(np.arange(len(bench.numbers)), [len(x) for x in bench.numbers])
-    having, starts, term, weight = bench.vectors(owner, np.concatenate([np.array(x) for x in bench.numbers]))
-    latent = projected(starts, term, weight, bench.basis)
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    masks, answers = [], []
-    for ws in bench.numbers:
-        for out, part in ((masks, ws), (answers, ws[-ANSWER_WORDS:])):
-            bits: dict[int, int] = {}
-            for k, w in enumerate(part):
-                bits[w] = bits.get(w, 0) | 1 << k
-            out.append((bits, len(part)))
-    for part, words in _tables(_slices(batches), finder=bench.finder):
+            sums[place] = sums[place] + own if place in sums else own
+    for place, own in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["place", "part"])
+
+
+def decomposed(sums: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors and singular values of A from Y = A'A omega alone."""
+    omega = omega.astype(np.float64)
+    shift = 1e-10 * max(np.linalg.norm(sums), 1e-300)  # keeps the factor defined; taken off the values again
+    shifted = sums + shift * omega
+    core = omega.T @ shifted
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    good = values > values.max() * 1e-12
+    left, middle, _ = np.linalg.svd(shifted @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
+    return left, np.sqrt(np.maximum(middle**2 - shift, 0))
+
+
+def blocks_of(rows: list[tuple[int, str]]) -> list[Benchmark]:
+    """Items in order, in blocks of ITEMS items and TERMS distinct words at most."""
+    cut, held, vocabulary = [], [], set()
+    for i, text in rows:
+        words = set(words_of(text))
+        if held and (len(held) == ITEMS or len(vocabulary | words) > TERMS):
+            cut.append(held)
+            held, vocabulary = [], set()
+        held.append((i, text))
+        vocabulary |= words
+    return [x for rows in [*cut, held] if (x := Benchmark(rows)).vocabulary]
+
+
+def fit(docs: DataFrame, benches: list[Benchmark]) -> None:
+    """IDF and latent space of each block from all documents; the driver gets sums whose size the items set."""
+    rows = arrow_map(docs, _frequencies, "block int, word int, n long", benches).groupBy("block", "word").agg(F.sum("n").alias("n")).collect()
+    n = {(r["block"], r["word"]): r["n"] for r in rows}
+    for b, bench in enumerate(benches):
+        total = n.get((b, -1), 0)
+        df = np.array([n.get((b, k), 0) for k in range(len(bench.vocabulary))])
+        weighty = df <= MAX_DF * total
+        for ws in bench.numbers:
+            weighty[sorted(set(ws), key=lambda w: (df[w], w))[:RAREST]] = True
+        bench.idf = np.where(weighty, np.log((total + 1) / (df + 1)) + 1, 0.0)
+    shares = arrow_map(docs, _range, "place int, part binary", benches)
+    parts = {r["place"]: np.frombuffer(r["part"], np.float64) for r in arrow_map(shares.repartition(PARTS, "place"), _summed, "place int, part binary").collect()}
+    for b, bench in enumerate(benches):
+        omega = _random(bench)
+        cut = np.array_split(np.zeros(len(bench.vocabulary)), PARTS)
+        sums = np.concatenate([parts[b * PARTS + j].reshape(-1, bench.rank) if b * PARTS + j in parts else np.zeros((len(x), bench.rank)) for j, x in enumerate(cut)])
+        owner = np.repeat(np.arange(len(bench.numbers)), [len(x) for x in bench.numbers])
+        _, starts, term, weight = bench.vectors(owner, np.concatenate([np.array(x) for x in bench.numbers]))
+        own = np.zeros_like(sums)
+        _gram(starts, term, weight, omega, own)
+        vectors, bench.values = decomposed(sums + max(1.0, np.linalg.norm(sums) / max(np.linalg.norm(own), 1e-9)) * own, omega)
+        bench.basis = vectors[:, bench.values > SMALL * bench.values.max(initial=0)].astype(np.float32)
+
+
+class Finder:
+    """What a task needs to search for a block's items."""
+
+    def __init__(self, bench: Benchmark):
+        self.bench = bench
+        owner = np.repeat(np.arange(len(bench.numbers)), [len(x) for x in bench.numbers])
+        self.having, starts, term, weight = bench.vectors(owner, np.concatenate([np.array(x) for x in bench.numbers]))
+        latent = projected(starts, term, weight, bench.basis)
+        self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        self.masks, self.answers = [], []
+        for ws in bench.numbers:
+            for out, part in ((self.masks, ws), (self.answers, ws[-ANSWER_WORDS:])):
+                bits: dict[int, int] = {}
+                for k, w in enumerate(part):
+                    bits[w] = bits.get(w, 0) | 1 << k
+                out.append((bits, len(part)))
+
+    def found(self, words: Words) -> dict[tuple[int, int], tuple]:
+        """(text, item) -> (share in order, its place, share of the answer, cosine) of verified candidates."""
+        bench = self.bench
         span, own, vocab = bench.passages(words)
         passages, starts, term, weight = bench.vectors(own, vocab)
         rows = projected(starts, term, weight, bench.basis)
         rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-        close = rows @ latent.T
+        close = rows @ self.latent.T
         best: dict[tuple[int, int], tuple] = {}
         place = words.text.astype(np.int64) * (span * bench.stride) + words.number
         sought: dict[int, tuple[list[int], int]] = {}
         for p, k in zip(*(x.tolist() for x in np.nonzero(close >= COSINE)), strict=True):
-            item = int(having[k])
+            item = int(self.having[k])
             text, number = divmod(int(passages[p]), span)
             if p not in sought:
                 base = text * span * bench.stride + number * bench.stride
@@ -201,16 +251,22 @@ def _search(batches, bench: Benchmark):
                 b = min(b, int(np.searchsorted(words.text, text, side="right")))
                 sought[p] = words.vocab[a:b].tolist(), a
             seen, a = sought[p]
-            bits, size = masks[item]
-            found = lcs(bits, size, seen)
-            if found < LCS_WITH_ANSWER * size:
+            bits, size = self.masks[item]
+            share = lcs(bits, size, seen)
+            if share < LCS_WITH_ANSWER * size:
                 continue
-            answer = lcs(*answers[item], seen) / answers[item][1]
-            if found >= LCS_ALONE * size or answer >= ANSWER:
-                row = (found / size, -int(words.number[a]), answer, float(close[p, k]))
+            answer = lcs(*self.answers[item], seen) / self.answers[item][1]
+            if share >= LCS_ALONE * size or answer >= ANSWER:
+                row = (share / size, -int(words.number[a]), answer, float(close[p, k]))
                 if best.get((text, item), (0,)) < row:
                     best[text, item] = row
-        if best:
+        return best
+
+
+def _search(batches, benches: list[Benchmark]):
+    finders = [Finder(x) for x in benches]
+    for b, bench, part, words in _tabled(batches, benches):
+        if best := finders[b].found(words):
             ids = part.column(0).to_pylist()
             out = [(ids[t], bench.items[i][0], s, a, c, -n) for (t, i), (s, n, a, c) in sorted(best.items())]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "item_id", "lcs", "answer", "cosine", "first_word"])
@@ -222,17 +278,18 @@ SCHEMA = "doc_id long, item_id long, lcs double, answer double, cosine double, f
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """A row for each document and item that it holds: the item's share found in order, of its answer, the cosine.
 
-    Items are searched in blocks of ITEMS, each over all documents.
+    Items are searched in blocks, SHARED of them in each pass over all documents.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
     rows = [(r["item_id"], r["text"]) for r in benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").collect()]
+    benches = blocks_of(rows)
     out = spark.createDataFrame([], SCHEMA)
-    for k in range(0, len(rows), ITEMS):
-        bench = fitted(docs, rows[k : k + ITEMS])
-        if bench.vocabulary:
-            found = arrow_map(docs, _search, SCHEMA, bench)
-            out = out.unionByName(found) if k else found
+    for k in range(0, len(benches), SHARED):
+        some = benches[k : k + SHARED]
+        fit(docs, some)
+        found = arrow_map(docs, _search, SCHEMA, some)
+        out = out.unionByName(found) if k else found
     return out
 
 

@@ -286,6 +286,38 @@ def test_decontamination(spark, texts):
     assert recall >= 0.9 and len(got & truth) >= 0.9 * len(truth) and all(d >= len(texts) or (d, k) in truth for d, k in got)
 
 
+def test_singular_vectors_of_one_pass():
+    """Vectors and values from Y = A'A R are those of A's own decomposition."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    a = r.standard_normal((300, 12)) @ np.diag(2.0 ** -np.arange(12)) @ r.standard_normal((12, 90))
+    omega = r.standard_normal((90, 40)).astype(np.float32)
+    vectors, values = decontam.decomposed(a.T @ a @ omega, omega)
+    _, want, rows = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(values[:8], want[:8], rtol=1e-3)
+    assert np.allclose(np.abs(np.sum(vectors[:, :6] * rows[:6].T, axis=0)), 1, atol=1e-3)
+
+
+def test_decontamination_of_many_items(spark, monkeypatch):
+    """Several blocks of items; what was planted by edits is found, what was not is left alone."""
+    monkeypatch.setattr(decontam, "ITEMS", 100)
+    r = random.Random(17)
+    items = [prose(r.randint(15, 45), 5000 + k) for k in range(600)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs, want = [prose(r.randint(50, 300), 9000 + k) for k in range(60)], set()
+    for k in range(0, 600, 4):
+        w = items[k].split()
+        if k % 3 == 1:
+            w = [x for j, x in enumerate(w) if j % 9 != 4]
+        if k % 3 == 2:
+            w = [x if j % 8 != 3 else "qq" for j, x in enumerate(w)]
+        want.add((len(docs), k))
+        docs.append(prose(r.randint(0, 200), 7000 + k) + " " + " ".join(w) + " " + prose(r.randint(0, 99), 8000 + k))
+    got = {(x.doc_id, x.item_id) for x in decontam.matches(table(spark, docs), bench).collect()}
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want) and all(d >= 60 for d, _ in got)
+
+
 def test_decontamination_stage(spark, tmp_path):
     item = prose(30, 1)
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
