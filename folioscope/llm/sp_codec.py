@@ -1,9 +1,11 @@
 """SentencePiece encoding that keeps offsets, and decoding.
 
 A text is normalised by longest-prefix replacement through the model's compiled character map (a Darts double
-array); an alignment array records which original byte each normalised byte stems from. The library does the
-merges; the pieces' lengths in normalised bytes, projected through the alignment, give every piece its span of
-original UTF-8 bytes. The model's bytes travel with the tasks: executors need no file of their own.
+array); an alignment array records which original byte each normalised byte stems from. The normalised text is what the
+library gets, from a copy of the model whose own normaliser does nothing: it only merges. The pieces' lengths in
+normalised bytes, projected through the alignment, give every piece its span of original UTF-8 bytes. The model's bytes
+travel with the tasks: executors need no file of their own. A model without a character map replaces nothing; there
+the alignment is made from whole arrays.
 
 Defined cases: null and empty texts have no ids and no spans and decode to ""; repeated rows and texts are each
 encoded alike; extra columns are dropped by `encoded`; the texts of one call are bounded by bytes, one
@@ -61,65 +63,94 @@ class Codec:
 
         proto = sentencepiece_model_pb2.ModelProto.FromString(model)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.spec = proto.normalizer_spec
+        self.spec = spec = proto.normalizer_spec
+        bare = sentencepiece_model_pb2.ModelProto.FromString(model)
+        bare.normalizer_spec.Clear()
+        bare.normalizer_spec.name = "identity"
+        bare.normalizer_spec.add_dummy_prefix = bare.normalizer_spec.remove_extra_whitespaces = bare.normalizer_spec.escape_whitespaces = False
+        self.merger = sentencepiece.SentencePieceProcessor(model_proto=bare.SerializeToString())
+        self.space = META if spec.escape_whitespaces else b" "
         self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
         self.map = CharMap(self.spec.precompiled_charsmap) if self.spec.precompiled_charsmap else None
         #: Normalised bytes of each piece; a byte piece stands for one, an unknown one (0 here) for its surface.
         self.lengths = np.array([1 if p.type == 6 else 0 if p.type in (2, 3) else len(p.piece.encode()) for p in proto.pieces], np.int64)
         self.unknown = {i for i, p in enumerate(proto.pieces) if p.type == 2}
 
-    def normalised(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """For each step of normalisation its original start and its length in normalised bytes.
+    def normalised(self, data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The normalised bytes; for each step of normalisation its original start and its length in them.
 
         Steps run from left to right; a dummy prefix is a step at the first kept byte that takes none.
         """
-        n, space, mark = len(data), 0x20, len(META) if self.spec.escape_whitespaces else 1
+        n, mark = len(data), len(self.space)
         if self.map is None and not self.spec.remove_extra_whitespaces:
             raw = np.frombuffer(data, np.uint8)
-            starts, sizes = np.arange(n, dtype=np.int64), np.where(raw == space, mark, 1).astype(np.int64)
-        else:
-            steps, at = [], 0
-            while at < n:
-                hit = self.map.longest(data, at) if self.map else None
-                if hit is None:
-                    lead = data[at]
-                    hit = (k := 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4), data[at : at + k]
-                steps.append((at, hit[1]))
-                at += max(hit[0], 1)
-            if self.spec.remove_extra_whitespaces:
-                kept, last = [], True
-                for start, text in steps:
-                    out = bytearray()
-                    for byte in text:
-                        if byte != space or not last:
-                            out.append(byte)
-                        last = byte == space
-                    kept.append((start, bytes(out)))
-                while kept and kept[-1][1].rstrip(b" ") != kept[-1][1]:
-                    start, text = kept.pop()
-                    if text := text.rstrip(b" "):
-                        kept.append((start, text))
-                        break
-                steps = [x for x in kept if x[1]]
-            starts = np.array([x[0] for x in steps], np.int64)
-            sizes = np.array([len(x[1]) + (mark - 1) * x[1].count(b" ") for x in steps], np.int64)
-        if self.spec.add_dummy_prefix and len(starts):
-            starts, sizes = (np.append(starts, n), np.append(sizes, mark)) if self.suffix else (np.insert(starts, 0, starts[0]), np.insert(sizes, 0, mark))
-        return starts, sizes
-
-    def spans(self, text: str, ids: list[int]) -> np.ndarray:
-        """The span [start, stop) of original bytes of each id, as an array of len(ids) rows."""
-        data = text.encode()
-        starts, sizes = self.normalised(data)
-        own = self.lengths[np.array(ids, np.int64)] if ids else np.zeros(0, np.int64)
+            starts, sizes = np.arange(n, dtype=np.int64), np.where(raw == 0x20, mark, 1).astype(np.int64)
+            out = data.replace(b" ", self.space)
+            if self.spec.add_dummy_prefix and n:
+                if self.suffix:
+                    return out + self.space, np.append(starts, n), np.append(sizes, mark)
+                return self.space + out, np.insert(starts, 0, 0), np.insert(sizes, 0, mark)
+            return out, starts, sizes
+        kept = self._kept(list(self._steps(data)), n)
+        texts = [t for _, t in kept]
+        return b"".join(texts), np.array([x[0] for x in kept], np.int64), np.array([len(t) for t in texts], np.int64)
+
+    def _kept(self, steps: list[tuple[int, bytes]], n: int) -> list[tuple[int, bytes]]:
+        """Steps with the dummy prefix or suffix and the marks of spaces, without the spaces that are too many.
+
+        As the library has it: steps that are a space go from the front; after a step that ends with a space the next
+        loses those it begins with; at the end marks go, whether they stood for spaces or were in the text.
+        """
+        trim, dummy = self.spec.remove_extra_whitespaces, self.spec.add_dummy_prefix
+        if trim:
+            first = next((k for k, (_, t) in enumerate(steps) if t != b" "), len(steps))
+            steps = steps[first:]
+        if not steps:
+            return []
+        kept = [(steps[0][0], self.space)] if dummy and not self.suffix else []
+        after_space = trim
+        for start, text in steps:
+            text = text.lstrip(b" ") if after_space else text
+            if text:
+                kept.append((start, text.replace(b" ", self.space)))
+                after_space = trim and text.endswith(b" ")
+        while trim and kept and kept[-1][1].endswith(self.space):
+            start, text = kept.pop()
+            if text := text[: -len(self.space)]:
+                kept.append((start, text))
+        return [*kept, (n, self.space)] if dummy and self.suffix else kept
+
+    def _steps(self, data: bytes):
+        """(start, replacement) of the longest prefixes; a character that no key begins with stands for itself."""
+        at = 0
+        while at < len(data):
+            hit = self.map.longest(data, at) if self.map else None
+            if hit is None:
+                lead = data[at]
+                size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+                hit = size, data[at : at + size]
+            yield at, hit[1]
+            at += hit[0]
+
+    def encoded(self, texts: list[str]) -> list[tuple[list[int], np.ndarray]]:
+        """The ids of each text, and the span [start, stop) of original bytes of each id."""
+        made = [self.normalised(t.encode()) for t in texts]
+        ids = self.merger.encode([out.decode() for out, _, _ in made], num_threads=1)
+        return [(i, self.spans(len(t.encode()), *x, i)) for t, x, i in zip(texts, made, ids, strict=True)]
+
+    def spans(self, n: int, out: bytes, starts: np.ndarray, sizes: np.ndarray, ids: list[int]) -> np.ndarray:
+        """Pieces laid along the normalised bytes, and those bytes' places among the n original ones."""
+        if not ids:
+            return np.zeros((0, 2), np.int64)
+        own = self.lengths[np.array(ids, np.int64)]
         if self.unknown.intersection(ids):
-            own = np.array([len(p.encode()) for p in self.library.encode(text, out_type=str)], np.int64)
+            own = np.array([len(p.encode()) for p in self.merger.encode(out.decode(), out_type=str)], np.int64)
         ends, edges = np.cumsum(own), np.cumsum(sizes)
-        if len(ids) and ends[-1] != edges[-1]:
+        if ends[-1] != edges[-1]:
             raise ValueError("the pieces do not spell the normalised text")
-        bounds = np.append(starts, len(data))
-        stop = bounds[np.searchsorted(edges, ends, side="right")] if len(ids) else ends
-        return np.stack([np.insert(stop[:-1], 0, starts[0] if len(ids) else 0), stop], 1) if len(ids) else np.zeros((0, 2), np.int64)
+        stop = np.append(starts, n)[np.searchsorted(edges, ends, side="right")]
+        stop[-1] = n
+        return np.stack([np.insert(stop[:-1], 0, 0), stop], 1)
 
 
 def codec(model: bytes) -> Codec:
@@ -134,8 +165,8 @@ def _encode(batches, model: bytes, digests: bool):
     for batch in batches:
         for part in chunks(batch, "text", 2 << 20):
             texts = [x or "" for x in part.column(1).to_pylist()]
-            ids = own.library.encode(texts, num_threads=1)
-            spans = [own.spans(t, i) for t, i in zip(texts, ids, strict=True)]
+            found = own.encoded(texts)
+            ids, spans = [i for i, _ in found], [s for _, s in found]
             if not digests:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([s[:, 0] for s in spans], pa.list_(pa.int64())), pa.array([s[:, 1] for s in spans], pa.list_(pa.int64())), pa.array([own.library.decode(i) for i in ids])],

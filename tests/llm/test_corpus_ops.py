@@ -344,6 +344,32 @@ def test_sentencepiece(docs, texts):
         assert digests[k].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and digests[k].n_span_bytes == len(data)
 
 
+@pytest.mark.parametrize("trim", [False, True])
+@pytest.mark.parametrize("rule", ["nfkc", "nmt_nfkc_cf"])
+def test_character_map(rule, trim):
+    """With a compiled character map, the own normaliser's text, ids and decoding are the library's."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    made = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+    spec = sentencepiece_model_pb2.ModelProto.FromString(made.serialized_model_proto()).normalizer_spec
+    proto = sentencepiece_model_pb2.ModelProto.FromString(sp_codec.public_model())
+    proto.normalizer_spec.precompiled_charsmap = spec.precompiled_charsmap
+    proto.normalizer_spec.remove_extra_whitespaces = trim
+    own = sp_codec.Codec(proto.SerializeToString())
+    assert own.map is not None
+    r = random.Random(4)
+    pool = ["ﬁ", "①", "ｶﾞ", "Ａ", "é", "e\u0301", "½", " ", "  ", "\u3000", "\t", "\n", "ß", "İ", "中", "한", "a", "Bc", "…", "\u200b", "▁", "😀", "ﷺ", "\u00a0"]
+    texts = ["", " ", "   ", *pool, *("".join(r.choice(pool) for _ in range(r.randint(1, 60))) for _ in range(300)), *(prose(40, k) for k in range(5))]
+    for text, (ids, spans) in zip(texts, own.encoded(texts), strict=True):
+        assert ids == own.library.encode(text), text
+        data = text.encode()
+        assert b"".join(data[a:b] for a, b in spans) == (data if ids else b"")
+        for (a, b), piece in zip(spans, own.library.encode(text, out_type=str), strict=True):
+            if a < b and not piece.startswith("<0x"):
+                data[a:b].decode()  # spans of whole pieces do not split characters
+
+
 def page(body):
     return f"<!DOCTYPE html><html><head><title>t</title><script>var a='<p>no</p>';</script></head><body>{body}"
 
