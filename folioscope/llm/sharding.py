@@ -1,9 +1,11 @@
 """K-d tree partitioning of documents into shards of equal bytes.
 
 Each node of the tree is split along its widest metadata dimension at the weighted median (of UTF-8 bytes; for an
-odd number of shards, at the matching share). Medians are distributed: executors sum bytes into at most BINS bins
-for each node, the driver picks the bin that holds the median and the next pass looks into that bin only, so what
-reaches the driver is bounded by the number of shards, never by the rows. No row moves until shards are known.
+odd number of shards, at the matching share). Medians are distributed, in one pass over the metadata for each level of
+the tree: a task sorts the rows of each open node in each dimension and keeps points of them, each with the bytes up to
+it, POINTS of a dimension for all nodes together; points are merged and thinned FAN at a time, and the driver gets FAN
+such summaries. A cut lies between two points, so it misses its goal by a few points' bytes at most. No row moves until
+shards are known.
 
 The dimensions are taken from the text, so that equal texts share a point of the space: byte length, first and
 second character, word density; ties within a dimension are ordered by a checksum of the text and then by
@@ -26,12 +28,11 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import arrow_map, written
 
 SHARDS, OVERHEAD = 40, 16
-#: Bins of a pass, per node.
-BINS = 512
+#: Points of a dimension in a summary, for all open nodes together; summaries that are merged at once; rows that a task
+#: sorts at once.
+POINTS, FAN, CHUNK = 1 << 14, 16, 1 << 18
 #: Metadata dimensions, each a long below 2**30.
 DIMENSIONS = ("d_size", "d_first", "d_second", "d_density")
-#: Partial sums that reach the driver, of however many tasks.
-PARTIALS = 16
 #: Rows that one task numbers at a time.
 SLOT_ROWS = 50_000
 
@@ -42,8 +43,7 @@ class Node:
 
     shards: range
     dimension: int | None = None
-    cut: int = 0  # rows whose key is below it go left
-    tie: tuple[int, int] | None = None  # of rows with this key, those whose doc_id is below the second go left
+    cut: tuple[int, int] = (0, 0)  # rows go left up to this key and, of rows with this key, this doc_id
     left: "Node | None" = None
     right: "Node | None" = None
 
@@ -81,88 +81,89 @@ class Rows:
             out[at] = node.shards.start
             return out
         key = self.keys[node.dimension][at]
-        below = key < node.cut
-        if node.tie:
-            below |= (key == node.tie[0]) & (self.doc[at] < node.tie[1])
+        below = (key < node.cut[0]) | ((key == node.cut[0]) & (self.doc[at] <= node.cut[1]))
         self.leaves(node.left, at[below], out)
         self.leaves(node.right, at[~below], out)
         return out
 
 
-@dataclass
-class Ask:
-    """A histogram of a node's sizes: over edges (bins between them), or over equal widths from lo to hi."""
+def thinned(key: np.ndarray, doc: np.ndarray, weight: np.ndarray, points: int) -> tuple[np.ndarray, ...]:
+    """At most about so many points in order, each with the weight of all rows after the point before it."""
+    order = np.lexsort((doc, key))
+    key, doc, weight = key[order], doc[order], weight[order]
+    ends = np.cumsum(weight)
+    if not len(ends):
+        return key, doc, weight
+    step = np.floor((ends - weight / 2) * (points / ends[-1])).astype(np.int64)
+    last = np.flatnonzero(np.append(step[1:] != step[:-1], True))
+    return key[last], doc[last], np.diff(np.append(0.0, ends[last]))
+
+
+SUMMARY = "place int, keys binary, docs binary, weights binary"
 
-    leaf: int
-    dimension: int
-    edges: np.ndarray | None = None
-    lo: int = 0
-    hi: int = 0
-    key: int | None = None  # of rows with this key alone, by doc_id
 
-    def width(self) -> int:
-        return max(1, -(-(self.hi - self.lo + 1) // BINS))
+def _rows_of(found: dict[int, list[tuple]], points: int):
+    """A row for each place, that is, node and dimension: its points merged and thinned."""
+    for place, parts in found.items():
+        made = thinned(*(np.concatenate(x) for x in zip(*parts, strict=True)), points)
+        yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in made)], ["place", "keys", "docs", "weights"])
 
 
-def _histograms(batches, root: Node, asks: list[Ask]):
-    sums = np.zeros((len(asks), BINS))
+def _summaries(batches, root: Node, leaves: list[int], points: int):
+    found: dict[int, list[tuple]] = {}
+    held, n = [], 0
+
+    def chunk():
+        leaf, doc, size, *keys = (np.concatenate(x) for x in zip(*held, strict=True))
+        for k, own in enumerate(leaves):
+            at = np.flatnonzero(leaf == own)
+            for d, key in enumerate(keys):
+                if len(at):
+                    found.setdefault(k * len(DIMENSIONS) + d, []).append(thinned(key[at], doc[at], size[at].astype(np.float64), points))
+
     for batch in batches:
         rows = Rows(batch)
-        leaf = rows.leaves(root)
-        inside = {k: np.flatnonzero(leaf == k) for k in {a.leaf for a in asks}}
-        for k, ask in enumerate(asks):
-            at = inside[ask.leaf]
-            value = rows.keys[ask.dimension][at]
-            if ask.key is not None:
-                at = at[value == ask.key]
-                value = rows.doc[at]
-            if ask.edges is not None:
-                bins = np.searchsorted(ask.edges, value, side="right")
-            else:
-                some = (value >= ask.lo) & (value <= ask.hi)
-                at, value = at[some], value[some]
-                # Unsigned: the distance between two doc_ids may exceed a signed long.
-                bins = ((value.view(np.uint64) - np.int64(ask.lo).view(np.uint64)) // np.uint64(ask.width())).astype(np.int64)
-            sums[k] += np.bincount(bins, weights=rows.size[at], minlength=BINS)
-    for k in np.flatnonzero(sums.any(1)).tolist():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sums[k].tobytes()], pa.binary())], ["ask", "sums"])
-
-
-def _added(batches):
-    found: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found[k] = found.get(k, 0) + np.frombuffer(own)
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["ask", "sums"])
-
-
-def histograms(rows: DataFrame, root: Node, asks: list[Ask]) -> np.ndarray:
-    """The bins of each ask: added up within tasks, then within PARTIALS tasks, then on the driver."""
-    parts = arrow_map(rows, _histograms, "ask int, sums binary", root, asks)
-    out = np.zeros((len(asks), BINS))
-    for r in arrow_map(parts.repartition(PARTIALS), _added, "ask int, sums binary").collect():
-        out[r["ask"]] += np.frombuffer(r["sums"])
-    return out
+        held.append((rows.leaves(root), rows.doc, rows.size, *rows.keys))
+        n += batch.num_rows
+        if n >= CHUNK:
+            chunk()
+            held, n = [], 0
+    if held:
+        chunk()
+    yield from _rows_of(found, points)
+
+
+def _points(place, *columns):
+    return place, tuple(np.frombuffer(x, t) for x, t in zip(columns, (np.int64, np.int64, np.float64), strict=True))
 
 
-def _zoomed(rows: DataFrame, root: Node, asks: dict[int, Ask], below: dict[int, float], goal: dict[int, float], slack: float) -> dict[int, tuple[int, float, float]]:
-    """Where each node's sum passes its goal: (first value, sum below it, sum in its bin), to a value or to `slack`."""
-    found = {}
-    while todo := [k for k in asks if k not in found]:
-        sums = histograms(rows, root, [asks[k] for k in todo])
-        for k, own in zip(todo, sums, strict=True):
-            reach = below[k] + np.cumsum(own)
-            bin_ = int(min(np.searchsorted(reach, goal[k]), np.flatnonzero(own).max(initial=0)))
-            width = asks[k].width()
-            lo = asks[k].lo + bin_ * width
-            under, weight = float(reach[bin_] - own[bin_]), float(own[bin_])
-            if width == 1 or weight <= slack:
-                found[k] = lo, under, weight
-            else:
-                asks[k].lo, asks[k].hi = lo, min(asks[k].hi, lo + width - 1)
-                below[k] = under
-    return found
+def _merged(batches, points: int):
+    found: dict[int, list[tuple]] = {}
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            place, own = _points(*row)
+            found.setdefault(place, []).append(own)
+    yield from _rows_of(found, points)
+
+
+def summaries(rows: DataFrame, root: Node, leaves: list[int]) -> dict[int, tuple[np.ndarray, ...]]:
+    """The points of each place, merged FAN at a time and on the driver last."""
+    points = max(64, POINTS // len(leaves))
+    parts = arrow_map(rows, _summaries, SUMMARY, root, leaves, points)
+    n = rows.rdd.getNumPartitions()
+    while n > FAN:
+        n = -(-n // FAN)
+        parts = arrow_map(parts.repartition(n), _merged, SUMMARY, points)
+    found: dict[int, list[tuple]] = {}
+    for row in parts.collect():
+        place, own = _points(*row)
+        found.setdefault(place, []).append(own)
+    out = {}
+    for place, own in found.items():
+        key, doc, weight = (np.concatenate(x) for x in zip(*own, strict=True))
+        order = np.lexsort((doc, key))
+        out[place] = key[order], doc[order], weight[order]
+    return out
 
 
 def _leaves(node: Node) -> list[Node]:
@@ -170,46 +171,30 @@ def _leaves(node: Node) -> list[Node]:
 
 
 def tree(rows: DataFrame, shards: int = SHARDS) -> Node:
-    """The k-d tree over rows of metadata()."""
+    """The k-d tree over rows of metadata(); a node's width is that of the middle nine tenths of its bytes."""
     root = Node(range(shards))
-    keys = [F.col(d) * (1 << 32) + F.col("text_crc32") for d in DIMENSIONS]
-    marks = [k / BINS for k in range(1, BINS)]
-    first = rows.agg(*[F.percentile_approx(k, marks, 4 * BINS).alias(d) for k, d in zip(keys, DIMENSIONS, strict=True)], F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("lo"), F.max(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("hi")).first()
-    if first["lo"] is None:
-        return root
-    edges = [np.unique(np.array(first[d], np.int64)) for d in DIMENSIONS]
-    spread = [max(1, int((e[-1] >> 32) - (e[0] >> 32))) for e in edges]
+    spread = None
     while open_nodes := [x for x in _leaves(root) if len(x.shards) > 1]:
-        asks = [Ask(x.shards.start, d, edges=edges[d]) for x in open_nodes for d in range(len(DIMENSIONS))]
-        sums = histograms(rows, root, asks).reshape(len(open_nodes), len(DIMENSIONS), BINS)
-        zoom, below, goal, by = {}, {}, {}, {}
-        # A cut may miss its goal by a ten-thousandth of a shard.
-        slack = max(1.0, float(sums[:, 0].sum()) / shards / 10_000)
-        for node, own in zip(open_nodes, sums, strict=True):
-            at = node.shards.start
-            by[at] = node
-            reach = own.cumsum(1)
-            total = reach[0, -1]
-            goal[at] = total * (len(node.shards) // 2) / len(node.shards)
+        found = summaries(rows, root, [x.shards.start for x in open_nodes])
+        if not found:
+            return root
+        of = lambda k, d: found.get(k * len(DIMENSIONS) + d, (np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1)))  # noqa: E731, B023
+        # Each dimension is measured by the spread of all rows, which the first pass has seen.
+        spread = spread or [max(1, int((of(0, d)[0][-1] >> 32) - (of(0, d)[0][0] >> 32))) for d in range(len(DIMENSIONS))]
+        for k, node in enumerate(open_nodes):
             wide = []
-            for d, e in enumerate(edges):
-                ends = [int(e[min(len(e) - 1, np.searchsorted(reach[d], total * q))]) >> 32 for q in (0.05, 0.95)]
+            for d in range(len(DIMENSIONS)):
+                key, _, weight = of(k, d)
+                reach = np.cumsum(weight)
+                ends = [int(key[min(len(key) - 1, np.searchsorted(reach, reach[-1] * q))]) >> 32 for q in (0.05, 0.95)]
                 wide.append((ends[1] - ends[0]) / spread[d])
-            d = int(np.argmax(wide))
-            bin_ = int(np.searchsorted(reach[d], goal[at])) if total else 0
-            lo = int(edges[d][bin_ - 1]) if bin_ else 0
-            hi = int(edges[d][bin_]) - 1 if bin_ < len(edges[d]) else (1 << 62) - 1
-            zoom[at], below[at] = Ask(at, d, lo=lo, hi=hi), float(reach[d, bin_] - own[d, bin_])
-        cuts = _zoomed(rows, root, zoom, below, goal, slack)
-        ties = {k: Ask(k, zoom[k].dimension, lo=first["lo"], hi=first["hi"], key=cut) for k, (cut, under, weight) in cuts.items() if weight > slack}
-        inside = _zoomed(rows, root, ties, {k: cuts[k][1] for k in ties}, goal, slack) if ties else {}
-        for k, node in by.items():
+            node.dimension = int(np.argmax(wide))
+            key, doc, weight = of(k, node.dimension)
+            reach = np.cumsum(weight)
+            at = int(np.argmin(np.abs(reach - reach[-1] * (len(node.shards) // 2) / len(node.shards))))
+            node.cut = int(key[at]), int(doc[at])
             node.left = Node(range(node.shards.start, node.shards.start + len(node.shards) // 2))
             node.right = Node(range(node.left.shards.stop, node.shards.stop))
-            node.dimension, node.cut = zoom[k].dimension, cuts[k][0]
-            if k in inside:
-                doc, under, weight = inside[k]
-                node.tie = node.cut, doc + (under + weight - goal[k] < goal[k] - under)
     return root
 
 
