@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.shipping import ship
+
 #: Odd base of the polynomial hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -22,9 +25,11 @@ UNBASE = pow(BASE, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a local one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which all executors share; one of this machine only if all of Spark runs on it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='folioscope-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -160,6 +165,7 @@ def arrow_map(df: DataFrame, make, schema: str, *args) -> DataFrame:
 
     Batches are held to ROWS rows in this session: tables of whole texts need no more to be read fast.
     """
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(BATCH_ROWS)) <= ROWS:
         conf.set(BATCH_ROWS, str(ROWS))

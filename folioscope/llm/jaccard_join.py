@@ -510,7 +510,8 @@ def _connected(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         drop_written(spread)
         release(spark)
     found = components(near)
-
+    for done in (lists, counts, tried):
+        drop_written(done)
     return rows, first.join(found, "ref", "left").select("ref", "n", "doc_id", "at", F.coalesce("comp", "ref").alias("comp"))
 
 

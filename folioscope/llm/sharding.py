@@ -3,8 +3,8 @@
 Each node of the tree is split along its widest metadata dimension at the weighted median (of UTF-8 bytes; for an
 odd number of shards, at the matching share). Medians are distributed, in one pass over the metadata for each level of
 the tree: a task sorts the rows of each open node in each dimension and keeps points of them, each with the bytes up to
-it, POINTS of a dimension for all nodes together; points are merged and thinned FAN at a time, and the driver gets FAN
-such summaries. A cut lies between two points, so it misses its goal by a few points' bytes at most. No row moves until
+it, POINTS of a dimension for all nodes together; points are merged and thinned FAN at a time, and the driver gets LAST
+such summaries at most, of a size that no table sets. A cut lies between two points, so it misses its goal by a few points' bytes at most. No row moves until
 shards are known.
 
 The dimensions are taken from the text, so that equal texts share a point of the space: byte length, first and
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import arrow_map, written
 
 SHARDS, OVERHEAD = 40, 16
-#: Points of a dimension in a summary, for all open nodes together; summaries that are merged at once; rows that a task
-#: sorts at once.
-POINTS, FAN, CHUNK = 1 << 14, 16, 1 << 18
+#: Points of a dimension in a summary, for all open nodes together; summaries that are merged at once, and that the
+#: driver gets at most; rows that a task sorts at once.
+POINTS, FAN, LAST, CHUNK = 1 << 14, 16, 4, 1 << 18
 #: Metadata dimensions, each a long below 2**30.
 DIMENSIONS = ("d_size", "d_first", "d_second", "d_density")
 #: Rows that one task numbers at a time.
@@ -151,7 +151,7 @@ def summaries(rows: DataFrame, root: Node, leaves: list[int]) -> dict[int, tuple
     points = max(64, POINTS // len(leaves))
     parts = arrow_map(rows, _summaries, SUMMARY, root, leaves, points)
     n = rows.rdd.getNumPartitions()
-    while n > FAN:
+    while n > LAST:
         n = -(-n // FAN)
         parts = arrow_map(parts.repartition(n), _merged, SUMMARY, points)
     found: dict[int, list[tuple]] = {}

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 import zlib
 
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import arrow_map, shared_dir
+from folioscope.llm.common import arrow_map, shared_dir, written
 
 #: Fixed values of the format.
 VERSION, DATE = b"WARC/1.1", "2020-01-01T00:00:00Z"
@@ -160,14 +161,31 @@ def archived(pages: DataFrame, folder: str | None = None, keep_source: bool = Fa
     """Write pages (page_id, url, html) to archives in `folder`; a row for each record as read back.
 
     Digests and the choice of responses are made in the JVM; a payload that many pages share is counted by
-    partial sums, and the join that follows can split its rows over tasks.
+    partial sums, and the join that follows can split its rows over tasks. The archives are written here, once: the
+    rows are those of the attempts that Spark has committed, and what other attempts have left in the folder goes.
     """
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
     rows = rows.withColumn("digest", F.sha1("html"))
     groups = rows.filter(F.length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
     rows = rows.join(groups, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
-    return arrow_map(rows, _archive, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long", folder, keep_source)
+    made = written(arrow_map(rows, _archive, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long", folder, keep_source), "warc-index")
+    _swept(made, folder)
+    return made
+
+
+def _swept(made: DataFrame, folder: str) -> None:
+    """Deletes files of archives that no row names."""
+    spark = made.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return
+    named = {r["archive"].removesuffix(".warc.gz") for r in made.select("archive").distinct().toLocalIterator()}
+    for status in fs.listStatus(path):
+        name = status.getPath().getName()
+        if re.sub(r"\.(mono|warc)\.gz.*$", "", name) not in named:
+            fs.delete(status.getPath(), False)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
