@@ -22,10 +22,12 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from folioscope.llm.common import arrow_map, chunks
 
-TRAIN_PAGES, LAYOUTS = 200, 900
+#: The bounded sample of training: pages, paragraphs of each and their characters; layouts that are composed of them.
+TRAIN_PAGES, PARAGRAPHS, CHARS, LAYOUTS = 200, 20, 4000, 900
 TREES, DEPTH, RATE, BINS = 40, 4, 0.3, 32
 
 # Fixed values of HTML: elements without content, with raw text, those that are no text of a page, and those that break
@@ -372,11 +374,15 @@ def fit(paragraphs: list[str]) -> Trees:
 
 
 def train(pages: DataFrame) -> Trees:
-    """Trees fitted on layouts of the paragraphs of TRAIN_PAGES pages, cut to 4000 characters each."""
+    """Trees fitted on layouts of paragraphs of TRAIN_PAGES pages, the same ones whenever the table is the same.
+
+    The pages are those with the least hashes of their ids: ids alone are read to find them, then their html.
+    """
+    ids = [r[0] for r in pages.select("page_id").filter("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(TRAIN_PAGES).collect()]
+    some = pages.filter(F.col("page_id").isin(ids) & F.col("html").isNotNull()).select("html", F.xxhash64("page_id", "html").alias("place"))
     found = []
-    for r in pages.select("html").filter("html is not null").limit(TRAIN_PAGES).collect():
-        page = Page(r["html"])
-        found += [t[:4000] for t in page.text if t.count(" ") >= 8][:20]
+    for r in some.orderBy("place").limit(TRAIN_PAGES).collect():
+        found += [t[:CHARS] for t in Page(r["html"]).text if t.count(" ") >= 8][:PARAGRAPHS]
     return fit(found)
 
 

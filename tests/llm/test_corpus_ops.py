@@ -217,6 +217,22 @@ def test_license_scan(docs, spark):
     assert all(got[k].labels == "" for k in range(10, len(many)))
 
 
+def test_license_texts(spark):
+    """Sentences of full licence texts give their labels, with punctuation and lines as they are published."""
+    texts = [
+        'The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.',
+        "Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.",
+        'Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.',
+        "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+        "This is free and unencumbered software released into the public domain.",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at",
+        "The above notice shall be included; copies of the list appear in the public documentation.",
+    ]
+    got = {r.doc_id: r.labels for r in license_scan.scanned(table(spark, texts + [prose(60, k) for k in range(50)])).collect()}
+    assert [got[k] for k in range(7)] == ["mit", "bsd", "isc", "gpl-3", "unlicense", "mpl-2", ""]
+    assert all(not got[k] for k in range(7, 57))
+
+
 def test_language_id(spark):
     r = random.Random(3)
     parts = {"en": ["the", "ing", "tion", "wh", "ed", "of"], "fr": ["eau", "oi", "que", "é", "les", "ou"], "de": ["sch", "ung", "ich", "ü", "der", "ein"]}
@@ -344,6 +360,38 @@ def test_sentencepiece(docs, texts):
         assert digests[k].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and digests[k].n_span_bytes == len(data)
 
 
+def test_html_of_the_test_pages(spark):
+    """Every page of the test data against its article, read by plain patterns."""
+    import html
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)(</article>|$)", re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", "", r.html or ""), re.S)
+        want[r.page_id] = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", inner[1]))).split()) if inner else ""
+    got = {r.page_id: r.text for r in html_extract.extracted(pages).collect()}
+    right = sum(got[k] == t for k, t in want.items())
+    assert len(got) == len(want) and right >= 0.98 * len(want), f"{right} of {len(want)}"
+
+
+def test_html_of_held_out_layouts():
+    """Words of main text on layouts that were not trained on."""
+    model = html_extract.fit([prose(60, k) for k in range(40)])
+    hit = found = wanted = 0
+    for source in html_extract.layouts([prose(50, 900 + k) for k in range(40)], 150, seed=991):
+        page = html_extract.Page(source)
+        truth = " ".join(t for t, y in zip(page.text, html_extract.labelled(page), strict=True) if t and y).split()
+        text = page.main_text(model.odds(page.features())).split()
+        left = list(truth)
+        for w in text:
+            if w in left:
+                left.remove(w)
+                hit += 1
+        found, wanted = found + len(text), wanted + len(truth)
+    print("held-out layouts: precision", round(hit / found, 4), "recall", round(hit / wanted, 4))
+    assert hit >= 0.95 * found and hit >= 0.95 * wanted
+
+
 @pytest.mark.parametrize("trim", [False, True])
 @pytest.mark.parametrize("rule", ["nfkc", "nmt_nfkc_cf"])
 def test_character_map(rule, trim):
