@@ -477,3 +477,53 @@ def test_empty_tables(spark, empty):
         warc.archived(pages), html_extract.extracted(pages),
     ):
         assert out.count() == 0
+
+
+def test_language_id_of_odd_tables(spark):
+    """Columns with names of the operator's own, ties, nulls, one language and none."""
+    rows = [(k, t, lang, False, 9, "x") for k, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), (None, "en"), ("", "de"), ("123 456", None), ("the dog", "en"), ("die katze", "de"), ("the dog", "en")] * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out boolean, score int, lang_pred string")
+    got = {r.doc_id: r for r in language_id.predicted(docs, language_id.train(docs)).collect()}
+    assert set(got) == set(range(96)) and all((got[k].lang_pred == "und") == (t is None or not any(c.isalpha() for c in t)) for k, t, *_ in rows)
+    assert all(0 <= r.score <= 1 for r in got.values())
+    # Equal texts are told alike, and a table without languages gives none.
+    assert len({got[k].lang_pred for k, t, *_ in rows if t == "the dog"}) == 1
+    none = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang_pred for r in language_id.predicted(none, language_id.train(none)).collect()} == {"und"}
+
+
+def test_warc_of_odd_tables(spark, tmp_path):
+    """Null ids and urls, equal payloads at the limit, columns with names of the operator's own; two reads of one result."""
+    big, small = "x" * 1000, "y" * 999
+    rows = [(1, None, big, "d", 5), (2, "http://a/é b", big, None, 5), (3, "u", small, "d", 5), (4, "u", small, "d", 5), (5, "u", None, "d", None), (6, "u", "", "d", None), (7, "u", big, "d", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, refers_to int").repartition(3)
+    found = warc.archived(pages, f"file://{tmp_path}/archives")
+    for _ in range(2):
+        got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in found.collect()}
+        assert got == {1: (1000, "revisit", 7), 2: (1000, "revisit", 7), 3: (999, "response", None), 4: (999, "response", None), 5: (0, "response", None), 6: (0, "response", None), 7: (1000, "response", None)}
+    names = {r.archive for r in found.collect()}
+    files = {x.name for x in (tmp_path / "archives").iterdir() if not x.name.startswith(".")}
+    assert files == names | {n + ".idx" for n in names}
+
+
+def test_html_of_null_ids(spark):
+    rows = [(None, None, page("<article><h1>T</h1><p>Some words of a text here.</p></article>")), (1, None, None), (None, "u", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.url or "", r.n_chars) for r in html_extract.extracted(df).collect())
+    assert len(got) == 3 and sum(n > 0 for _, n in got) <= 1
+
+
+def test_sharding_laws(spark):
+    """Each shard's bytes are near the mean, sizes and checksums are those of the texts, slots have no gaps."""
+    r = random.Random(8)
+    texts = [None, "", *(prose(r.randint(1, 60), 3000 + k) for k in range(1500)), *([prose(40, 5)] * 700)]
+    rows = sharding.sharded(table(spark, texts).select("doc_id", "text"), 40).collect()
+    assert sorted(x.doc_id for x in rows) == list(range(len(texts))) and {x.law for x in rows} == {"bytes"}
+    by = {}
+    for x in rows:
+        data = (texts[x.doc_id] or "").encode()
+        assert (x["size"], x.text_crc32, x.grown_shard) == (len(data) + 16, zlib.crc32(data), None)
+        by.setdefault(x.shard, []).append(x)
+    mean, largest = sum(x["size"] for x in rows) / 40, max(x["size"] for x in rows)
+    assert sorted(by) == list(range(40)) and all(sorted(x.slot for x in v) == list(range(len(v))) for v in by.values())
+    assert all(abs(sum(x["size"] for x in v) - mean) <= 1.5 * largest for v in by.values())
