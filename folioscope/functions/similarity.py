@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType
 
 from folioscope.functions import text as T
 from folioscope.functions.fixed import BONUS, EXACT, LEAST_WORDS, LENGTH_RATIO, NUMBERS_EQUAL, OVERLAP, PENALTY, PREFIX_CHARS, RELATED, SENTENCE_END  # noqa: F401
@@ -29,10 +30,50 @@ def gestalt_of(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         yield pd.Series([gestalt(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance with bit-parallel columns (Myers)."""
+    head = len(commonprefix([a, b]))
+    a, b = a[head:], b[head:]
+    tail = len(commonprefix([a[::-1], b[::-1]]))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not a or not b:
+        return len(a) or len(b)
+    masks: dict[str, int] = {}
+    for k, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << k
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for c in b:
+        eq = masks.get(c, 0)
+        x = eq | down
+        diagonal = (((eq & up) + up) ^ up) | eq
+        plus, minus = down | (full & ~(diagonal | up)), up & diagonal
+        if plus & last:
+            score += 1
+        elif minus & last:
+            score -= 1
+        plus = (plus << 1) | 1
+        minus <<= 1
+        up, down = (minus | (full & ~(x | plus))) & full, plus & x & full
+    return score
+
+
+@F.pandas_udf(IntegerType())
+def edit_distance_of(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in pairs:
+        yield pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+#: Cells of a distance's table from which a pair of lines goes to the bit-parallel form.
+CELLS = 1 << 20
+
+
 def levenshtein(a: Column, b: Column) -> Column:
-    # Equal lines, which most are, need no distance.
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(a == b, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
+    # Equal lines, which most are, need no distance; the JVM takes a step for each cell of the table.
+    n, m = F.length(a), F.length(b)
+    long = (n.cast("long") * m > CELLS) & (a != b)
+    distance = F.coalesce(edit_distance_of(F.when(long, a), F.when(long, b)), F.levenshtein(a, b))
+    return F.when(a == b, 1.0).otherwise(1.0 - distance / F.greatest(n, m))
 
 
 def jaccard(a: Column, b: Column, empty: float) -> Column:

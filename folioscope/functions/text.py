@@ -17,7 +17,9 @@ STAMP = f"^(?:{X.STAMP}|{X.PAGE_STAMP})$"
 STAMP_LINES = f"(?md)^{X.STAMP}$"
 BARE_STAMP = f"^{X.BARE_STAMP}$"
 INVISIBLE = r"[\p{C}" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in X.INVISIBLE) + "]"
-ASCII = r"^[\x00-\x7f]*$"
+#: White space and what is invisible, of ASCII.
+SPACES = " \t\n\x0b\f\r"
+CONTROLS = r"[\x00-\x1f\x7f]+"
 
 
 @F.pandas_udf(StringType())
@@ -29,12 +31,16 @@ def nfkd(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def decomposed(text: Column) -> Column:
     """nfkd, for which only text that has anything but ASCII is sent to Python."""
-    return F.coalesce(nfkd(F.when(~text.rlike(ASCII), text)), text)
+    return F.coalesce(nfkd(F.when(~is_ascii(text), text)), text)
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
 
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.when(is_ascii(text), F.btrim(text, F.lit(SPACES))).otherwise(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
 
 
 def is_noise(line: Column) -> Column:
@@ -53,9 +59,11 @@ def normalise(text: Column, bare_stamps: bool = True) -> Column:
     Takes text after `decomposed`. Invisible characters go before white space is
     collapsed, so a tab is deleted, not made a space.
     """
-    t = F.lower(strip(F.coalesce(text, F.lit(""))))
-    t = F.regexp_replace(t, INVISIBLE, "")
-    t = F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
+    text = F.coalesce(text, F.lit(""))
+    t = F.lower(strip(text))
+    # Patterns for ASCII alone are much faster, and most lines need no more.
+    plain = F.regexp_replace(F.regexp_replace(t, CONTROLS, ""), " {2,}", " ")
+    t = F.trim(F.when(is_ascii(text), plain).otherwise(F.regexp_replace(F.regexp_replace(t, INVISIBLE, ""), r"(?U)\s+", " ")))
     return without_stamp(t) if bare_stamps else t
 
 
@@ -66,10 +74,13 @@ def without_stamp(normalised: Column) -> Column:
 
 def canonical(normalised: Column) -> Column:
     """What is left when spacing within numbers, thousands commas and punctuation do not count."""
-    t = F.regexp_replace(normalised, r"(?U)\s+", " ")
-    t = F.regexp_replace(t, "(?U)" + X.DIGIT_GAP, "")
-    t = F.regexp_replace(t, "(?U)" + X.THOUSANDS, "")
-    return strip(F.regexp_replace(t, r"(?U)[^\w\s]", ""))
+
+    def made(flag: str) -> Column:
+        t = F.regexp_replace(normalised, flag + r"\s+", " ")
+        t = F.regexp_replace(F.regexp_replace(t, flag + X.DIGIT_GAP, ""), flag + X.THOUSANDS, "")
+        return F.regexp_replace(t, flag + r"[^\w\s]", "")
+
+    return strip(F.when(is_ascii(normalised), made("")).otherwise(made("(?U)")))
 
 
 def numbers(text: Column, stamps: str = "block") -> Column:
@@ -100,9 +111,9 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda x: x != "")
 
 
-def index_keys(normalised: Column) -> Column:
-    """The first token of a line, and every two neighbours written as one."""
-    t = tokens(normalised)
+def index_keys(t: Column) -> Column:
+    """The first of a line's tokens, and every two neighbours written as one. The tokens come as a column of their own:
+    an expression would be evaluated for each use."""
     rest = F.greatest(F.size(t) - 1, F.lit(0))
     # zip_with, not an index into t: Spark would split the line again for every token.
     pairs = F.zip_with(F.slice(t, F.lit(1), rest), F.slice(t, F.lit(2), rest), lambda x, y: F.concat(x, y))

@@ -67,12 +67,19 @@ def status_counts(diff: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def index_entries(lines: DataFrame) -> DataFrame:
+    """(pair_id, side, ord, key): the keys under which each line is found."""
+    rows = lines.select("pair_id", "side", "ord", T.normalise(T.decomposed(F.col("line"))).alias("norm"))
+    rows = rows.select("pair_id", "side", "ord", T.tokens(F.col("norm")).alias("tokens"))
+    return rows.select("pair_id", "side", "ord", F.explode(T.index_keys(F.col("tokens"))).alias("key"))
+
+
 def candidates(lines: DataFrame, most: int = L.CANDIDATES) -> DataFrame:
     """(pair_id, ord2, ord1): for each second line the lowest first lines that share an index key with it.
 
     The lowest of all are among the lowest of each key, so a key keeps no more: a join by key meets a row for each.
     """
-    keyed = lines.select("pair_id", "side", "ord", F.explode(T.index_keys(T.normalise(T.decomposed(F.col("line"))))).alias("key"))
+    keyed = index_entries(lines)
     first = keyed.filter("side = 1").groupBy("pair_id", "key").agg(F.slice(F.array_sort(F.collect_set("ord")), 1, most).alias("ords"))
     second = keyed.filter("side = 2").select("pair_id", "key", F.col("ord").alias("ord2"))
     hits = second.join(first, ["pair_id", "key"]).groupBy("pair_id", "ord2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ords")))).alias("found"))

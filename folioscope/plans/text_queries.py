@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import similarity as S
 from folioscope.functions import text as T
+from folioscope.operators import lines as L
 from folioscope.operators import numbers as N
 from folioscope.plans import common as C
 from folioscope.sources import revisions as R
@@ -154,8 +155,7 @@ u AS (SELECT pair_id, side, ord, t[1] AS key FROM t WHERE len(t) > 0 UNION SELEC
 SELECT * FROM u""",
 )
 def token_bigrams(spark, sf_dir):
-    rows = R.revision_lines(spark, sf_dir)
-    return rows.select("pair_id", "side", "ord", F.explode(T.index_keys(T.normalise(T.decomposed(F.col("line"))))).alias("key"))
+    return L.index_entries(R.revision_lines(spark, sf_dir))
 
 
 @query(
@@ -225,13 +225,22 @@ def line_score_status(spark, sf_dir):
 
     Canonical lines keep bare stamps here, as they do where edit distance matches lines.
     """
-    rows = _scored(_aligned_lines(spark, sf_dir))
+    rows = _scored(_both(spark, sf_dir, "inner"))
     return rows.select("pair_id", "ord", T.rounded(F.col("score"), 4).alias("score"), "status")
 
 
+def _both(spark, sf_dir, how):
+    """(pair_id, ord, l1, l2, whole1, whole2): both lines of each place, normalised before they meet.
+
+    The join stands between the two steps of cleaning, or the first would be repeated for each use in the second.
+    """
+    lines = R.revision_lines(spark, sf_dir).withColumn("whole", T.normalise(T.decomposed(F.col("line")), False))
+    side = lambda n: lines.filter(F.col("side") == n).select("pair_id", "ord", F.col("line").alias(f"l{n}"), F.col("whole").alias(f"whole{n}"))
+    return side(1).join(side(2), ["pair_id", "ord"], how)
+
+
 def _scored(rows):
-    """(pair_id, ord, l1, l2) with score and status."""
-    rows = rows.select("pair_id", "ord", "l1", "l2", *[T.normalise(T.decomposed(F.col(f"l{n}")), False).alias(f"whole{n}") for n in "12"])
+    """Rows of _both with score and status."""
     made = [(f"norm{n}", T.without_stamp(F.col(f"whole{n}"))) for n in "12"] + [(f"canon{n}", T.canonical(F.col(f"whole{n}"))) for n in "12"] + [(f"n{n}", T.numbers(F.col(f"l{n}"))) for n in "12"]
     rows = rows.select("pair_id", "ord", "l1", "l2", *[c.alias(t) for t, c in made])
     rows = rows.withColumn("score", S.with_numbers(S.levenshtein(F.col("canon1"), F.col("canon2")), F.col("n1"), F.col("n2"), True))
@@ -240,9 +249,7 @@ def _scored(rows):
 
 def placed(spark, sf_dir):
     """(pair_id, ord, status): the lines of both revisions by their place, where one side may have none."""
-    lines = R.revision_lines(spark, sf_dir)
-    side = lambda n: lines.filter(F.col("side") == n).select("pair_id", "ord", F.col("line").alias(f"l{n}"))
-    rows = _scored(side(1).join(side(2), ["pair_id", "ord"], "full"))
+    rows = _scored(_both(spark, sf_dir, "full"))
     return rows.select("pair_id", "ord", F.when(F.col("l2").isNull(), "removed").when(F.col("l1").isNull(), "added").otherwise(F.col("status")).alias("status"))
 
 
