@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import arrow_map, fresh
-from folioscope.llm.license_scan import Words, _hashes, _slices, _tables
+from folioscope.llm.license_scan import Words, _hashes, _slices, _tables, firsts_of
 
 #: Words in a larger share of the documents carry no weight, but for each item's rarest words.
 MAX_DF, RAREST = 0.02, 8
@@ -38,8 +38,8 @@ ANSWER_WORDS = 5
 #: Dimensions beyond one for each item; items of a block, and their distinct words (a longer item is a block of its own);
 #: blocks that share a pass; singular values below this share of the largest are noise.
 OVERSAMPLE, ITEMS, TERMS, SHARED, SMALL = 56, 256, 1 << 14, 8, 1e-5
-#: Parts in which sums over terms are added up.
-PARTS = 32
+#: Parts in which sums over terms are added up; rows of a sparse product at once, and cells of a table of passages and words.
+PARTS, RUN, CELLS = 32, 512, 1 << 22
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -71,12 +71,13 @@ class Benchmark:
         hashes = _hashes([w.decode("utf-8", "surrogateescape") for w in self.vocabulary]) if self.vocabulary else np.zeros(0, np.uint64)
         self.order = np.argsort(hashes)
         self.sorted_hashes = hashes[self.order]
+        self.firsts = firsts_of(self.sorted_hashes)
         self.longest = max((len(w) for w in self.vocabulary), default=0)
         self.idf = self.basis = self.values = None
 
     @property
     def finder(self):
-        return type("Terms", (Words,), {"order": self.order, "sorted_hashes": self.sorted_hashes, "longest": self.longest})
+        return type("Terms", (Words,), {"order": self.order, "sorted_hashes": self.sorted_hashes, "longest": self.longest, "firsts": self.firsts})
 
     @property
     def rank(self) -> int:
@@ -105,7 +106,23 @@ class Benchmark:
 
 
 def projected(starts: np.ndarray, term: np.ndarray, weight: np.ndarray, onto: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(weight[:, None] * onto[term], starts, axis=0) if len(starts) else np.zeros((0, onto.shape[1]), np.float32)
+    """For each row the weighted sum of its terms' rows of onto: some rows at a time, a term of each in every step."""
+    out = np.zeros((len(starts), onto.shape[1]), np.float32)
+    onto, size = np.ascontiguousarray(onto), np.diff(np.append(starts, len(term)))
+    order = np.argsort(-size, kind="stable")
+    buffer = np.empty((RUN, onto.shape[1]), np.float32)
+    for k in range(0, len(order), RUN):
+        rows = order[k : k + RUN]
+        at, have = starts[rows], size[rows]
+        own = np.zeros((len(rows), onto.shape[1]), np.float32)
+        longer = np.searchsorted(-have, -np.arange(have[0]), side="left").tolist()  # rows that have more than so many terms
+        for j, m in enumerate(longer):
+            here = at[:m] + j
+            step = np.take(onto, term[here], axis=0, out=buffer[:m], mode="clip")
+            step *= weight[here, None]
+            own[:m] += step
+        out[rows] = own
+    return out
 
 
 def _tabled(batches, benches: list[Benchmark]):
@@ -136,8 +153,9 @@ def _gram(starts, term, weight, omega: np.ndarray, out: np.ndarray) -> None:
         rows = projected(starts, term, weight, omega)
         of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(term))))
         order = np.argsort(term, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], term[order][1:] != term[order][:-1]]))
-        out[term[order][first]] += np.add.reduceat(weight[order, None] * rows[of[order]], first, axis=0)
+        term, weight, of = term[order], weight[order], of[order]
+        first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+        out[term[first]] += projected(first, of, weight, rows)
 
 
 def _range(batches, benches: list[Benchmark]):
@@ -210,7 +228,7 @@ def fit(docs: DataFrame, benches: list[Benchmark]) -> None:
         own = np.zeros_like(sums)
         _gram(starts, term, weight, omega, own)
         vectors, bench.values = decomposed(sums + max(1.0, np.linalg.norm(sums) / max(np.linalg.norm(own), 1e-9)) * own, omega)
-        bench.basis = vectors[:, bench.values > SMALL * bench.values.max(initial=0)].astype(np.float32)
+        bench.basis = np.ascontiguousarray(vectors[:, bench.values > SMALL * bench.values.max(initial=0)], np.float32)
 
 
 class Finder:
@@ -222,6 +240,8 @@ class Finder:
         self.having, starts, term, weight = bench.vectors(owner, np.concatenate([np.array(x) for x in bench.numbers]))
         latent = projected(starts, term, weight, bench.basis)
         self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        self.sizes = np.array([len(x) for x in bench.numbers])
+        self.starts, self.words = np.cumsum(self.sizes) - self.sizes, np.concatenate([np.array(x) for x in bench.numbers])
         self.masks, self.answers = [], []
         for ws in bench.numbers:
             for out, part in ((self.masks, ws), (self.answers, ws[-ANSWER_WORDS:])):
@@ -240,28 +260,45 @@ class Finder:
         close = rows @ self.latent.T
         best: dict[tuple[int, int], tuple] = {}
         place = words.text.astype(np.int64) * (span * bench.stride) + words.number
-        sought: dict[int, tuple[list[int], int]] = {}
-        for p, k in zip(*(x.tolist() for x in np.nonzero(close >= COSINE)), strict=True):
-            item = int(self.having[k])
-            text, number = divmod(int(passages[p]), span)
-            if p not in sought:
-                base = text * span * bench.stride + number * bench.stride
-                a, b = np.searchsorted(place, [base, base + 2 * bench.stride])
-                # Beyond a text's last passage lies the next text.
-                b = min(b, int(np.searchsorted(words.text, text, side="right")))
-                sought[p] = words.vocab[a:b].tolist(), a
-            seen, a = sought[p]
+        row, col = np.nonzero(close >= COSINE)
+        text, number = np.divmod(passages[row].astype(np.int64), span)
+        base = (text * span + number) * bench.stride
+        begin = np.searchsorted(place, base)
+        # Beyond a text's last passage lies the next text.
+        end = np.minimum(np.searchsorted(place, base + 2 * bench.stride), np.searchsorted(words.text, text, side="right"))
+        items = self.having[col]
+        for k in np.flatnonzero(self.bounds(words.vocab, row, begin, end, items) >= LCS_WITH_ANSWER * self.sizes[items]).tolist():
+            a, item, key = int(begin[k]), int(items[k]), (int(text[k]), int(items[k]))
+            seen = words.vocab[a : end[k]].tolist()
             bits, size = self.masks[item]
             share = lcs(bits, size, seen)
             if share < LCS_WITH_ANSWER * size:
                 continue
             answer = lcs(*self.answers[item], seen) / self.answers[item][1]
             if share >= LCS_ALONE * size or answer >= ANSWER:
-                row = (share / size, -int(words.number[a]), answer, float(close[p, k]))
-                if best.get((text, item), (0,)) < row:
-                    best[text, item] = row
+                found = (share / size, -int(words.number[a]), answer, float(close[row[k], col[k]]))
+                if best.get(key, (0,)) < found:
+                    best[key] = found
         return best
 
+    def bounds(self, vocab: np.ndarray, passage: np.ndarray, begin: np.ndarray, end: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """For each pair of a passage (rising) and an item, how many of the item's words the passage has: no less than they share in order."""
+        out = np.zeros(len(items), np.int64)
+        new = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]])) if len(passage) else np.zeros(0, np.int64)
+        own = np.cumsum(np.bincount(new, minlength=len(passage))) - 1
+        step = max(1, CELLS // len(self.bench.vocabulary))
+        for k in range(0, len(new), step):
+            some = new[k : k + step]
+            has = np.zeros((len(some), len(self.bench.vocabulary)), bool)
+            for j, (a, b) in enumerate(zip(begin[some].tolist(), end[some].tolist(), strict=True)):
+                has[j, vocab[a:b]] = True
+            pairs = slice(int(some[0]), int(new[k + step]) if k + step < len(new) else len(items))
+            size = self.sizes[items[pairs]]
+            first = np.cumsum(size) - size
+            at = np.arange(size.sum()) + np.repeat(self.starts[items[pairs]] - first, size)
+            out[pairs] = np.add.reduceat(has[np.repeat(own[pairs] - k, size), self.words[at]], first, dtype=np.int64)
+        return out
+
 
 def _search(batches, benches: list[Benchmark]):
     finders = [Finder(x) for x in benches]

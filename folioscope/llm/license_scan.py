@@ -78,12 +78,18 @@ def _hashes(words: list[str]) -> np.ndarray:
     return Rolling(data, powers(n, BASE), powers(n, UNBASE)).spans(np.concatenate([[0], ends[:-1]]), ends)
 
 
+def firsts_of(hashes: np.ndarray) -> np.ndarray:
+    """Where in sorted hashes those begin that have each value of the upper 16 bits."""
+    return np.searchsorted(hashes >> np.uint64(48), np.arange((1 << 16) + 1))
+
+
 class Words:
     """The words of many texts: for each its text, its number within the text, and its place in VOCABULARY or -1."""
 
     order = np.argsort(_hashes(list(VOCABULARY)))
     sorted_hashes = _hashes(list(VOCABULARY))[order]
     longest = max(len(w) for w in VOCABULARY)
+    firsts = firsts_of(sorted_hashes)
 
     def __init__(self, raw: np.ndarray, at: np.ndarray, up: np.ndarray, down: np.ndarray):
         if not len(raw):
@@ -104,13 +110,26 @@ class Words:
         self.counts = np.diff(first)
         some = np.flatnonzero(stop - start <= self.longest)
         found = Rolling(low, up, down).spans(start[some], stop[some])
-        spot = np.minimum(np.searchsorted(self.sorted_hashes, found), len(self.order) - 1)
-        hit = self.sorted_hashes[spot] == found
+        hit, spot = self._looked_up(found)
         some = some[hit]
-        self.vocab = self.order[spot[hit]].astype(np.int32)
+        self.vocab = self.order[spot].astype(np.int32)
         self.text = np.searchsorted(first, some, side="right") - 1
         self.number = some - first[self.text]
 
+    def _looked_up(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are sorted ones, and their places there."""
+        upper = (found >> np.uint64(48)).astype(np.int64)
+        spot, stop = self.firsts[upper], self.firsts[upper + 1]
+        open_, out = np.flatnonzero(spot < stop), np.full(len(found), -1)
+        while len(open_):
+            same = self.sorted_hashes[spot[open_]] == found[open_]
+            out[open_[same]] = spot[open_[same]]
+            open_ = open_[~same]
+            spot[open_] += 1
+            open_ = open_[spot[open_] < stop[open_]]
+        hit = np.flatnonzero(out >= 0)
+        return hit, out[hit]
+
 
 def _tables(parts, finder=Words):
     """(part, Words) for slices of Arrow batches with a text column at 1; finder: Words or a class like it."""
