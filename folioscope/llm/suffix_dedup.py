@@ -10,7 +10,8 @@
 3. The second parse. The spans of some whole cores at a time are cut at triggers into short phrases. The dictionary of
    distinct phrases gets a suffix array, the parse (each span as the ranks of its phrases) another; together they put
    all windows into the order of the corpus, and windows that agree with a neighbour, byte by byte, repeat.
-4. All of it gives intervals, which are joined with the texts.
+4. All of it gives intervals, which are joined with the texts. Where shorter windows were looked for before, longer ones
+   are looked for only in their intervals: all parts of a repeated window repeat.
 
 Hashes only choose what is compared, but in step 1, where spans are equal if their core's and their own hash agree, 128
 bits of two different functions. Rows of a core or span that a third of all texts hold are sent once by each task and
@@ -42,7 +43,7 @@ HOT, PARTS = 2048, 8
 PIECE, PACK, ORDERED = 1 << 19, 1 << 18, 1 << 20
 #: Bytes of the second parse's triggers, one of so many positions.
 SHORT, EVERY = 8, 16
-#: The pipeline's stage: bytes of a window, positions that share a trigger, and the words that a removed passage exceeds.
+#: Passages: bytes of a window, positions that share a trigger, and the words that a removed passage exceeds.
 PASSAGE, PASSAGE_GAP, PASSAGE_WORDS = 200, 80, 50
 
 _PLACE = np.uint64((1 << 23) - 1)
@@ -66,42 +67,62 @@ def _pieces(raw: np.ndarray, at: np.ndarray, length: int):
         yield raw, at, 0
 
 
-def _spans(raw: np.ndarray, at: np.ndarray, length: int, gap: int, wanted=None) -> tuple[np.ndarray, ...]:
-    """The spans of texts laid end to end: core, hash of the bytes, text, first and last window of each.
+def _segments(raw: np.ndarray, at: np.ndarray, los: list, his: list, length: int):
+    """(bytes, segment starts, row and first place of each segment): the bytes of wanted windows alone, about PIECE at a time.
 
-    wanted: for each text the first and last windows to parse, as two lists; None: all.
+    los, his: for each text the first and last windows to parse. Those that meet are one segment, long ones several.
     """
+    row = np.repeat(np.arange(len(los)), [len(x) for x in los])
+    lo = np.maximum(np.concatenate([np.zeros(0, np.int64), *los]).astype(np.int64), 0)
+    hi = np.minimum(np.concatenate([np.zeros(0, np.int64), *his]).astype(np.int64), np.diff(at)[row] - length)
+    row, lo, hi = (x[lo <= hi] for x in (row, lo, hi))
+    if not len(row):
+        return
+    order = np.lexsort((lo, row))
+    lo, hi = (x[order] + at[row[order]] for x in (lo, hi))
+    row = row[order]
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (lo[1:] > np.maximum.accumulate(hi)[:-1] + 1)]))
+    row, lo, hi = row[first], lo[first], np.maximum.reduceat(hi, first)
+    parts = (hi - lo) // PIECE + 1
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    row, lo, hi = (np.repeat(x, parts) for x in (row, lo, hi))
+    lo += nth * PIECE
+    hi = np.minimum(hi, lo + PIECE - 1)
+    sizes = hi - lo + length
+    data = memoryview(np.ascontiguousarray(raw))
+    start, ends = 0, np.cumsum(sizes)
+    while start < len(lo):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + PIECE, side="right")))
+        part = np.frombuffer(b"".join([data[a : a + n] for a, n in zip(lo[start:stop].tolist(), sizes[start:stop].tolist(), strict=True)]), np.uint8)
+        yield part, np.concatenate([[0], np.cumsum(sizes[start:stop])]), row[start:stop], lo[start:stop] - at[row[start:stop]]
+        start = stop
+
+
+def _spans(raw: np.ndarray, at: np.ndarray, length: int, gap: int) -> tuple[np.ndarray, ...]:
+    """The spans of texts laid end to end: core, hash of the bytes, text, first and last window of each."""
     n = len(raw) - SEED + 1
     none = np.zeros(0, np.int64)
     empty = none.view(np.uint64), none.view(np.uint64), none, none, none
     gap = min(gap, length - SEED + 1)
     if n < gap:
         return empty
-    rolling, place = _rolling(raw), np.arange(n)
-    least = (rolling.spans(place, place + SEED) & ~_PLACE) | place.astype(np.uint64)
+    rolling = _rolling(raw)
+    least = (rolling.each(SEED) & ~_PLACE) | np.arange(n, dtype=np.uint64)
     width = 1
     while 2 * width <= gap:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     if gap > width:
         least = np.minimum(least[: len(least) - gap + width], least[gap - width :])
-    trigger = (least & _PLACE).astype(np.int64)
-    window = np.arange(len(trigger))
-    text = np.searchsorted(at, window, side="right") - 1
-    good = window + length <= at[text + 1]
-    if wanted is not None:
-        edge = np.zeros(len(raw) + 2, np.int64)
-        for k in range(len(at) - 1):
-            np.add.at(edge, at[k] + np.clip(wanted[0][k], 0, at[k + 1] - at[k]), 1)
-            np.add.at(edge, at[k] + np.clip(np.asarray(wanted[1][k]) + 1, 0, at[k + 1] - at[k]), -1)
-        good &= np.cumsum(edge)[: len(trigger)] > 0
-    window = window[good]
-    if not len(window):
+    begins = np.concatenate([[True], least[1:] != least[:-1]])
+    begins[at[:-1][at[:-1] < len(least)]] = True
+    lo = np.flatnonzero(begins)
+    text = np.searchsorted(at, lo, side="right") - 1
+    hi = np.minimum(np.append(lo[1:], len(least)) - 1, at[text + 1] - length)
+    lo, hi, text = (x[lo <= hi] for x in (lo, hi, text))
+    if not len(lo):
         return empty
-    trigger, text = trigger[window], text[window]
-    begins = np.flatnonzero(np.concatenate([[True], (trigger[1:] != trigger[:-1]) | (text[1:] != text[:-1]) | (window[1:] != window[:-1] + 1)]))
-    lo, hi = window[begins], window[np.append(begins[1:], len(window)) - 1]
-    trigger, text = trigger[begins], text[begins]
+    trigger = (least[lo] & _PLACE).astype(np.int64)
     core = rolling.spans(trigger, trigger + length - gap + 1)
     data = memoryview(np.ascontiguousarray(raw))
     own = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)), np.uint64, len(lo))
@@ -139,16 +160,18 @@ def _parse(batches, length: int, gap: int, buckets: int, some: bool):
     for batch in batches:
         for part in chunks(batch, "text", PIECE):
             keys = part.column(0).to_numpy(zero_copy_only=False)
-            los, his = (part.column(k).to_pylist() for k in (2, 3)) if some else (None, None)
-            for raw, at, base in _pieces(*bytes_of(part.column(1)), length):
-                wanted = ([np.array(x) - base for x in los], [np.array(x) - base for x in his]) if some else None
-                core, phrase, text, lo, hi = _spans(raw, at, length, gap, wanted)
+            if some:
+                pieces = _segments(*bytes_of(part.column(1)), part.column(2).to_pylist(), part.column(3).to_pylist(), length)
+            else:
+                pieces = ((raw, at, np.arange(len(at) - 1), np.full(len(at) - 1, base)) for raw, at, base in _pieces(*bytes_of(part.column(1)), length))
+            for raw, at, row, base in pieces:
+                core, phrase, text, lo, hi = _spans(raw, at, length, gap)
                 if len(core):
-                    held.append((core, phrase, keys[text], lo + base, hi - lo))
+                    held.append((core, phrase, keys[row[text]], lo + base[text], hi - lo))
                     n += len(core)
-            if n >= PACK:
-                yield _deal(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
-                held, n = [], 0
+                if n >= PACK:
+                    yield _deal(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+                    held, n = [], 0
     if held:
         yield _deal(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
 
@@ -238,7 +261,13 @@ def _words(data: np.ndarray) -> np.ndarray:
 
 
 def repeated(spans: list[bytes], length: int) -> list[np.ndarray]:
-    """For each span, which of its windows (by start) stand anywhere else in these spans.
+    """For each span, which of its windows (by start) stand anywhere else in these spans."""
+    flags, windows = _repeated(spans, length)
+    return np.split(flags, np.cumsum(windows)[:-1])
+
+
+def _repeated(spans: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The flags of all windows, span after span, and the windows of each span.
 
     Spans are cut at triggers into phrases, each ending with the next trigger; the last ends with the span. As no
     suffix of a phrase that is longer than a trigger is the beginning of another, windows are in order when sorted by
@@ -268,7 +297,12 @@ def repeated(spans: list[bytes], length: int) -> list[np.ndarray]:
     rest = np.repeat(ahead[1:], lengths) - np.arange(len(dictionary))
     shown = np.minimum(rest, 8)
     first = _words(dictionary)[:-1] >> (8 * (8 - shown)).astype(np.uint64) << (8 * (8 - shown)).astype(np.uint64)
-    suffix = _suffix_ranks(_ranks(_ranks(first) * 9 + shown), rest, 8)
+    rank = _ranks(first)
+    some = np.empty(len(rank), np.int64)
+    some[rank] = shown
+    if np.any(some[rank] != shown):  # a suffix that ends looks like one that goes on with zeros
+        rank = _ranks(rank * 9 + shown)
+    suffix = _suffix_ranks(rank, rest, 8)
 
     left = np.searchsorted(begin, ends[span], side="left") - np.arange(len(begin))  # phrases to the span's end
     follows = _suffix_ranks(_ranks(suffix[ahead[phrase]]), left, 1)
@@ -286,7 +320,7 @@ def repeated(spans: list[bytes], length: int) -> list[np.ndarray]:
     out = np.zeros(len(where), bool)
     out[order[same]] = True
     out[order[same + 1]] = True
-    return np.split(out, np.cumsum(windows)[:-1])
+    return out, windows
 
 
 def _cut_spans(batches, length: int):
@@ -308,14 +342,17 @@ def _ordered(batches, length: int):
     """The repeated windows of spans that come sorted by core, some whole cores at a time."""
 
     def done(held):
-        spans = [x[2] for x in held]
-        key, lo, hi = [], [], []
-        for (k, place, _), flags in zip(held, repeated(spans, length), strict=True):
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-            key += [k] * (len(edge) // 2)
-            lo += (edge[::2] + place).tolist()
-            hi += (edge[1::2] + place + length - 1).tolist()
-        yield from _found(0, np.zeros(len(key), np.int64), np.array(key, np.int64), np.array(lo, np.int32), np.array(hi, np.int32))
+        flags, windows = _repeated([x[2] for x in held], length)
+        starts = np.cumsum(windows) - windows
+        first = np.zeros(len(flags) + 1, bool)
+        first[starts] = first[-1] = True
+        before = np.concatenate([[False], flags[:-1]])
+        begins = np.flatnonzero(flags & (first[:-1] | ~before))
+        stops = np.flatnonzero(flags & (first[1:] | ~np.append(flags[1:], False)))
+        span = np.repeat(np.arange(len(held)), windows)[begins]
+        shift = np.array([x[1] for x in held])[span] - starts[span]
+        key = np.array([x[0] for x in held], np.int64)[span]
+        yield from _found(0, np.zeros(len(key), np.int64), key, begins + shift, stops + shift + length)
 
     now, held, size = None, [], 0
     for batch in batches:
@@ -372,8 +409,11 @@ def _listed(found: DataFrame, merge: bool) -> DataFrame:
     return arrow_map(rows, _by_key, "key long, los array<long>, his array<long>" + ("" if merge else ", cores array<long>"), merge)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame:
-    """(key, los, his): the merged byte intervals of each text of docs (key, text) that repeat anywhere."""
+def repeats(docs: DataFrame, length: int = LENGTH, gap: int = GAP, within: DataFrame | None = None) -> DataFrame:
+    """(key, los, his): the merged byte intervals of each text of docs (key, text) that repeat anywhere.
+
+    within: such intervals of windows that are no longer, outside which nothing repeats.
+    """
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -388,11 +428,19 @@ def repeats(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame:
         # A row that stands twice sends its windows twice; all of them repeat.
         return docs.join(_listed(places, False), "key").select("key", "text", "los", "his", "cores")
 
-    done, open_ = parse(docs, gap, False)
+    if within is None:
+        done, open_ = parse(docs, gap, False)
+    else:
+        wide = within.select("key", F.expr(f"filter(arrays_zip(los, his), x -> x.his - x.los >= {length})").alias("wide")).filter("size(wide) > 0")
+        windows = wide.select("key", F.col("wide.los").alias("los"), F.expr(f"transform(wide.his, x -> x - {length})").alias("his"))
+        docs = written(docs.join(windows, "key").select("key", "text", "los", "his"), "wide")
+        release(spark)
+        done, open_ = parse(docs, gap, True)
+        docs = docs.select("key", "text")
     cold = []
     while True:
-        hot = open_.groupBy("core").agg(F.count(F.lit(1)).alias("places")).filter(F.col("places") > HOT).select("core")
-        if gap == 1 or hot.limit(1).count() == 0:
+        hot = written(open_.groupBy("core").agg(F.count(F.lit(1)).alias("places")).filter(F.col("places") > HOT).select("core"), "hot")
+        if gap == 1 or hot.isEmpty():
             cold.append(open_)
             break
         cold.append(open_.join(hot, "core", "left_anti"))
@@ -408,7 +456,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame:
     return _listed(done.unionByName(ordered), True)
 
 
-def _cut(batches):
+def _without(data: bytes, los: list | None, his: list | None, words: int = -1) -> bytes:
+    """The bytes that are left when the intervals of more than so many words are cut."""
+    long = [(a, b) for a, b in zip(los or (), his or (), strict=True) if words < 0 or len(data[a:b].split()) > words]
+    if not long:
+        return data
+    los, his = zip(*long, strict=True)
+    return b"".join(data[a:b] for a, b in zip([0, *his], [*los, len(data)], strict=True))
+
+
+def _cut(batches, words: int | None):
     for batch in batches:
         for part in chunks(batch, "text", PIECE):
             raw, at = bytes_of(part.column(1))
@@ -416,34 +473,48 @@ def _cut(batches):
             sizes, gone, spans, digests, kept = [], [], [], [], []
             for k, (los, his) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
                 data = raw[at[k] : at[k + 1]]
-                left = data
-                if los:
-                    left = b"".join(data[a:b] for a, b in zip([0, *his], [*los, len(data)], strict=True))
+                left = _without(data, los, his)
                 sizes.append(len(data))
                 gone.append(len(data) - len(left))
                 spans.append(len(los or ()))
                 digests.append(hashlib.sha256(left).hexdigest())
                 kept.append(left.decode("utf-8", "ignore"))
             out = [part.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+            if words is not None:
+                lists = zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)
+                texts = [_without(raw[at[k] : at[k + 1]], los, his, words).decode("utf-8", "ignore") for k, (los, his) in enumerate(lists)]
+                out.append(pa.array(texts, pa.string()))
+                names.append("text_without_passages")
+            yield pa.RecordBatch.from_arrays(out, names)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, passages: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and the text that is left.
 
-    The text lacks what a cut leaves of a split character; the hash is of all bytes.
+    The text lacks what a cut leaves of a split character; the hash is of all bytes. With `passages`, also
+    text_without_passages: the whole text but for the passages of more than PASSAGE_WORDS words that `stage` removes.
     """
     rows = _keyed(docs)
-    found = rows.join(repeats(rows.select("key", "text"), length), "key", "left").select("doc_id", "text", "los", "his")
-    return arrow_map(found, _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    texts = rows.select("key", "text")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+    if not passages:
+        found = rows.join(repeats(texts, length), "key", "left").select("doc_id", "text", "los", "his")
+        return arrow_map(found, _cut, schema, None)
+    short = written(repeats(texts, PASSAGE, PASSAGE_GAP), "passages")
+    release(docs.sparkSession)
+    long = repeats(texts, length, within=short if length >= PASSAGE else None)
+    both = long.join(short.toDF("key", "short_los", "short_his"), "key", "full")
+    found = rows.join(both, "key", "left").select("doc_id", "text", "los", "his", "short_los", "short_his")
+    return arrow_map(found, _cut, schema + ", text_without_passages string", PASSAGE_WORDS)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return removed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return removed(spark.read.parquet(f"{sf_dir}/documents.parquet"), passages=True)
 
 
 def _rewritten(batches, place: int, chars: int | None, words: int):
@@ -453,12 +524,7 @@ def _rewritten(batches, place: int, chars: int | None, words: int):
             columns = list(part.columns)
             texts = []
             for text, los, his in zip(columns[place].to_pylist(), columns[-2].to_pylist(), columns[-1].to_pylist(), strict=True):
-                if text is not None and los:
-                    data = text.encode()
-                    long = [(a, b) for a, b in zip(los, his, strict=True) if len(data[a:b].split()) > words]
-                    los, his = [a for a, _ in long], [b for _, b in long]
-                    text = b"".join(data[a:b] for a, b in zip([0, *his], [*los, len(data)], strict=True)).decode("utf-8", "ignore")
-                texts.append(text)
+                texts.append(text if text is None or not los else _without(text.encode(), los, his, words).decode("utf-8", "ignore"))
             columns[place] = pa.array(texts, pa.string())
             if chars is not None:
                 columns[chars] = pa.array([None if t is None else len(t) for t in texts], columns[chars].type)

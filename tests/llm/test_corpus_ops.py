@@ -144,6 +144,22 @@ def test_suffix_dedup_stage(docs, texts):
     assert cut > 10
 
 
+def test_suffix_dedup_passages(spark, docs, texts, tmp_path):
+    """The query also tells the text without repeated passages of over 50 words, which may be shorter than its 400 bytes."""
+    passage = prose(56, 998)
+    assert 200 < len(passage) < suffix_dedup.LENGTH and len(passage.split()) > suffix_dedup.PASSAGE_WORDS + 3
+    every = [*texts, *(prose(25, 800 + k) + " " + passage + " " + prose(25, 900 + k) for k in range(4))]
+    table(spark, every).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = suffix_dedup.op1(spark, str(tmp_path)).collect()
+    assert_removed(rows, every)
+    got = {r.doc_id: r.text_without_passages for r in rows}
+    stage = {r.doc_id: r.text for r in suffix_dedup.stage(spark, table(spark, every), "").collect()}
+    assert got == {k: t or "" for k, t in stage.items()}
+    for k in range(len(texts), len(every)):
+        assert passage[1:-1] not in got[k] and got[k].startswith(prose(25, 800 + k - len(texts))[:100]) and len(got[k]) > 200
+    assert all(r.n_removed == 0 for r in rows if r.doc_id >= len(texts))
+
+
 def sets_of(texts):
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
