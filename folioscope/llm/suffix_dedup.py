@@ -451,7 +451,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gap: int = GAP, within: DataF
     for more in cold[1:]:
         places = places.unionByName(more)
     spans = arrow_map(texts(places), _cut_spans, "core long, key long, lo int, span binary", length)
-    ordered = written(arrow_map(spans.repartition("core").sortWithinPartitions("core"), _ordered, FOUND, length), "ordered")
+    # By a number: few bytes are much work, so parts are not to be put together by their bytes.
+    ordered = written(arrow_map(spans.repartition(buckets, "core").sortWithinPartitions("core"), _ordered, FOUND, length), "ordered")
     release(spark)
     return _listed(done.unionByName(ordered), True)
 
