@@ -160,6 +160,16 @@ def test_suffix_dedup_passages(spark, docs, texts, tmp_path):
     assert all(r.n_removed == 0 for r in rows if r.doc_id >= len(texts))
 
 
+def test_suffix_dedup_narrowed_windows(spark, monkeypatch):
+    """Long windows looked for in the intervals of short ones alone, with hot cores and segments in several parts."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 300)
+    passage, other = prose(140, 31), prose(80, 32)
+    texts = [prose(20 + k % 7, 400 + k) + " " + (passage if k % 3 else passage[: 300 + 9 * k] + other) + prose(15, 700 + k) for k in range(30)]
+    rows = suffix_dedup.removed(table(spark, [*texts, None, "", texts[0]]), passages=True).collect()
+    assert assert_removed(rows, [*texts, None, "", texts[0]]) > 10_000
+
+
 def sets_of(texts):
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
