@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontam, html_extract, jaccard_join, language_id, license_scan, quality_rules, sharding, sp_codec, suffix_dedup, warc
+from folioscope.llm import collocations, decontam, hard_negatives, html_extract, jaccard_join, language_id, license_scan, nearest, quality_rules, sharding, sp_codec, suffix_dedup, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_decontamination": decontam.op8,
     "op9_warc": warc.op9,
     "op10_sentencepiece": sp_codec.op10,
+    "op11_nearest": nearest.op11,
+    "op12_hard_negatives": hard_negatives.op12,
+    "op13_collocations": collocations.op13,
 }
 
 ORACLE = {
     "op7_quality_rules": quality_rules.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
+    "op12_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
 }
