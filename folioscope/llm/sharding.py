@@ -8,12 +8,11 @@ such summaries at most, of a size that no table sets. A cut lies between two poi
 shards are known.
 
 The dimensions are taken from the text, so that equal texts share a point of the space: byte length, first and
-second character, word density; ties within a dimension are ordered by a checksum of the text and then by
-doc_id, so equal texts lie side by side and are parted only where a cut falls among them, which is how a group
-larger than a shard is spread.
+second character, word density; ties within a dimension are ordered by a checksum of the text and then by a number
+that each row has of its own, so equal texts lie side by side and are parted only where a cut falls among them, which is how
+a group larger than a shard is spread, repeated rows included.
 
-Defined cases: a null text has no bytes, checksum 0 and size 16; null doc_ids sort first; repeated rows share a
-shard unless a cut falls among their equal keys; an empty table gives an empty result; extra columns are ignored.
+Defined cases: a null text has no bytes, checksum 0 and size 16; null doc_ids and repeated rows are rows like others; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +42,7 @@ class Node:
 
     shards: range
     dimension: int | None = None
-    cut: tuple[int, int] = (0, 0)  # rows go left up to this key and, of rows with this key, this doc_id
+    cut: tuple[int, int] = (0, 0)  # rows go left up to this key and, of rows with this key, this number
     left: "Node | None" = None
     right: "Node | None" = None
 
@@ -60,6 +59,7 @@ def metadata(docs: DataFrame) -> DataFrame:
         F.ascii(text).cast("long").alias("d_first"),
         F.ascii(F.substring(text, 2, 1)).cast("long").alias("d_second"),
         F.when(n > 0, (spaces * 100000 / n).cast("long")).otherwise(0).alias("d_density"),
+        F.monotonically_increasing_id().alias("tie"),
     )
 
 
@@ -68,7 +68,7 @@ class Rows:
 
     def __init__(self, batch: pa.RecordBatch):
         get = lambda name: batch.column(batch.schema.get_field_index(name))
-        self.doc = get("doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+        self.tie = get("tie").to_numpy()
         self.size = get("size").to_numpy()
         crc = get("text_crc32").to_numpy()
         self.keys = [get(d).to_numpy() * (1 << 32) + crc for d in DIMENSIONS]
@@ -81,32 +81,32 @@ class Rows:
             out[at] = node.shards.start
             return out
         key = self.keys[node.dimension][at]
-        below = (key < node.cut[0]) | ((key == node.cut[0]) & (self.doc[at] <= node.cut[1]))
+        below = (key < node.cut[0]) | ((key == node.cut[0]) & (self.tie[at] <= node.cut[1]))
         self.leaves(node.left, at[below], out)
         self.leaves(node.right, at[~below], out)
         return out
 
 
-def thinned(key: np.ndarray, doc: np.ndarray, weight: np.ndarray, points: int) -> tuple[np.ndarray, ...]:
+def thinned(key: np.ndarray, tie: np.ndarray, weight: np.ndarray, points: int) -> tuple[np.ndarray, ...]:
     """At most about so many points in order, each with the weight of all rows after the point before it."""
-    order = np.lexsort((doc, key))
-    key, doc, weight = key[order], doc[order], weight[order]
+    order = np.lexsort((tie, key))
+    key, tie, weight = key[order], tie[order], weight[order]
     ends = np.cumsum(weight)
     if not len(ends):
-        return key, doc, weight
+        return key, tie, weight
     step = np.floor((ends - weight / 2) * (points / ends[-1])).astype(np.int64)
     last = np.flatnonzero(np.append(step[1:] != step[:-1], True))
-    return key[last], doc[last], np.diff(np.append(0.0, ends[last]))
+    return key[last], tie[last], np.diff(np.append(0.0, ends[last]))
 
 
-SUMMARY = "place int, keys binary, docs binary, weights binary"
+SUMMARY = "place int, keys binary, ties binary, weights binary"
 
 
 def _rows_of(found: dict[int, list[tuple]], points: int):
     """A row for each place, that is, node and dimension: its points merged and thinned."""
     for place, parts in found.items():
         made = thinned(*(np.concatenate(x) for x in zip(*parts, strict=True)), points)
-        yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in made)], ["place", "keys", "docs", "weights"])
+        yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in made)], ["place", "keys", "ties", "weights"])
 
 
 def _summaries(batches, root: Node, leaves: list[int], points: int):
@@ -114,16 +114,16 @@ def _summaries(batches, root: Node, leaves: list[int], points: int):
     held, n = [], 0
 
     def chunk():
-        leaf, doc, size, *keys = (np.concatenate(x) for x in zip(*held, strict=True))
+        leaf, tie, size, *keys = (np.concatenate(x) for x in zip(*held, strict=True))
         for k, own in enumerate(leaves):
             at = np.flatnonzero(leaf == own)
             for d, key in enumerate(keys):
                 if len(at):
-                    found.setdefault(k * len(DIMENSIONS) + d, []).append(thinned(key[at], doc[at], size[at].astype(np.float64), points))
+                    found.setdefault(k * len(DIMENSIONS) + d, []).append(thinned(key[at], tie[at], size[at].astype(np.float64), points))
 
     for batch in batches:
         rows = Rows(batch)
-        held.append((rows.leaves(root), rows.doc, rows.size, *rows.keys))
+        held.append((rows.leaves(root), rows.tie, rows.size, *rows.keys))
         n += batch.num_rows
         if n >= CHUNK:
             chunk()
@@ -160,9 +160,9 @@ def summaries(rows: DataFrame, root: Node, leaves: list[int]) -> dict[int, tuple
         found.setdefault(place, []).append(own)
     out = {}
     for place, own in found.items():
-        key, doc, weight = (np.concatenate(x) for x in zip(*own, strict=True))
-        order = np.lexsort((doc, key))
-        out[place] = key[order], doc[order], weight[order]
+        key, tie, weight = (np.concatenate(x) for x in zip(*own, strict=True))
+        order = np.lexsort((tie, key))
+        out[place] = key[order], tie[order], weight[order]
     return out
 
 
@@ -189,10 +189,10 @@ def tree(rows: DataFrame, shards: int = SHARDS) -> Node:
                 ends = [int(key[min(len(key) - 1, np.searchsorted(reach, reach[-1] * q))]) >> 32 for q in (0.05, 0.95)]
                 wide.append((ends[1] - ends[0]) / spread[d])
             node.dimension = int(np.argmax(wide))
-            key, doc, weight = of(k, node.dimension)
+            key, tie, weight = of(k, node.dimension)
             reach = np.cumsum(weight)
             at = int(np.argmin(np.abs(reach - reach[-1] * (len(node.shards) // 2) / len(node.shards))))
-            node.cut = int(key[at]), int(doc[at])
+            node.cut = int(key[at]), int(tie[at])
             node.left = Node(range(node.shards.start, node.shards.start + len(node.shards) // 2))
             node.right = Node(range(node.left.shards.stop, node.shards.stop))
     return root
@@ -200,20 +200,21 @@ def tree(rows: DataFrame, shards: int = SHARDS) -> Node:
 
 def _assigned(batches, root: Node):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(Rows(batch).leaves(root), pa.int32())], ["doc_id", "size", "text_crc32", "shard"])
+        rows = Rows(batch)
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(rows.tie), pa.array(rows.leaves(root), pa.int32())], ["doc_id", "size", "text_crc32", "tie", "shard"])
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     rows = written(metadata(docs), "shard-metadata")
-    rows = arrow_map(rows, _assigned, "doc_id long, size long, text_crc32 long, shard int", tree(rows, shards))
+    rows = arrow_map(rows, _assigned, "doc_id long, size long, text_crc32 long, tie long, shard int", tree(rows, shards))
     # Slots: rows are numbered within blocks of a shard, and blocks are numbered by sums of their counts.
     most = rows.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(max(1, -(-most // SLOT_ROWS) * 8))).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("tie"), F.lit(max(1, -(-most // SLOT_ROWS) * 8))).cast("int"))
     counts = rows.groupBy("shard", "block").count()
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32"))
+    inside = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "tie"))
     return rows.withColumn("inside", inside).join(offsets, ["shard", "block"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("inside") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -299,6 +299,26 @@ def test_quality_stage(spark, docs):
     assert [r.doc_id for r in quality_rules.stage(spark, two, "").collect()] == [2]
 
 
+LINES = {
+    "Home About Contact Products": True, "Read more »": True, "Page 1 2 3": True, "1 2 3 4 5 6 Next": True, "« Zurück Weiter »": True, "Lire la suite de cet article ici.": True,
+    "HELLO!! NOW!! BUY!!": True, "a | b | c | d": True, "$$$ ### a": True, "go " * 14: True, "Alle Rechte vorbehalten.": True, "Impressum": True, "A" * 5000 + " b": False,
+    "": False, " \t": False, "It was.": False, "The rooms 1 2 3 were open to all.": False, "A plain line of prose that goes on over its end and": False, "He said: “No”": False,
+    "Introduction to the field of study": False, "The director met Anna Maria Berger in New York and Boston and then went": False,
+}
+
+
+def test_quality_lines(spark):
+    """Single lines, and texts of which failing lines alone are taken; blank lines stay."""
+    lines = list(LINES)
+    rows = quality_rules.judged(spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")).collect()
+    assert {lines[r.doc_id]: r.n_lines_removed == 1 for r in rows} == LINES
+    body = [prose(36, 70), "", "Home About Contact Products", prose(36, 71), "  ", "Read more »", ""]
+    left = "\n".join([body[0], "", body[3], "  ", ""])
+    docs = spark.createDataFrame([(1, "\n".join(body), 3, 5), (2, prose(60, 72), None, 6), (2, prose(60, 72), None, 6), (3, None, 1, 7)], "doc_id long, text string, n_chars int, kept int")
+    got = sorted(tuple(r) for r in quality_rules.stage(spark, docs, "").collect())
+    assert got == [(1, left, len(left), 5)] + [(2, prose(60, 72), None, 6)] * 2
+
+
 def test_decontamination(spark, texts):
     items = [prose(R.randint(14, 50), 700 + k) for k in range(30)]
     bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)] + [(98, None), (99, "")], "item_id long, text string")
@@ -539,6 +559,18 @@ def test_html_of_null_ids(spark):
     assert len(got) == 3 and sum(n > 0 for _, n in got) <= 1
 
 
+def test_sharding_of_repeated_rows(spark):
+    """Rows that agree in all columns, and rows without an id, are spread as well."""
+    rows = [(7, "the same row of the table over and over")] * 3000 + [(None, prose(30, 1))] * 800 + [(None, None)] * 200 + [(k, prose(40, k)) for k in range(398)]
+    out = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 40).collect()
+    by = {}
+    for x in out:
+        by.setdefault(x.shard, []).append(x)
+    mean, largest = sum(x["size"] for x in out) / 40, max(x["size"] for x in out)
+    assert len(out) == len(rows) and sorted(by) == list(range(40)) and all(sorted(x.slot for x in v) == list(range(len(v))) for v in by.values())
+    assert all(abs(sum(x["size"] for x in v) - mean) <= 1.5 * largest for v in by.values())
+
+
 def test_sharding_laws(spark):
     """Each shard's bytes are near the mean, sizes and checksums are those of the texts, slots have no gaps."""
     r = random.Random(8)

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import re
 
 import duckdb
 
@@ -12,12 +13,34 @@ from tests.llm.test_corpus_ops import repeats_of, sets_of
 SF = "/root/testdata/sf0.001"
 
 
+def cleaned(text):
+    """The lines of a text that no rule fails, by plain code."""
+
+    def fails(x):
+        w = re.findall(r"[^\x20\x09-\x0D]+", x)
+        n, low, open_ = len(w), x.lower(), not re.search(quality_rules.END, x)
+        names = n >= 2 and all(v[0].isupper() or v[0].isdecimal() or v[0] in "«»‹›←→" for v in w)
+        return n > 0 and (
+            sum(x.count(c) for c in "#*$%&<>") >= 0.5 * n
+            or x.count("|") >= 0.25 * n
+            or (x.count("!") if not any(c.islower() for c in x) else 0) >= 0.8 * n
+            or (n <= 30 and any(p in low for p in quality_rules.BOILERPLATE))
+            or (n >= 12 and len(set(x.split(" "))) <= 0.25 * n)
+            or (open_ and n <= 10 and ((n <= 4 and len(x) <= 40) or names))
+            or (open_ and n <= 30 and len(re.findall(quality_rules.BARE, x, re.A)) >= max(3, 0.5 * n))
+        )
+
+    return "\n".join(x for x in text.split("\n") if not fails(x))
+
+
 def plain(sf):
     """doc_id -> the text that is left, by rules of each stage alone."""
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     kept = {k for k, ok in con.execute(f"select doc_id, kept from ({quality_rules.ORACLE_SQL})").fetchall() if ok}
-    texts = {k: t for k, t in con.execute("select doc_id, text from documents order by doc_id").fetchall() if k in kept}
+    texts = {k: cleaned(t) for k, t in con.execute("select doc_id, text from documents order by doc_id").fetchall() if k in kept}
+    digests = dict(con.execute(f"select doc_id, clean_sha256 from ({quality_rules.ORACLE_SQL})").fetchall())
+    assert all(hashlib.sha256(t.encode()).hexdigest() == digests[k] for k, t in texts.items())
     # One document of each group of similar ones: the smallest id.
     ids = list(texts)
     sets = list(sets_of(texts.values()))
