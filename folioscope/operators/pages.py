@@ -64,11 +64,20 @@ def aligned(pages: DataFrame, structural: bool = True) -> DataFrame:
     return assigned(near.select("pair_id", "i1", "i2", sim.alias("sim")), pages)
 
 
-def highlighted(lines: DataFrame, specs: DataFrame) -> DataFrame:
-    """Each physical line with the first spec that matches it: lines (doc_id, page_no, bucket, line), specs (doc_id, spec_no, spec)."""
-    both = lines.join(specs, "doc_id").withColumn("t", F.lower("line")).withColumn("n", F.lower(T.strip(F.col("spec")))).filter(F.length("n") >= X.LEAST_CHARS)
-    lw, nw = F.array_distinct(T.tokens(F.col("t"))), F.array_distinct(T.tokens(F.col("n")))
-    both = both.withColumn("a", F.size(lw)).withColumn("b", F.size(nw)).withColumn("shared", F.size(F.array_intersect(lw, nw)))
+#: Lines times specs of a document up to which all pairs are compared; beyond, an index finds the pairs first.
+PAIRS = 20_000
+#: Characters of a piece of text in the index, no more than any needle has.
+GRAM = X.LEAST_CHARS
+
+
+def _tokens(text: Column) -> Column:
+    return F.array_distinct(T.tokens(text))
+
+
+def _hits(pairs: DataFrame) -> DataFrame:
+    """The pairs of a line's text t and a spec's text n that match: one within the other, or most of the line's words."""
+    pairs = pairs.withColumn("lw", _tokens(F.col("t"))).withColumn("nw", _tokens(F.col("n")))
+    pairs = pairs.withColumn("a", F.size("lw")).withColumn("b", F.size("nw")).withColumn("shared", F.size(F.array_intersect("lw", "nw")))
     longest, shortest = F.greatest("a", "b"), F.least("a", "b")
     artefact = (F.col("shared") / longest >= X.WRAP_OVERLAP) & (shortest / longest >= X.WRAP_FROM) & (shortest / longest < X.WRAP_TO)
     needle, head = F.substring("n", 1, X.NEEDLE), F.substring("t", 1, X.NEEDLE)
@@ -78,5 +87,61 @@ def highlighted(lines: DataFrame, specs: DataFrame) -> DataFrame:
         | ((F.length("t") >= X.WHOLE) & F.contains(F.col("n"), F.col("t")))
         | ((F.col("a") >= X.MARK_WORDS) & (F.col("shared") / F.col("a") >= X.MARK_SHARED) & (F.col("a") / longest >= X.MARK_LENGTH))
     )
-    first = F.row_number().over(Window.partitionBy("doc_id", "page_no", "bucket").orderBy("spec_no"))
-    return both.filter(hit & ~F.coalesce(artefact, F.lit(False))).withColumn("_first", first).filter("_first = 1").select(*lines.columns, "spec_no")
+    return pairs.filter(hit & ~F.coalesce(artefact, F.lit(False)))
+
+
+def _grams(text: Column) -> Column:
+    """The distinct pieces of GRAM characters; the look-ahead meets each character once, however long the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def _rarest(sought: DataFrame, within: DataFrame, key: str) -> DataFrame:
+    """(doc_id, key, piece): of each text's pieces, the one that fewest texts of `within` have; none if one is in no text.
+
+    A text whose pieces are not all there lies in none of the texts.
+    """
+    counts = within.groupBy("doc_id", "piece").agg(F.count(F.lit(1)).alias("n"))
+    ranked = sought.join(counts, ["doc_id", "piece"], "left").groupBy("doc_id", key).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("best"))
+    return ranked.filter("best.n > 0").select("doc_id", key, F.col("best.piece").alias("piece"))
+
+
+def paired(texts: DataFrame, specs: DataFrame) -> DataFrame:
+    """(doc_id, at, spec_no): all pairs that may match, and few more: texts (doc_id, at, t), specs (doc_id, spec_no, n).
+
+    A text that lies in another has all of its pieces there, so it is looked up by its rarest. A line most of whose words a
+    spec has shares one of its rarest words with it: as many as may be missing, and one more.
+    """
+    line_pieces = texts.select("doc_id", "at", F.explode(_grams(F.col("t"))).alias("piece"))
+    needles = specs.select("doc_id", "spec_no", F.explode(_grams(F.substring("n", 1, X.NEEDLE))).alias("piece"))
+    in_line = _rarest(needles, line_pieces, "spec_no").join(line_pieces, ["doc_id", "piece"])
+    spec_pieces = specs.select("doc_id", "spec_no", F.explode(_grams(F.col("n"))).alias("piece"))
+    heads = texts.filter(F.length("t") >= X.HEAD).select("doc_id", "at", F.explode(_grams(F.substring("t", 1, X.NEEDLE))).alias("piece"))
+    in_spec = _rarest(heads, spec_pieces, "at").join(spec_pieces, ["doc_id", "piece"])
+    spec_words = specs.select("doc_id", "spec_no", F.explode(_tokens(F.col("n"))).alias("word"))
+    counts = spec_words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = texts.withColumn("ws", _tokens(F.col("t"))).filter(F.size("ws") >= X.MARK_WORDS).select("doc_id", "at", F.explode("ws").alias("word"))
+    ranked = words.join(counts, ["doc_id", "word"], "left").groupBy("doc_id", "at").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("ws"))
+    missing = F.floor(F.size("ws") * (1 - X.MARK_SHARED) + 1e-9).cast("int")
+    rare = ranked.select("doc_id", "at", F.explode(F.slice("ws", F.lit(1), missing + 1)).alias("w")).select("doc_id", "at", F.col("w.word").alias("word"))
+    overlap = rare.join(spec_words, ["doc_id", "word"])
+    columns = ["doc_id", "at", "spec_no"]
+    return in_line.select(*columns).unionByName(in_spec.select(*columns)).unionByName(overlap.select(*columns)).distinct()
+
+
+def highlighted(lines: DataFrame, specs: DataFrame, pairs: int = PAIRS) -> DataFrame:
+    """Each physical line with the first spec that matches it: lines (doc_id, page_no, bucket, line), specs (doc_id, spec_no, spec).
+
+    Equal lines of a document are looked up once, and of equal specs the first counts. Pairs of a small document are all
+    compared; those of a large one come from an index of pieces and words, so no task ever holds a document.
+    """
+    texts = lines.groupBy("doc_id", F.lower("line").alias("t")).agg(F.min(F.struct("page_no", "bucket")).alias("at"))
+    wanted = specs.withColumn("n", F.lower(T.strip(F.col("spec")))).filter(F.length("n") >= X.LEAST_CHARS).groupBy("doc_id", "n").agg(F.min("spec_no").alias("spec_no"))
+    sizes = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n1")).join(wanted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n2")), "doc_id")
+    sizes = sizes.select("doc_id", (F.col("n1") * F.col("n2") > pairs).alias("large"))
+    texts, wanted = texts.join(sizes, "doc_id"), wanted.join(sizes, "doc_id")
+    small = texts.filter("not large").drop("large").join(wanted.filter("not large").drop("large"), "doc_id")
+    many, sought = texts.filter("large").drop("large"), wanted.filter("large").drop("large")
+    large = paired(many, sought).join(many, ["doc_id", "at"]).join(sought, ["doc_id", "spec_no"])
+    columns = ["doc_id", "t", "n", "spec_no"]
+    first = _hits(small.select(*columns).unionByName(large.select(*columns))).groupBy("doc_id", "t").agg(F.min("spec_no").alias("spec_no"))
+    return lines.withColumn("t", F.lower("line")).join(first, ["doc_id", "t"]).select(*lines.columns, "spec_no")

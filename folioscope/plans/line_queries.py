@@ -12,6 +12,7 @@ from folioscope.operators import pages as P
 from folioscope.operators import reports as O
 from folioscope.plans import common as C
 from folioscope.sources import revisions as R
+from folioscope.sources.scratch import once
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -165,12 +166,21 @@ def _page_lines(pages, alignment):
     return L.compared(both.select("pair_id", "i1", "text1", "text2"), keys=("pair_id", "i1"))
 
 
+def _aligned_pages(spark, sf_dir):
+    """Pages, and their alignment, which is computed once."""
+    pages = _pages(spark, sf_dir)
+    return pages, once(P.aligned(pages), "alignment")
+
+
 def _page_diffs(spark, sf_dir):
     """The comparison of each aligned pair of pages, then the unmatched pages."""
-    pages = _pages(spark, sf_dir)
-    alignment = P.aligned(pages)
+    pages, alignment = _aligned_pages(spark, sf_dir)
+    return _page_rows(pages, alignment, _page_lines(pages, alignment))
+
+
+def _page_rows(pages, alignment, lines):
     text = lambda side: _page_text(pages, side)
-    counts = L.status_counts(_page_lines(pages, alignment), "pair_id", "i1")
+    counts = L.status_counts(lines, "pair_id", "i1")
     rows = alignment.join(counts, ["pair_id", "i1"], "left").join(text(1), ["pair_id", "i1"])
     unmatched = F.col("i2") < 0
     return rows.select(
@@ -187,10 +197,13 @@ def _page_diffs(spark, sf_dir):
 
 
 def page_issue_rows(spark, sf_dir):
+    pages, alignment = _aligned_pages(spark, sf_dir)
+    return _issue_rows(alignment, _page_lines(pages, alignment))
+
+
+def _issue_rows(alignment, lines):
     """The first issues of each aligned pair of pages, as many as a report shows, with all columns of a diff."""
-    pages = _pages(spark, sf_dir)
-    alignment = P.aligned(pages)
-    rows = O.first_issues(_page_lines(pages, alignment), ["pair_id", "i1"]).join(alignment.select("pair_id", "i1", "i2"), ["pair_id", "i1"])
+    rows = O.first_issues(lines, ["pair_id", "i1"]).join(alignment.select("pair_id", "i1", "i2"), ["pair_id", "i1"])
     return rows.withColumn("page1", F.col("i1") + 1).withColumn("page2", F.col("i2") + 1)
 
 
@@ -198,9 +211,11 @@ def page_issue_rows(spark, sf_dir):
 def api_document(spark, sf_dir):
     from folioscope.operators import numbers as N
 
-    pages2 = _pages(spark, sf_dir).filter("side = 2").groupBy("pair_id").agg(F.count(F.lit(1)).alias("pages2"))
-    rows = _page_diffs(spark, sf_dir).join(pages2, "pair_id", "left").fillna(0, ["pages2"])
-    return O.api_document(_diff(spark, sf_dir), N.reconciled(R.texts(_lines(spark, sf_dir))), rows, page_issue_rows(spark, sf_dir))
+    pages, alignment = _aligned_pages(spark, sf_dir)
+    lines = once(_page_lines(pages, alignment), "page-lines")
+    pages2 = pages.filter("side = 2").groupBy("pair_id").agg(F.count(F.lit(1)).alias("pages2"))
+    rows = _page_rows(pages, alignment, lines).join(pages2, "pair_id", "left").fillna(0, ["pages2"])
+    return O.api_document(once(_diff(spark, sf_dir), "diff"), N.reconciled(R.texts(_lines(spark, sf_dir))), rows, _issue_rows(alignment, lines))
 
 
 @query("page_pair")

@@ -15,6 +15,7 @@ from folioscope.plans import common as C
 from folioscope.plans import text_queries as Q
 from folioscope.sources import pdf as X
 from folioscope.sources import revisions as R
+from folioscope.sources.scratch import once
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -212,3 +213,14 @@ def scan_lines_b(spark, sf_dir):
     text = P.ordered_join(["page_no", "bucket"], "line", "\n")
     out = lines.groupBy("doc_id").agg(text.alias("text"), F.sum(F.size(T.tokens(F.col("line")))).alias("word_count"))
     return out.select("doc_id", "word_count", F.array_sort(T.numbers(F.col("text"), "line")).alias("unique_numbers"))
+
+
+@query("highlight_scan")
+def highlight_scan(spark, sf_dir):
+    """Each scanned line of a document's first revision that a change of the second marks, with its box."""
+    built = once(P.lines_of_words(_scanned(spark, sf_dir)), "scanned-lines")
+    diff = L.compared(R.texts(R.revision_lines(spark, sf_dir)))
+    specs = O.highlight_specs(diff).filter("side = 1").select(F.col("pair_id").alias("doc_id"), F.col("seq").alias("spec_no"), F.col("line_text").alias("spec"))
+    found = P.highlighted(built.select("doc_id", "page_no", "bucket", "line"), once(specs, "specs"))
+    boxes = built.select("doc_id", "page_no", "bucket", *[T.rounded(F.col(c), 4).alias(c) for c in ("x0", "x1", "y0", "y1")])
+    return found.join(boxes, ["doc_id", "page_no", "bucket"])

@@ -1,6 +1,8 @@
 """Golden cases and properties of line comparison, and its relational forms against the plain ones."""
 
 import random
+import time
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -11,6 +13,7 @@ from folioscope.functions import lines as P
 from folioscope.functions import similarity as S
 from folioscope.functions import text as T
 from folioscope.operators import lines as L
+from tests.test_diff_queries import words_apart
 
 
 @pytest.mark.parametrize(
@@ -118,3 +121,42 @@ def test_compared_rows(spark):
     df = spark.createDataFrame([(1, "Alpha beta gamma\nRemoved line here", "alpha  beta gamma\nBrand new words"), (2, None, "")], "pair_id long, text1 string, text2 string")
     rows = {(r.pair_id, r.status) for r in L.compared(df).collect()}
     assert rows == {(1, "same"), (1, "added"), (1, "removed")}
+
+
+def test_free_places():
+    r = random.Random(4)
+    free, left = P.Free(300), list(range(300))
+    for _ in range(300):
+        assert free.some(7) == left[:7] and free.first(120) == next((k for k in left if k >= 120), 300)
+        gone = r.choice(left)
+        assert gone in free
+        free.take(gone)
+        left.remove(gone)
+        assert gone not in free
+    assert free.some(3) == [] and free.first() == 300
+
+
+def test_lines_without_keys_in_common_take_linear_time():
+    """Every second line falls back to the first free lines, and takes one: the places taken must not be walked again."""
+    n = 6000
+    first = [f"{k:05d}x note on the accounts of the year" for k in range(n)]
+    second = [f"y{k:05d}x note on the accounts of the year" for k in range(n)]
+    begin = time.time()
+    rows = P.matched([x.replace(" ", "") for x in first], [x.replace(" ", "") for x in second], "b")
+    assert len(rows) == n and all(x["status"] in ("same", "changed") for x in rows) and time.time() - begin < 60
+
+
+def test_word_diff_of_long_lines():
+    """Equal to the first of the best scripts on random lines; memory does not grow with the product of the lengths."""
+    r = random.Random(6)
+    for _ in range(400):
+        words = "abcdeFGH"[: r.choice([1, 2, 4, 8])]
+        a, b = (" ".join(r.choice(words) for _ in range(r.randint(0, 12))) for _ in range(2))
+        assert P.word_diff(a, b) == words_apart(a, b), (a, b)
+    old = [f"w{r.randrange(900)}" for _ in range(6000)]
+    new = [w if r.random() < 0.8 else f"w{r.randrange(900)}" for w in old]
+    tracemalloc.start()
+    got = P.word_diff(" ".join(old), " ".join(new))
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [w for w, t in got if t != "added"] == old and [w for w, t in got if t == "added"] and top < 12 << 20
