@@ -13,19 +13,18 @@ count each time; an empty table gives an empty result; extra columns are ignored
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import arrow_map, bytes_of, drop_written, written
+from folioscope.llm.common import Rolling, arrow_map, bytes_of, drop_written, mix, power_pair, written
 
 #: Fixed values of the contract: words of a phrase, its least count, scores as parts of so many, the share of a longer phrase that hides it.
 LONGEST, LEAST, SCALE, HIDDEN, TOP = 4, 30, 2_000_000, 80, 2000
 #: Bits of the bitmap of frequent phrases (8 MB); bytes of text that a task counts at once.
-BITS, TEXT = 1 << 26, 16 << 20
-SEED = 42  # of Spark's own xxhash64
+BITS, TEXT = 1 << 26, 8 << 20
 
 #: What a byte is: 0 part of a word, 1 white space within a piece, 2 an end of a piece.
 _KIND = np.zeros(256, np.uint8)
@@ -35,6 +34,25 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def hashes(words: pa.Array) -> np.ndarray:
+    data, at = bytes_of(words)
+    return Rolling(data, *power_pair(len(data))).spans(at[:-1], at[1:])
+
+
+def extended(so_far: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a phrase with a word more; it begins with its language's."""
+    with np.errstate(over="ignore"):
+        return mix(so_far * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first place of each distinct key, the number of each place's key, and how often each occurs."""
+    own, distinct = pd.factorize(keys)
+    where = np.empty(len(distinct), np.int64)
+    where[own[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    return where, own, np.bincount(own, minlength=len(distinct))
+
+
 class Words:
     """The words of some texts in order, each with its text's language and its piece."""
 
@@ -62,9 +80,8 @@ class Words:
         return pc.binary_join_element_wise(self.langs.take(pa.array(self.lang[places])), phrase, "\t")
 
 
-def frequent(keys: pa.Array, bits: np.ndarray) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    at = np.fromiter((digest(x, SEED) for x in keys.cast(pa.binary()).to_pylist()), np.uint64, len(keys)) & np.uint64(8 * len(bits) - 1)
+def frequent(found: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = found & np.uint64(8 * len(bits) - 1)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -72,21 +89,25 @@ def counts_of(texts: pa.Array, langs: pa.Array, size: int, maps: list[np.ndarray
     """The phrases of `size` words and their counts; maps: the frequent phrases of each smaller size, as bitmaps."""
     words = Words(texts, langs)
     n = len(words.number)
+    if size > 1:
+        by_word, by_lang = hashes(words.vocabulary), hashes(words.langs)
     # The number of the phrase of so many words at each place, -1 if a piece ends before or a part is not frequent.
     at = words.lang * max(1, len(words.vocabulary)) + words.number
-    places = np.arange(n)
+    places, many = np.arange(n), len(words.langs) * max(1, len(words.vocabulary))
     for k in range(1, size + 1):
         if k > 1:
-            both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0) & (words.piece[: max(0, n - 1)] == words.piece[1:]))
-            keys = at[both] * (int(at.max(initial=0)) + 1) + at[both + 1]
-        else:
-            both, keys = places, at
-        _, where, own, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+            places = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0) & (words.piece[: max(0, n - 1)] == words.piece[1:]))
+            at = at[places] * many + at[places + 1]
+        where, own, counts = grouped(at)
+        first, many = places[where], len(where)
         if k == size:
-            return words.keys(both[where], k), counts
-        ok = frequent(words.keys(both[where], k), maps[k - 1])
+            return words.keys(first, k), counts
+        found = by_lang[words.lang[first]]
+        for j in range(k):
+            found = extended(found, by_word[words.number[first + j]])
+        ok = frequent(found, maps[k - 1])
         at = np.full(n, -1, np.int64)
-        at[both] = np.where(ok[own], own, -1)
+        at[places] = np.where(ok[own], own, -1)
     raise ValueError(size)
 
 
@@ -111,10 +132,21 @@ def _count(batches, size: int, maps: list, most: int):
         yield from out()
 
 
+def _positions(batches, bits: int):
+    for batch in batches:
+        keys = batch.column(0).to_pylist()
+        lang, words = zip(*(k.rsplit("\t", 1) for k in keys), strict=True)
+        found, parts = hashes(pa.array(lang)), [w.split(" ") for w in words]
+        for j in range(max(map(len, parts))):
+            some = np.array([k for k, w in enumerate(parts) if len(w) > j])
+            found[some] = extended(found[some], hashes(pa.array([parts[k][j] for k in some.tolist()])))
+        yield pa.RecordBatch.from_arrays([pa.array((found & np.uint64(bits - 1)).astype(np.int64) + 1)], ["at"])
+
+
 def bitmap(table: DataFrame) -> bytes:
     """The keys of a table of frequent phrases as bits, of a size that no table sets."""
-    at = F.pmod(F.xxhash64("key"), F.lit(BITS)) + 1
-    rows = table.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    at = arrow_map(table.select("key"), _positions, "at long", BITS)
+    rows = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
     out = np.zeros(BITS // 8, np.uint8)
     for bucket, bits in rows:
         out[(bucket - 1) * len(bits) : bucket * len(bits)] = np.frombuffer(bits, np.uint8)
