@@ -125,6 +125,10 @@ def _histograms(anchors, blocks, width: int, dtype: str, exact: type, shift: int
             at = ((a[own] * p + k) << DIGIT) + ((below[own] >> shift) & ((1 << DIGIT) - 1))
             cells, n_rows = np.unique(at, return_counts=True)
             counts[cells] += n_rows
+    # Of a window, the buckets after the one that reaches what is wanted here cannot hold the last one wanted of all.
+    counts = counts.reshape(n * p, 1 << DIGIT)
+    wanted = np.cumsum(counts, axis=1) - counts < tile.windows[:, :, 3].reshape(-1, 1)
+    counts = np.where(wanted, counts, 0).reshape(-1)
     cells = np.flatnonzero(counts)
     window = cells >> DIGIT
     yield pa.RecordBatch.from_arrays([pa.array(tile.row[window // p]), pa.array((window % p).astype(np.int32)), pa.array((cells & ((1 << DIGIT) - 1)).astype(np.int32)), pa.array(counts[cells])], ["anchor", "p", "digit", "n"])
