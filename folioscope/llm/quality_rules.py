@@ -109,7 +109,7 @@ def line_fails(x: Column) -> Column:
         | (x["phrase"] & (n <= 30))
         | ((n >= REPEAT_WORDS) & (x["distinct"] <= REPEAT_SHARE * n))
         | ((n <= MENU_WORDS) & ~x["line"].rlike(END) & (few | ((n >= 2) & x["line"].rlike(NAMES))))
-        | ((n <= 3 * MENU_WORDS) & (_count(x["line"], BARE) >= F.greatest(F.lit(PAGES), PAGE_SHARE * n)) & ~x["line"].rlike(END))
+        | ((n <= 3 * MENU_WORDS) & ~x["line"].rlike(END) & (_count(x["line"], BARE) >= F.greatest(F.lit(PAGES), PAGE_SHARE * n)))
     )
 
 
