@@ -105,6 +105,46 @@ def _words(content: bytes, fonts: dict[bytes, tuple[int, dict[int, str]]]) -> It
         stack = []
 
 
+_PAGE, _TREE = re.compile(rb"/Type\s*/Page\b(?!s)"), re.compile(rb"/Type\s*/Pages\b")
+_KIDS = re.compile(rb"/Kids\s*(\[[^\]]*\]|\d+\s+\d+\s+R)")
+
+
+def pages_of(objects: dict[int, bytes]) -> Iterator[tuple[bytes, bytes, bytes]]:
+    """Pages in the order of the page tree: the page, and the nodes that its box and its resources stand in.
+
+    Both may be inherited from the nodes above. Pages that no tree holds follow in the order of the file.
+    """
+    refs = lambda raw: [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", raw)]
+
+    def kids(body: bytes) -> list[int]:
+        m = _KIDS.search(body)
+        if not m:
+            return []
+        # The list may be an object of its own.
+        return refs(objects.get(refs(m[1])[0], b"")) if m[1][:1] != b"[" else refs(m[1])
+
+    trees = {k: kids(body) for k, body in objects.items() if _TREE.search(body)}
+    below = {kid for found in trees.values() for kid in found}
+    seen: set[int] = set()
+    # Nodes still to visit, the next one last; a node is visited once, so a tree that holds itself ends.
+    open_ = [(k, objects[k], objects[k]) for k in sorted(trees, reverse=True) if k not in below]
+    while open_:
+        key, box, resources = open_.pop()
+        body = objects.get(key, b"")
+        if key in seen:
+            continue
+        seen.add(key)
+        box = body if b"/MediaBox" in body else box
+        resources = body if b"/Resources" in body else resources
+        if key in trees:
+            open_ += [(kid, box, resources) for kid in reversed(trees[key])]
+        elif body:
+            yield body, box, resources
+    for key, body in objects.items():
+        if key not in seen and _PAGE.search(body):
+            yield body, body, body
+
+
 def read(data: bytes) -> list[tuple[float, float, list[tuple]]]:
     """(width, height, words) of each page; a document that cannot be read has none."""
     objects = {int(k): body for k, body in _OBJECT.findall(data)}
@@ -125,11 +165,9 @@ def read(data: bytes) -> list[tuple[float, float, list[tuple]]]:
         return objects.get(refs(m[1])[0], b"") if re.fullmatch(rb"\d+\s+\d+\s+R", m[1]) else m[1]
 
     out = []
-    for body in objects.values():
-        if not re.search(rb"/Type\s*/Page\b(?!s)", body):
-            continue
-        box = [float(x) for x in re.findall(rb"[-+]?\d*\.?\d+", (re.search(rb"/MediaBox\s*\[([^\]]*)\]", body) or [b"", b""])[1])]
-        resources = follow(b"Resources", body) or body
+    for body, own_box, own_resources in pages_of(objects):
+        box = [float(x) for x in re.findall(rb"[-+]?\d*\.?\d+", (re.search(rb"/MediaBox\s*\[([^\]]*)\]", own_box) or [b"", b""])[1])]
+        resources = follow(b"Resources", own_resources) or own_resources
         fonts = {}
         for name, ref in re.findall(rb"(/[^\s/<>\[\]]+)\s+(\d+)\s+\d+\s+R", follow(b"Font", resources) or resources):
             cmap = re.search(rb"/ToUnicode\s+(\d+)", objects.get(int(ref), b""))

@@ -65,3 +65,26 @@ def test_entry_runs(spark):
 
     assert e.entry(spark).limit(3).count() == 3
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def foreign_pdf(objects):
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj %s endobj\n" % (k, body) for k, body in objects) + b"%%EOF"
+
+
+def shown(key, text):
+    content = b"BT /F1 10 Tf 50 700 Td (%s) Tj ET" % text
+    return key, b"<< /Length %d >>\nstream\n%s\nendstream" % (len(content), content)
+
+
+def test_pages_in_tree_order():
+    """Pages written in another order, nested nodes, boxes and resources of nodes above, a node that holds itself, a page outside."""
+    page = lambda parent, content, more=b"": b"<< /Type /Page /Parent %d 0 R /Contents %d 0 R %s>>" % (parent, content, more)
+    objects = [
+        (10, page(2, 20, b"/MediaBox [0 0 100 50] ")), (11, page(3, 21)), (12, page(3, 22)),
+        (3, b"<< /Type /Pages /Parent 2 0 R /Kids 4 0 R /Count 2 >>"), (4, b"[12 0 R 11 0 R 3 0 R]"),
+        (2, b"<< /Type /Pages /MediaBox [0 0 300 400] /Resources << /Font << /F1 5 0 R >> >> /Kids [3 0 R 10 0 R] /Count 3 >>"),
+        (5, b"<< /Type /Font /ToUnicode 6 0 R >>"), (6, b"<< >>\nstream\nbeginbfchar <41> <0058> <42> <0059> endbfchar\nendstream"),
+        (1, b"<< /Type /Catalog /Pages 2 0 R >>"), (13, page(99, 23)), shown(20, b"AB"), shown(21, b"BA"), shown(22, b"BB"), shown(23, b"AA"),
+    ]
+    got = [(w, h, [x[0] for x in words]) for w, h, words in pdf.read(foreign_pdf(objects))]
+    assert got == [(300, 400, ["YY"]), (300, 400, ["YX"]), (100, 50, ["XY"]), (595, 842, ["AA"])]
