@@ -88,7 +88,7 @@ class Page:
         hidden: list[list] = []
 
         def leaf(parts: list[str], links: int):
-            text = " ".join(entities.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 self._add("#", opened[-1][1], text=text, links=min(links, len(text)))
 
@@ -129,7 +129,8 @@ class Page:
             hit = _TOKEN.search(source, at)
             words = source[at : hit.start() if hit else size]
             if words:
-                run.append(words)
+                # Each piece by itself: tags within a reference end it.
+                run.append(entities.unescape(words))
                 if linked[0]:
                     linked[1] += len(words.strip())
             if hit is None:
@@ -325,16 +326,22 @@ def layouts(paragraphs: list[str], count: int = LAYOUTS, seed: int = 7):
         return f"<{tag}{named}{' data-main="1"' if main else ''}>{inner}</{tag}>"
 
     items = lambda n: "<ul>" + "".join(f'<li><a href="/{k}">{some(1, 3)}</a></li>' for k in range(n)) + "</ul>"
-    para = lambda: f"<p>{r.choice(['', '', '<b>'])}{cut()}{r.choice(['', '<br>'])}{r.choice(['</p>', '</p>', ''])}"
+    brief = lambda: sentence(1, 4)
+    para = lambda short=0.15: f"<p>{r.choice(['', '', '<b>'])}{brief() if r.random() < short else cut()}{r.choice(['', '<br>'])}{r.choice(['</p>', '</p>', ''])}"
     for _ in range(count):
-        body = f"<h1>{some(3, 10)}</h1>" if r.random() < 0.85 else ""
-        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 9, 14])):
-            body += para()
+        title = f"<h1>{some(1, 10)}</h1>" if r.random() < 0.85 else ""
+        body = title if (within := r.random() < 0.8) else ""
+        count_here = r.choice([0, 1, 1, 2, 3, 5, 9, 14])
+        for k in range(count_here):
+            # Articles often begin or end with a paragraph of a few words.
+            body += para(0.3 if k in (0, 1, count_here - 1) else 0.12)
             if r.random() < 0.15:
                 body += r.choice([f"<h2>{some(2, 6)}</h2>", "<ul>" + "".join(f"<li>{sentence(2, 14)}</li>" for _ in range(r.randint(2, 6))) + "</ul>", f"<blockquote>{cut()}</blockquote>", f"<table><tr><td>{some(1, 4)}</td><td>{some(1, 4)}</td></tr></table>", f"<p>{some(2, 6)} <a href='/x'>{some(1, 4)}</a> {sentence(3, 12)}</p>"])
             if r.random() < 0.12:
                 body += element(["div", "aside"], ["ad", "advert", "ad-slot", "sponsored", "related", "newsletter-signup", "share social", "promo"], r.choice([sentence(3, 14), items(3)])).replace("<div", '<div data-main="0"').replace("<aside", '<aside data-main="0"')
-        main = element(["article", "article", "main", "div", "section"], ["content", "post-content", "article-body", "entry", "main", "story text"], body, True)
+        main = element(["article", "article", "main", "div", "section"], ["content", "post-content", "article-body", "entry", "main", "story text", f"x{r.randint(1, 99)}"], body, True)
+        if title and not within:
+            main = title.replace("<h1", '<h1 data-main="1"') + main
         around = {
             "nav": element(["nav", "nav", "div", "header"], ["menu", "navbar", "main-nav", "breadcrumbs", "top-links"], items(r.randint(2, 9))),
             "head": element(["header", "div"], ["header", "masthead", "site-branding", "topbar"], r.choice([f"<a href='/'>{some(1, 3)}</a>", sentence(2, 8), f"<p>{sentence(3, 9)}</p>"])),
@@ -343,7 +350,7 @@ def layouts(paragraphs: list[str], count: int = LAYOUTS, seed: int = 7):
         }
         below = {
             "side": element(["aside", "div"], ["sidebar", "related", "widget", "trending", "rail"], r.choice([items(r.randint(2, 7)), f"<h3>{some(1, 3)}</h3>" + items(4), f"<p>{sentence(6, 30)}</p>", cut()])),
-            "comments": element(["div", "section", "aside"], ["comments", "comment-list", "disqus", "reader-comments", "replies"], "".join(f"<div class='comment'><p>{some(1, 2)}</p><p>{sentence(4, 40)}</p></div>" if r.random() < 0.6 else f"<p>{sentence(4, 40)}</p>" for _ in range(r.randint(1, 5)))),
+            "comments": element(["div", "section", "aside"], ["comments", "comment-list", "disqus", "reader-comments", "replies", f"x{r.randint(1, 99)}"], "".join(f"<div class='comment'><p>{some(1, 2)}</p><p>{sentence(4, 40)}</p></div>" if r.random() < 0.6 else f"<p>{sentence(4, 40)}</p>" for _ in range(r.randint(1, 5)))),
             "form": element(["form", "div"], ["form", "login", "search", "signup form", "contact"], f"<label>{some(1, 3)}</label><input name=q><p>{sentence(2, 10)}</p>"),
             "foot": element(["footer", "footer", "div"], ["footer", "site-footer", "copyright", "bottom"], r.choice([f"&copy; {some(1, 3)} &middot; {sentence(3, 14)}", f"<p>&copy; {some(2, 9)}</p>", items(4) + sentence(3, 9)])),
         }
