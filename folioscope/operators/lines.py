@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import fixed as X
@@ -21,17 +21,19 @@ def merged(lines: Column) -> Column:
     A line equal to the merged one before it, whatever the case, is dropped first.
     """
 
-    def step(done: Column, line: Column) -> Column:
-        last = F.element_at(done, -1)
+    def step(state: Column, line: Column) -> Column:
+        done, last, open_ = state["done"], F.get(state["last"], 0), F.size(state["last"]) > 0
+        now = lambda done, last: F.struct(done.alias("done"), last.alias("last"))
         joins = ~last.rlike(X.LINE_END) & line.rlike(r"^\p{Ll}") & (F.length(last) >= X.WRAPPED_CHARS)
         return (
-            F.when(F.size(done) == 0, F.array(line))
-            .when(F.lower(last) == F.lower(line), done)
-            .when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, F.lit(" "), line))))
-            .otherwise(F.concat(done, F.array(line)))
+            F.when(open_ & (F.lower(last) == F.lower(line)), now(done, state["last"]))
+            .when(open_ & joins, now(done, F.array(F.concat(last, F.lit(" "), line))))
+            .otherwise(now(F.concat(done, state["last"]), F.array(line)))
         )
 
-    return F.aggregate(lines, F.array().cast("array<string>"), step)
+    kind = "array<string>"
+    start = F.struct(F.array().cast(kind).alias("done"), F.array().cast(kind).alias("last"))
+    return F.element_at(F.transform(F.array(T.folded(lines, start, step, "done", kind)), lambda s: F.concat(s["done"], s["last"])), 1)
 
 
 def compared(texts: DataFrame, engine: str = "a", keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
@@ -77,10 +79,12 @@ def index_entries(lines: DataFrame) -> DataFrame:
 def candidates(lines: DataFrame, most: int = L.CANDIDATES) -> DataFrame:
     """(pair_id, ord2, ord1): for each second line the lowest first lines that share an index key with it.
 
-    The lowest of all are among the lowest of each key, so a key keeps no more: a join by key meets a row for each.
+    The lowest of all are among the lowest of each key, so a key keeps no more, in each task before the shuffle already: a
+    join by key meets a row for each.
     """
     keyed = index_entries(lines)
-    first = keyed.filter("side = 1").groupBy("pair_id", "key").agg(F.slice(F.array_sort(F.collect_set("ord")), 1, most).alias("ords"))
+    lowest = F.row_number().over(Window.partitionBy("pair_id", "key").orderBy("ord"))
+    first = keyed.filter("side = 1").withColumn("n", lowest).filter(F.col("n") <= most).groupBy("pair_id", "key").agg(F.collect_list("ord").alias("ords"))
     second = keyed.filter("side = 2").select("pair_id", "key", F.col("ord").alias("ord2"))
     hits = second.join(first, ["pair_id", "key"]).groupBy("pair_id", "ord2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ords")))).alias("found"))
     return hits.select("pair_id", "ord2", F.explode(F.slice("found", 1, most)).alias("ord1"))

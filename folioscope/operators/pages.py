@@ -37,19 +37,31 @@ def band(pages: DataFrame, window: int = X.WINDOW) -> DataFrame:
     return first.join(second, (first["pair_id"] == second["pair_id"]) & second["i2"].between(first["i1"] - window, first["i1"] + window)).drop(second["pair_id"])
 
 
-def assigned(scored: DataFrame, pages: DataFrame) -> DataFrame:
+def assigned(scored: DataFrame, pages: DataFrame, window: int = X.WINDOW) -> DataFrame:
     """(pair_id, i1, i2, sim): each first page takes the free second page most like it; i2 is -1 without one.
 
-    scored: (pair_id, i1, i2, sim). Pages are taken in order, ties go to the lowest page; a fold over each pair.
+    scored: (pair_id, i1, i2, sim), pages of a pair no further apart than the window. Pages are taken in order, ties go to
+    the lowest page; a fold over each pair. A page of the second side can only have been taken by one of the last 2 * window
+    first pages, so the fold remembers no others, and its time is linear in the pages.
     """
-    rows = pages.filter("side = 1").groupBy("pair_id").agg(F.array_sort(F.collect_list("page_no")).alias("firsts"))
-    near = scored.filter(F.col("sim") > X.LEAST).groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("i1", "i2", "sim"))).alias("near"))
-    fold = """
-        aggregate(firsts, cast(array() as array<struct<i1:int,i2:int,sim:double>>), (done, i) -> concat(done, array(
-            aggregate(filter(coalesce(near, array()), x -> x.i1 = i and not exists(done, d -> d.i2 = x.i2)),
-                      named_struct('i1', i, 'i2', -1, 'sim', 0D),
-                      (best, x) -> if(x.sim > best.sim, named_struct('i1', i, 'i2', x.i2, 'sim', x.sim), best)))))"""
-    return rows.join(near, "pair_id", "left").select("pair_id", F.explode(F.expr(fold)).alias("r")).select("pair_id", "r.i1", "r.i2", T.rounded(F.col("r.sim"), 3).alias("sim"))
+    step = F.struct("i1", "i2", F.col("sim").cast("double").alias("sim"))
+    # Each first page opens with a step of its own, which sorts before its candidates.
+    opens = pages.filter("side = 1").select("pair_id", F.col("page_no").cast("int").alias("i1"), F.lit(-1).alias("i2"), F.lit(0.0).alias("sim"))
+    near = scored.filter(F.col("sim") > X.LEAST).select("pair_id", F.col("i1").cast("int").alias("i1"), F.col("i2").cast("int").alias("i2"), F.col("sim").cast("double").alias("sim"))
+    rows = opens.unionByName(near).groupBy("pair_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+
+    def take(state: Column, x: Column) -> Column:
+        done, taken, now = state["done"], state["taken"], state["now"]
+        last = F.get(now, 0)
+        then = lambda *parts: F.struct(*[c.alias(n) for n, c in zip(("done", "taken", "now"), parts, strict=True)])
+        opened = then(F.concat(done, now), F.slice(F.concat(F.transform(now, lambda y: y["i2"]), taken), 1, 2 * window), F.array(x))
+        better = (x["i1"] == last["i1"]) & (x["sim"] > last["sim"]) & ~F.array_contains(taken, x["i2"])
+        return F.when(x["i2"] < 0, opened).when(better, then(done, taken, F.array(x))).otherwise(then(done, taken, now))
+
+    choice = "array<struct<i1:int,i2:int,sim:double>>"
+    start = F.struct(F.array().cast(choice).alias("done"), F.array().cast("array<int>").alias("taken"), F.array().cast(choice).alias("now"))
+    folded = T.folded(F.col("steps"), start, take, "done", choice)
+    return rows.select("pair_id", folded.alias("r")).select("pair_id", F.explode(F.concat(F.col("r.done"), F.col("r.now"))).alias("r")).select("pair_id", "r.i1", "r.i2", T.rounded(F.col("r.sim"), 3).alias("sim"))
 
 
 def fingerprints(pages: DataFrame) -> DataFrame:

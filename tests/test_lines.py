@@ -160,3 +160,55 @@ def test_word_diff_of_long_lines():
     top = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert [w for w, t in got if t != "added"] == old and [w for w, t in got if t == "added"] and top < 12 << 20
+
+
+def test_merge_of_long_texts(spark):
+    """Blocks of the fold leave no trace: equal to a plain loop, in linear time."""
+    r = random.Random(9)
+    pieces = ["This is a long wrapped line", "continues here and on", "Next Heading of it.", "NEXT HEADING OF IT.", "short one", "Ends with a stop here."]
+    texts = ["\n".join(r.choice(pieces) for _ in range(n)) for n in (0, 1, 255, 256, 257, 513, 60_000)] + ["\n".join(["Same line again"] * 700), "Begins like this one\n" + "\n".join(["goes on in lower case"] * 900)]
+    want = []
+    for text in texts:
+        done = []
+        for x in text.split("\n") if text else []:
+            if done and done[-1].lower() == x.lower():
+                continue
+            if done and done[-1][-1] not in ".!?;:" and x[0].islower() and len(done[-1]) >= 15:
+                done[-1] += " " + x
+            else:
+                done.append(x)
+        want.append(done)
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    begin = time.time()
+    got = {q.k: q.m for q in df.select("k", L.merged(T.lines_of(F.col("t"))).alias("m")).collect()}
+    assert [got[k] for k in range(len(texts))] == want and time.time() - begin < 60
+
+
+def test_free_places_of_a_list():
+    r = random.Random(5)
+    free, places = P.Free(200), sorted(r.sample(range(200), 120))
+    left = list(places)
+    for _ in range(120):
+        assert free.among(places, 9) == left[:9]
+        k = left.pop(r.randrange(min(9, len(left))))
+        free.take(k)
+    assert free.among(places, 9) == [] == places
+
+
+def test_lines_with_one_key_in_common_take_linear_time():
+    """All lines begin with one word: each second line meets some of them, not all."""
+    n = 20_000
+    first = [f"note {k:06d}" for k in range(n)]
+    begin = time.time()
+    rows = P.matched(first, first, "a")
+    assert [x["status"] for x in rows] == ["same"] * n and [x["line1"] for x in rows] == first and time.time() - begin < 90
+
+
+def test_candidates_of_a_hot_key(spark):
+    rows = [(1, s, k, f"note {k % 3} {k}") for s in (1, 2) for k in range(300)]
+    df = spark.createDataFrame(rows, "pair_id long, side int, ord int, line string")
+    got = {}
+    for q in L.candidates(df).collect():
+        got.setdefault(q.ord2, set()).add(q.ord1)
+    keys = {k: {"note", f"note{k % 3}", f"{k % 3}{k}"} for k in range(300)}
+    assert got == {k: set(sorted(j for j in range(300) if keys[j] & keys[k])[:40]) for k in range(300)}

@@ -1,5 +1,9 @@
 """Page alignment, numbers and sheets against golden cases."""
 
+import random
+import time
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folioscope.functions import similarity as S
@@ -42,3 +46,27 @@ def test_gestalt():
 def test_comment_keys(spark):
     df = spark.createDataFrame([(1, k, f"c{n}", n) for n, k in enumerate(["changed:1", "page:3", "overall:summary", "overall", "changed:1"])] + [(1, "page:9", "  ", 9)], "pair_id long, key string, comment string, seq long")
     assert {r.key: r.comment for r in O.latest_comments(df).collect()} == {"changed:1": "c4", "page:3": "c1", "overall:summary": "c2"}
+
+
+def test_assignment_of_many_pages(spark):
+    """Equal to a plain loop on random scores; the time is linear in the pages."""
+    r = random.Random(3)
+    pages, scored, want = [], [], set()
+    for pair, n in enumerate([1, 2, 17, 40, 300, 20_000]):
+        taken = set()
+        for i in range(n):
+            pages.append((pair, 1, i))
+            best, at = 0.0, -1
+            for j in range(max(0, i - 8), i + 9):
+                if r.random() < (0.5 if n < 1000 else 0.15):
+                    s = r.choice([0.2, 0.3, 0.4, 0.5, 0.9])
+                    scored.append((pair, i, j, s))
+                    if s > 0.3 and s > best and j not in taken:
+                        best, at = s, j
+            taken.add(at)
+            want.add((pair, i, at, best))
+    sims = spark.createDataFrame(pd.DataFrame(scored, columns=["pair_id", "i1", "i2", "sim"]), "pair_id long, i1 int, i2 int, sim double")
+    rows = spark.createDataFrame(pd.DataFrame(pages, columns=["pair_id", "side", "page_no"]), "pair_id long, side int, page_no int")
+    begin = time.time()
+    got = [tuple(x) for x in P.assigned(sims, rows).collect()]
+    assert len(got) == len(want) and set(got) == want and time.time() - begin < 60
