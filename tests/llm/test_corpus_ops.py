@@ -603,3 +603,10 @@ def test_sharding_laws(spark):
     mean, largest = sum(x["size"] for x in rows) / 40, max(x["size"] for x in rows)
     assert sorted(by) == list(range(40)) and all(sorted(x.slot for x in v) == list(range(len(v))) for v in by.values())
     assert all(abs(sum(x["size"] for x in v) - mean) <= 1.5 * largest for v in by.values())
+
+
+def test_sharding_of_texts_with_many_words(spark):
+    """100,000 times the spaces of a text of 25,000 words does not fit an int."""
+    texts = ["a " * 25_000, "b c", None, "d " * 40]
+    out = {r.doc_id: r for r in sharding.sharded(table(spark, texts).select("doc_id", "text"), 2).collect()}
+    assert len(out) == 4 and max(r["size"] for r in out.values()) == 50_016
