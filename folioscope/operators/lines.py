@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import fixed as X
 from folioscope.functions import lines as L
 from folioscope.functions import text as T
+from folioscope.sources.scratch import small_batches
 
 DIFF_SCHEMA = "seq int, status string, line1 string, line2 string, similarity double, num_diff array<string>, word_diff array<struct<word:string,tag:string>>"
 
@@ -36,25 +38,52 @@ def merged(lines: Column) -> Column:
     return F.element_at(F.transform(F.array(T.folded(lines, start, step, "done", kind)), lambda s: F.concat(s["done"], s["last"])), 1)
 
 
+#: Rows and characters of a batch of results, about.
+OUT_ROWS, OUT_CHARS = 4_096, 1 << 20
+
+
 def compared(texts: DataFrame, engine: str = "a", keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
     """The keys and rows of DIFF_SCHEMA for every pair of texts, (*keys, text1, text2).
 
     Cleaning and merging run in the JVM; the greedy matching, whose every step depends on the ones before, takes a
     pair at a time in Python. Pairs are dealt over a set number of tasks: their work is in the matching, not in
-    their bytes, by which adaptive execution would gather them in a few.
+    their bytes, by which adaptive execution would gather them in a few. A task holds a batch of pairs and one of results.
     """
-    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = texts.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lines = texts.select(*keys, merged(T.lines_of(F.col("text1"))).alias("lines1"), merged(T.lines_of(F.col("text2"))).alias("lines2"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for *named, lines1, lines2 in frame.itertuples(index=False):
-                rows = L.matched(list(lines1), list(lines2), engine)
-                if rows:
-                    yield pd.DataFrame([dict(zip(keys, named, strict=True)) | {"seq": k, **r} for k, r in enumerate(rows)])
+    small_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named, rows, chars = [], [], 0
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in range(len(keys))]
+            for at in range(batch.num_rows):
+                *own, lines1, lines2 = (c[at].as_py() for c in batch.columns)
+                found = L.matched(lines1, lines2, engine)
+                named += [(*own, seq) for seq in range(len(found))]
+                rows += found
+                chars += sum(map(len, lines1)) + sum(map(len, lines2))
+                if len(rows) >= OUT_ROWS or chars >= OUT_CHARS:
+                    yield _batch(keys, kinds, named, rows)
+                    named, rows, chars = [], [], 0
+        if rows:
+            yield _batch(keys, kinds, named, rows)
 
     schema = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in keys)
-    return lines.repartition(tasks, *keys).mapInPandas(run, f"{schema}, {DIFF_SCHEMA}")
+    return lines.repartition(tasks, *keys).mapInArrow(run, f"{schema}, {DIFF_SCHEMA}")
+
+
+def _batch(keys: tuple[str, ...], kinds: list[pa.DataType], named: list[tuple], rows: list[dict]) -> pa.RecordBatch:
+    """Rows of matching in the columns of DIFF_SCHEMA, after their keys."""
+    words = [w for r in rows for w in r["word_diff"]]
+    ends = pa.array(np.cumsum([0, *(len(r["word_diff"]) for r in rows)]), pa.int32())
+    word, tag = (pa.array([w[k] for w in words], pa.string()) for k in (0, 1))
+    text = {c: pa.array([r[c] for r in rows], pa.string()) for c in ("status", "line1", "line2")}
+    columns = dict(zip((*keys, "seq"), (pa.array(x, t) for x, t in zip(zip(*named, strict=True), (*kinds, pa.int32()), strict=True)), strict=True)) | text
+    columns |= {"similarity": pa.array([r["similarity"] for r in rows], pa.float64()), "num_diff": pa.array([r["num_diff"] for r in rows], pa.list_(pa.string()))}
+    columns |= {"word_diff": pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([word, tag], ["word", "tag"]))}
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def status_counts(diff: DataFrame, *keys: str) -> DataFrame:

@@ -58,9 +58,11 @@ def highlight_specs(diff: DataFrame) -> DataFrame:
     """(pair_id, side, seq, line_text, changed_words): what a snapshot of either side marks."""
     tagged = lambda tag: F.transform(F.filter("word_diff", lambda x: x["tag"] == tag), lambda x: x["word"])
     whole = F.array().cast("array<string>")
-    first = diff.filter(F.col("status").isin("changed", "removed")).select("pair_id", F.lit(1).alias("side"), "seq", F.col("line1").alias("line_text"), F.when(F.col("status") == "changed", tagged("removed")).otherwise(whole).alias("changed_words"))
-    second = diff.filter(F.col("status").isin("changed", "added")).select("pair_id", F.lit(2).alias("side"), "seq", F.col("line2").alias("line_text"), F.when(F.col("status") == "changed", tagged("added")).otherwise(whole).alias("changed_words"))
-    return first.unionByName(second).filter(F.length("line_text") >= LEAST_CHARS)
+    words = lambda tag: F.when(F.col("status") == "changed", tagged(tag)).otherwise(whole).alias("changed_words")
+    mark = lambda side, status, line, tag: F.when(F.col("status").isin("changed", status), F.struct(F.lit(side).alias("side"), F.col(line).alias("line_text"), words(tag)))
+    # Both sides of a row at once: the diff is not made again for each.
+    rows = diff.select("pair_id", "seq", F.explode(F.array_compact(F.array(mark(1, "removed", "line1", "removed"), mark(2, "added", "line2", "added")))).alias("m"))
+    return rows.select("pair_id", "m.side", "seq", "m.line_text", "m.changed_words").filter(F.length("line_text") >= LEAST_CHARS)
 
 
 def first_issues(diff: DataFrame, keys: list[str], most: int = API_ISSUES) -> DataFrame:

@@ -182,7 +182,7 @@ def sheet_added_lines(spark, sf_dir):
 
 @query("text_report")
 def text_report(spark, sf_dir):
-    diff = _diff(spark, sf_dir)
+    diff = once(_diff(spark, sf_dir), "diff")
     return O.text_report(diff, L.status_counts(diff, "pair_id"))
 
 

@@ -3,6 +3,7 @@
 import random
 import time
 import tracemalloc
+from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import given, settings
@@ -212,3 +213,60 @@ def test_candidates_of_a_hot_key(spark):
         got.setdefault(q.ord2, set()).add(q.ord1)
     keys = {k: {"note", f"note{k % 3}", f"{k % 3}{k}"} for k in range(300)}
     assert got == {k: set(sorted(j for j in range(300) if keys[j] & keys[k])[:40]) for k in range(300)}
+
+
+def _lines_of_words(seed, n, words):
+    r = random.Random(seed)
+    return [" ".join(r.choice(words) for _ in range(r.randrange(1, n))) for _ in range(40)]
+
+
+def test_blocks_are_those_of_difflib():
+    """Short and long texts, few letters, edits and texts that have little in common."""
+    r = random.Random(11)
+    true = lambda a, b: SequenceMatcher(None, a, b, autojunk=False).ratio()
+    for k in range(1500):
+        letters = "abcdefgh"[: r.choice([1, 2, 3, 8])]
+        a = "".join(r.choice(letters) for _ in range(r.choice([5, 40, 250])))
+        b = "".join(c if r.random() < 0.95 else r.choice(["", "xy", "a"]) for c in a) if k % 2 else "".join(r.choice(letters) for _ in range(r.choice([5, 40, 250])))
+        assert S.gestalt(a, b) == (true(a, b) if a and b else float(a == b)), (a, b)
+    lines = _lines_of_words(3, 90, ["the", "group", "then", "assets", "of", "12,345", "liabilities", "other"])
+    for a, b in zip(lines, lines[1:] + lines[:1], strict=True):
+        assert S.gestalt(a, b) == true(a, b) and S.gestalt(a, a.replace("the", "that")) == true(a, a.replace("the", "that"))
+
+
+def test_long_lines_are_searched_once():
+    """Not for each block, letter by letter."""
+    r = random.Random(2)
+    a = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(4000))
+    b = a.replace("the", "that")
+    begin = time.process_time()
+    assert 0.97 < S.gestalt(b, a) < 1 and time.process_time() - begin < 2
+
+
+def test_copies_are_not_scored(monkeypatch):
+    asked = []
+    monkeypatch.setattr(P, "score", lambda x, y, engine: asked.append(1) or 0.0)
+    lines = ["The directors are responsible", "Total assets 1,234", "the directors are RESPONSIBLE", "Cash 12", "Grundstück"]
+    for engine in "ab":
+        got = P.matched(lines, [x.upper() for x in lines], engine)
+        assert [r["line1"] for r in got] == lines and not asked
+
+
+def test_batches_have_a_bound(spark):
+    """By rows alone a batch of whole texts grew with the partition, and results came a pair at a time."""
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    rows = [(k, f"Total {k} of the ledger\nCash", f"Total {k} of that ledger\nCash\nNew line") for k in range(3000)]
+    out = L.compared(spark.createDataFrame(rows, "pair_id long, text1 string, text2 string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= 4 << 20
+    assert out.groupBy("pair_id").count().groupBy("count").count().collect() == [(3, 3000)]
+
+
+def test_a_diff_is_made_once(spark):
+    from folioscope.plans import catalog
+
+    for name in ("highlight_specs", "text_report"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapIn") <= 1, name
+
