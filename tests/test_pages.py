@@ -70,3 +70,11 @@ def test_assignment_of_many_pages(spark):
     begin = time.time()
     got = [tuple(x) for x in P.assigned(sims, rows).collect()]
     assert len(got) == len(want) and set(got) == want and time.time() - begin < 60
+
+
+def test_pages_are_built_once(spark):
+    """All that a page report reads of the documents is written before."""
+    from folioscope.plans import catalog
+
+    plan = catalog.QUERIES["page_diffs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "pages-" in plan
