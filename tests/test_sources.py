@@ -88,3 +88,14 @@ def test_pages_in_tree_order():
     ]
     got = [(w, h, [x[0] for x in words]) for w, h, words in pdf.read(foreign_pdf(objects))]
     assert got == [(300, 400, ["YY"]), (300, 400, ["YX"]), (100, 50, ["XY"]), (595, 842, ["AA"])]
+
+
+def test_operators_of_a_page_are_read_by_patterns_made_once(monkeypatch):
+    """Not by a pattern looked up for each token; and the words are those of the lines."""
+    from folioscope.sources import pdf
+
+    calls, true = [], pdf.re.fullmatch
+    monkeypatch.setattr(pdf.re, "fullmatch", lambda *a, **k: calls.append(1) or true(*a, **k))
+    lines = [f"item ({k}) \\ of 12.5 Übung" for k in range(300)]
+    ((_, _, words),) = pdf.read(pdf.make([lines]))
+    assert [w[0] for w in words] == " ".join(lines).split() and len(calls) < 50
