@@ -270,3 +270,27 @@ def test_a_diff_is_made_once(spark):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapIn") <= 1, name
 
+
+
+def _repeating(seed, size):
+    """A text of sentences that repeat, and the same with other words in each."""
+    r = random.Random(seed)
+    words = ["".join(r.choice("etaoin") for _ in range(r.randrange(2, 8))) for _ in range(9)]
+    unit = " ".join(r.choice(words) for _ in range(14)) + " the ledger. "
+    a = (unit * (size // len(unit) + 1))[:size]
+    return a, a.replace("the", "that").replace(words[0], words[1], 3)
+
+
+def test_text_that_repeats_is_searched_by_ranks():
+    for k in range(12):
+        a, b = _repeating(k, 1500)
+        assert S.in_blocks(a, b) == sum(x.size for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    a, b = "a" * 199 + "b", "c" + "a" * 150 + "d" + "a" * 48
+    assert S.in_blocks(a, b) == sum(x.size for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
+def test_text_that_repeats_takes_little_time():
+    """Its common runs grow with the square of its length; over 50 s went into them here."""
+    a = " ".join("the" if k % 7 == 6 else "thndedor" for k in range(1200))
+    begin = time.process_time()
+    assert 0.97 < S.gestalt(a, a.replace("the", "that")) < 0.98 and time.process_time() - begin < 5
