@@ -20,22 +20,36 @@ DIFF_SCHEMA = "seq int, status string, line1 string, line2 string, similarity do
 def merged(lines: Column) -> Column:
     """Wrapped lines joined: a line that begins in lower case continues one of 15 characters or more that has no end.
 
-    A line equal to the merged one before it, whatever the case, is dropped first.
+    A line equal to the merged one before it, whatever the case, is dropped first. Lines of which none continues or
+    equals the one before it stay as they are, unfolded.
     """
 
+    def joins(last: Column, line: Column) -> Column:
+        return F.substring(line, 1, 1).rlike(r"^\p{Ll}") & ~last.rlike(X.LINE_END) & (F.length(last) >= X.WRAPPED_CHARS)
+
+    def equal(last: Column, line: Column) -> Column:
+        # First letters of ASCII tell most lines apart; those of other scripts may change with what follows them.
+        a, b = F.substring(last, 1, 1), F.substring(line, 1, 1)
+        return ((F.lower(a) == F.lower(b)) | ~T.is_ascii(a) | ~T.is_ascii(b)) & (F.lower(last) == F.lower(line))
+
     def step(state: Column, line: Column) -> Column:
         done, last, open_ = state["done"], F.get(state["last"], 0), F.size(state["last"]) > 0
         now = lambda done, last: F.struct(done.alias("done"), last.alias("last"))
-        joins = ~last.rlike(X.LINE_END) & line.rlike(r"^\p{Ll}") & (F.length(last) >= X.WRAPPED_CHARS)
         return (
-            F.when(open_ & (F.lower(last) == F.lower(line)), now(done, state["last"]))
-            .when(open_ & joins, now(done, F.array(F.concat(last, F.lit(" "), line))))
+            F.when(open_ & equal(last, line), now(done, state["last"]))
+            .when(open_ & joins(last, line), now(done, F.array(F.concat(last, F.lit(" "), line))))
             .otherwise(now(F.concat(done, state["last"]), F.array(line)))
         )
 
     kind = "array<string>"
     start = F.struct(F.array().cast(kind).alias("done"), F.array().cast(kind).alias("last"))
-    return F.element_at(F.transform(F.array(T.folded(lines, start, step, "done", kind)), lambda s: F.concat(s["done"], s["last"])), 1)
+
+    def folds(held: Column) -> Column:
+        rest = F.greatest(F.size(held) - 1, F.lit(0))
+        return F.exists(F.zip_with(F.slice(held, F.lit(1), rest), F.slice(held, F.lit(2), rest), lambda x, y: equal(x, y) | joins(x, y)), lambda met: met)
+
+    fold = lambda held: F.element_at(F.transform(F.array(T.folded(held, start, step, "done", kind)), lambda s: F.concat(s["done"], s["last"])), 1)
+    return F.element_at(F.transform(F.array(lines), lambda held: F.when(folds(held), fold(held)).otherwise(held)), 1)
 
 
 #: Rows and characters of a batch of results, about.

@@ -159,12 +159,12 @@ def sheet_comments(spark, sf_dir):
 
 
 def _diff(spark, sf_dir):
-    return L.compared(R.texts(R.revision_lines(spark, sf_dir)))
+    return L.compared(R.revised_texts(spark, sf_dir))
 
 
 @query("sheet_summary")
 def sheet_summary(spark, sf_dir):
-    texts = R.texts(R.revision_lines(spark, sf_dir))
+    texts = R.revised_texts(spark, sf_dir)
     counts = L.status_counts(L.compared(texts), "pair_id")
     numbers = N.reconciled(texts).select("pair_id", "similarity_pct")
     return counts.join(numbers, "pair_id").select("pair_id", *[F.col(f"n_{s}").cast("string").alias(s) for s in ("same", "changed", "added", "removed")], F.format_string("%.1f", "similarity_pct").alias("num_similarity_pct"))
@@ -219,7 +219,7 @@ def scan_lines_b(spark, sf_dir):
 def highlight_scan(spark, sf_dir):
     """Each scanned line of a document's first revision that a change of the second marks, with its box."""
     built = once(P.lines_of_words(_scanned(spark, sf_dir)), "scanned-lines")
-    diff = L.compared(R.texts(R.revision_lines(spark, sf_dir)))
+    diff = L.compared(R.revised_texts(spark, sf_dir))
     specs = O.highlight_specs(diff).filter("side = 1").select(F.col("pair_id").alias("doc_id"), F.col("seq").alias("spec_no"), F.col("line_text").alias("spec"))
     found = P.highlighted(built.select("doc_id", "page_no", "bucket", "line"), once(specs, "specs"))
     boxes = built.select("doc_id", "page_no", "bucket", *[T.rounded(F.col(c), 4).alias(c) for c in ("x0", "x1", "y0", "y1")])

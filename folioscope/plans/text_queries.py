@@ -49,7 +49,7 @@ cmp AS (SELECT pair_id, {_list("both_", "n1")} AS in_both, {_list("o1", "n1")} A
 
 
 def _texts(spark, sf_dir):
-    return R.texts(R.revision_lines(spark, sf_dir))
+    return R.revised_texts(spark, sf_dir)
 
 
 @query("number_compare", f"{_TEXTS} SELECT pair_id, array_to_string(in_both, ' ') AS in_both, array_to_string(only1, ' ') AS only1, array_to_string(only2, ' ') AS only2, count1, count2, similarity_pct FROM cmp")

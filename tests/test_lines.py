@@ -294,3 +294,43 @@ def test_text_that_repeats_takes_little_time():
     a = " ".join("the" if k % 7 == 6 else "thndedor" for k in range(1200))
     begin = time.process_time()
     assert 0.97 < S.gestalt(a, a.replace("the", "that")) < 0.98 and time.process_time() - begin < 5
+
+
+def test_texts_are_derived_whole(spark, tmp_path):
+    """A document's revision needs no shuffle of its lines; ids that repeat or are missing are pairs as before."""
+    from folioscope.sources import revisions as R
+
+    r = random.Random(4)
+    text = lambda: "\n".join(r.choice(["the cash 12", "", "The Group", "é 9 the", "  x"]) for _ in range(r.randrange(1, 40)))
+    rows = [(k // 2 if k % 5 else None, text()) for k in range(60)] + [(-7, text()), (900, None), (901, ""), (902, "\n"), (1 << 40, text())]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for sf_dir in (str(tmp_path), "/root/testdata/sf0.001"):
+        got, want = R.revised_texts(spark, sf_dir), R.texts(R.revision_lines(spark, sf_dir))
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+    plan = R.revised_texts(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_the_index_has_what_lines_ask_for():
+    """Keys of lines without a copy at first, all others once a line with copies can take none of them."""
+    r = random.Random(8)
+    words = "alpha beta gamma delta omega 12 345 rand".split()
+    for _ in range(150):
+        first, second = ([" ".join(r.choice(words) for _ in range(r.randint(1, 4))) for _ in range(r.randint(0, 25))] for _ in range(2))
+        got = [(q["line1"], q["line2"], q["similarity"]) for q in P.matched(first, second * 2) if q["status"] != "removed"]
+        assert got == slow_match(first, second * 2, "a")
+
+
+@pytest.mark.parametrize("second", ["İx equal", "i̇x equal", "ΣΑΣ of all", "σας of all", "x equal", "and more", "ǆ more", "𝐚 more", "Page one", ""])
+def test_only_texts_that_need_it_are_folded(spark, second):
+    """A line that equals or continues the one before it is met whatever its first letter; others leave the text as it is."""
+    from pyspark.sql import functions as F
+
+    for first in ("İx equal", "ΣΑΣ of all", "X EQUAL", "A line of text without an end", "Ends. here."):
+        df = spark.createDataFrame([([first, second, "Last line"],)], "x array<string>")
+        got, lower, small = df.select(L.merged(F.col("x")), F.lower(F.lit(first)) == F.lower(F.lit(second)), F.lit(second).rlike(r"^\p{Ll}")).first()
+        joined = small and len(first) >= 15 and first[-1] not in ".!?;:"
+        assert got == ([first, "Last line"] if lower else [f"{first} {second}", "Last line"] if joined else [first, second, "Last line"])
+    plan = df.select(L.merged(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" in plan
