@@ -131,3 +131,40 @@ def candidates(lines: DataFrame, most: int = L.CANDIDATES) -> DataFrame:
     second = keyed.filter("side = 2").select("pair_id", "key", F.col("ord").alias("ord2"))
     hits = second.join(first, ["pair_id", "key"]).groupBy("pair_id", "ord2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ords")))).alias("found"))
     return hits.select("pair_id", "ord2", F.explode(F.slice("found", 1, most)).alias("ord1"))
+
+
+#: Characters of a pair's first side up to which one task's row holds its index; longer pairs are joined by key.
+WHOLE = 1 << 20
+
+
+def candidates_in_pairs(lines: DataFrame, most: int = L.CANDIDATES) -> DataFrame:
+    """candidates() of lines (pair_id, sides, ord, line) of pairs that no partition parts and whose lines follow each other there.
+
+    A pair's index is held while its lines are looked up, so pairs must be short. sides are bits: a line of 3 is on both.
+    """
+    rows = lines.select("pair_id", "ord", "sides", T.normalise(T.decomposed(F.col("line"))).alias("norm"))
+    small_batches(lines.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list[int], list[int], list[int]] = ([], [], [])
+        pair, held = None, []
+
+        def end() -> None:
+            for place, places in L.near(held, most).items():
+                for column, values in zip(out, ([pair] * len(places), [place] * len(places), places), strict=True):
+                    column += values
+
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["pair_id", "ord2", "ord1"])
+        for batch in batches:
+            for own, *line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != pair:
+                    end()
+                    pair, held = own, []
+                held.append(line)
+            if len(out[0]) >= OUT_ROWS:
+                yield made()
+                out = ([], [], [])
+        end()
+        yield made()
+
+    return rows.mapInArrow(run, "pair_id long, ord2 long, ord1 long")
