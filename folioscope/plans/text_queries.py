@@ -225,32 +225,35 @@ def line_score_status(spark, sf_dir):
 
     Canonical lines keep bare stamps here, as they do where edit distance matches lines.
     """
-    rows = _scored(_both(spark, sf_dir, "inner"))
+    rows = _scored(_both(spark, sf_dir, False))
     return rows.select("pair_id", "ord", T.rounded(F.col("score"), 4).alias("score"), "status")
 
 
-def _both(spark, sf_dir, how):
-    """(pair_id, ord, l1, l2, whole1, whole2): both lines of each place, normalised before they meet.
+def _both(spark, sf_dir, alone):
+    """(pair_id, ord, added, removed, l1, l2, whole1, whole2): both lines of each place, and what is left of them normalised.
 
-    The join stands between the two steps of cleaning, or the first would be repeated for each use in the second.
+    Lines that are equal, which most are, score as two empty ones do, and so do those that stand alone: nothing of them is held.
     """
-    lines = R.revision_lines(spark, sf_dir).withColumn("whole", T.normalise(T.decomposed(F.col("line")), False))
-    side = lambda n: lines.filter(F.col("side") == n).select("pair_id", "ord", F.col("line").alias(f"l{n}"), F.col("whole").alias(f"whole{n}"))
-    return side(1).join(side(2), ["pair_id", "ord"], how)
+    rows = R.places(R.gathered(spark, sf_dir), alone)
+    held = lambda c: F.when(F.col("l1") != F.col("l2"), F.col(c)).otherwise("")
+    rows = rows.select("pair_id", "ord", F.col("l1").isNull().alias("added"), F.col("l2").isNull().alias("removed"), held("l1").alias("l1"), held("l2").alias("l2"))
+    whole = [T.normalise(T.decomposed(F.col(f"l{n}")), False).alias(f"whole{n}") for n in "12"]
+    # A generator stands between the two steps of cleaning, or the first would be repeated for each use in the second.
+    return rows.select(F.inline(F.array(F.struct("*", *whole))))
 
 
 def _scored(rows):
     """Rows of _both with score and status."""
     made = [(f"norm{n}", T.without_stamp(F.col(f"whole{n}"))) for n in "12"] + [(f"canon{n}", T.canonical(F.col(f"whole{n}"))) for n in "12"] + [(f"n{n}", T.numbers(F.col(f"l{n}"))) for n in "12"]
-    rows = rows.select("pair_id", "ord", "l1", "l2", *[c.alias(t) for t, c in made])
+    rows = rows.select("pair_id", "ord", "added", "removed", *[c.alias(t) for t, c in made])
     rows = rows.withColumn("score", S.with_numbers(S.levenshtein(F.col("canon1"), F.col("canon2")), F.col("n1"), F.col("n2"), True))
     return rows.withColumn("status", S.status(*[F.col(c) for c in ("norm1", "norm2", "canon1", "canon2", "n1", "n2", "score")]))
 
 
 def placed(spark, sf_dir):
     """(pair_id, ord, status): the lines of both revisions by their place, where one side may have none."""
-    rows = _scored(_both(spark, sf_dir, "full"))
-    return rows.select("pair_id", "ord", F.when(F.col("l2").isNull(), "removed").when(F.col("l1").isNull(), "added").otherwise(F.col("status")).alias("status"))
+    rows = _scored(_both(spark, sf_dir, True))
+    return rows.select("pair_id", "ord", F.when(F.col("removed"), "removed").when(F.col("added"), "added").otherwise(F.col("status")).alias("status"))
 
 
 @query("line_gestalt")

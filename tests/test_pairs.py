@@ -4,8 +4,12 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from folioscope.functions import text as T
 from folioscope.operators import lines as L
 from folioscope.plans import catalog
+from folioscope.plans import text_queries as Q
 from folioscope.sources import revisions as R
 
 
@@ -34,3 +38,36 @@ def test_keys_of_short_pairs_are_not_dealt(spark):
     rows = L.candidates_in_pairs(R.common_lines(R.gathered(spark, "/root/testdata/sf0.001")))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def joined(spark, folder):
+    """The lines of both revisions by their place, by a join of all lines."""
+    lines = R.revision_lines(spark, folder)
+    side = lambda n: lines.filter(F.col("side") == n).select("pair_id", "ord", F.col("line").alias(f"l{n}"))
+    return side(1).join(side(2), ["pair_id", "ord"], "full")
+
+
+def ordered(rows):
+    return sorted(map(tuple, rows.collect()), key=repr)
+
+
+def test_places(spark, odd):
+    """Documents that share an id meet each other's lines too."""
+    want = joined(spark, odd)
+    assert ordered(R.places(R.gathered(spark, odd), True)) == ordered(want)
+    assert ordered(R.places(R.gathered(spark, odd), False)) == ordered(want.filter("l1 is not null and l2 is not null"))
+
+
+def test_equal_lines_score_as_empty_ones(spark, odd):
+    """Scores and status of all lines, none of them held back."""
+    rows = joined(spark, odd).filter("l1 is not null and l2 is not null").withColumns({"added": F.lit(False), "removed": F.lit(False)})
+    rows = rows.withColumns({f"whole{n}": T.normalise(T.decomposed(F.col(f"l{n}")), False) for n in "12"})
+    want = Q._scored(rows).select("pair_id", "ord", T.rounded(F.col("score"), 4).alias("score"), "status")
+    got = ordered(catalog.QUERIES["line_score_status"](spark, odd))
+    assert got == ordered(want) and {x[3] for x in got} == {"same", "changed"}
+
+
+@pytest.mark.parametrize("name", ["line_score_status", "summary_table", "page_status_flag", "page_pct_band"])
+def test_lines_of_one_place_are_not_joined(spark, name):
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
