@@ -65,3 +65,11 @@ def test_large_document(spark):
     for k, x in enumerate(specs):
         first.setdefault(x, k)
     assert got == {(k, first[x]) for k, x in enumerate(lines) if x in first} and n < 600_000 and time.time() - begin < 120
+
+
+def test_small_documents_are_dealt_once(spark):
+    """Lines and specs of small documents take one shuffle each, by document."""
+    from folioscope.plans import catalog
+
+    plan = catalog.QUERIES["highlight_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2
