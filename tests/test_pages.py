@@ -78,3 +78,22 @@ def test_pages_are_built_once(spark):
 
     plan = catalog.QUERIES["page_diffs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "documents.parquet" not in plan and "pages-" in plan
+
+
+def test_anchors_are_compared_for_the_best_alone(spark):
+    """Equal to scoring all near pages, with pages that move, repeat, tie, or have no words; one row at most goes on for a first page."""
+    r = random.Random(5)
+    heads = ["", "total revenue of the group", "notes to the accounts", "total revenue", "a" * 130, "statement of cash flows 2019", "été ﬁne", "total expenses of the group"]
+    rows = []
+    for pair in range(40):
+        n = r.choice([1, 3, 12, 30])
+        for side in (1, 2):
+            rows += [(pair, side, k, r.choice(heads) + "\n" + " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(r.randint(0, 3)))) for k in range(n - r.randint(0, min(2, n - 1)))]
+    pages = spark.createDataFrame(rows, "pair_id long, side int, page_no int, text string")
+    near = P.band(P.fingerprints(pages)).select("pair_id", "i1", "i2", S.jaccard(F.col("words1"), F.col("words2"), 0.0).alias("words"), "anchor1", "anchor2")
+    scored = near.select("pair_id", "i1", "i2", (0.5 * S.gestalt_of("anchor1", "anchor2") + 0.5 * F.col("words")).alias("sim"))
+    want = sorted(map(tuple, P.assigned(scored, pages).collect()))
+    assert sorted(map(tuple, P.aligned(pages).collect())) == want and len({x[2] for x in want}) > 20
+    best = P.best_of(near)
+    assert best.count() == sum(x[2] >= 0 for x in want) < near.count() / 3
+    assert "gestalt_of" not in P.aligned(pages)._jdf.queryExecution().executedPlan().toString()
