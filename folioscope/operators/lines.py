@@ -149,22 +149,26 @@ def candidates_in_pairs(lines: DataFrame, most: int = L.CANDIDATES) -> DataFrame
         out: tuple[list[int], list[int], list[int]] = ([], [], [])
         pair, held = None, []
 
-        def end() -> None:
-            for place, places in L.near(held, most).items():
+        def made() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["pair_id", "ord2", "ord1"])
+            for c in out:
+                c.clear()
+            return batch
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            for place, places in L.near(held, most):
                 for column, values in zip(out, ([pair] * len(places), [place] * len(places), places), strict=True):
                     column += values
+                if len(out[0]) >= OUT_ROWS:
+                    yield made()
 
-        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["pair_id", "ord2", "ord1"])
         for batch in batches:
             for own, *line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != pair:
-                    end()
+                    yield from ended()
                     pair, held = own, []
                 held.append(line)
-            if len(out[0]) >= OUT_ROWS:
-                yield made()
-                out = ([], [], [])
-        end()
+        yield from ended()
         yield made()
 
     return rows.mapInArrow(run, "pair_id long, ord2 long, ord1 long")
