@@ -334,3 +334,33 @@ def test_only_texts_that_need_it_are_folded(spark, second):
         assert got == ([first, "Last line"] if lower else [f"{first} {second}", "Last line"] if joined else [first, second, "Last line"])
     plan = df.select(L.merged(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
     assert "exists(" in plan
+
+
+@pytest.mark.parametrize("engine", ["a", "b"])
+def test_no_candidate_is_left_out(engine):
+    """The best line may be any of those that share a key, or of all that are free, not one of the first 40 alone."""
+    first = [f"note {'abcdefghij'[k % 10] * 9} {'klmnopqrst'[k // 10] * 9} of the year" for k in range(100)]
+    for change in (lambda x: x + " end", lambda x: "xx" + x.replace(" ", "")):
+        second = [change(x) for x in reversed(first)]
+        kept = first if change("") == " end" else [x.replace(" ", "") for x in first]
+        rows = P.matched(kept, second, engine)
+        assert [(q["line1"], q["line2"]) for q in rows] == list(zip(reversed(kept), second, strict=True))
+
+
+@pytest.mark.parametrize("engine", ["a", "b"])
+def test_matching_of_many_lines(engine):
+    """Every line of a key compared, with all ties, against the rules alone."""
+    r = random.Random(12)
+    words = "alpha beta gamma 12 345 Total of, all é 𝒳y !!!".split()
+    for _ in range(8):
+        first, second = ([" ".join(r.choice(words) for _ in range(r.randint(1, 5))) for _ in range(90)] for _ in range(2))
+        second += r.choices(first, k=20)
+        x, y = [P.line(t, engine) for t in first], [P.line(t, engine) for t in second]
+        free, want = dict(enumerate(x)), []
+        for one in y:
+            hits = list(dict.fromkeys(k for key in one.keys for k in free if key in free[k].keys))
+            scores = [(P.score(one, free[k], engine), k) for k in (sorted(hits) if engine == "a" else hits) or free]
+            best = max((s for s, _ in scores), default=0.0)
+            at = next((k for s, k in scores if s == best), -1) if best >= S.RELATED else -1
+            want.append((free.pop(at).text, one.text, round(best, 4)) if at >= 0 else ("", one.text, 0.0))
+        assert [(q["line1"], q["line2"], q["similarity"]) for q in P.matched(first, second, engine) if q["status"] != "removed"] == want
