@@ -200,6 +200,10 @@ def _scanned(spark, sf_dir):
     return X.words_in(X.rendered(docs))
 
 
+def _scanned_lines(spark, sf_dir):
+    return X.scanned_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 @query("scan_words")
 def scan_words(spark, sf_dir):
     """Documents laid out as PDFs, and the words that the scan finds in them."""
@@ -209,18 +213,20 @@ def scan_words(spark, sf_dir):
 @query("scan_lines_b")
 def scan_lines_b(spark, sf_dir):
     """The scan's lines without noise, with their words counted and their numbers, for each document."""
-    lines = P.lines_of_words(_scanned(spark, sf_dir)).select("doc_id", "page_no", "bucket", T.strip(F.col("line")).alias("line")).filter(~T.is_noise(F.col("line")))
-    text = P.ordered_join(["page_no", "bucket"], "line", "\n")
-    out = lines.groupBy("doc_id").agg(text.alias("text"), F.sum(F.size(T.tokens(F.col("line")))).alias("word_count"))
+    held = _scanned_lines(spark, sf_dir).select("doc_id", F.transform("lines", lambda x: T.strip(x["line"])).alias("lines"))
+    held = held.select("doc_id", F.filter("lines", lambda x: ~T.is_noise(x)).alias("lines")).filter(F.size("lines") > 0)
+    words = F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.size(T.tokens(x)))
+    out = held.select("doc_id", words.alias("word_count"), F.array_join("lines", "\n").alias("text"))
     return out.select("doc_id", "word_count", F.array_sort(T.numbers(F.col("text"), "line")).alias("unique_numbers"))
 
 
 @query("highlight_scan")
 def highlight_scan(spark, sf_dir):
     """Each scanned line of a document's first revision that a change of the second marks, with its box."""
-    built = once(P.lines_of_words(_scanned(spark, sf_dir)), "scanned-lines")
+    lines = _scanned_lines(spark, sf_dir).select("doc_id", F.explode("lines").alias("r")).select("doc_id", "r.*")
+    boxes = [T.rounded(F.col(c), 4).alias(c) for c in ("x0", "x1", "y0", "y1")]
+    built = once(lines.select("doc_id", "page_no", "bucket", "line", *boxes), "scanned-lines")
     diff = L.compared(R.revised_texts(spark, sf_dir))
     specs = O.highlight_specs(diff).filter("side = 1").select(F.col("pair_id").alias("doc_id"), F.col("seq").alias("spec_no"), F.col("line_text").alias("spec"))
-    found = P.highlighted(built.select("doc_id", "page_no", "bucket", "line"), once(specs, "specs"))
-    boxes = built.select("doc_id", "page_no", "bucket", *[T.rounded(F.col(c), 4).alias(c) for c in ("x0", "x1", "y0", "y1")])
-    return found.join(boxes, ["doc_id", "page_no", "bucket"])
+    # Boxes go with their lines.
+    return P.highlighted(built, once(specs, "specs")).select("doc_id", "page_no", "bucket", "line", "spec_no", "x0", "x1", "y0", "y1")
